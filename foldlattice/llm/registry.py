@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldlattice.llm.common import table
 from foldlattice.llm.dedup import near_duplicates
+from foldlattice.llm.encoding import round_trip
+from foldlattice.llm.packing import pack
+from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = new_shard_folder(docs)
+    write_shards(docs, VOCABULARY, path, end_id=0)
+    return read_documents(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
