@@ -12,6 +12,7 @@ from foldlattice.llm.common import table
 from foldlattice.llm.dedup import near_duplicates
 from foldlattice.llm.encoding import round_trip
 from foldlattice.llm.packing import pack
+from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,13 +34,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op7_quality_rules, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
