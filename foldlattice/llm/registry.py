@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import table
+from foldlattice.llm.common import table, training_hash
 from foldlattice.llm.dedup import near_duplicates
 from foldlattice.llm.encoding import round_trip
+from foldlattice.llm.language_id import fit, predict
 from foldlattice.llm.packing import pack
 from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
@@ -38,13 +39,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.pmod(training_hash(F.col("doc_id")), F.lit(4)) == 2).alias("held_out"))
+    out = predict(docs.select("doc_id", "held_out", "text"), fit(docs.where("not held_out")), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op7_quality_rules, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op7_quality_rules, op9_language_id, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
