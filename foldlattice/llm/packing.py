@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldlattice.llm.common import stored
-from foldlattice.llm.encoding import token_rows
+from foldlattice.llm.encoding import library_encoder, texts_in
 
 CAPACITY = 2048
 #: Pieces that one ranking group holds on average at most.
@@ -99,17 +99,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: a document longer than ``capacity`` is cut, its first piece the shorter."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(doc_id, k, b, e - b, zlib.crc32(own := ids[4 * b : 4 * e]), own) for k, (b, e) in enumerate(zip(edges, edges[1:]))]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    return token_rows(docs, vocabulary, id_col, text_col, end_id).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+            for doc_ids, texts in texts_in(batch):
+                rows = []
+                for doc_id, packed in zip(doc_ids, encoder.packed_many(texts)):
+                    packed += end
+                    n = len(packed) // 4
+                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    rows += [(doc_id, k, b, e - b, zlib.crc32(own := packed[4 * b : 4 * e]), own) for k, (b, e) in enumerate(zip(edges, edges[1:]))]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
