@@ -225,8 +225,11 @@ class PieceEncoder:
             at = m.end()
         return [x for x in [*out, text[at:]] if x != ""]
 
+    def _plans(self, texts: list[str | None]) -> list[list[list[str] | bytes]]:
+        return [[array("I", [x]).tobytes() if isinstance(x, int) else self._pieces(x) for x in self._parts(t)] for t in texts]
+
     def packed_many(self, texts: list[str | None]) -> list[bytes]:
-        plans = [[array("I", [x]).tobytes() if isinstance(x, int) else self._pieces(x) for x in self._parts(t)] for t in texts]
+        plans = self._plans(texts)
         missing = set().union(*(x for plan in plans for x in plan if isinstance(x, list)))
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -241,6 +244,52 @@ class PieceEncoder:
         return [b"".join(b"".join(map(look, x)) if isinstance(x, list) else x for x in plan) for plan in plans]
 
 
+class _LibraryPieces(dict):
+    """Packed ids of pieces by the library's model; a missing piece is encoded and remembered."""
+
+    def __init__(self, library, letter: dict[int, str]):
+        super().__init__()
+        self.model, self.letter = library.model, letter
+        self.space = letter[0x20]
+        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in ".,;:!?"}
+
+    def _general(self, piece: str) -> list[int]:
+        return [t.id for token in pretokens(piece) for t in self.model.tokenize(token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter))]
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[:1] == "\0":
+            ids = self._general(piece[1:])
+        elif not piece.isascii():
+            ids = self._general(" " + piece)
+        elif piece.isalpha():
+            ids = [t.id for t in self.model.tokenize(self.space + piece)]
+        elif piece[:-1].isalpha() and piece[-1] in self.marks:
+            ids = [t.id for t in self.model.tokenize(self.space + piece[:-1])] + self.marks[piece[-1]]
+        else:
+            ids = self._general(" " + piece)
+        packed = array("I", ids).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
+class LibraryEncoder(PieceEncoder):
+    """The same pieces, encoded one at a time by the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        bpe = ForcedCutBpe(path)
+        super().__init__(None, bpe.special, bpe.space_is_forced, bpe.size - 1)
+        self.known = _LibraryPieces(Tokenizer.from_file(path), {b: c for c, b in byte_letters().items()})
+
+    def packed_many(self, texts: list[str | None]) -> list[bytes]:
+        look = self.known.__getitem__
+        return [b"".join(b"".join(map(look, x)) if isinstance(x, list) else x for x in plan) for plan in self._plans(texts)]
+
+
 @lru_cache(maxsize=4)
 def forced_cut_encoder(path: str) -> tuple[ForcedCutBpe, PieceEncoder]:
     """The own encoder of a worker, kept between tasks."""
@@ -249,30 +298,9 @@ def forced_cut_encoder(path: str) -> tuple[ForcedCutBpe, PieceEncoder]:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> PieceEncoder:
-    """The tokenizers library's encoder of a worker; pieces are cut where ``ForcedCutBpe`` proves it safe."""
-    from tokenizers import Tokenizer
-
-    bpe = ForcedCutBpe(path)
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    model, letter = library.model, {b: c for c, b in byte_letters().items()}
-
-    def encode_many(pieces: list[str]) -> list[bytes]:
-        known: dict[str, list[int]] = {}
-        out = []
-        for piece in pieces:
-            ids: list[int] = []
-            for token in pretokens(piece):
-                got = known.get(token)
-                if got is None:
-                    got = known[token] = [t.id for t in model.tokenize(token.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter))]
-                ids += got
-            out.append(array("I", ids).tobytes())
-        return out
-
-    return PieceEncoder(encode_many, bpe.special, bpe.space_is_forced, bpe.size - 1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """The tokenizers library's encoder of a worker, kept between tasks."""
+    return LibraryEncoder(path)
 
 
 def texts_in(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list[str | None]]]:
@@ -282,22 +310,6 @@ def texts_in(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[lis
         yield ids[part], texts[part]
 
 
-def token_rows(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
-    """``doc_id, ids``: little-endian 32-bit ids of each whole text by the tokenizers library.
-
-    A null text is empty; ``end_id`` is put behind each text where given.
-    """
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
-        for batch in batches:
-            for ids, texts in texts_in(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p + end for p in encoder.packed_many(texts)], pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, ids binary")
-
-
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, decoded``: forced-boundary encoding of each whole text and its decoding; null is empty."""
 
