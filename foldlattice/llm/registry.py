@@ -13,6 +13,7 @@ from foldlattice.llm.dedup import near_duplicates
 from foldlattice.llm.encoding import round_trip
 from foldlattice.llm.language_id import fit, predict
 from foldlattice.llm.license_scan import scan_licenses
+from foldlattice.llm.lm_scoring import score_documents
 from foldlattice.llm.packing import pack
 from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
@@ -36,6 +37,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), F.pmod(training_hash(F.col("doc_id")), F.lit(10)) != 0)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,7 +62,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op5_license_scan, op7_quality_rules, op9_language_id, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op4_backoff_lm, op5_license_scan, op7_quality_rules, op9_language_id, op10_forced_boundary_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
