@@ -16,6 +16,7 @@ from foldlattice.llm.license_scan import scan_licenses
 from foldlattice.llm.lm_scoring import score_documents
 from foldlattice.llm.packing import pack
 from foldlattice.llm.quality_rules import quality_rules
+from foldlattice.llm.topk_search import top_k
 from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.pmod(training_hash(F.col("doc_id")), F.lit(4)) == 2).alias("held_out"))
     out = predict(docs.select("doc_id", "held_out", "text"), fit(docs.where("not held_out")), keep=("doc_id", "held_out"))
@@ -62,8 +67,20 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op4_backoff_lm, op5_license_scan, op7_quality_rules, op9_language_id, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op4_backoff_lm, op5_license_scan, op7_quality_rules, op8_threshold_topk, op9_language_id, op10_forced_boundary_bpe)}
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_threshold_topk": TOPK_SQL}
