@@ -15,6 +15,7 @@ from foldlattice.llm.language_id import fit, predict
 from foldlattice.llm.license_scan import scan_licenses
 from foldlattice.llm.lm_scoring import score_documents
 from foldlattice.llm.packing import pack
+from foldlattice.llm.quality_classifier import quality_classifier
 from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.topk_search import top_k
 from foldlattice.llm.wavelet import new_shard_folder, read_documents, write_shards
@@ -47,6 +48,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "perplexity", "perplexity_limit", "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op4_backoff_lm, op5_license_scan, op7_quality_rules, op8_threshold_topk, op9_language_id, op10_forced_boundary_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_wavelet_shards, op3_best_fit_packing, op4_backoff_lm, op5_license_scan, op6_kneser_ney_quality, op7_quality_rules, op8_threshold_topk, op9_language_id, op10_forced_boundary_bpe)}
 
 
 TOPK_SQL = """
