@@ -4,7 +4,7 @@ Counts stay sharded.  Documents are scored in batches; a batch's distinct n-gram
 of its own training rows, go to shards by key, are summed there, and each batch gets back the
 totals that differ from its own counts.  With them it builds the automaton of its own n-grams:
 a state for each history, an arc for each known continuation, a failure arc to the root that costs
-the history's backoff weight.  One traversal, a word of every document at a time, carries the
+the history's backoff weight.  One traversal of the batch's texts, from left to right, carries the
 states and adds up log-probabilities.
 
 The smoothed probability of w after v is ``(c(vw) + mu * p(w)) / (c(v) + mu)`` with the add-0.1
@@ -18,24 +18,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlattice.llm.common import by_groups
-from foldlattice.llm.textblocks import U64, Words, mix
+from foldlattice.llm.textblocks import U64, Words, mix, slices
 
 END, START = U64(1), U64(2)
 MU = 300.0
 #: Characters of text that a scoring batch, and a shard of counts, is planned for.
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 16_000_000
 SHARD_CHARS = 8_000_000
 #: Characters after which counting hands over what it has.
-COUNT_CHARS = 24_000_000
+COUNT_CHARS = 16_000_000
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes (words, then one end a text) and each text's first place."""
+    runs = list(slices([len(t or "") for t in texts]))
+    if len(runs) > 1:
+        tokens, starts, at = [], [np.zeros(1, dtype=np.int64)], 0
+        for run in runs:
+            own, places = tokens_of(texts[run])
+            tokens.append(own)
+            starts.append(places[1:] + at)
+            at += int(places[-1])
+        return np.concatenate(tokens), np.concatenate(starts)
     words = Words(texts)
     n = np.diff(words.bounds)
     starts = words.bounds + np.arange(len(texts) + 1)
@@ -53,67 +61,98 @@ def histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def unigram_keys(tokens: np.ndarray) -> np.ndarray:
-    return mix(tokens * U64(0xC2B2AE3D27D4EB4F) + U64(5))
+    """56 bits a token: sorted, their differences need fewer bytes than full ones."""
+    return mix(tokens * U64(0xC2B2AE3D27D4EB4F) + U64(5)) >> U64(8)
 
 
 def bigram_keys(history: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(history * U64(0x9E3779B185EBCA87) + tokens * U64(0x165667B19E3779F9))
+    return mix(history * U64(0x9E3779B185EBCA87) + tokens * U64(0x165667B19E3779F9)) >> U64(8)
 
 
 @dataclass
 class BackoffAutomaton:
-    """States 0 (root) and one a history; ``arcs`` are sorted ``state * symbols + symbol``."""
+    """States 0 (root) and one a history; ``arcs`` are sorted ``state * symbols + symbol``.
+
+    A known arc costs its smoothed log-probability, any other symbol the state's failure weight and
+    then the root's arc.  Both lead to the symbol's own state.
+    """
 
-    symbols: int
     root: np.ndarray
     arcs: np.ndarray
     arc_cost: np.ndarray
     failure: np.ndarray
-    target: np.ndarray
-
-    def traverse(self, text: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
-        """Log10 probability of each text (symbols ``text[starts[i]:starts[i + 1]]``), from state ``first``."""
-        lengths = np.diff(starts)
-        order = np.argsort(-lengths, kind="stable")
-        at, left = starts[:-1][order], lengths[order]
-        state = np.full(len(order), first)
-        total = np.zeros(len(order))
-        alive = len(order)
-        for step in range(int(left[0]) if len(left) else 0):
-            alive = int(np.searchsorted(-left[:alive], -step, side="left"))
-            symbol = text[at[:alive] + step]
-            here = state[:alive]
-            code = here * self.symbols + symbol
-            arc = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
-            known = self.arcs[arc] == code
-            total[:alive] += np.where(known, self.arc_cost[arc], self.failure[here] + self.root[symbol])
-            state[:alive] = self.target[symbol]
-        out = np.empty(len(order))
-        out[order] = total
+
+    def cost(self, codes: np.ndarray) -> np.ndarray:
+        """Log10 cost of reading a symbol in a state, by failure where there is no arc."""
+        state, symbol = codes // len(self.root), codes % len(self.root)
+        out = self.failure[state] + self.root[symbol]
+        if len(self.arcs):
+            at = np.minimum(np.searchsorted(self.arcs, codes), len(self.arcs) - 1)
+            out = np.where(self.arcs[at] == codes, self.arc_cost[at], out)
         return out
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64), inverse
+def states_along(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The state in which each symbol is read: 1 at a text's start, then that of the symbol before."""
+    state = np.empty(len(symbols), dtype=np.int64)
+    state[1:] = symbols[:-1] + 2
+    state[starts[:-1]] = 1
+    return state
+
+
+def counted(parts: list[np.ndarray], flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (under 2^63) of all parts in order, and how many of each are flagged; uses up the parts."""
+    both = np.concatenate(parts)
+    parts.clear()
+    both <<= U64(1)
+    both |= np.resize(flags, len(both))
+    both.sort()
+    if not len(both):
+        return both, np.zeros(0, dtype=np.int64)
+    flagged = (both & U64(1)).astype(np.int64)
+    both >>= U64(1)
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[at], np.add.reduceat(flagged, at)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and differences of as few bytes as they need."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, dtype=np.uint64)
+    width, first = packed[0], np.frombuffer(packed, dtype="<u8", count=1, offset=1)
+    if not width:
+        return first.astype(np.uint64)
+    steps = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(steps), 8), dtype=np.uint8)
+    wide[:, :width] = steps
+    return np.cumsum(np.concatenate((first, wide.view("<u8").ravel())), dtype=np.uint64)
 
 
 def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> DataFrame:
-    """``shard, batch, keys, counts``: distinct n-grams of a batch and their counts in its training rows."""
+    """``shard, batch, keys, counts``: distinct n-grams of a batch, by ranges of their keys, and their counts in its training rows."""
 
     def flush(batch: int, texts: list[str | None], training: list[bool]) -> Iterator[pa.RecordBatch]:
         tokens, starts = tokens_of(texts)
-        own = np.repeat(np.array(training, dtype=np.int64), np.diff(starts))
+        own = np.repeat(np.array(training, dtype=bool), np.diff(starts))
         keys = [unigram_keys(tokens)] if 1 in orders else []
         if 2 in orders:
             keys.append(bigram_keys(histories(tokens, starts), tokens))
-        distinct, counts, _ = _summed(np.concatenate(keys), np.tile(own, len(keys)))
-        shard = (distinct % U64(shards)).astype(np.int64)
-        by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(shards + 1))
+        del tokens
+        distinct, counts = counted(keys, own)
+        shard = (distinct >> U64(24)) * U64(shards) >> U64(32)
+        edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
         used = np.flatnonzero(np.diff(edges))
         offsets = pa.array(np.append(edges[used], edges[-1]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), pa.ListArray.from_arrays(offsets, pa.array(distinct[by].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts[by].astype(np.int32)))], ["shard", "batch", "keys", "counts"])
+        packed = pa.array([pack_keys(distinct[edges[u] : edges[u + 1]]) for u in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), packed, pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], ["shard", "batch", "keys", "counts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -131,45 +170,52 @@ def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> Dat
         for b, (t, m) in held.items():
             yield from flush(b, t, m)
 
-    return batched.select("batch", "training", "text").mapInArrow(work, "shard long, batch long, keys array<long>, counts array<int>")
+    return batched.select("batch", "training", "text").mapInArrow(work, "shard long, batch long, keys binary, counts array<int>")
 
 
-def _lists(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values and row bounds of a list column."""
-    column = rows[name].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+def _values(rows: pa.Table, name: str) -> np.ndarray:
+    """All values of a list column."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows[name].chunks]) if len(rows) else np.zeros(0, dtype=np.int64)
 
 
-def _answers(counted: DataFrame) -> DataFrame:
+def _totals(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's key lists, own counts in their order, distinct keys' totals and each key's place among them."""
+    lists, counts = [unpack_keys(k) for k in part["keys"].to_pylist()], _values(part, "counts")
+    distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    return lists, counts, np.bincount(inverse, counts, len(distinct)).astype(np.int64), inverse
+
+
+def _answers(counts: DataFrame) -> DataFrame:
     """``batch, keys, totals``: corpus totals that differ from the batch's own counts."""
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b, e in zip(bounds, bounds[1:]):
             part = rows.slice(b, e - b)
-            keys, edges = _lists(part, "keys")
-            counts, _ = _lists(part, "counts")
-            _, totals, inverse = _summed(keys, counts)
-            total = totals[inverse]
-            other = total != counts
-            kept = np.concatenate(([0], np.cumsum(other)))[edges].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part["batch"].combine_chunks(), pa.ListArray.from_arrays(pa.array(kept), pa.array(keys[other])), pa.ListArray.from_arrays(pa.array(kept), pa.array(total[other]))], ["batch", "keys", "totals"])
+            lists, own, totals, inverse = _totals(part)
+            total, at, packed, told = totals[inverse], 0, [], []
+            for keys in lists:
+                mine, all_of = own[at : at + len(keys)], total[at : at + len(keys)]
+                at += len(keys)
+                other = mine != all_of
+                packed.append(pack_keys(keys[other]))
+                told.append(all_of[other])
+            offsets = pa.array(np.cumsum([0, *map(len, told)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part["batch"].combine_chunks(), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(told)))], ["batch", "keys", "totals"])
 
-    return by_groups(counted, ["shard"], work, "batch long, keys array<long>, totals array<long>")
+    return by_groups(counts, ["shard"], work, "batch long, keys binary, totals array<long>")
 
 
-def corpus_totals(counted: DataFrame) -> tuple[int, int]:
+def corpus_totals(counts: DataFrame) -> tuple[int, int]:
     """Training tokens and distinct training tokens, summed by shard."""
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, v = 0, 0
         for b, e in zip(bounds, bounds[1:]):
-            part = rows.slice(b, e - b)
-            _, totals, _ = _summed(_lists(part, "keys")[0], _lists(part, "counts")[0])
+            totals = _totals(rows.slice(b, e - b))[2]
             n, v = n + int(totals.sum()), v + int((totals > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], ["n", "v"])
 
-    row = by_groups(counted, ["shard"], work, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    row = by_groups(counts, ["shard"], work, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return row[0] or 0, row[1] or 0
 
 
@@ -188,61 +234,72 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     batched = own.withColumn("batch", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id"), F.lit(split)))
     n_train, n_distinct = corpus_totals(_count_rows(batched, shards, (1,)))
     kind = own.schema["doc_id"].dataType.simpleString()
-    answers = _answers(_count_rows(batched, shards, (1, 2))).select("batch", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("training"), "keys", "totals")
-    asked = batched.select("batch", "doc_id", "text", "training", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<long>").alias("totals"))
+    answers = _answers(_count_rows(batched, shards, (1, 2))).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
+    asked = _packed_rows(batched).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("array<long>").alias("totals"))
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b, e in zip(bounds, bounds[1:]):
             part = rows.slice(b, e - b)
-            answered = part["keys"].is_valid()
-            told, mine = part.filter(answered), part.filter(pa.compute.invert(answered))
-            if not len(mine):
+            told = part.filter(part["keys"].is_valid())
+            mine = [pa.ipc.open_stream(x).read_all() for x in part["rows"].drop_null().to_pylist()]
+            if not mine:
                 continue
+            mine = pa.concat_tables(mine)
             marks = np.array(mine["training"].to_pylist(), dtype=bool)
-            scores = _score_batch(mine["text"].to_pylist(), marks, _lists(told, "keys")[0] if len(told) else None, _lists(told, "totals")[0] if len(told) else None, n_train, n_distinct, mu)
+            scores = _score_batch(mine["text"].to_pylist(), marks, [unpack_keys(k) for k in told["keys"].to_pylist()], _values(told, "totals"), n_train, n_distinct, mu)
             yield pa.RecordBatch.from_arrays([mine["doc_id"].combine_chunks(), pa.array(marks), *[pa.array(x) for x in scores]], ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _score_batch(texts: list[str | None], training: np.ndarray, keys: np.ndarray | None, totals: np.ndarray | None, n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:
-    tokens, starts = tokens_of(texts)
-    before = histories(tokens, starts)
-    own = np.repeat(training.astype(np.int64), np.diff(starts))
-    told = np.argsort(keys, kind="stable") if keys is not None else None
+def _packed_rows(batched: DataFrame) -> DataFrame:
+    """``batch, rows``: documents as compressed Arrow streams, which travel in less than plain rows."""
 
-    def corrected(distinct_keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if told is None or not len(told):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for rows in batches:
+            own, content = rows.column(0).to_numpy(), pa.Table.from_batches([rows.select(["doc_id", "text", "training"])])
+            found = np.unique(own)
+            packed = []
+            for batch in found:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, content.schema, options=options) as out:
+                    out.write_table(content.filter(pa.array(own == batch)).combine_chunks())
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(packed, pa.binary())], ["batch", "rows"])
+
+    return batched.select("batch", "doc_id", "text", "training").mapInArrow(work, "batch long, rows binary")
+
+
+def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.ndarray], totals: np.ndarray, n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:
+    tokens, starts = tokens_of(texts)
+    own = np.repeat(training, np.diff(starts))
+    told = np.concatenate([np.zeros(0, dtype=np.uint64), *keys])
+    keys.clear()
+    order = np.argsort(told)
+    told, totals = told[order], totals[order]
+
+    def corrected(wanted: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if not len(told):
             return counts
-        sorted_keys = keys[told]
-        at = np.minimum(np.searchsorted(sorted_keys, distinct_keys.view(np.int64)), len(sorted_keys) - 1)
-        return np.where(sorted_keys[at] == distinct_keys.view(np.int64), totals[told][at], counts)
+        at = np.minimum(np.searchsorted(told, wanted), len(told) - 1)
+        return np.where(told[at] == wanted, totals[at], counts)
 
     distinct, symbol = np.unique(tokens, return_inverse=True)
-    unigrams = corrected(unigram_keys(distinct), np.bincount(symbol, own, len(distinct)).astype(np.int64))
+    del tokens
+    size = len(distinct)
+    unigrams = corrected(unigram_keys(distinct), np.bincount(symbol[own], minlength=size).astype(np.int64))
     root = np.log10((unigrams + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
-    # a text starts where one ended before it, so the start is as frequent as the end
-    ends = np.flatnonzero(distinct == END)
-    seen_as_history = np.concatenate(([0, int(unigrams[ends[0]]) if len(ends) else 0], unigrams))
-    target = np.arange(len(distinct)) + 2
-    state = np.empty(len(tokens), dtype=np.int64)
-    state[1:] = target[symbol[:-1]]
-    state[starts[:-1]] = 1
-    codes, place = np.unique(state * len(distinct) + symbol, return_inverse=True)
-    example = np.zeros(len(codes), dtype=np.int64)
-    example[place] = np.arange(len(tokens))
-    bigrams = corrected(bigram_keys(before[example], tokens[example]), np.bincount(place, own, len(codes)).astype(np.int64))
-    arcs = bigrams > 0
-    codes, bigrams = codes[arcs], bigrams[arcs]
-    history, last = codes // len(distinct), codes % len(distinct)
-    cost = np.log10((bigrams + mu * 10 ** root[last]) / (seen_as_history[history] + mu))
-    failure = np.log10(mu / (seen_as_history + mu))
-    failure[0] = 0.0
-    if not len(codes):
-        codes, cost = np.array([-1]), np.array([0.0])
-    automaton = BackoffAutomaton(len(distinct), root, codes, cost, failure, target)
-    score = automaton.traverse(symbol, starts, 1)
-    per_text = np.repeat(np.arange(len(texts)), np.diff(starts))
-    base = np.bincount(per_text, root[symbol], len(texts))
-    known = np.bincount(per_text, unigrams[symbol] > 0, len(texts)).astype(np.int64)
-    return [np.diff(starts).astype(np.int64), known, np.full(len(texts), n_train, dtype=np.int64), base, score]
+    # each text has one start and one end, so the start is a history as often as the end is a token
+    held = np.concatenate(([0], unigrams[distinct == END], unigrams))
+    codes, place = np.unique(states_along(symbol, starts) * size + symbol, return_inverse=True)
+    name = np.concatenate((np.array([0, START], dtype=np.uint64), distinct))
+    bigrams = corrected(bigram_keys(name[codes // size], distinct[codes % size]), np.bincount(place[own], minlength=len(codes)).astype(np.int64))
+    known = bigrams > 0
+    arcs, history = codes[known], codes[known] // size
+    failure = np.log10(mu / (held + mu))
+    automaton = BackoffAutomaton(root, arcs, np.log10((bigrams[known] + mu * 10 ** root[arcs % size]) / (held[history] + mu)), failure)
+    score = np.add.reduceat(automaton.cost(codes)[place], starts[:-1])
+    base = np.add.reduceat(root[symbol], starts[:-1])
+    seen = np.add.reduceat((unigrams > 0)[symbol].astype(np.int64), starts[:-1])
+    return [np.diff(starts).astype(np.int64), seen, np.full(len(texts), n_train, dtype=np.int64), base, score]
