@@ -26,45 +26,37 @@ CAPACITY = 2048
 RANK_GROUP = 5_000
 
 
-def _triples(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Available single, pair and triple length sums that fill ``gap`` exactly, longest part first."""
+def _singles(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
     if free[gap] > 0:
         yield (gap,)
-    lengths = np.flatnonzero(free[: gap + 1])[::-1].tolist()
-    for a in lengths:
-        b = gap - a
-        if 0 < b <= a and free[b] > (a == b):
-            yield (a, b)
-    for a in lengths:
-        rest = gap - a
-        if rest < 2 or 3 * a < gap:
-            continue
-        second = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-        second = second[(free[second] > 0) & (free[rest - second] > 0)]
-        for b in second.tolist():
-            c = rest - b
-            if free[a] > (a == b) + (a == c) and free[b] > (b == c):
+
+
+def _pairs(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """Available length pairs that sum to ``gap``, the longest first."""
+    lengths = np.arange(gap - 1, (gap - 1) // 2, -1)
+    for a in lengths[(free[lengths] > 0) & (free[gap - lengths] > 0)].tolist():
+        if a != gap - a or free[a] > 1:
+            yield (a, gap - a)
+
+
+def _triples(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """Available length triples that sum to ``gap``, the longest first."""
+    for a in (np.flatnonzero(free[: gap - 1]))[::-1].tolist():
+        if 3 * a < gap:
+            break
+        for b, c in _pairs(gap - a, free):
+            if b <= a and free[a] > (a == b) + (a == c) and free[b] > (a == b) + (b == c):
                 yield (a, b, c)
                 break
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """``(times, lengths)``: ``times`` sequences of these lengths each, using up ``counts``.
-
-    Longest first, each length's gap is filled by exact complements while they last; what is left
-    goes best-fit, longest first, into the fullest sequence that still has room.
-    """
-    free = np.zeros(capacity + 1, dtype=np.int64)
-    for n, c in counts.items():
-        free[n] = c
-    out: list[tuple[int, tuple[int, ...]]] = []
-    if free[capacity]:
-        out.append((int(free[capacity]), (capacity,)))
-        free[capacity] = 0
+def _fill(free: np.ndarray, kinds: list, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Use up ``free`` by sequences that the longest piece and an exact complement of its gap fill."""
+    out = []
     for first in range(capacity - 1, 0, -1):
         while free[first] > 0:
             free[first] -= 1
-            found = next((x for x in _triples(capacity - first, free) if max(x) <= first), None)
+            found = next((x for kind in kinds for x in kind(capacity - first, free) if max(x) <= first), None)
             free[first] += 1
             if found is None:
                 break
@@ -75,6 +67,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
             out.append((times, (first, *found)))
             for n, k in own.items():
                 free[n] -= times * k
+    return out
+
+
+def _best_fit(free: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """What is left, longest first, each into the fullest sequence that still has room."""
     bins: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for n in range(capacity, 0, -1):
         left = int(free[n])
@@ -93,7 +90,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
             if times > use:
                 bins[room].append((times - use, held))
             left -= use * each
-    return out + [x for own in bins.values() for x in own]
+    return [x for own in bins.values() for x in own]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
+    """``(times, lengths)``: ``times`` sequences of these lengths each, using up ``counts``.
+
+    Gaps are filled by exact complements while they last: by one, two and three pieces for each
+    length in turn, or first by one piece for all lengths, then by two, then by three; then the rest
+    goes best-fit.  The order that needs fewer sequences is taken.
+    """
+    made = []
+    for orders in ([[_singles, _pairs, _triples]], [[_singles], [_pairs], [_triples]], [[_singles], [_pairs]], [[_singles]]):
+        free = np.zeros(capacity + 1, dtype=np.int64)
+        for n, c in counts.items():
+            free[n] = c
+        out = [(int(free[capacity]), (capacity,))] if free[capacity] else []
+        free[capacity] = 0
+        for kinds in orders:
+            out += _fill(free, kinds, capacity)
+        made.append(out + _best_fit(free, capacity))
+    return min(made, key=lambda m: sum(times for times, _ in m))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
