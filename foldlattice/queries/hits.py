@@ -48,9 +48,10 @@ def cell_grid(spark, sf_dir):
     return hits(spark, sf_dir).groupBy("sk", "ty").agg(F.countDistinct("fold").alias("n_folds"), F.countDistinct("hgroup").alias("n_hgroups"), F.countDistinct("domain").alias("n_domains"), F.count("*").alias("n_hits"))
 
 
-@query("cell_rollup", HITS + "SELECT hgroup, sk, count(*) AS n_hits, count(DISTINCT fold) AS n_folds FROM hits GROUP BY ROLLUP (hgroup, sk)")
+@query("cell_rollup", HITS + "SELECT coalesce(CAST(hgroup AS VARCHAR), 'all') AS hgroup, coalesce(CAST(sk AS VARCHAR), 'all') AS sk, count(*) AS n_hits, count(DISTINCT fold) AS n_folds FROM hits GROUP BY ROLLUP (hgroup, sk)")
 def cell_rollup(spark, sf_dir):
-    return hits(spark, sf_dir).rollup("hgroup", "sk").agg(F.count("*").alias("n_hits"), F.countDistinct("fold").alias("n_folds"))
+    rolled = hits(spark, sf_dir).rollup("hgroup", "sk").agg(F.count("*").alias("n_hits"), F.countDistinct("fold").alias("n_folds"))
+    return rolled.select(*[F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("hgroup", "sk")], "n_hits", "n_folds")
 
 
 @query("cell_promiscuity", HITS + "SELECT sk, ty, count(DISTINCT fold) AS n_folds, count(DISTINCT fold) = 1 AS unitypical FROM hits WHERE value > 250000 GROUP BY sk, ty")
