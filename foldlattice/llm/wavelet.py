@@ -41,15 +41,18 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         out = cls(len(ids), [], [], [])
         for level in range(width - 1, -1, -1):
-            bits = (ids >> level & 1).astype(bool)
+            bits = (ids & ids.dtype.type(1 << level)) != 0
             plane = np.packbits(bits)
             blocks = np.pad(plane, (0, -len(plane) % (BLOCK // 8))).reshape(-1, BLOCK // 8)
             ones = np.bitwise_count(blocks).sum(axis=1, dtype=np.uint32)
-            low = ids[~bits]
-            out.zeros.append(len(low))
+            zeros = len(ids) - int(np.count_nonzero(bits))
+            parted = np.empty_like(ids)
+            np.compress(~bits, ids, out=parted[:zeros])
+            np.compress(bits, ids, out=parted[zeros:])
+            out.zeros.append(zeros)
             out.planes.append(plane)
             out.ranks.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype(np.uint32) if len(ones) else ones)
-            ids = np.concatenate((low, ids[bits]))
+            ids = parted
         return out
 
     def _bit(self, level: int, i: int) -> int:
