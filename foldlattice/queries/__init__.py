@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlattice.queries import enumeration, hits, motifs, statistics, texts
+from foldlattice.queries import building, enumeration, hits, motifs, statistics, texts
 
-GROUPS = (motifs, enumeration, hits, statistics, texts)
+GROUPS = (motifs, building, enumeration, hits, statistics, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
