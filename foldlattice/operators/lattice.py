@@ -159,3 +159,21 @@ def typed_motifs(spark: SparkSession, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["points", "ty", "types", "codes"])
 
     return skeletons(spark, n).crossJoin(typings(spark, n)).mapInArrow(work, "points string, ty int, types string, codes string")
+
+
+def handedness_classes(found: DataFrame) -> DataFrame:
+    """``signature, points, members``: one skeleton for each handedness signature.
+
+    The one of least pairwise distance sum stays, then of fewest rows, then of least points.  Signatures
+    are taken with the first point at the origin, so that they don't depend on how a skeleton was found.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [points_of(p) for p in batch.column(0).to_pylist()]
+            flat = [[(q + r / 2, r * math.sqrt(3) / 2) for q, r in p] for p in own]
+            spread = [round(sum(math.dist(a, b) for a, b in combinations(p, 2)), 6) for p in flat]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(map(str, handedness(p))) for p in own]), pa.array(spread), pa.array([len({r for _, r in p}) for p in own])], ["points", "signature", "spread", "layers"])
+
+    marked = found.select("points").mapInArrow(work, "points string, signature string, spread double, layers long")
+    return marked.groupBy("signature").agg(F.min_by("points", F.struct("spread", "layers", "points")).alias("points"), F.count("*").alias("members"))

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldlattice.operators.lattice import skeletons, typed_motifs
+from foldlattice import fixtures as X
+from foldlattice.operators.lattice import handedness_classes, skeletons, typed_motifs
+from foldlattice.operators.search import search, sweep
+from foldlattice.plans.extension import contacts_only, extended
+from foldlattice.plans.motif import motif_sql
+from foldlattice.queries.motifs import MOTIFS, TOPO
 
 QUERIES, SQL = {}, {}
 
@@ -36,3 +41,22 @@ def typed_query_counts(spark, sf_dir):
 @query("query_corpus_k3")
 def query_corpus_k3(spark, sf_dir):
     return typed_motifs(spark, 3)
+
+
+@query("handedness_classes")
+def handedness_class_query(spark, sf_dir):
+    return handedness_classes(skeletons(spark, 4))
+
+
+_EXTENDED = extended(MOTIFS["t2"])
+
+
+@query("motif_extensions", TOPO + " UNION ALL ".join(f"SELECT query_id, record_id, positions FROM ({motif_sql(m, 'el2', 'ct2')})" for m in _EXTENDED))
+def motif_extensions(spark, sf_dir):
+    """All one-element extensions of a two-strand motif in one sweep."""
+    return sweep(X.topological(spark, sf_dir), _EXTENDED)
+
+
+@query("motif_contacts_only", TOPO + motif_sql(contacts_only(MOTIFS["t3"]), "el2", "ct2"))
+def motif_contacts_only(spark, sf_dir):
+    return search(X.topological(spark, sf_dir), contacts_only(MOTIFS["t3"]))

@@ -124,3 +124,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 6
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_extensions():
+    from foldlattice.plans.extension import contacts_only, extended
+
+    made = extended(MOTIFS["t2"])
+    assert len(made) == len({write_motif(m) for m in made}) and all(m.k == 3 and parse_motif(m.motif_id, write_motif(m)) == m for m in made)
+    loose = contacts_only(MOTIFS["g3_right"])
+    assert not loose.handedness and set(loose.codes.values()) <= {"x", "X", "-", "N"}
