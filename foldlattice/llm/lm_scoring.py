@@ -115,25 +115,35 @@ def counted(parts: list[np.ndarray], flags: np.ndarray) -> tuple[np.ndarray, np.
     return both[at], np.add.reduceat(flagged, at)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the first one and differences of as few bytes as they need."""
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widened(packed: bytes, n: int, at: int = 0) -> np.ndarray:
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    if packed[at]:
+        wide[:, : packed[at]] = np.frombuffer(packed, dtype=np.uint8, offset=at + 1).reshape(n, packed[at])
+    return wide.view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as their number, the first one and narrow differences; and their narrow counts."""
     if not len(keys):
-        return b""
-    steps = np.diff(keys)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        return b"", b""
+    return np.array([len(keys), keys[0]], dtype="<u8").tobytes() + _narrow(np.diff(keys)), _narrow(counts)
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, dtype=np.uint64)
-    width, first = packed[0], np.frombuffer(packed, dtype="<u8", count=1, offset=1)
-    if not width:
-        return first.astype(np.uint64)
-    steps = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(steps), 8), dtype=np.uint8)
-    wide[:, :width] = steps
-    return np.cumsum(np.concatenate((first, wide.view("<u8").ravel())), dtype=np.uint64)
+    n, first = np.frombuffer(packed, dtype="<u8", count=2).tolist()
+    return np.cumsum(np.concatenate((np.array([first], dtype=np.uint64), _widened(packed, n - 1, 16))), dtype=np.uint64)
+
+
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    return _widened(packed, n).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
 def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> DataFrame:
@@ -150,9 +160,8 @@ def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> Dat
         shard = (distinct >> U64(24)) * U64(shards) >> U64(32)
         edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
         used = np.flatnonzero(np.diff(edges))
-        offsets = pa.array(np.append(edges[used], edges[-1]).astype(np.int32))
-        packed = pa.array([pack_keys(distinct[edges[u] : edges[u + 1]]) for u in used], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), packed, pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], ["shard", "batch", "keys", "counts"])
+        packed = [pack_keys(distinct[edges[u] : edges[u + 1]], counts[edges[u] : edges[u + 1]]) for u in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), *[pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1)]], ["shard", "batch", "keys", "counts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -170,19 +179,20 @@ def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> Dat
         for b, (t, m) in held.items():
             yield from flush(b, t, m)
 
-    return batched.select("batch", "training", "text").mapInArrow(work, "shard long, batch long, keys binary, counts array<int>")
+    return batched.select("batch", "training", "text").mapInArrow(work, "shard long, batch long, keys binary, counts binary")
 
 
-def _values(rows: pa.Table, name: str) -> np.ndarray:
-    """All values of a list column."""
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows[name].chunks]) if len(rows) else np.zeros(0, dtype=np.int64)
+def _unpacked(rows: pa.Table, counts: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys and counts of each row."""
+    keys = [unpack_keys(k) for k in rows["keys"].to_pylist()]
+    return keys, [unpack_counts(c, len(k)) for c, k in zip(rows[counts].to_pylist(), keys)]
 
 
-def _totals(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's key lists, own counts in their order, distinct keys' totals and each key's place among them."""
-    lists, counts = [unpack_keys(k) for k in part["keys"].to_pylist()], _values(part, "counts")
-    distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    return lists, counts, np.bincount(inverse, counts, len(distinct)).astype(np.int64), inverse
+def _totals(part: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """A shard's key lists, own counts, distinct keys' totals and each key's place among them."""
+    keys, counts = _unpacked(part, "counts")
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, counts, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64), inverse
 
 
 def _answers(counts: DataFrame) -> DataFrame:
@@ -191,18 +201,16 @@ def _answers(counts: DataFrame) -> DataFrame:
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b, e in zip(bounds, bounds[1:]):
             part = rows.slice(b, e - b)
-            lists, own, totals, inverse = _totals(part)
-            total, at, packed, told = totals[inverse], 0, [], []
-            for keys in lists:
-                mine, all_of = own[at : at + len(keys)], total[at : at + len(keys)]
-                at += len(keys)
-                other = mine != all_of
-                packed.append(pack_keys(keys[other]))
-                told.append(all_of[other])
-            offsets = pa.array(np.cumsum([0, *map(len, told)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part["batch"].combine_chunks(), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(told)))], ["batch", "keys", "totals"])
+            keys, own, totals, inverse = _totals(part)
+            total, at, packed = totals[inverse], 0, []
+            for mine, counted_here in zip(keys, own):
+                all_of = total[at : at + len(mine)]
+                at += len(mine)
+                other = counted_here != all_of
+                packed.append(pack_keys(mine[other], all_of[other]))
+            yield pa.RecordBatch.from_arrays([part["batch"].combine_chunks(), *[pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1)]], ["batch", "keys", "totals"])
 
-    return by_groups(counts, ["shard"], work, "batch long, keys binary, totals array<long>")
+    return by_groups(counts, ["shard"], work, "batch long, keys binary, totals binary")
 
 
 def corpus_totals(counts: DataFrame) -> tuple[int, int]:
@@ -235,7 +243,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     n_train, n_distinct = corpus_totals(_count_rows(batched, shards, (1,)))
     kind = own.schema["doc_id"].dataType.simpleString()
     answers = _answers(_count_rows(batched, shards, (1, 2))).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
-    asked = _packed_rows(batched).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("array<long>").alias("totals"))
+    asked = _packed_rows(batched).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"))
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b, e in zip(bounds, bounds[1:]):
@@ -246,7 +254,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 continue
             mine = pa.concat_tables(mine)
             marks = np.array(mine["training"].to_pylist(), dtype=bool)
-            scores = _score_batch(mine["text"].to_pylist(), marks, [unpack_keys(k) for k in told["keys"].to_pylist()], _values(told, "totals"), n_train, n_distinct, mu)
+            scores = _score_batch(mine["text"].to_pylist(), marks, *_unpacked(told, "totals"), n_train, n_distinct, mu)
             yield pa.RecordBatch.from_arrays([mine["doc_id"].combine_chunks(), pa.array(marks), *[pa.array(x) for x in scores]], ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -271,10 +279,11 @@ def _packed_rows(batched: DataFrame) -> DataFrame:
     return batched.select("batch", "doc_id", "text", "training").mapInArrow(work, "batch long, rows binary")
 
 
-def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.ndarray], totals: np.ndarray, n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:
+def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.ndarray], totals: list[np.ndarray], n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:
     tokens, starts = tokens_of(texts)
     own = np.repeat(training, np.diff(starts))
     told = np.concatenate([np.zeros(0, dtype=np.uint64), *keys])
+    totals = np.concatenate([np.zeros(0, dtype=np.int64), *totals])
     keys.clear()
     order = np.argsort(told)
     told, totals = told[order], totals[order]

@@ -20,7 +20,7 @@ from foldlattice.llm.dedup import match_threshold, near_duplicates
 from foldlattice.llm.encoding import ForcedCutBpe, forced_cut_encoder, library_encoder, round_trip
 from foldlattice.llm.language_id import fit, predict, viterbi
 from foldlattice.llm.license_scan import PHRASES, scan_licenses
-from foldlattice.llm.lm_scoring import pack_keys, score_documents, unpack_keys
+from foldlattice.llm.lm_scoring import pack_keys, score_documents, unpack_counts, unpack_keys
 from foldlattice.llm.packing import pack, plan
 from foldlattice.llm.quality_classifier import quality_classifier
 from foldlattice.llm.topk_search import top_k
@@ -229,7 +229,9 @@ def test_packed_keys():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 1000):
         keys = np.unique(rng.integers(0, 2**56, n).astype(np.uint64))
-        assert (unpack_keys(pack_keys(keys)) == keys).all()
+        counts = rng.integers(0, 10 ** int(rng.integers(1, 12)), len(keys))
+        packed = pack_keys(keys, counts)
+        assert (unpack_keys(packed[0]) == keys).all() and (unpack_counts(packed[1], len(keys)) == counts).all()
 
 
 # 5 licences
