@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from foldlattice.functions import geometry as G
 from foldlattice.functions.codes import code_matches, type_matches
-from foldlattice.functions.geometry import chirality
 from foldlattice.plans.motif import Motif
 
 
@@ -30,6 +30,20 @@ def composition(records: DataFrame) -> DataFrame:
     return records.withColumns({f"n_{t}": F.expr(f"size(filter(elements, e -> e.etype = '{t}'))") for t in "HEL"})
 
 
+def with_chirality(rows: DataFrame, a: str, b: str, c: str, name: str) -> DataFrame:
+    """``functions.geometry.chirality`` as a column, in steps small enough for generated code."""
+    axes = {f"_{v}{k}": F.expr(d) for v, e in zip("abc", (a, b, c)) for k, d in zip(G.AXES, G.direction(e))}
+    middles = {f"_m{v}{k}": F.expr(f"({e}.f{k} + {e}.l{k}) / 2e0 - ({a}.f{k} + {a}.l{k}) / 2e0") for v, e in (("b", b), ("c", c)) for k in G.AXES}
+    base, second, third, m2, m3 = ([f"_{v}{k}" for k in G.AXES] for v in ("a", "b", "c", "mb", "mc"))
+    signs = {f"_s{v}": F.expr(f"CASE WHEN {G.dot(base, own)} < 0e0 THEN -1e0 ELSE 1e0 END") for v, own in (("b", second), ("c", third))}
+    normal = {f"_n{k}": F.expr(f"{x} + _sb * {y} + _sc * {z}") for k, x, y, z in zip(G.AXES, base, second, third)}
+    turn = {f"_x{k}": F.expr(d) for k, d in zip(G.AXES, G.cross(m2, m3))}
+    sense = G.angle_of([f"_n{k}" for k in G.AXES], [f"_x{k}" for k in G.AXES])
+    out = rows.withColumns(axes | middles).withColumns(signs).withColumns(normal | turn).withColumn("_sense", F.expr(sense))
+    out = out.withColumn(name, F.expr("CASE WHEN _sense < 90e0 THEN 'R' WHEN _sense > 90.001e0 THEN 'L' ELSE '' END"))
+    return out.drop(*axes, *middles, *signs, *normal, *turn, "_sense")
+
+
 def _ready(motif: Motif, level: int) -> list[str]:
     """Conditions over picked elements e1..e<level> whose last element is bound at this level."""
     out = []
@@ -47,7 +61,6 @@ def _ready(motif: Motif, level: int) -> list[str]:
         elif r.kind in ("parallel", "antiparallel"):
             i, j = r.elements
             out.append(f"array_contains(parity, concat(p{i}, '-', p{j}, '={0 if r.kind == 'parallel' else 1}'))")
-    out += [f"{chirality(f'e{i}', f'e{j}', f'e{m}')} = '{side}'" for i, j, m, side in motif.handedness if max(i, j, m) == level]
     return out
 
 
@@ -74,6 +87,9 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
         now = now.withColumn(f"e{level}", F.expr(f"element_at(elements, p{level})"))
         for condition in _ready(motif, level):
             now = now.where(condition)
+        for i, j, m, side in motif.handedness:
+            if max(i, j, m) == level:
+                now = with_chirality(now, f"e{i}", f"e{j}", f"e{m}", "_side").where(f"_side = '{side}'").drop("_side")
     picked = [f"p{i}" for i in range(1, motif.k + 1)]
     # all matches of a record stem from one row, so this window needs one exchange of short rows
     order = W.partitionBy("record_id").orderBy(*[F.desc(p) for p in picked])
