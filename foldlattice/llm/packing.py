@@ -139,10 +139,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``: every piece and its place.
 
     A null text is empty and so is its end id alone; an empty table gives no rows.  Repeated
-    texts are packed each on their own.  Ids must be distinct and not null.
+    rows are packed each on their own, and so are rows whose id is null.
     """
     spark = docs.sparkSession
-    rows = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    # a key of its own for each piece, fixed by writing it: ids may repeat or be null
+    rows = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col).withColumn("piece_key", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` rows at most
     slots, sequence, used = [], 0, defaultdict(int)
     for times, lengths in plan(counts, capacity):
@@ -154,12 +155,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         sequence += times
     # no more slots than a small multiple of ``capacity``, whatever the number of pieces
     places = spark.createDataFrame(slots, "length long, first long, last long, sequence long, offset long")
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(sum(counts.values()) // RANK_GROUP + 1))
-    dealt = rows.select("doc_id", "piece", "length", share.alias("share"))
+    share = F.pmod(F.xxhash64("piece_key"), F.lit(sum(counts.values()) // RANK_GROUP + 1))
+    dealt = rows.select("piece_key", "length", share.alias("share"))
     group = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = group.select("length", "share", (F.sum("n").over(W.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "share").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("rank", rank).join(before, ["length", "share"]).select("doc_id", "piece", "length", (F.col("rank") + F.col("before")).alias("rank"))
+    rank = F.row_number().over(W.partitionBy("length", "share").orderBy("piece_key")) - 1
+    ranked = dealt.withColumn("rank", rank).join(before, ["length", "share"]).select("piece_key", "length", (F.col("rank") + F.col("before")).alias("rank"))
     at = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (ranked["rank"] >= places["first"]) & (ranked["rank"] < places["last"]))
-    at = at.select("doc_id", "piece", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
-    return rows.join(at, ["doc_id", "piece"])
+    at = at.select("piece_key", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return rows.join(at, "piece_key").drop("piece_key")
