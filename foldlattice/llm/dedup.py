@@ -162,9 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Linked are texts with ``100 * |A and B| >= percent * |A or B|`` over distinct word shingles;
     ``component_id`` is the smallest id reachable by links, ``class_id`` the smallest id with an
     equal set.  A text without words (or null) has no shingles and stays alone; a text of fewer
-    than ``size`` words is one shingle.  Ids must be distinct and not null.
+    than ``size`` words is one shingle.  Rows without an id are left out; rows that share an id and a
+    text are judged alike.  An empty table gives no rows.
     """
     match = match_threshold(coordinates, percent, miss)
+    docs = docs.where(F.col(id_col).isNotNull())
     marked = stored(signatures(docs, id_col, text_col, size, coordinates), "signatures")
     classes = stored(marked.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "classes")
     alone = marked.join(classes.select("doc_id"), "doc_id", "left_semi")

@@ -58,7 +58,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     Components are ``floor(scale * x)``.  Vectors that are null, empty, or hold null or non-finite
     components take no part; only vectors of equal length are compared; fewer candidates than k
-    give all of them; an empty table gives no rows.  Ids must be distinct and not null.
+    give all of them; an empty table gives no rows.  Rows without an id take no part, and rows that
+    share one count once, with the least of their vectors.
     """
     x = F.col("x")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -66,8 +67,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("asks"))
         .where(x.isNotNull() & (F.size(x) > 0))
         .where(F.coalesce(sound, F.lit(False)))
+        .where("vec_id IS NOT NULL")
         .select("vec_id", "asks", F.size(x).cast("long").alias("dims"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
     )
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "dims", "asks")).alias("one")).select("vec_id", "one.asks", "one.dims", "one.v")
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     blocks, asked = -(-max(1, sizes["n"]) // VECTOR_BLOCK), -(-max(1, sizes["q"]) // QUERY_BLOCK)
     dealt = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked))

@@ -345,3 +345,20 @@ def test_digests(spark):
     r = queries()["op10_forced_boundary_bpe"](spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_rows_without_or_with_equal_ids(spark, docs, ids_of):
+    twice = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) > 1
+    counts = {
+        "near": near_duplicates(twice).count(), "pack": pack(twice, VOCABULARY).where("piece = 0").count(), "encode": round_trip(twice, VOCABULARY).count(), "score": score_documents(twice, held).count(),
+        "licence": scan_licenses(twice).count(), "rules": QR.quality_rules(twice).count(), "language": predict(twice, fit(docs.where("doc_id < 50"))).count(),
+    }
+    assert counts == {"near": 6, "pack": 7, "encode": 7, "score": 7, "licence": 7, "rules": 7, "language": 7}
+    labels = spark.createDataFrame([(0, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    assert quality_classifier(twice.drop("kept"), labels).count() == 7
+    path = new_shard_folder(twice)
+    write_shards(twice, VOCABULARY, path)
+    assert read_documents(spark.read.parquet(path)).count() == 6
+    vectors = spark.createDataFrame([(0, [0.5, 0.1]), (0, [0.5, 0.1]), (1, [0.2, 0.9]), (None, [1.0, 1.0]), (2, None)], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in top_k(vectors, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 204 * 512 + 921 * 102)]
