@@ -44,15 +44,16 @@ def geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("sheets", F.expr(sheets)).withColumn("rows", F.expr(_geometric_rows())).select("record_id", "fold", F.lit(10).alias("n"), "elements", "rows", "sheets")
 
 
-def pair_code(a: str, b: str, i: str, j: str) -> str:
+def pair_code(a: str, b: str, i: str, j: str, bind: bool = False) -> str:
     """Code of a geometric pair; strands next to each other in one half are bonded."""
     strands = f"({a}.etype = 'E' AND {b}.etype = 'E')"
     same = f"(({i} <= 5) = ({j} <= 5))"
-    return G.interaction_code(G.overlap(a, b), G.distance(a, b), G.angle(a, b), strands, f"({strands} AND {same} AND {j} = {i} + 1)", same)
+    measures = {"gap": G.distance(a, b), "turn": G.angle(a, b)}
+    return G.let(measures, lambda m: G.interaction_code(G.overlap(a, b, bind), m["gap"], m["turn"], strands, f"({strands} AND {same} AND {j} = {i} + 1)", same), bind, "q")
 
 
 def _geometric_rows() -> str:
-    return f"transform(elements, (a, i) -> concat('*', array_join(transform(slice(elements, i + 2, 10), (b, j) -> {pair_code('a', 'b', '(i + 1)', '(i + j + 2)')}), '')))"
+    return f"transform(elements, (a, i) -> concat('*', array_join(transform(slice(elements, i + 2, 10), (b, j) -> {pair_code('a', 'b', '(i + 1)', '(i + j + 2)', bind=True)}), '')))"
 
 
 def elements_of(records: DataFrame) -> DataFrame:

@@ -40,27 +40,44 @@ def length(a: str) -> str:
     return norm(direction(a))
 
 
-def _overlap_along(a: str, b: str, ends: tuple[str, str]) -> str:
+def let(values: dict[str, str], body, bind: bool, name: str) -> str:
+    """``body`` over named expressions: written out, or bound once by a one-element transform.
+
+    Binding is for places where expressions are interpreted, such as lambdas; ``body`` gets a dict of
+    what to write for each name.
+    """
+    if not bind:
+        return body(values)
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body({k: f'{name}.{k}' for k in values})}), 1)"
+
+
+def _overlap_along(a: str, b: str, ends: tuple[str, str], bind: bool) -> str:
     """Overlap of both axes' shadows on the line between two midpoints.
 
     ``ends``: which end of b is paired with a's first and last point.
     """
-    start = [f"(({a}.f{k} + {b}.{ends[0]}{k}) / 2e0)" for k in AXES]
-    stop = [f"(({a}.l{k} + {b}.{ends[1]}{k}) / 2e0)" for k in AXES]
-    line = [f"({q} - {p})" for p, q in zip(start, stop)]
+    midpoints = {f"s{k}": f"(({a}.f{k} + {b}.{ends[0]}{k}) / 2e0)" for k in AXES} | {f"t{k}": f"(({a}.l{k} + {b}.{ends[1]}{k}) / 2e0)" for k in AXES}
+
+    def shadows(m: dict[str, str]) -> str:
+        line = {f"d{k}": f"({m[f't{k}']} - {m[f's{k}']})" for k in AXES}
+        return let(line, lambda d: let({"n": f"nullif({norm(list(d.values()))}, 0e0)"}, lambda n: on_line(m, list(d.values()), n["n"]), bind, "z"), bind, "y")
+
+    def on_line(m: dict[str, str], line: list[str], size: str) -> str:
+        places = {f"{w}{end}": f"({dot([f'({e}.{end}{k} - {m[f's{k}']})' for k in AXES], line)} / {size})" for w, e in (("a", a), ("b", b)) for end in "fl"}
+        return let(places, shared, bind, "w")
 
-    def shadow(e: str, end: str) -> str:
-        return f"({dot([f'({e}.{end}{k} - {p})' for k, p in zip(AXES, start)], line)} / nullif({norm(line)}, 0e0))"
+    def shared(t: dict[str, str]) -> str:
+        high = f"least(greatest({t['af']}, {t['al']}), greatest({t['bf']}, {t['bl']}))"
+        low = f"greatest(least({t['af']}, {t['al']}), least({t['bf']}, {t['bl']}))"
+        return f"greatest(0e0, {high} - {low})"
 
-    t = {(e, end): shadow(e, end) for e in (a, b) for end in "fl"}
-    high = f"least(greatest({t[a, 'f']}, {t[a, 'l']}), greatest({t[b, 'f']}, {t[b, 'l']}))"
-    low = f"greatest(least({t[a, 'f']}, {t[a, 'l']}), least({t[b, 'f']}, {t[b, 'l']}))"
-    return f"greatest(0e0, {high} - {low})"
+    return let(midpoints, shadows, bind, "x")
 
 
-def overlap(a: str, b: str) -> str:
+def overlap(a: str, b: str, bind: bool = False) -> str:
     """The larger overlap along the two bisecting axes of a pair."""
-    return f"greatest({_overlap_along(a, b, ('f', 'l'))}, {_overlap_along(a, b, ('l', 'f'))})"
+    return f"greatest({_overlap_along(a, b, ('f', 'l'), bind)}, {_overlap_along(a, b, ('l', 'f'), bind)})"
 
 
 def distance(a: str, b: str) -> str:
@@ -69,8 +86,8 @@ def distance(a: str, b: str) -> str:
     def points(e: str) -> list[list[str]]:
         return [[f"{e}.f{k}" for k in AXES], [f"(({e}.f{k} + {e}.l{k}) / 2e0)" for k in AXES], [f"{e}.l{k}" for k in AXES]]
 
-    gaps = [norm([f"({p} - {q})" for p, q in zip(u, v)]) for u in points(a) for v in points(b)]
-    return f"least(1000e0, {', '.join(gaps)})"
+    gaps = [[f"({p} - {q})" for p, q in zip(u, v)] for u in points(a) for v in points(b)]
+    return f"least(1000e0, sqrt(least({', '.join(dot(g, g) for g in gaps)})))"
 
 
 def interaction_code(overlap_: str, distance_: str, angle_: str, both_strands: str, bonded: str, same_sheet: str) -> str:
