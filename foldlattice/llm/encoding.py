@@ -34,7 +34,7 @@ _GLUED = re.compile(r"\s ")
 #: The byte-level pre-tokenizer's published pattern (fixed value).
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Remembered pieces a worker, and the longest piece that is remembered.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 LONGEST = 80
 #: Fragments over so many bytes are merged with a heap, the others all at once.
 LONG_FRAGMENT = 256
@@ -311,7 +311,7 @@ def texts_in(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[lis
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded``: forced-boundary encoding of each whole text and its decoding; null is empty."""
+    """``doc_id, ids, decoded``: forced-boundary encoding of each whole text and its decoding; null is empty, and ids are passed on as they are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = forced_cut_encoder(vocabulary)

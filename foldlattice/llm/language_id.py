@@ -24,7 +24,7 @@ SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Script ranges (fixed values: Unicode blocks).
 SCRIPTS = (
