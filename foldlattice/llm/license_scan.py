@@ -1,10 +1,11 @@
 """Licence scan by a positional index of rare template words.
 
-Template words are ranked by their inverse document frequency over all scanned documents.  Each
-text is met with its rarest template words: a posting (template, place) of the word and a place in
-the text vote for the place where the template would begin.  Places with enough votes are
-compared word by word, and a template is reported where enough of its words stand at their
-relative places and one of its mandatory key phrases stands within it.
+Template words are weighed by their inverse document frequency over all scanned documents.  Each
+template is indexed by its rarest words, just so many that it can't reach its share without one of
+them in place: a posting (template, place) of such a word and a place in the text name the place
+where the template would begin.  All such places are compared word by word, and a template is
+reported where enough of its words stand at their relative places and one of its mandatory key
+phrases stands within it.  So no template is missed, however many stand in a text.
 """
 
 from __future__ import annotations
@@ -37,8 +38,7 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
 )
-#: Rarest template words of a text that are looked up, and the share of a template's words that must stand in place.
-RAREST = 8
+#: The share of a template's words, by weight, that must stand in place.
 SHARE = 0.75
 
 #: Words are runs of 0-9, a-z, A-Z and all beyond ASCII; A-Z are lower-cased.
@@ -71,31 +71,29 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[
 
 
 class Index:
-    """Postings (template, place) of template words with their weights."""
+    """Postings (template, place) of each template's rarest words, and all words' weights."""
 
     def __init__(self, frequencies: dict[bytes, int], n_docs: int):
         self.idf = {w: math.log((1 + n_docs) / (1 + n)) + 1 for w, n in frequencies.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(TEMPLATE_WORDS):
-            for place, w in enumerate(words):
-                self.postings[w].append((t, place))
         self.total = [sum(self.idf[w] for w in words) for _, words, _ in TEMPLATE_WORDS]
+        for t, (_, words, _) in enumerate(TEMPLATE_WORDS):
+            held = 0.0
+            for place in sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], words[k])):
+                if held > (1 - SHARE) * self.total[t] * (1 + 1e-9):
+                    break  # without one of the places so far, less than SHARE is left
+                held += self.idf[words[place]]
+                self.postings[words[place]].append((t, place))
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """``(label, first word, last word, score)`` of each template found in a text."""
-        own = VOCABULARY.intersection(words)
-        if len(own) < 2:
+        rare = self.postings.keys() & set(words)
+        if not rare:
             return []
-        rare = set(sorted(own, key=lambda w: (-self.idf[w], w))[:RAREST])
-        votes: Counter[tuple[int, int]] = Counter()
-        for at, w in enumerate(words):
-            if w in rare:
-                votes.update((t, at - place) for t, place in self.postings[w])
+        begins = {(t, at - place) for at, w in enumerate(words) if w in rare for t, place in self.postings[w]}
         out = []
-        for (t, begin), n in sorted(votes.items()):
+        for t, begin in sorted(begins):
             label, template, keys = TEMPLATE_WORDS[t]
-            if n < min(2, len(template)):
-                continue
             part = words[max(begin, 0) : begin + len(template)]
             score = sum(self.idf[w] for k, w in enumerate(template) if 0 <= begin + k < len(words) and words[begin + k] == w) / self.total[t]
             if score >= SHARE and any(_places(part, key) for key in keys):

@@ -19,7 +19,7 @@ from foldlattice.llm.common import components, training_hash
 from foldlattice.llm.dedup import match_threshold, near_duplicates
 from foldlattice.llm.encoding import ForcedCutBpe, forced_cut_encoder, library_encoder, round_trip
 from foldlattice.llm.language_id import fit, predict, viterbi
-from foldlattice.llm.license_scan import PHRASES, scan_licenses
+from foldlattice.llm.license_scan import PHRASES, SHARE, TEMPLATE_WORDS, TEMPLATES, Index, scan_licenses, words_of
 from foldlattice.llm.lm_scoring import pack_keys, score_documents, unpack_counts, unpack_keys
 from foldlattice.llm.packing import pack, plan
 from foldlattice.llm.quality_classifier import quality_classifier
@@ -251,6 +251,26 @@ def test_licences(docs, rows, empty):
     assert scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_all_notices_of_a_text(seed):
+    rng = random.Random(seed)
+    index = Index({w: rng.choice([0, 1, 40, 900]) for w in sorted({w for _, t, _ in TEMPLATE_WORDS for w in t})}, 1000)
+    notices = [t for _, t, _ in TEMPLATES]
+    for own in [notices, *(rng.sample(notices, k) for k in (1, 2, 2, 3, 6))]:
+        text = words_of(" some words between ".join(own))
+        for _ in range(rng.choice([0, 0, 5])):
+            text[rng.randrange(len(text))] = b"changed"
+        plain = []
+        for (label, t, keys), total in zip(TEMPLATE_WORDS, index.total):
+            for begin in range(-len(t) + 1, len(text)):
+                score = sum(index.idf[w] for k, w in enumerate(t) if 0 <= begin + k < len(text) and text[begin + k] == w) / total
+                part = b" ".join(text[max(begin, 0) : begin + len(t)])
+                if score >= SHARE and any(b" " + b" ".join(k) + b" " in b" " + part + b" " for k in keys):
+                    plain.append((label, max(begin, 0), min(begin + len(t), len(text)) - 1, score))
+        assert index.scan(text) == plain
+        assert b"changed" in text or {f[0] for f in plain} >= {label for label, t, _ in TEMPLATES if t in own}
+
+
 # 6 quality classifier, 7 quality rules
 
 
