@@ -286,6 +286,21 @@ def test_classifier(spark, docs, rows, empty):
     assert none.where("kept").count() == len(rows) - 3
 
 
+def test_limits_of_languages_without_their_own(spark, rows):
+    prose = [(i, t) for i, t, *_ in rows if i < 90]
+    own = [(i, t, "en") for i, t in prose[:60]] + [(100 + i, t, f"y{i}") for i, t in prose[60:68]]  # y0 to y7 have a trusted row each
+    junk = " ".join(f"q{k}zx{k * k}" for k in range(80))
+    bad = [(200 + k, junk, lang) for k, lang in enumerate([None, "xx", "en", *(f"y{i}" for i in range(60, 68))])]
+    docs = spark.createDataFrame([*own, *bad], "doc_id long, text string, lang string")
+    labels = lambda ids: spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier(docs, labels(i for i, *_ in own)).collect()}
+    assert all(r["perplexity_limit"] is not None for r in got.values())
+    assert not any(got[i]["kept"] for i, *_ in bad) and sum(got[i]["kept"] for i, *_ in own) >= 60
+    assert len({got[200 + k]["perplexity_limit"] for k in (0, 1)}) == 1
+    alone = {r["doc_id"]: r for r in quality_classifier(docs, labels([0])).collect()}  # one trusted row is all there is
+    assert all(r["perplexity_limit"] is not None for r in alone.values()) and alone[0]["kept"]
+
+
 def test_statistics(docs, rows, empty):
     got = {r["doc_id"]: r for r in QR.quality_rules(docs).collect()}
     assert len(got) == len(rows)
