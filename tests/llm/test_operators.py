@@ -22,7 +22,7 @@ from foldlattice.llm.language_id import fit, predict, viterbi
 from foldlattice.llm.license_scan import PHRASES, SHARE, TEMPLATE_WORDS, TEMPLATES, Index, scan_licenses, words_of
 from foldlattice.llm.lm_scoring import pack_keys, score_documents, unpack_counts, unpack_keys
 from foldlattice.llm.packing import pack, plan
-from foldlattice.llm.quality_classifier import quality_classifier
+from foldlattice.llm.quality_classifier import BIN, kneser_ney, quality_classifier
 from foldlattice.llm.topk_search import top_k
 from foldlattice.llm.wavelet import WaveletMatrix, new_shard_folder, read_documents, write_shards
 
@@ -301,6 +301,32 @@ def test_limits_of_languages_without_their_own(spark, rows):
     assert all(r["perplexity_limit"] is not None for r in alone.values()) and alone[0]["kept"]
 
 
+def test_limit_of_all_that_was_not_trained(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en") for i, t, *_ in rows if i < 120], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality_classifier(docs, labels, rows=10, share=0.5, slack=1.0)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    got = got.withColumn("train", (h < 2 * 10 / 120) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0)).collect()
+    held = sorted(math.ceil(math.log(r["perplexity"]) / BIN) for r in got if not r["train"])
+    limit = math.exp(held[math.ceil(0.5 * len(held)) - 1] * BIN)
+    assert len(held) > 100 and all(r["perplexity_limit"] == pytest.approx(limit) for r in got)
+
+
+def test_bigrams_seen_once(spark):
+    model = kneser_ney(spark.createDataFrame([("en", "a b a b a c d")], "lang string, text string")).where("lang = 'en'").collect()
+    low = {r["w"]: r["p"] for r in model if r["kind"] == 1}
+    weight = {r["v"]: r["p"] for r in model if r["kind"] == 0}
+    high = collections.defaultdict(dict)
+    for r in model:
+        if r["kind"] == 2:
+            high[r["v"]][r["w"]] = r["p"]
+    (unknown,) = [p for v, p in weight.items() if v is None]
+    assert sum(len(x) for x in high.values()) == 6  # ^a ab ba ac cd d$
+    assert sum(low.values()) + unknown == pytest.approx(1)
+    for v, seen in high.items():
+        assert sum(seen.values()) + weight[v] * (1 - sum(low[w] for w in seen)) == pytest.approx(1)
+
+
 def test_statistics(docs, rows, empty):
     got = {r["doc_id"]: r for r in QR.quality_rules(docs).collect()}
     assert len(got) == len(rows)
