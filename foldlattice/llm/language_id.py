@@ -94,14 +94,15 @@ class Model:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word where a change costs ``penalty``.
 
-    A constant path is best if no other language gains more than one change costs over any run of
-    words; that is seen from running sums, and only other texts are walked word by word.
+    A constant path is best if no other language gains more than half a change's cost over any run
+    of words, since m runs take m - 1 changes at least; that is seen from running sums, and only
+    other texts are walked word by word.
     """
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
     low = np.minimum(np.minimum.accumulate(np.vstack((np.zeros((1, k)), gain[:-1])), axis=0), 0)
-    if (gain - low).max() <= penalty:
+    if (gain - low).max() <= penalty / 2:
         return np.full(n, best)
     state, back = scores[0].copy(), np.zeros((n, k), dtype=np.int32)
     stay = np.arange(k)

@@ -400,6 +400,10 @@ def test_viterbi():
         assert value(viterbi(scores, penalty).tolist()) == pytest.approx(best)
 
 
+def test_viterbi_of_two_languages_without_the_third():
+    assert viterbi(np.array([[0.0, 5, -6], [0, -6, 5]]), 6.0).tolist() == [1, 2]
+
+
 def test_digests(spark):
     from foldlattice.llm.registry import queries
 
