@@ -9,7 +9,8 @@ counts in two steps so that a length held by a third of all pieces is no single
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,55 +27,84 @@ CAPACITY = 2048
 RANK_GROUP = 5_000
 
 
-def _singles(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
-    if free[gap] > 0:
-        yield (gap,)
-
-
-def _pairs(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Available length pairs that sum to ``gap``, the longest first."""
-    lengths = np.arange(gap - 1, (gap - 1) // 2, -1)
-    for a in lengths[(free[lengths] > 0) & (free[gap - lengths] > 0)].tolist():
-        if a != gap - a or free[a] > 1:
-            yield (a, gap - a)
-
-
-def _triples(gap: int, free: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Available length triples that sum to ``gap``, the longest first."""
-    for a in (np.flatnonzero(free[: gap - 1]))[::-1].tolist():
-        if 3 * a < gap:
-            break
-        for b, c in _pairs(gap - a, free):
-            if b <= a and free[a] > (a == b) + (a == c) and free[b] > (a == b) + (b == c):
-                yield (a, b, c)
-                break
+class SumIndex:
+    """Lengths by the sums of one, two and three of them.
 
+    ``free[n]`` counts the pieces of length n and only falls, so a pair that is used up leaves the
+    index for good: ``next`` leads from each pair to the next one that may still be there.
+    """
 
-def _fill(free: np.ndarray, kinds: list, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    def __init__(self, free: list[int]):
+        self.free = free
+        lengths = np.flatnonzero(np.array(free))
+        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        held = (a >= b) & (a + b < len(free))
+        a, b = a[held], b[held]
+        order = np.lexsort((-a, a + b))  # by sum, the longest first
+        self.first = a[order].tolist()
+        self.begin = np.searchsorted((a + b)[order], np.arange(len(free) + 1)).tolist()
+        self.next = list(range(len(self.first) + 1))
+        self.lengths = lengths[::-1].tolist()
+        self.third = [0] * len(free)
+
+    def _live(self, i: int) -> int:
+        while self.next[i] != i:
+            self.next[i] = self.next[self.next[i]]
+            i = self.next[i]
+        return i
+
+    def _pairs(self, gap: int, most: int) -> Iterator[tuple[int, int]]:
+        """Pairs with this sum that are there, their longer length at most ``most``."""
+        end = self.begin[gap + 1]
+        i = self._live(bisect_left(self.first, -most, self.begin[gap], end, key=lambda a: -a))
+        while i < end:
+            a = self.first[i]
+            if self.free[a] > (2 * a == gap) and self.free[gap - a] > 0:
+                yield a, gap - a
+            else:
+                self.next[i] = i + 1
+            i = self._live(i + 1)
+
+    def singles(self, gap: int, most: int) -> tuple[int, ...] | None:
+        return (gap,) if gap <= most and self.free[gap] > 0 else None
+
+    def pairs(self, gap: int, most: int) -> tuple[int, ...] | None:
+        return next(self._pairs(gap, most), None)
+
+    def triples(self, gap: int, most: int) -> tuple[int, ...] | None:
+        """The longest length and a pair no longer than it; a length that no pair completes isn't tried for this sum again."""
+        while (k := self.third[gap]) < len(self.lengths) and 3 * (a := self.lengths[k]) >= gap:
+            if a <= most and a < gap - 1 and self.free[a] > 0:
+                for b, c in self._pairs(gap - a, a):
+                    if self.free[a] > (a == b) + (a == c) and self.free[b] > (a == b) + (b == c):
+                        return a, b, c
+            self.third[gap] += 1
+        return None
+
+
+def _fill(free: list[int], kinds: list[str], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Use up ``free`` by sequences that the longest piece and an exact complement of its gap fill."""
-    out = []
+    out, index = [], SumIndex(free)
     for first in range(capacity - 1, 0, -1):
         while free[first] > 0:
             free[first] -= 1
-            found = next((x for kind in kinds for x in kind(capacity - first, free) if max(x) <= first), None)
+            found = next((x for kind in kinds if (x := getattr(index, kind)(capacity - first, first))), None)
             free[first] += 1
             if found is None:
                 break
-            own = defaultdict(int)
-            for n in (first, *found):
-                own[n] += 1
-            times = min(int(free[n]) // k for n, k in own.items())
+            own = Counter((first, *found))
+            times = min(free[n] // k for n, k in own.items())
             out.append((times, (first, *found)))
             for n, k in own.items():
                 free[n] -= times * k
     return out
 
 
-def _best_fit(free: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def _best_fit(free: list[int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """What is left, longest first, each into the fullest sequence that still has room."""
     bins: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for n in range(capacity, 0, -1):
-        left = int(free[n])
+        left = free[n]
         while left:
             room = next((r for r in range(n, capacity) if bins.get(r)), None)
             if room is None:
@@ -101,11 +131,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
     goes best-fit.  The order that needs fewer sequences is taken.
     """
     made = []
-    for orders in ([[_singles, _pairs, _triples]], [[_singles], [_pairs], [_triples]], [[_singles], [_pairs]], [[_singles]]):
-        free = np.zeros(capacity + 1, dtype=np.int64)
-        for n, c in counts.items():
-            free[n] = c
-        out = [(int(free[capacity]), (capacity,))] if free[capacity] else []
+    for orders in ([["singles", "pairs", "triples"]], [["singles"], ["pairs"], ["triples"]], [["singles"], ["pairs"]], [["singles"]]):
+        free = [counts.get(n, 0) for n in range(capacity + 1)]
+        out = [(free[capacity], (capacity,))] if free[capacity] else []
         free[capacity] = 0
         for kinds in orders:
             out += _fill(free, kinds, capacity)
