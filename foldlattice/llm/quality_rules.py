@@ -31,8 +31,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id``, ``extra`` and the counts of every whole text.
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines`` (lines with a word), ``n_dup_lines`` and
-    ``n_repeat_words``.  A null text has no words.  Three-word windows are compared by 64-bit hashes;
-    where a document has repeats they keep 64 bits less those that number its words.
+    ``n_repeat_words``.  A null text has no words.  A text's three-word windows are compared by their 64-bit hashes.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in extra], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blank = reduce(lambda c, b: F.replace(c, F.lit(b), F.lit(" ")), BLANKS, F.col("text"))
@@ -55,20 +54,14 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, F.transform(zipped, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")).alias("seen"),
-        F.ceil(F.log2(n + 2)).cast("int").alias("bits"),
     )
-    return two.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("seen")) < F.size("seen"), _covered(F.col("seen"), F.col("bits"))).otherwise(F.lit(0)).cast("long")).drop("seen", "bits")
+    return two.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("seen")) < F.size("seen"), _covered(F.col("seen"))).otherwise(F.lit(0)).cast("long")).drop("seen")
 
 
-def _covered(seen: Column, bits: Column) -> Column:
+def _covered(seen: Column) -> Column:
     """Words within windows whose hash occurs again: sort (hash, place) and compare neighbours."""
-    place = (F.lit(1).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), bits)) - 1
-    packed = F.sort_array(F.transform(seen, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))
-    same = F.zip_with(
-        F.slice(packed, F.lit(1), F.size(seen) - 1),
-        F.slice(packed, F.lit(2), F.size(seen) - 1),
-        lambda a, b: F.when(F.call_function("shiftrightunsigned", a, bits) == F.call_function("shiftrightunsigned", b, bits), F.array(a.bitwiseAND(place), b.bitwiseAND(place))),
-    )
+    ranked = F.array_sort(F.transform(seen, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = F.zip_with(F.slice(ranked, F.lit(1), F.size(seen) - 1), F.slice(ranked, F.lit(2), F.size(seen) - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     places = F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))
     return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
 
@@ -118,28 +111,34 @@ def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
     return out.select("grp", *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def robust_fit(rows: DataFrame, share: float, steps: int) -> DataFrame:
+def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -> DataFrame:
     """``grp``, centre and Cholesky factor of each group's minimum-covariance-determinant estimate.
 
-    Starts from medians and median deviations, then takes ``steps`` concentration steps.
+    Starts from medians and median deviations and takes concentration steps until no centre or factor
+    of any group moves by more than ``still`` of its floor, ``steps`` at most.  A group's figures are one
+    row, written before they are joined, so that Spark joins by their known size.
     """
     p = len(FEATURES)
     factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    centre = _quantile(rows, {f"c{i}": F.col(f) for i, f in enumerate(FEATURES)}, 0.5, BIN)
+    centre = stored(_quantile(rows, {f"c{i}": F.col(f) for i, f in enumerate(FEATURES)}, 0.5, BIN), "centre")
     off = rows.join(centre, "grp")
     spread = _quantile(off, {f"m{i}": F.abs(F.col(f) - F.col(f"c{i}")) for i, f in enumerate(FEATURES)}, 0.5, BIN)
-    fit = centre.join(spread, "grp").select("grp", *[f"c{i}" for i in range(p)], *[(F.sqrt(F.pow(F.col(f"m{i}") * 1.4826, F.lit(2)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
+    figures = {f"c{i}": i for i in range(p)} | {f"l{i}{j}": i for i in range(p) for j in range(i + 1)}
+    fit = stored(centre.join(spread, "grp").select("grp", *[f"c{i}" for i in range(p)], *[(F.sqrt(F.pow(F.col(f"m{i}") * 1.4826, F.lit(2)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]), "fit")
     for _ in range(steps):
-        fit = stored(fit, "fit")
         far = _distance(rows, fit).withColumn("log_d2", F.log(F.col("d2") + 1e-9))
-        cut = _quantile(far, {"cut": F.col("log_d2")}, share, BIN)
+        cut = stored(_quantile(far, {"cut": F.col("log_d2")}, share, BIN), "cut")
         near = far.join(cut, "grp").where(F.col("log_d2") <= F.col("cut"))
         sums = {f"s{i}": F.sum(f) for i, f in enumerate(FEATURES)} | {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)}
-        fit = _cholesky(near.groupBy("grp").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()]), factor)
+        after = stored(_cholesky(near.groupBy("grp").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()]), factor), "fit")
+        moved = fit.alias("a").join(after.alias("b"), "grp").agg(F.max(F.greatest(*[F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) / FLOORS[i] for k, i in figures.items()]))).first()[0]
+        fit = after
+        if moved is None or moved <= still:
+            break
     return fit
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 3, tail: float = 1e-6, least: int = 40) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 12, tail: float = 1e-6, least: int = 40) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2`` of every row.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated three-word windows.
@@ -159,7 +158,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sqrt(F.col("n_repeat_words") / n).alias("repeats"),
     )
     stats = stored(stats.withColumn("pair", F.xxhash64(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("source", F.lit("")))), "statistics")
-    sizes = stats.where("not base_failed").groupBy("pair").agg(F.count("*").alias("fitted")).where(F.col("fitted") >= least)
+    sizes = stored(stats.where("not base_failed").groupBy("pair").agg(F.count("*").alias("fitted")).where(F.col("fitted") >= least), "sizes")
     rows = stats.join(sizes, "pair", "left").withColumn("grp", F.when(F.col("fitted").isNotNull(), F.col("pair")).otherwise(F.lit(0).cast("long"))).select("grp", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES)
     rows = stored(rows, "grouped")
     fit = robust_fit(rows.where("not base_failed").select("grp", *FEATURES), share, steps)
