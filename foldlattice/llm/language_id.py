@@ -8,6 +8,7 @@ path where each change of language costs ``penalty``, and the language of most l
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from foldlattice.llm.textblocks import slices
 
-#: Rows a language that the model is fitted on, and characters of a row that count as one row.
+#: Rows a language that the model is fitted on, in expectation, and words that are counted at a time.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 20_000
+RUN = 50_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 6.0
@@ -119,9 +120,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> Model:
-    """The model of at most ``rows`` rows a language, chosen by the hash of their ids.
+    """The model of ``rows`` whole rows a language at most, in expectation, chosen by the hash of their ids.
 
-    The n-gram counts are summed by Spark; the driver gets no more than ``BUCKETS`` counts a language.
+    Repeated rows count each time; rows without a text or a language teach nothing.  The n-gram counts are
+    summed by Spark; the driver gets no more than ``BUCKETS`` counts a language.
     """
     own = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
     share = own.groupBy("lang").agg(F.count("*").alias("n"))
@@ -138,10 +140,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 words = WORD.findall(text)
-                scale = max(1, len(text) // SAMPLE_CHARS)  # a very long row weighs no more than its share
-                if words:
-                    own += np.bincount(grams(words[::scale])[0], minlength=BUCKETS)
-                seen.update((lang, script(w)) for w in words[::scale])
+                for at in range(0, len(words), RUN):
+                    own += np.bincount(grams(words[at : at + RUN])[0], minlength=BUCKETS)
+                seen.update((lang, script(w)) for w in words)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at]), pa.array([None] * len(at), pa.string())], ["lang", "bucket", "n", "script"])
@@ -164,22 +165,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
 def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred, score, spans``: label, its share of the letters, and (language, first word, words) spans.
 
-    ``und`` with score 0 and no spans if a text is null or has no letters, or nothing was learned.
+    ``und`` with score 0 and no spans if a text is null or has no letters, or nothing was learned.  Of
+    languages with equally many letters the first by name is taken; repeated rows are labelled alike.
     """
     sc = docs.sparkSession.sparkContext
+    key = uuid.uuid4().hex  # a reused worker keeps the model of one call
     shared = sc.broadcast((model.languages, model.table.astype(np.float32), model.scripts))  # BUCKETS rows, whatever the input
     own = docs.select(*keep, F.col(text_col).alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
         m = _LOADED.get(key)
         if m is None:
             _LOADED.clear()
             m = _LOADED[key] = Model(*shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in slices([len(t or "") for t in texts], 4_000_000):
+            for part in slices([len(t or "") for t in texts]):
                 found, score, spans = [], [], []
                 all_words = [WORD.findall(text) if text else [] for text in texts[part]]
                 flat = m.word_scores([w for words in all_words for w in words]) if m.languages and any(all_words) else None
@@ -201,4 +203,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
     return own.mapInArrow(work, f"{schema}, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long>>")
 
 
-_LOADED: dict[object, Model] = {}
+_LOADED: dict[str, Model] = {}
