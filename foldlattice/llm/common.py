@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or one made here where it is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; a local session may leave it unset and gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -61,9 +63,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
     """Deal rows out by integer ``keys`` and hand ``work`` runs of whole groups.
 
+    ``parts`` is the number of tasks where the caller knows how many groups of bounded size there are.
+
     ``work(rows, bounds)`` gets rows sorted by the keys; group i is ``bounds[i]:bounds[i + 1]``.
     Many small groups cost one call.  The caller sees to it that one group stays small.
     """
@@ -86,4 +90,5 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
         if open_rows is not None and len(open_rows):
             yield from work(open_rows, np.array([0, len(open_rows)]))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)

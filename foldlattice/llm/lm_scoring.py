@@ -4,8 +4,8 @@ Counts stay sharded.  Documents are scored in batches; a batch's distinct n-gram
 of its own training rows, go to shards by key, are summed there, and each batch gets back the
 totals that differ from its own counts.  With them it builds the automaton of its own n-grams:
 a state for each history, an arc for each known continuation, a failure arc to the root that costs
-the history's backoff weight.  One traversal of the batch's texts, from left to right, carries the
-states and adds up log-probabilities.
+the history's backoff weight.  One traversal of the batch's texts, from left to right and all in
+step, carries a state for each text, follows failure arcs and adds up log-probabilities.
 
 The smoothed probability of w after v is ``(c(vw) + mu * p(w)) / (c(v) + mu)`` with the add-0.1
 unigram probability ``p``; its failure weight is therefore ``mu / (c(v) + mu)``.
@@ -71,33 +71,63 @@ def bigram_keys(history: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BackoffAutomaton:
-    """States 0 (root) and one a history; ``arcs`` are sorted ``state * symbols + symbol``.
+    """A weighted automaton: state 0 is the root, which has an arc for every symbol.
 
-    A known arc costs its smoothed log-probability, any other symbol the state's failure weight and
-    then the root's arc.  Both lead to the symbol's own state.
+    ``arcs`` are sorted ``state * symbols + symbol`` with a cost and a target; a state without an arc
+    for a symbol pays ``failure`` and hands the symbol on to the shorter history ``shorter``.
     """
 
-    root: np.ndarray
+    symbols: int
     arcs: np.ndarray
-    arc_cost: np.ndarray
+    cost: np.ndarray
+    target: np.ndarray
     failure: np.ndarray
-
-    def cost(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 cost of reading a symbol in a state, by failure where there is no arc."""
-        state, symbol = codes // len(self.root), codes % len(self.root)
-        out = self.failure[state] + self.root[symbol]
-        if len(self.arcs):
-            at = np.minimum(np.searchsorted(self.arcs, codes), len(self.arcs) - 1)
-            out = np.where(self.arcs[at] == codes, self.arc_cost[at], out)
+    shorter: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of reading a symbol in each state, by failure arcs where need be, and the states reached."""
+        paid, state, waiting = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(waiting):
+            code = state[waiting] * self.symbols + symbol[waiting]
+            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+            found = self.arcs[at] == code
+            read, at = waiting[found], at[found]
+            paid[read] += self.cost[at]
+            state[read] = self.target[at]
+            waiting = waiting[~found]
+            paid[waiting] += self.failure[state[waiting]]
+            state[waiting] = self.shorter[state[waiting]]
+        return paid, state
+
+    def walk(self, symbols: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+        """Summed costs of all texts, each read once from left to right from state ``begin``, all texts in step."""
+        length = np.diff(starts)
+        order = np.argsort(-length, kind="stable")  # so that the texts still being read are the first ones
+        first, ends = starts[:-1][order], -length[order]
+        state, total = np.full(len(order), begin, dtype=np.int64), np.zeros(len(order))
+        for k in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(ends, -k))  # texts longer than k
+            paid, state[:live] = self.step(state[:live], symbols[first[:live] + k])
+            total[:live] += paid
+        out = np.empty(len(order))
+        out[order] = total
         return out
 
 
-def states_along(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The state in which each symbol is read: 1 at a text's start, then that of the symbol before."""
-    state = np.empty(len(symbols), dtype=np.int64)
-    state[1:] = symbols[:-1] + 2
-    state[starts[:-1]] = 1
-    return state
+def backoff_automaton(root_p: np.ndarray, held: np.ndarray, history: np.ndarray, symbol: np.ndarray, counts: np.ndarray, mu: float) -> BackoffAutomaton:
+    """The automaton of symbols 0 to n-1 with probabilities ``root_p`` and of known bigrams with their ``counts``.
+
+    States: 0 the root, 1 the start of a text, k + 2 symbol k as history; ``held[state]`` is how often a
+    history was seen.  A bigram that was not seen has no arc.
+    """
+    n = len(root_p)
+    every = np.arange(n)
+    known = counts > 0
+    history, symbol, counts = history[known], symbol[known], counts[known]
+    arcs = np.concatenate((every, history * n + symbol))
+    cost = np.log10(np.concatenate((root_p, (counts + mu * root_p[symbol]) / (held[history] + mu))))
+    order = np.argsort(arcs, kind="stable")
+    return BackoffAutomaton(n, arcs[order], cost[order], np.concatenate((every, symbol))[order] + 2, np.log10(mu / (held + mu)), np.zeros(n + 2, dtype=np.int64))
 
 
 def counted(parts: list[np.ndarray], flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +225,7 @@ def _totals(part: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
     return keys, counts, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64), inverse
 
 
-def _answers(counts: DataFrame) -> DataFrame:
+def _answers(counts: DataFrame, shards: int) -> DataFrame:
     """``batch, keys, totals``: corpus totals that differ from the batch's own counts."""
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -210,10 +240,10 @@ def _answers(counts: DataFrame) -> DataFrame:
                 packed.append(pack_keys(mine[other], all_of[other]))
             yield pa.RecordBatch.from_arrays([part["batch"].combine_chunks(), *[pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1)]], ["batch", "keys", "totals"])
 
-    return by_groups(counts, ["shard"], work, "batch long, keys binary, totals binary")
+    return by_groups(counts, ["shard"], work, "batch long, keys binary, totals binary", shards)
 
 
-def corpus_totals(counts: DataFrame) -> tuple[int, int]:
+def corpus_totals(counts: DataFrame, shards: int) -> tuple[int, int]:
     """Training tokens and distinct training tokens, summed by shard."""
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -223,7 +253,7 @@ def corpus_totals(counts: DataFrame) -> tuple[int, int]:
             n, v = n + int(totals.sum()), v + int((totals > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], ["n", "v"])
 
-    row = by_groups(counts, ["shard"], work, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    row = by_groups(counts, ["shard"], work, "n long, v long", shards).agg(F.sum("n"), F.sum("v")).first()
     return row[0] or 0, row[1] or 0
 
 
@@ -234,15 +264,17 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     empty table gives no rows; repeated rows count each time.  Scores are log10 probabilities.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training.cast("boolean").alias("training"))
-    chars = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
-    parts = max(1, own.rdd.getNumPartitions())
-    split = max(1, -(-chars // parts // BATCH_CHARS))
-    shards = max(1, -(-chars // SHARD_CHARS))
-    # a row's batch follows from its input partition and id, so that both reads agree on it
+    # a row an input partition
+    sizes = own.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("chars")).collect()
+    parts = {r["part"]: r["chars"] for r in sizes}
+    split = max(1, -(-max(parts.values(), default=0) // BATCH_CHARS))
+    shards = max(1, -(-sum(parts.values()) // SHARD_CHARS))
+    # a row's batch follows from its input partition and id, so all reads of one input must be planned alike, as
+    # those of a file scan are; a batch holds BATCH_CHARS on average at most in the largest partition
     batched = own.withColumn("batch", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id"), F.lit(split)))
-    n_train, n_distinct = corpus_totals(_count_rows(batched, shards, (1,)))
+    n_train, n_distinct = corpus_totals(_count_rows(batched, shards, (1,)), shards)
     kind = own.schema["doc_id"].dataType.simpleString()
-    answers = _answers(_count_rows(batched, shards, (1, 2))).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
+    answers = _answers(_count_rows(batched, shards, (1, 2)), shards).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
     asked = _packed_rows(batched).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"))
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -257,7 +289,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             scores = _score_batch(mine["text"].to_pylist(), marks, *_unpacked(told, "totals"), n_train, n_distinct, mu)
             yield pa.RecordBatch.from_arrays([mine["doc_id"].combine_chunks(), pa.array(marks), *[pa.array(x) for x in scores]], ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", max(1, len(parts) * split))
 
 
 def _packed_rows(batched: DataFrame) -> DataFrame:
@@ -298,17 +330,17 @@ def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.nd
     del tokens
     size = len(distinct)
     unigrams = corrected(unigram_keys(distinct), np.bincount(symbol[own], minlength=size).astype(np.int64))
-    root = np.log10((unigrams + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
+    root = (unigrams + 0.1) / (n_train + 0.1 * (n_distinct + 1))
     # each text has one start and one end, so the start is a history as often as the end is a token
     held = np.concatenate(([0], unigrams[distinct == END], unigrams))
-    codes, place = np.unique(states_along(symbol, starts) * size + symbol, return_inverse=True)
+    before = np.empty(len(symbol), dtype=np.int64)
+    before[1:] = symbol[:-1] + 2
+    before[starts[:-1]] = 1
+    codes, place = np.unique(before * size + symbol, return_inverse=True)
     name = np.concatenate((np.array([0, START], dtype=np.uint64), distinct))
     bigrams = corrected(bigram_keys(name[codes // size], distinct[codes % size]), np.bincount(place[own], minlength=len(codes)).astype(np.int64))
-    known = bigrams > 0
-    arcs, history = codes[known], codes[known] // size
-    failure = np.log10(mu / (held + mu))
-    automaton = BackoffAutomaton(root, arcs, np.log10((bigrams[known] + mu * 10 ** root[arcs % size]) / (held[history] + mu)), failure)
-    score = np.add.reduceat(automaton.cost(codes)[place], starts[:-1])
-    base = np.add.reduceat(root[symbol], starts[:-1])
+    del before, place, told, totals
+    score = backoff_automaton(root, held, codes // size, codes % size, bigrams, mu).walk(symbol, starts, 1)
+    base = np.add.reduceat(np.log10(root)[symbol], starts[:-1])
     seen = np.add.reduceat((unigrams > 0)[symbol].astype(np.int64), starts[:-1])
     return [np.diff(starts).astype(np.int64), seen, np.full(len(texts), n_train, dtype=np.int64), base, score]
