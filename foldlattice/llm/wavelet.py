@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ BLOCK = 512
 #: Characters of text that a shard is planned for, and tokens at which a shard is closed.
 SHARD_CHARS = 8_000_000
 SHARD_TOKENS = 4_000_000
-SHARD_SCHEMA = "shard long, n_docs long, n_tokens long, doc_ids binary, lengths binary, width int, zeros array<long>, planes array<binary>, ranks array<binary>"
+#: ``shard`` is the writing task, whose ids follow those of the task before, and ``place`` counts its shards.
+SHARD_SCHEMA = "shard long, place long, n_docs long, n_tokens long, doc_ids binary, lengths binary, width int, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
 @dataclass
@@ -131,34 +133,35 @@ class WaveletMatrix:
 
 
 def open_shard(row: dict) -> WaveletMatrix:
-    """The matrix of one shard row (a file's only row)."""
+    """The matrix of one shard row."""
     return WaveletMatrix(row["n_tokens"], list(row["zeros"]), [np.frombuffer(p, dtype=np.uint8) for p in row["planes"]], [np.frombuffer(r, dtype=np.uint32) for r in row["ranks"]])
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokens: int = SHARD_TOKENS) -> None:
     """Encode whole texts, ``end_id`` behind each, and write shards in ascending id order under ``path``.
 
     Documents are dealt out by ranges of their ids, so that shard k's ids all precede shard k + 1's.
-    A null text is empty; an empty table writes no shard.  Rows without an id are left out; rows that
-    share one are each written, next to each other.
+    A shard is closed at ``tokens`` or more.  A null text is empty; an empty table writes no shard.  Rows
+    without an id are left out; rows that share one are each written, next to each other.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def shard(ids: list[int], packed: list[bytes], width: int) -> pa.RecordBatch:
+    def shard(task: int, place: int, ids: list[int], packed: list[bytes], width: int) -> pa.RecordBatch:
         tokens = np.frombuffer(b"".join(packed), dtype="<u4")
         m = WaveletMatrix.build(tokens.astype(np.uint16) if width <= 16 else tokens, width)
         one = {
-            "shard": ids[0], "n_docs": len(ids), "n_tokens": m.n, "doc_ids": np.array(ids, dtype="<i8").tobytes(), "lengths": np.array([len(p) // 4 for p in packed], dtype="<i8").tobytes(),
+            "shard": task, "place": place, "n_docs": len(ids), "n_tokens": m.n, "doc_ids": np.array(ids, dtype="<i8").tobytes(), "lengths": np.array([len(p) // 4 for p in packed], dtype="<i8").tobytes(),
             "width": width, "zeros": m.zeros, "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks],
         }
-        types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one.values(), types)], list(one))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         width = max(encoder.top_id, end_id).bit_length()
+        task, place = TaskContext.get().partitionId(), 0
         ids, packed, held = [], [], 0
         for batch in batches:
             for own_ids, texts in texts_in(batch):
@@ -166,18 +169,19 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, i
                     ids.append(i)
                     packed.append(p + end)
                     held += len(p) // 4 + 1
-                    if held >= SHARD_TOKENS:
-                        yield shard(ids, packed, width)
-                        ids, packed, held = [], [], 0
+                    if held >= tokens:
+                        yield shard(task, place, ids, packed, width)
+                        ids, packed, held, place = [], [], 0, place + 1
         if ids:
-            yield shard(ids, packed, width)
+            yield shard(task, place, ids, packed, width)
 
     n = max(1, -(-chars // SHARD_CHARS))
     own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(work, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` (little-endian 32-bit) read back from shard files."""
+def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32[, ids]`` (little-endian 32-bit) read back from shard files."""
+    kept = ["shard", "place", "doc_id", "within", "n_tokens", "ids_crc32", "ids"][: 6 + with_ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +191,13 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 for part in np.array_split(np.arange(len(ids)), len(tokens) // 8_000_000 + 1):
                     own = [tokens[4 * b : 4 * e] for b, e in zip(ends[part] - lengths[part], ends[part])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["shard"])), pa.array(ids[part]), pa.array(ends[part] - lengths[part]), pa.array(lengths[part]), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32", "ids"])
+                    cols = [pa.array(np.full(len(part), row["shard"])), pa.array(np.full(len(part), row["place"])), pa.array(ids[part]), pa.array(ends[part] - lengths[part]), pa.array(lengths[part]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(own, pa.binary())][: len(kept)], kept)
 
     # one row a shard meets here, not its tokens
-    offsets = shards.select("shard", F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    decoded = shards.mapInArrow(work, "shard long, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary")
-    return decoded.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    offsets = shards.select("shard", "place", F.coalesce(F.sum("n_tokens").over(W.orderBy("shard", "place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    decoded = shards.mapInArrow(work, f"shard long, place long, doc_id long, within long, n_tokens long, ids_crc32 long{', ids binary' * with_ids}")
+    return decoded.join(offsets, ["shard", "place"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), *kept[4:])
 
 
 def new_shard_folder(docs: DataFrame) -> str:
