@@ -1,5 +1,7 @@
 """The pipeline equals its stages run by hand."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from foldlattice.llm.dedup import near_duplicates
 from foldlattice.llm.quality_classifier import quality_classifier
@@ -13,7 +15,7 @@ def test_stages(spark):
     held = {r["doc_id"]: r for r in docs.collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     keep = set(held)
-    for judge in (lambda d: quality_classifier(d, labels), quality_rules, near_duplicates):
+    for judge in (lambda d: quality_classifier(d, labels), quality_rules, lambda d: near_duplicates(d, percent=80)):
         own = spark.createDataFrame([held[i] for i in sorted(keep)], docs.schema)
         keep = {r["doc_id"] for r in judge(own).where("kept").select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, SF).collect()
@@ -21,6 +23,15 @@ def test_stages(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("kept", F.lit("x"))
+    twice = docs.unionByName(docs).unionByName(docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, twice, SF).columns == twice.columns
+    left = corpus_pipeline.deduplicate(spark, twice, SF)
+    assert left.count() == left.select("doc_id").distinct().count() > 0
+
+
 def test_stage_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
