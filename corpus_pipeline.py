@@ -1,12 +1,16 @@
 """Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
-last return the columns of ``documents``.  Rows without an id are dropped by the joins on ids.
+last return the columns of ``documents``, whatever their names.  Rows without an id are dropped by the
+joins on ids; rows that share an id pass the quality rules together, and of those that share their text
+too, one is left behind the near-duplicate stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from foldlattice.llm.common import stored, table
 from foldlattice.llm.dedup import near_duplicates
@@ -16,9 +20,13 @@ from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.registry import VOCABULARY
 
 
+#: Percent of shared word shingles from which documents are near duplicates.
+SIMILARITY = 80
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality_classifier(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_classifier(docs, table(spark, sf_dir, "labels"), prefix="__judged_").where("__judged_kept").select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +35,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate component; linked are texts of a similarity of ``SIMILARITY`` percent or more."""
+    kept = docs.join(near_duplicates(docs, percent=SIMILARITY).where("kept").select("doc_id"), "doc_id", "left_semi")
+    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
