@@ -31,7 +31,7 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = new_shard_folder(docs)
     write_shards(docs, VOCABULARY, path, end_id=0)
-    return read_documents(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_documents(spark.read.parquet(path), with_ids=False)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
