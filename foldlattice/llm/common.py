@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of ``ARROW_ROWS`` rows at most, so that long texts make no large ones; the session keeps that setting."""
+    conf = df.sparkSession.conf
+    if int(conf.get(ARROW_SETTING)) > ARROW_ROWS:
+        conf.set(ARROW_SETTING, ARROW_ROWS)
+    return df.mapInArrow(work, schema)
+
+
 def training_hash(doc_id: Column) -> Column:
     """crc32 of the id as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -91,4 +102,4 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
             yield from work(open_rows, np.array([0, len(open_rows)]))
 
     dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).transform(in_arrow, run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import by_groups, components, stored
+from foldlattice.llm.common import by_groups, components, in_arrow, stored
 from foldlattice.llm.textblocks import mix, shingle_sets, slices
 
 COORDINATES = 64
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     marks.append(None if least is None else mix(least).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature", "marks"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_key binary, signature array<long>, marks binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(in_arrow, work, "doc_id long, n_shingles long, set_key binary, signature array<long>, marks binary")
 
 
 def postings(classes: DataFrame, match: int) -> DataFrame:
@@ -191,7 +191,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, joined: DataFrame, id_c
                 packed = [s.tobytes() for s in shingle_sets(own[part], size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(packed, pa.binary())], ["doc_id", "members"])
 
-    sets = texts.mapInArrow(sets_of, "doc_id long, members binary").join(classes.select("doc_id", "marks"), "doc_id")
+    sets = texts.transform(in_arrow, sets_of, "doc_id long, members binary").join(classes.select("doc_id", "marks"), "doc_id")
     met = met.join(sets, "doc_id")
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldlattice.llm.common import in_arrow
 from foldlattice.llm.textblocks import slices
 
 _NONE = 1 << 30
@@ -34,7 +35,7 @@ _GLUED = re.compile(r"\s ")
 #: The byte-level pre-tokenizer's published pattern (fixed value).
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Remembered pieces a worker, and the longest piece that is remembered.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONGEST = 80
 #: Fragments over so many bytes are merged with a heap, the others all at once.
 LONG_FRAGMENT = 256
@@ -61,6 +62,9 @@ class ForcedCutBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if spec["pre_tokenizer"] else []
+        if spec["normalizer"] or spec["model"].get("dropout") or [(s["type"], s.get("add_prefix_space"), s.get("use_regex", True)) for s in steps] != [("ByteLevel", False, True)]:
+            raise ValueError(f"{path}: only byte-level vocabularies with the standard pattern and no normalizer are read")
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -303,7 +307,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def texts_in(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list[str | None]]]:
+def texts_in(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[list, list[str | None]]]:
     """Ids and texts of an Arrow batch (id, text) in runs of bounded size."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for part in slices([len(t or "") for t in texts], most):
@@ -321,4 +325,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 decoded = [bpe.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, ids binary, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(in_arrow, work, "doc_id long, ids binary, decoded string")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldlattice.llm.common import in_arrow
 from foldlattice.llm.textblocks import slices
 
 #: Rows a language that the model is fitted on, in expectation, and words that are counted at a time.
@@ -149,7 +150,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in seen]), pa.array([-1] * len(seen)), pa.array([1] * len(seen)), pa.array([s[1] for s in seen])], ["lang", "bucket", "n", "script"])
 
-    counted = sample.mapInArrow(count, "lang string, bucket long, n long, script string").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.transform(in_arrow, count, "lang string, bucket long, n long, script string").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(cut)
     table = np.full((BUCKETS, len(languages)), 0.2)
     scripts: dict[str, np.ndarray] = {}
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array(score), pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())])))], [*batch.schema.names[:-1], "lang_pred", "score", "spans"])
 
-    return own.mapInArrow(work, f"{schema}, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long>>")
+    return own.transform(in_arrow, work, f"{schema}, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long>>")
 
 
 _LOADED: dict[str, Model] = {}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldlattice.llm.common import in_arrow
 from foldlattice.llm.textblocks import slices
 
 #: Key phrases and their labels (fixed values).
@@ -65,7 +66,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[
                 found.update(VOCABULARY.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found] + [""]), pa.array([*found.values(), n], pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).transform(in_arrow, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     got = {r["word"]: r["n"] for r in rows}
     return {w: got.get(w.decode(), 0) for w in VOCABULARY}, got.get("", 0)
 
@@ -140,4 +141,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(work, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,score:double>>")
+    return own.transform(in_arrow, work, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,score:double>>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import by_groups
+from foldlattice.llm.common import by_groups, in_arrow
 from foldlattice.llm.textblocks import U64, Words, mix, slices
 
 END, START = U64(1), U64(2)
@@ -209,7 +209,7 @@ def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> Dat
         for b, (t, m) in held.items():
             yield from flush(b, t, m)
 
-    return batched.select("batch", "training", "text").mapInArrow(work, "shard long, batch long, keys binary, counts binary")
+    return batched.select("batch", "training", "text").transform(in_arrow, work, "shard long, batch long, keys binary, counts binary")
 
 
 def _unpacked(rows: pa.Table, counts: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -308,7 +308,7 @@ def _packed_rows(batched: DataFrame) -> DataFrame:
                 packed.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(packed, pa.binary())], ["batch", "rows"])
 
-    return batched.select("batch", "doc_id", "text", "training").mapInArrow(work, "batch long, rows binary")
+    return batched.select("batch", "doc_id", "text", "training").transform(in_arrow, work, "batch long, rows binary")
 
 
 def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.ndarray], totals: list[np.ndarray], n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:

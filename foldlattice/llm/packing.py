@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import stored
+from foldlattice.llm.common import in_arrow, stored
 from foldlattice.llm.encoding import library_encoder, texts_in
 
 CAPACITY = 2048
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return own.transform(in_arrow, work, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

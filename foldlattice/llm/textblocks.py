@@ -88,7 +88,7 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> Iterator[np.ndarray]
         yield np.unique(windows(own, size if len(own) >= size else len(own))) if len(own) else own
 
 
-def slices(n_chars: list[int], most: int = 2_000_000) -> Iterator[slice]:
+def slices(n_chars: list[int], most: int = 1_000_000) -> Iterator[slice]:
     """Runs of rows of about ``most`` characters, at least one row each, so that memory stays bounded."""
     begin = total = 0
     for i, n in enumerate(n_chars):

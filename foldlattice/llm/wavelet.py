@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import shared_folder
+from foldlattice.llm.common import in_arrow, shared_folder
 from foldlattice.llm.encoding import library_encoder, texts_in
 
 BLOCK = 512
@@ -176,7 +176,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, i
             yield shard(task, place, ids, packed, width)
 
     n = max(1, -(-chars // SHARD_CHARS))
-    own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(work, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").transform(in_arrow, work, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -196,7 +196,7 @@ def read_documents(shards: DataFrame, with_ids: bool = True) -> DataFrame:
 
     # one row a shard meets here, not its tokens
     offsets = shards.select("shard", "place", F.coalesce(F.sum("n_tokens").over(W.orderBy("shard", "place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    decoded = shards.mapInArrow(work, f"shard long, place long, doc_id long, within long, n_tokens long, ids_crc32 long{', ids binary' * with_ids}")
+    decoded = shards.transform(in_arrow, work, f"shard long, place long, doc_id long, within long, n_tokens long, ids_crc32 long{', ids binary' * with_ids}")
     return decoded.join(offsets, ["shard", "place"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), *kept[4:])
 
 
