@@ -14,7 +14,9 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Point = tuple[int, int]
 Points = tuple[Point, ...]
@@ -74,10 +76,12 @@ def canonical(points: Points) -> Points:
 
 
 def joined(first: Points, second: Points) -> Iterator[Points]:
-    """Both orders of ``first`` with every placement of ``second`` whose some point attaches to it."""
+    """Both orders of ``first`` with every placement of ``second`` whose some point attaches to it.
+
+    Places come in the order of first's points and of the steps around each, turns in turning order.
+    """
     held = set(first)
-    places = sorted(x for x in {y for p in first for y in around(p)} - held if attaches(x, held))
-    for place in places:
+    for place in dict.fromkeys(x for p in first for x in around(p) if x not in held and attaches(x, held)):
         for hinge in second if len(second) > 1 else second[:1]:
             for k in range(6 if len(second) > 1 else 1):
                 laid = tuple((a + place[0], b + place[1]) for a, b in (turned((p[0] - hinge[0], p[1] - hinge[1]), k) for p in second))
@@ -86,7 +90,7 @@ def joined(first: Points, second: Points) -> Iterator[Points]:
                     yield laid + first
 
 
-def _text(points: Points) -> str:
+def text_of(points: Points) -> str:
     return ";".join(f"{q},{r}" for q, r in points)
 
 
@@ -95,21 +99,36 @@ def points_of(text: str) -> Points:
 
 
 def skeletons(spark: SparkSession, n: int) -> DataFrame:
-    """``points`` (text, 'q,r;q,r;...') of all compact skeletons of n points, each once."""
+    """``nth, points, frame`` of all compact skeletons of n points, each once.
+
+    ``points`` ('q,r;q,r;...') is the canonical form, ``frame`` the same skeleton where it was first found:
+    by splits with fewer points on the smaller side first, then by both sides' numbers and the order of
+    ``joined``; ``nth`` numbers skeletons in that order.
+    """
     if n <= 2:
-        return spark.createDataFrame([(_text(((0, 0), (1, 0))[:n]),)], "points string")
+        own = text_of(((0, 0), (1, 0))[:n])
+        return spark.createDataFrame([(0, own, own)], "nth long, points string, frame string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {canonical(c) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in joined(points_of(a), points_of(b)) if compact(c)}
-            yield pa.RecordBatch.from_arrays([pa.array([_text(c) for c in sorted(found)], pa.string())], ["points"])
+            rows = []
+            for split, a, x, b, y in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                found: dict[Points, tuple[int, Points]] = {}
+                for at, c in enumerate(joined(points_of(x), points_of(y))):
+                    if compact(c):
+                        found.setdefault(canonical(c), (at, c))
+                rows += [(text_of(c), text_of(own), split, a, b, at) for c, (at, own) in found.items()]
+            types = [pa.string()] * 2 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["points", "frame", "split", "a", "b", "at"])
 
     out = None
     for q in range(1, n // 2 + 1):
-        larger, smaller = skeletons(spark, n - q).select(F.col("points").alias("a")), skeletons(spark, q).select(F.col("points").alias("b"))
-        made = larger.crossJoin(smaller).mapInArrow(work, "points string")  # the levels are small tables
+        larger = skeletons(spark, n - q).select(F.lit(q).cast("long").alias("split"), F.col("nth").alias("a"), F.col("frame").alias("x"))
+        made = larger.crossJoin(skeletons(spark, q).select(F.col("nth").alias("b"), F.col("frame").alias("y"))).mapInArrow(work, "points string, frame string, split long, a long, b long, at long")  # the levels are small tables
         out = made if out is None else out.unionByName(made)
-    return out.distinct()
+    order = F.struct("split", "a", "b", "at")
+    once = out.groupBy("points").agg(F.min_by("frame", order).alias("frame"), F.min(order).alias("found"))
+    return once.select((F.row_number().over(W.orderBy("found")) - 1).cast("long").alias("nth"), "points", "frame")
 
 
 def handedness(points: Points) -> tuple[int, ...]:
@@ -123,57 +142,119 @@ def handedness(points: Points) -> tuple[int, ...]:
     return tuple(sense(*t) for t in combinations(vectors, 3))
 
 
-def typings(spark: SparkSession, n: int) -> DataFrame:
-    """``ty, types``: all strings of n letters H and E, the first the highest bit and E set."""
-    return spark.range(2**n).select(F.col("id").cast("int").alias("ty"), F.translate(F.lpad(F.bin("id"), n, "0"), "01", "HE").alias("types"))
+def handedness_classes(found: DataFrame) -> DataFrame:
+    """``signature, nth, points, members``: one skeleton for each handedness signature.
+
+    The one of least pairwise distance sum stays, then of fewest rows of points, then the first found.
+    Signatures depend on where a skeleton lies, which is where it was first found.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [points_of(p) for p in batch.column(2).to_pylist()]
+            flat = [[(q + r / 2, r * math.sqrt(3) / 2) for q, r in p] for p in own]
+            spread = [round(sum(math.dist(a, b) for a, b in combinations(p, 2)), 6) for p in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([",".join(map(str, handedness(p))) for p in own]), pa.array(spread), pa.array([len({r for _, r in p}) for p in own])], ["nth", "points", "signature", "spread", "layers"])
 
+    marked = found.select("nth", "points", "frame").mapInArrow(work, "nth long, points string, signature string, spread double, layers long")
+    order = F.struct("spread", "layers", "nth")
+    return marked.groupBy("signature").agg(F.min_by("nth", order).alias("nth"), F.min_by("points", order).alias("points"), F.count("*").alias("members"))
 
-def typed_motifs(spark: SparkSession, n: int) -> DataFrame:
-    """``points, ty, types, codes``: every skeleton with every typing, and codes of its pairs.
 
-    Touching pairs run alike or opposed as their places are both odd or even or not: c or t between
-    strands of one sheet, u or v between helices, C or T between a helix and a strand.  Strands of
-    one sheet that don't touch are '-', other pairs are free (X).
-    """
+#: Five-point grids of the narrower compactness test, as axial points in reference order (fixed values).
+GRID_POINTS = {
+    "d": ((0, 0), (1, 0), (2, 0), (3, 0), (4, 0)),
+    "e": ((0, 0), (1, 0), (2, 0), (3, 0), (1, 1)),
+    "f": ((0, 0), (1, 0), (2, 0), (1, 1), (0, 1)),
+    "gh": ((-1, 0), (0, 0), (1, 0), (0, 1), (0, -1)),
+}
+
+
+def images(points: Points) -> Iterator[Points]:
+    """A skeleton under the six rotations, plain and mirrored."""
+    for k in range(6):
+        own = tuple(turned(p, k) for p in points)
+        yield own
+        yield tuple((q + r, -r) for q, r in own)
+
+
+def labelings(points: Points, grid: str) -> list[tuple[int, ...]]:
+    """For each way of laying a skeleton on a grid: the reference place (from 1) of each of its points."""
+    places = {p: k for k, p in enumerate(GRID_POINTS[grid], 1)}
+    found = set()
+    for own in images(points):
+        for q, r in places:
+            moved = [(a - own[0][0] + q, b - own[0][1] + r) for a, b in own]
+            if all(p in places for p in moved):
+                found.add(tuple(places[p] for p in moved))
+    return sorted(found)
+
 
-    def codes(points: Points, types: str) -> str:
-        sheet = list(range(len(points)))
-        close = {(i, j): points[j] in around(points[i]) for i, j in combinations(range(len(points)), 2)}
-        for (i, j), near in close.items():
-            if near and types[i] == types[j] == "E":
-                old, new = sheet[j], sheet[i]
-                sheet = [new if s == old else s for s in sheet]
-        out = []
-        for (i, j), near in close.items():
-            strands = types[i] == types[j] == "E"
-            if not near:
-                out.append("-" if strands and sheet[i] == sheet[j] else "X")
-            else:
-                alike = (j - i) % 2 == 0
-                out.append(("c" if alike else "t") if strands else ("u" if alike else "v") if types[i] == types[j] else ("C" if alike else "T"))
-        return "".join(out)
+def grid_of(points: Points) -> str | None:
+    """The grid that a five-point skeleton is congruent to."""
+    return next((g for g in GRID_POINTS if len(points) == 5 and labelings(points, g)), None)
+
+
+def with_grid(found: DataFrame) -> DataFrame:
+    """Adds ``grid``; the narrower compactness test keeps skeletons that have one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [codes(points_of(p), t) for p, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["points", "ty", "types", "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([grid_of(points_of(p)) for p in batch.column("points").to_pylist()], pa.string())], [*batch.schema.names, "grid"])
 
-    return skeletons(spark, n).crossJoin(typings(spark, n)).mapInArrow(work, "points string, ty int, types string, codes string")
+    return found.mapInArrow(work, StructType([*found.schema.fields, StructField("grid", StringType())]))
 
 
-def handedness_classes(found: DataFrame) -> DataFrame:
-    """``signature, points, members``: one skeleton for each handedness signature.
+def chiral_triples(found: DataFrame) -> DataFrame:
+    """``shape, chirality`` of three-point skeletons: paths plain, left and right, triangles left and right."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = ["".join(str(int(b in around(a))) for a, b in combinations(points_of(p), 2)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.string())], ["shape"])
+
+    sides = F.when(F.col("shape") == "111", F.array(F.lit("L"), F.lit("R"))).otherwise(F.array(F.lit(""), F.lit("L"), F.lit("R")))
+    return found.select("points").mapInArrow(work, "shape string").distinct().select("shape", F.explode(sides).alias("chirality"))
+
+
+def _around_layers(p: tuple[int, ...]) -> list[tuple[int, ...]]:
+    return [(a, b, p[2]) for a, b in around(p[:2])] + [(p[0], p[1], z) for z in (p[2] - 1, p[2] + 1) if -1 <= z <= 1]
+
+
+def declared_skeletons(spark: SparkSession, n: int) -> DataFrame:
+    """``points`` ('q,r,z;...') of skeletons over three layers that grow by one declared contact at a time.
 
-    The one of least pairwise distance sum stays, then of fewest rows, then of least points.  Signatures
-    are taken with the first point at the origin, so that they don't depend on how a skeleton was found.
+    A new point needs one held neighbour; no outer point may have more than three, and the contact graph
+    of all points must be allowed.  Skeletons that differ only in declared contacts count once.
     """
+    if n <= 2:
+        return spark.createDataFrame([(";".join(["0,0,0", "1,0,0"][:n]),)], "points string")
+
+    def fits(points) -> bool:
+        held = set(points)
+        if any(sum(x in held for x in _around_layers(o)) > 3 for o in {x for p in points for x in _around_layers(p)} - held):
+            return False
+        edges = {frozenset((p, x)) for p in points for x in _around_layers(p) if x in held}
+        degrees = Counter(p for e in edges for p in e)
+        triangles = sum(all(frozenset(pair) in edges for pair in combinations(t, 2)) for t in combinations(points, 3))
+        return len(points) not in GRIDS or (tuple(sorted(degrees[p] for p in points)), triangles) in GRIDS[len(points)]
+
+    def least(points):
+        q, r, _ = points[0]
+        return min(tuple((*turned((a - q, b - r), k), z) for a, b, z in points) for k in range(6))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [points_of(p) for p in batch.column(0).to_pylist()]
-            flat = [[(q + r / 2, r * math.sqrt(3) / 2) for q, r in p] for p in own]
-            spread = [round(sum(math.dist(a, b) for a, b in combinations(p, 2)), 6) for p in flat]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(map(str, handedness(p))) for p in own]), pa.array(spread), pa.array([len({r for _, r in p}) for p in own])], ["points", "signature", "spread", "layers"])
+            found = set()
+            for text in batch.column(0).to_pylist():
+                points = tuple(tuple(map(int, p.split(","))) for p in text.split(";"))
+                for x in {x for p in points for x in _around_layers(p)} - set(points):
+                    found |= {least(c) for c in ((*points, x), (x, *points)) if fits(c)}
+            yield pa.RecordBatch.from_arrays([pa.array([";".join(",".join(map(str, p)) for p in c) for c in sorted(found)], pa.string())], ["points"])
 
-    marked = found.select("points").mapInArrow(work, "points string, signature string, spread double, layers long")
-    return marked.groupBy("signature").agg(F.min_by("points", F.struct("spread", "layers", "points")).alias("points"), F.count("*").alias("members"))
+    return declared_skeletons(spark, n - 1).mapInArrow(work, "points string").distinct()
+
+
+def typings(spark: SparkSession, n: int) -> DataFrame:
+    """``ty, types``: all strings of n letters H and E, the first the highest bit and E set."""
+    return spark.range(2**n).select(F.col("id").cast("int").alias("ty"), F.translate(F.lpad(F.bin("id"), n, "0"), "01", "HE").alias("types"))

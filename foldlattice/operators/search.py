@@ -8,6 +8,7 @@ its codes with elements picked before, and constraints apply as soon as their el
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foldlattice.functions import geometry as G
-from foldlattice.functions.codes import code_matches, type_matches
+from foldlattice.functions.codes import RECORD_CODES, code_matches, type_matches
 from foldlattice.plans.motif import Motif
 
 
@@ -97,33 +98,126 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
     return now.select("record_id", *picked).select(F.lit(motif.motif_id).alias("query_id"), "record_id", F.row_number().over(order).alias("motif_idx"), F.concat_ws(",", *picked).alias("positions"))
 
 
-def sweep(records: DataFrame, motifs: list[Motif]) -> DataFrame:
-    """``query_id, record_id, positions`` of many motifs of equal size in one pass over the records.
+#: Bits of the codes that a record can hold; a motif's code is the set of bits that it accepts (fixed values).
+CODE_BITS = {c: 1 << k for k, c in enumerate(RECORD_CODES)}
+ACCEPTED = {"X": "".join(RECORD_CODES), "x": "ctuvN", "T": "vt", "C": "uc"}
+#: Pairs whose codes share one 64-bit number, and conditions that do.
+PAIRS, FLAGS = 10, 62
 
-    The motifs form a small table; a record meets those whose size and composition it can satisfy.
-    Lengths, types and codes are data; other constraints need ``search``.
-    """
-    k = motifs[0].k
-    rows = [(m.motif_id, list(m.types), m.upper_codes(), [max([lo for lo, _ in m.lengths(i)], default=0) for i in range(1, k + 1)], [min([hi for _, hi in m.lengths(i)], default=1 << 30) for i in range(1, k + 1)], m.one_chain, *[m.types.count(t) for t in "HEL"]) for m in motifs]
-    table = records.sparkSession.createDataFrame(rows, "query_id string, types array<string>, codes array<string>, low array<int>, high array<int>, one_chain boolean, need_H int, need_E int, need_L int")
-    now = composition(records).where(F.col("n") >= k).join(F.broadcast(table), F.expr("n_H >= need_H AND n_E >= need_E AND n_L >= need_L"))  # as many rows as motifs were given
-    at = 0
+
+def _conditions(motif: Motif) -> tuple[list[tuple], list[tuple]]:
+    """What must hold and what must not, each as (kind, places) of ``_condition_sql``."""
+    need, ban = [("chain", tuple(range(1, motif.k + 1)))] if motif.one_chain else [], []
+    for r in motif.requirements:
+        if r.kind in ("sheetS", "sheetD", "chainS", "chainD"):
+            (need if r.kind.endswith("S") else ban).append((r.kind[:-1], r.elements))
+        elif r.kind in ("parallel", "antiparallel"):
+            need.append((r.kind, tuple(r.elements)))
+    return need, ban
+
+
+def _condition_sql(kind: str, places: tuple[int, ...]) -> str:
+    if kind == "chain":
+        return " AND ".join(f"c{i} = c{places[0]}" for i in places[1:])
+    if kind == "sheet":  # sheets as bits where a record has few of them
+        bits = " & ".join(f"element_at(within, p{i})" for i in places)
+        any_sheet = f"exists(sheets, s -> {' AND '.join(f'array_contains(s, p{i})' for i in places)})"
+        return f"CASE WHEN size(sheets) = 0 THEN true WHEN size(sheets) < 63 THEN ({bits}) <> 0 ELSE {any_sheet} END"
+    i, j = places
+    return f"array_contains(parity, concat(p{i}, '-', p{j}, '={0 if kind == 'parallel' else 1}'))"
+
+
+def _motif_rows(motifs: list[Motif], flags: list[tuple]) -> list[tuple]:
+    """One row for each motif and typing that it stands for: accepted codes, needed and banned flags, length limits, handedness."""
+    out = []
+    for m in motifs:
+        pairs = list(combinations(range(1, m.k + 1), 2))
+        accepted = [sum(CODE_BITS[c] for c in ACCEPTED.get(m.codes[p], m.codes[p])) for p in pairs]
+        masks = [sum(a << 6 * k for k, a in enumerate(accepted[b : b + PAIRS])) for b in range(0, len(pairs), PAIRS)]
+        need, ban = ([sum(1 << k for k, f in enumerate(flags[b : b + FLAGS]) if f in own) for b in range(0, len(flags), FLAGS)] for own in _conditions(m))
+        low = [max((lo for lo, _ in m.lengths(i)), default=0) for i in range(1, m.k + 1)]
+        high = [min((hi for _, hi in m.lengths(i)), default=1 << 30) for i in range(1, m.k + 1)]
+        hands = [{"a": a, "b": b, "c": c, "side": side} for a, b, c, side in m.handedness]
+        out += [(m.motif_id, "".join(types), masks, need, ban, low, high, hands) for types in product(*("HEL" if t == "X" else t for t in m.types))]
+    return out
+
+
+def _sweep_size(records: DataFrame, motifs: list[Motif], k: int, heavy: int | None) -> DataFrame:
+    flags = sorted({f for m in motifs for own in _conditions(m) for f in own})
+    rows = _motif_rows(motifs, flags)
+    table = records.sparkSession.createDataFrame(rows, "query_id string, types string, accepted array<long>, need array<long>, ban array<long>, low array<int>, high array<int>, hands array<struct<a:int,b:int,c:int,side:string>>")
+    # elements that some motif has a place for, by type and the widest limits
+    limits: dict[str, tuple[int, int]] = {}
+    for *_, types, _, _, _, low, high, _ in ((None, *r[1:]) for r in rows):
+        for t, lo, hi in zip(types, low, high):
+            held = limits.get(t, (lo, hi))
+            limits[t] = min(lo, held[0]), max(hi, held[1])
+    uniform = all((lo, hi) == limits[t] for r in rows for t, lo, hi in zip(r[1], r[5], r[6]))
+    fits = " OR ".join(f"(e.etype = '{t}' AND e.length BETWEEN {lo} AND {hi})" for t, (lo, hi) in sorted(limits.items()))
+    own = records.withColumn("fit", F.expr(f"filter(sequence(1, n), p -> exists(array(element_at(elements, p)), e -> {fits}))")).where(f"n >= {k} AND size(fit) >= {k}")
+    kinds = {kind for kind, _ in flags}
+    columns = ["record_id", "fit", "rows", F.expr("transform(elements, e -> e.etype)").alias("etypes"), F.expr("transform(elements, e -> e.chain)").alias("chains")]
+    columns += [F.expr("transform(elements, e -> e.length)").alias("lengths")] * (not uniform) + ["parity"] * bool(kinds & {"parallel", "antiparallel"})
+    if "sheet" in kinds:
+        columns += ["sheets", F.expr("transform(sequence(1, n), p -> aggregate(sequence(1, least(size(sheets), 62)), 0L, (a, s) -> a | CASE WHEN size(sheets) > 0 AND array_contains(element_at(sheets, s), p) THEN shiftleft(1L, s - 1) ELSE 0L END))").alias("within")]
+    handed = any(m.handedness for m in motifs)
+    if handed:
+        points = ", ".join(f"'{e}{c}', e.{e}{c}" for e in "fl" for c in G.AXES)
+        columns.append(F.expr(f"transform(elements, e -> named_struct({points}))").alias("axes"))
+    own = own.select(*columns)
+
+    def first_places(some: DataFrame) -> DataFrame:
+        return some.select("*", F.explode(F.expr(f"sequence(1, size(fit) - {k - 1})")).alias("q1"))
+
+    now = first_places(own)
+    if heavy is not None:  # the few large records, whose cost grows as C(n, k), are dealt out by their first place too
+        now = first_places(own.where(F.size("fit") <= heavy)).unionByName(first_places(own.where(F.size("fit") > heavy)).repartition("record_id", "q1"))
+    slot = {p: at for at, p in enumerate(combinations(range(1, k + 1), 2))}
     for level in range(1, k + 1):
-        own = "element_at(elements, p)"
-        when = [type_matches(f"{own}.etype", f"element_at(types, {level})"), f"{own}.length BETWEEN element_at(low, {level}) AND element_at(high, {level})"]
         if level > 1:
-            when.append(f"(NOT one_chain OR {own}.chain = element_at(elements, p1).chain)")
-        for i in range(1, level):
-            at += 1
-            when.append(code_matches(code_at("rows", f"p{i}", "p"), f"element_at(codes, {at})"))
-        first, last = (f"p{level - 1} + 1" if level > 1 else "1"), f"n - {k - level}"
-        now = now.where(f"{first} <= {last}").select("*", F.explode(F.expr(f"filter(sequence({first}, {last}), p -> {' AND '.join(when)})")).alias(f"p{level}"))
-    return now.select("query_id", "record_id", F.concat_ws(",", *[f"p{i}" for i in range(1, k + 1)]).alias("positions"))
-
-
-def search_by_cost(records: DataFrame, motif: Motif, partitions: int) -> DataFrame:
-    """``search`` after dealing records out so that the few large ones, whose cost grows as C(n, k), are spread."""
-    return search(records.repartition(partitions, F.xxhash64("record_id")), motif)
+            now = now.select("*", F.explode(F.expr(f"sequence(q{level - 1} + 1, size(fit) - {k - level})")).alias(f"q{level}"))
+        now = now.withColumn(f"p{level}", F.expr(f"element_at(fit, q{level})")).withColumns({f"t{level}": F.expr(f"element_at(etypes, p{level})"), f"c{level}": F.expr(f"element_at(chains, p{level})")})
+        prefixes = {r[1][:level] for r in rows}
+        if len(prefixes) < len(limits) ** level:
+            now = now.where(F.concat(*[f"t{i}" for i in range(1, level + 1)]).isin(sorted(prefixes)))
+        if all(m.one_chain for m in motifs) and level > 1:
+            now = now.where(f"c{level} = c1")
+    code = {(i, j): f"shiftleft(1L, instr('{RECORD_CODES}', {code_at('rows', f'p{i}', f'p{j}')}) - 1 + {6 * (at % PAIRS)})" for (i, j), at in slot.items()}
+    chunks = [" | ".join(c for p, c in code.items() if slot[p] // PAIRS == b) for b in range(-(-len(code) // PAIRS))]
+    held = [" | ".join(f"CASE WHEN {_condition_sql(*f)} THEN {1 << k}L ELSE 0L END" for k, f in enumerate(flags[b : b + FLAGS])) for b in range(0, len(flags), FLAGS)]
+    now = now.withColumns({f"m{b}": F.expr(x) for b, x in enumerate(chunks)} | {f"h{b}": F.expr(x) for b, x in enumerate(held)} | {"types": F.concat(*[f"t{i}" for i in range(1, k + 1)])})
+    now = now.drop("fit", "rows", "etypes", "chains", "sheets", "within", "parity", *[f"{x}{i}" for x in "qtc" for i in range(1, k + 1)])
+    on = [f"s.m{b} & element_at(o.accepted, {b + 1}) = s.m{b}" for b in range(len(chunks))]
+    for b in range(len(held)):
+        on += [f"s.h{b} & element_at(o.need, {b + 1}) = element_at(o.need, {b + 1})", f"s.h{b} & element_at(o.ban, {b + 1}) = 0"]
+    if not uniform:
+        on += [f"element_at(s.lengths, s.p{i}) BETWEEN element_at(o.low, {i}) AND element_at(o.high, {i})" for i in range(1, k + 1)]
+    # the table has as many rows as motifs were given, times the typings that a free type stands for
+    met = now.alias("s").join(F.broadcast(table).alias("o"), F.expr("s.types = o.types"))
+    picked = [f"p{i}" for i in range(1, k + 1)]
+    if handed:  # last in the one condition that all pairs of equal types are put to
+        three = ", ".join(f"'{x}', element_at(axes, element_at(array({', '.join(picked)}), h.{x}))" for x in "abc")
+        on.append(f"forall(transform(hands, h -> named_struct({three}, 'side', h.side)), x -> {G.chirality('x.a', 'x.b', 'x.c')} = x.side)")
+    met = met.where(" AND ".join(f"({c})" for c in on))
+    return met.select("o.query_id", "s.record_id", F.concat_ws(",", *picked).alias("positions"))
+
+
+def sweep(records: DataFrame, motifs: list[Motif], heavy: int | None = None) -> DataFrame:
+    """``query_id, record_id, positions`` of many motifs, with all their constraints, in one pass a size.
+
+    Each k-subset of a record's fitting elements is made once, whatever the number of motifs: its codes
+    and conditions become bits, and it meets the motifs of its types in an equi-join whose rest is bit
+    tests; handedness is looked at last.  ``records`` as for ``search``, with ``sheets`` or ``parity``
+    (``parity_of_sheets``) where a motif asks for them and points in elements for handedness.  Records
+    with more than ``heavy`` fitting elements are dealt out by their first place as well.
+    """
+    out = None
+    for k in sorted({m.k for m in motifs}):
+        found = _sweep_size(records, [m for m in motifs if m.k == k], k, heavy)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no motifs")
+    return out
 
 
 def parities(rows: list[str]) -> dict[tuple[int, int], int]:

@@ -15,3 +15,27 @@ def connected_signatures(records: DataFrame) -> DataFrame:
     three = two.select("*", F.explode(F.expr("sequence(j + 1, n)")).alias("m"))
     bits = [f"CASE WHEN {code_at('rows', a, b)} <> '-' THEN 1 ELSE 0 END" for a, b in (("i", "j"), ("i", "m"), ("j", "m"))]
     return three.where(" + ".join(f"({b})" for b in bits) + " >= 2").select("record_id", "i", "j", "m", F.expr(f"concat({', '.join(bits)})").alias("sig"))
+
+
+def two_sheet_signatures(records: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """``record_id, positions, partition, contacts`` of connected five-element subsets over exactly two sheets.
+
+    Elements count from their type's ``least`` length on (helices 8, strands 5).  ``partition`` names each
+    element's sheet by first appearance, elements of no sheet together; ``contacts`` are the ten contact
+    bits.  No shuffle, and a record of any size is worked through.
+    """
+    least = least or {"H": 8, "E": 5}
+    fits = " OR ".join(f"(element_at(elements, p).etype = '{t}' AND element_at(elements, p).length >= {n})" for t, n in least.items())
+    of_sheet = "transform(sequence(1, n), p -> aggregate(sequence(0, size(sheets)), 0, (a, s) -> CASE WHEN s > 0 AND array_contains(element_at(sheets, s), p) THEN s ELSE a END))"
+    now = records.select("record_id", "rows", F.expr(f"filter(sequence(1, n), p -> {fits})").alias("fit"), F.expr(of_sheet).alias("own")).where("size(fit) >= 5")
+    for k in range(1, 6):
+        first = "1" if k == 1 else f"q{k - 1} + 1"
+        now = now.select("*", F.explode(F.expr(f"sequence({first}, size(fit) - {5 - k})")).alias(f"q{k}")).withColumn(f"p{k}", F.expr(f"element_at(fit, q{k})"))
+    now = now.withColumn("s", F.expr(f"array({', '.join(f'element_at(own, p{k})' for k in range(1, 6))})")).where("size(array_remove(array_distinct(s), 0)) = 2")
+    pairs = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
+    now = now.withColumns({f"c{a}{b}": F.expr(f"CASE WHEN {code_at('rows', f'p{a}', f'p{b}')} <> '-' THEN 1 ELSE 0 END") for a, b in pairs})
+    near = {k: " + ".join(f"{1 << (o - 1)} * c{min(k, o)}{max(k, o)}" for o in range(1, 6) if o != k) for k in range(1, 6)}
+    step = " | ".join(f"CASE WHEN r & {1 << (k - 1)} <> 0 THEN m{k} ELSE 0 END" for k in range(1, 6))
+    now = now.withColumns({f"m{k}": F.expr(x) for k, x in near.items()}).withColumn("reach", F.expr(f"aggregate(array(1, 2, 3, 4), 1, (r, x) -> r | {step})"))
+    part = "array_join(transform(s, x -> size(array_distinct(slice(s, 1, cast(array_position(s, x) as int) - 1)))), '')"
+    return now.where("reach = 31").select("record_id", F.concat_ws(",", *[f"p{k}" for k in range(1, 6)]).alias("positions"), F.expr(part).alias("partition"), F.concat(*[f"c{a}{b}" for a, b in pairs]).alias("contacts"))

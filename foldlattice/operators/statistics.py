@@ -89,11 +89,34 @@ def fisher_exact(rows: DataFrame, a: str, b: str, c: str, d: str, name: str = "p
     return rows.withColumn(name, run(a, b, c, d))
 
 
-def binomial_test(rows: DataFrame, k: str, n: str, p: str, name: str = "p_binom") -> DataFrame:
-    run = F.pandas_udf(lambda x, y, z: pd.Series([binomial_two_sided(int(i), int(j), float(q)) for i, j, q in zip(x, y, z)], dtype=float), DoubleType())
+def binomial_test(rows: DataFrame, k: str, n: str, p: str, name: str = "p_binom", greater: bool = False) -> DataFrame:
+    """Exact binomial p, two-sided or of ``k`` and more."""
+    exact = binomial_greater if greater else binomial_two_sided
+    run = F.pandas_udf(lambda x, y, z: pd.Series([exact(int(i), int(j), float(q)) for i, j, q in zip(x, y, z)], dtype=float), DoubleType())
     return rows.withColumn(name, run(k, n, p))
 
 
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution, from the error function's series of positive terms."""
+    t = F.least(F.lit(6.0), F.greatest(F.lit(-6.0), x / math.sqrt(2)))
+    start = F.struct(t.alias("term"), t.alias("sum"), t.alias("t"))
+
+    def grown(a: Column, n: Column) -> Column:
+        term = a["term"] * 2 * a["t"] * a["t"] / (2 * n + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), a["t"].alias("t"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, grown, lambda a: 0.5 * (1 + 2 / math.sqrt(math.pi) * F.exp(-a["t"] * a["t"]) * a["sum"]))
+
+
+def binomial_greater(k: int, n: int, p: float) -> float:
+    """P(X >= k) of a binomial."""
+    if k <= 0:
+        return 1.0
+    if not 0 < p < 1:
+        return float(p == 1)
+    return min(1.0, sum(math.exp(_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1)))
+
+
 def hash_share(key: Column, salt: int = 0) -> Column:
     """A fixed pseudo-random number in [0, 1) of an integer key, the same in any engine."""
     return F.pmod((key + salt) * 2654435761, F.lit(1_000_003)) / 1_000_003.0

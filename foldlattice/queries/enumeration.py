@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
-from foldlattice.operators.lattice import handedness_classes, skeletons, typed_motifs
+from foldlattice.functions import geometry as G
+from foldlattice.operators import corpus as C
+from foldlattice.operators.lattice import chiral_triples, declared_skeletons, handedness_classes, points_of, skeletons, with_grid
 from foldlattice.operators.search import search, sweep
 from foldlattice.plans.extension import contacts_only, extended
-from foldlattice.plans.motif import motif_sql
-from foldlattice.queries.motifs import MOTIFS, TOPO
+from foldlattice.plans.motif import motif_sql, parse_motif, write_motif
+from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
 
 QUERIES, SQL = {}, {}
 
@@ -33,19 +35,114 @@ def skeleton_counts(spark, sf_dir):
     return out
 
 
-@query("typed_query_counts", "SELECT CAST(dim AS INTEGER) AS dim, CAST(n AS BIGINT) AS n FROM (VALUES (3, 40), (4, 672)) v(dim, n)")
+def _counts(spark, sizes, made):
+    out = None
+    for n in sizes:
+        part = made(spark, n).agg(F.lit(n).alias("dim"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _golden(*pairs: tuple[int, int]) -> str:
+    """Published counts by size."""
+    return f"SELECT CAST(dim AS INTEGER) AS dim, CAST(n AS BIGINT) AS n FROM (VALUES {', '.join(map(str, pairs))}) v(dim, n)"
+
+
+@query("typed_query_counts", _golden((3, 40), (4, 672), (5, 6336)))
 def typed_query_counts(spark, sf_dir):
-    return typed_motifs(spark, 3).agg(F.lit(3).alias("dim"), F.count("*").alias("n")).unionByName(typed_motifs(spark, 4).agg(F.lit(4).alias("dim"), F.count("*").alias("n")))
+    return _counts(spark, (3, 4, 5), C.corpus)
+
+
+@query("fitting_query_counts", _golden((5, 744)))
+def fitting_query_counts(spark, sf_dir):
+    """Five-point motifs whose straight runs are of one type."""
+    return _counts(spark, (5,), C.fitting_corpus)
+
+
+@query("minimal_query_counts", _golden((5, 708)))
+def minimal_query_counts(spark, sf_dir):
+    """Five-point motifs on known grids with the fewest contacts and senses."""
+    return _counts(spark, (5,), lambda s, n: C.minimal_corpus(s))
+
+
+@query("rcc_counts", _golden((3, 3), (4, 23), (5, 164)))
+def rcc_counts(spark, sf_dir):
+    """Skeletons left of each handedness signature."""
+    return _counts(spark, (3, 4, 5), lambda s, n: handedness_classes(skeletons(s, n)))
+
+
+@query("declared_counts", _golden((3, 19), (4, 358), (5, 4842)))
+def declared_counts(spark, sf_dir):
+    return _counts(spark, (3, 4, 5), declared_skeletons)
+
+
+@query("grid_counts", "SELECT grid, CAST(n AS BIGINT) AS n FROM (VALUES ('d', 12), ('e', 40), ('f', 60), ('gh', 28)) v(grid, n)")
+def grid_counts(spark, sf_dir):
+    """Five-point skeletons by the grid that they are congruent to."""
+    return with_grid(skeletons(spark, 5)).where("grid IS NOT NULL").groupBy("grid").agg(F.count("*").alias("n"))
 
 
-@query("query_corpus_k3")
+@query("chiral_triples", "SELECT shape, chirality FROM (VALUES ('101'), ('011'), ('110'), ('111')) s(shape), (VALUES (''), ('L'), ('R')) c(chirality) WHERE NOT (shape = '111' AND chirality = '')")
+def chiral_triple_query(spark, sf_dir):
+    return chiral_triples(skeletons(spark, 3))
+
+
+_STEP = "((b.q - a.q, b.r - a.r) IN ((1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)))"
+
+
+@query("query_corpus_k3", f"""WITH sk AS (SELECT * FROM (VALUES ('0,0;-2,0;-1,0'), ('0,0;-1,0;-2,0'), ('0,0;-1,0;1,0'), ('0,0;-1,0;-1,1'), ('0,0;-1,0;0,-1')) v(points)),
+pt AS (SELECT points, k, CAST(split_part(split_part(points, ';', k), ',', 1) AS INTEGER) AS q, CAST(split_part(split_part(points, ';', k), ',', 2) AS INTEGER) AS r FROM sk, (VALUES (1), (2), (3)) n(k)),
+nb AS (SELECT a.points, a.k AS i, b.k AS j, {_STEP} AS near FROM pt a JOIN pt b ON a.points = b.points AND a.k < b.k),
+ty AS (SELECT CAST(ty AS INTEGER) AS ty, translate(lpad(bin(ty), 3, '0'), '01', 'HE') AS types FROM range(8) t(ty)),
+c AS (SELECT nb.points, ty, types, i, j, substr(types, CAST(i AS INTEGER), 1) AS a, substr(types, CAST(j AS INTEGER), 1) AS b, near, (SELECT bool_and(o.near) FROM nb o WHERE o.points = nb.points AND (o.i, o.j) <> (nb.i, nb.j)) AND types = 'EEE' AS joined FROM nb, ty)
+SELECT points, ty, types, string_agg(CASE WHEN NOT near THEN CASE WHEN joined THEN '-' ELSE 'X' END WHEN a = 'E' AND b = 'E' THEN CASE WHEN (j - i) % 2 = 0 THEN 'c' ELSE 't' END WHEN a = b THEN CASE WHEN (j - i) % 2 = 0 THEN 'u' ELSE 'v' END ELSE CASE WHEN (j - i) % 2 = 0 THEN 'C' ELSE 'T' END END, '' ORDER BY i, j) AS codes FROM c GROUP BY ALL""")
 def query_corpus_k3(spark, sf_dir):
-    return typed_motifs(spark, 3)
+    """Codes of the three-point corpus, from its texts: rows of the matrix without their diagonal."""
+    rows = F.expr("transform(slice(split(text, '\n'), 3, 3), x -> substring(replace(x, ' ', ''), 2))")
+    return C.corpus(spark, 3).join(skeletons(spark, 3), "nth").select("points", "ty", "types", F.array_join(rows, "").alias("codes"))
+
+
+@query("targeted_six")
+def targeted_six(spark, sf_dir):
+    """Contact-only motifs that add one element to the first straight five-strand cell."""
+    frame = skeletons(spark, 5).orderBy("nth").select("frame").first()[0]
+    made = C.one_larger(points_of(frame), "EEEEE", "s6t-0000-0031")
+    return spark.createDataFrame([(m.motif_id, "".join(m.types), write_motif(m)) for m in made], "query_id string, types string, text string")
+
+
+def _constrained():
+    """Three- to five-element motifs over geometric records, between them with every kind of constraint."""
+    texts = {
+        "c3_right": "1 2 3\nE H E\n* x X\n* x\n*\nhandedness 1 2 3 R", "c3_left": "1 2 3\nX H E\n* x X\n* x\n*\nhandedness 1 2 3 L\nchainAll",
+        "c3_same": "1 2 3\nE E E\n* x X\n* x\n*\nsheetS 1 2 3", "c3_diff": "1 2 3\nE H E\n* x X\n* x\n*\nsheetD 1 3\nlength 2 H 12 1000",
+        "c3_chains": "1 2 3\nX X E\n* T X\n* x\n*\nchainD 1 3", "c3_one": "1 2 3\nE X H\n* X C\n* x\n*\nchainS 1 3\nchainAll",
+        "c4": "1 2 3 4\nE E E H\n* X X X\n* t X\n* T\n*\nsheetS 2 3\nsheetD 1 2 3\nhandedness 1 2 3 R\nhandedness 2 3 4 L\nlength 1 E 5 30\nlength 4 H 8 1000\nchainAll",
+        "c5": "1 2 3 4 5\nE X E E X\n* X X X X\n* X x X\n* t X\n* x\n*\nsheetS 3 4\nsheetD 1 4\nhandedness 1 3 4 R\nchainAll",
+    }
+    return [parse_motif(name, text) for name, text in texts.items()]
+
+
+def _union_sql(own) -> str:
+    return " UNION ALL ".join(f"SELECT query_id, record_id, positions FROM ({motif_sql(m, 'el1', 'ct1', 'sh1', chirality=G.chirality)})" for m in own)
+
+
+@query("sweep_constraints", GEOM + _union_sql(_constrained()))
+def sweep_constraints(spark, sf_dir):
+    """Motifs of several sizes with sheets, chains, lengths and handedness in one sweep."""
+    return sweep(X.geometric(spark, sf_dir), _constrained())
+
+
+@query("corpus_sweep_k3")
+def corpus_sweep_k3(spark, sf_dir):
+    """Hits of the whole three-element corpus, with its sheet, length and handedness lines."""
+    return sweep(X.geometric(spark, sf_dir), C.motifs(C.corpus(spark, 3)))
 
 
-@query("handedness_classes")
-def handedness_class_query(spark, sf_dir):
-    return handedness_classes(skeletons(spark, 4))
+@query("corpus_sweep")
+def corpus_sweep(spark, sf_dir):
+    """Records and hits of each motif of the five-element corpus (6,336 motifs) that has any."""
+    found = sweep(X.geometric(spark, sf_dir), C.motifs(C.corpus(spark, 5)))
+    return found.groupBy("query_id").agg(F.countDistinct("record_id").alias("records"), F.count("*").alias("hits"))
 
 
 _EXTENDED = extended(MOTIFS["t2"])

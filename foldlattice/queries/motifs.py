@@ -102,9 +102,9 @@ _add_pair("pair_overlap", "overlap", G.overlap)
 _add_pair("pair_distance", "distance", G.distance)
 
 
-@query("chirality_triples", GEOM + f"SELECT a.record_id, a.pos AS i, b.pos AS j, c.pos AS m, {G.chirality('a', 'b', 'c')} AS side FROM el1 a JOIN el1 b ON a.record_id = b.record_id AND a.pos < b.pos JOIN el1 c ON a.record_id = c.record_id AND b.pos < c.pos WHERE a.record_id < 100")
+@query("chirality_triples", GEOM + f"SELECT a.record_id, a.pos AS i, b.pos AS j, c.pos AS m, {G.chirality('a', 'b', 'c')} AS side FROM el1 a JOIN el1 b ON a.record_id = b.record_id AND a.pos < b.pos JOIN el1 c ON a.record_id = c.record_id AND b.pos < c.pos")
 def chirality_triples(spark, sf_dir):
-    return _pairs(spark, sf_dir).where("record_id < 100").join(X.elements_of(X.geometric(spark, sf_dir)).select("record_id", F.col("pos").alias("m"), F.struct("fx", "fy", "fz", "lx", "ly", "lz").alias("c")), "record_id").where("m > j").select("record_id", "i", "j", "m", F.expr(G.chirality("a", "b", "c")).alias("side"))
+    return _pairs(spark, sf_dir).join(X.elements_of(X.geometric(spark, sf_dir)).select("record_id", F.col("pos").alias("m"), F.struct("fx", "fy", "fz", "lx", "ly", "lz").alias("c")), "record_id").where("m > j").select("record_id", "i", "j", "m", F.expr(G.chirality("a", "b", "c")).alias("side"))
 
 
 @query("code_match_table", f"SELECT h AS held, w AS wanted, {C.code_matches('h', 'w')} AS ok FROM (SELECT unnest({list(C.RECORD_CODES)}) AS h), (SELECT unnest({list(C.QUERY_CODES)}) AS w)")

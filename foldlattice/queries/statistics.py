@@ -107,16 +107,31 @@ def jaccard_null_hash(spark, sf_dir):
     return c.agg(both.alias("both"), either.alias("either"), F.round(both / either, 6).alias("jaccard"))
 
 
-@query("fisher_exact")
+_CHOOSE = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+_FISHER = HITS + f""", w AS (SELECT count(*) FILTER (WHERE source = 'P') AS wp, count(*) FILTER (WHERE source <> 'P') AS wo FROM hits), c AS (SELECT sk, ty, count(*) FILTER (WHERE source = 'P') AS a, count(*) FILTER (WHERE source <> 'P') AS b FROM hits GROUP BY 1, 2),
+t AS (SELECT c.*, wp, wp + wo AS n, unnest(range(greatest(0, a + b - wo), least(a + b, wp) + 1)) AS k FROM c, w),
+l AS (SELECT sk, ty, a, b, {_CHOOSE.format(n='wp', k='k')} + {_CHOOSE.format(n='(n - wp)', k='(a + b - k)')} - ({_CHOOSE.format(n='n', k='(a + b)')}) AS lp, k = a AS seen FROM t),
+s AS (SELECT sk, ty, max(CASE WHEN seen THEN lp END) AS lp FROM l GROUP BY 1, 2),
+p AS (SELECT l.sk, l.ty, a, b, least(1.0, sum(CASE WHEN l.lp <= s.lp + 1e-7 THEN exp(l.lp) ELSE 0 END)) AS p FROM l JOIN s USING (sk, ty) GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (ORDER BY p, sk, ty) AS k, count(*) OVER () AS m FROM p)
+SELECT sk, ty, a, b, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r"""
+
+
+@query("fisher_exact", _FISHER)
 def fisher_exact(spark, sf_dir):
     own = hits(spark, sf_dir)
     whole = own.agg(F.count_if(F.col("source") == "P").alias("wp"), F.count_if(F.col("source") != "P").alias("wo"))
     cells = own.groupBy("sk", "ty").agg(F.count_if(F.col("source") == "P").alias("a"), F.count_if(F.col("source") != "P").alias("b")).crossJoin(whole)
     tested = S.fisher_exact(cells.withColumns({"c": F.col("wp") - F.col("a"), "d": F.col("wo") - F.col("b")}), "a", "b", "c", "d")
-    return S.bh_adjust(tested.select("sk", "ty", "a", "b", "p"))
+    return S.bh_adjust(tested.select("sk", "ty", "a", "b", "p")).select("sk", "ty", "a", "b", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+_BINOM = HITS + f""", c AS (SELECT sk, count(*) FILTER (WHERE source = 'P') AS k, count(*) AS n FROM hits GROUP BY 1), t AS (SELECT *, unnest(range(0, n + 1)) AS i FROM c), l AS (SELECT sk, k, n, i, {_CHOOSE.format(n='n', k='i')} + n * ln(0.5) AS lp FROM t), s AS (SELECT sk, lp FROM l WHERE i = k)
+SELECT l.sk, k, n, 0.5::DOUBLE AS share, round(least(1.0, sum(CASE WHEN l.lp <= s.lp + 1e-7 THEN exp(l.lp) ELSE 0 END)), 6) AS p_binom, round(least(1.0, sum(CASE WHEN i >= k THEN exp(l.lp) ELSE 0 END)), 6) AS p_greater FROM l JOIN s USING (sk) GROUP BY 1, 2, 3"""
 
 
-@query("binom_test")
+@query("binom_test", _BINOM)
 def binom_test(spark, sf_dir):
     cells = hits(spark, sf_dir).groupBy("sk").agg(F.count_if(F.col("source") == "P").alias("k"), F.count("*").alias("n")).withColumn("share", F.lit(0.5))
-    return S.binomial_test(cells, "k", "n", "share")
+    both = S.binomial_test(S.binomial_test(cells, "k", "n", "share"), "k", "n", "share", "p_greater", greater=True)
+    return both.withColumns({c: F.round(c, 6) for c in ("p_binom", "p_greater")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
-from foldlattice.operators.signatures import connected_signatures
+from foldlattice.operators.signatures import connected_signatures, two_sheet_signatures
 from foldlattice.operators.search import search
 from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
 from foldlattice.plans.motif import motif_sql
@@ -90,3 +90,41 @@ JOIN adj a12 ON a12.record_id = e1.record_id AND a12.i = e1.pos AND a12.j = e2.p
 WHERE CAST(a12.a AS INT) + CAST(a13.a AS INT) + CAST(a23.a AS INT) >= 2) SELECT sig, count(DISTINCT record_id) AS records, count(*) AS subsets FROM s GROUP BY sig""")
 def signature_vocabulary(spark, sf_dir):
     return connected_signatures(X.geometric(spark, sf_dir)).groupBy("sig").agg(F.countDistinct("record_id").alias("records"), F.count("*").alias("subsets"))
+
+
+def _five_sql() -> str:
+    pairs = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
+    joins = " ".join(f"JOIN fit e{k} ON e{k}.record_id = e1.record_id AND e{k}.pos > e{k - 1}.pos" for k in range(2, 6))
+    bits = " ".join(f"JOIN adj a{a}{b} ON a{a}{b}.record_id = e1.record_id AND a{a}{b}.i = e{a}.pos AND a{a}{b}.j = e{b}.pos" for a, b in pairs)
+    near = ", ".join(" + ".join(f"{1 << (o - 1)} * c{min(k, o)}{max(k, o)}" for o in range(1, 6) if o != k) + f" AS m{k}" for k in range(1, 6))
+    steps = ""
+    for n in range(4):
+        steps += f", r{n + 1} AS (SELECT * EXCLUDE (reach), reach | " + " | ".join(f"CASE WHEN reach & {1 << (k - 1)} <> 0 THEN m{k} ELSE 0 END" for k in range(1, 6)) + f" AS reach FROM r{n})"
+    part = " || ".join(f"CAST(len(list_distinct(list_slice(s, 1, list_position(s, s[{k}]) - 1))) AS VARCHAR)" for k in range(1, 6))
+    return f""", adj AS (SELECT record_id, i, j, CASE WHEN code <> '-' THEN 1 ELSE 0 END AS a FROM ct1),
+fit AS (SELECT e.record_id, e.pos, coalesce(s.sheet, 0) AS sheet FROM el1 e LEFT JOIN (SELECT record_id, pos, sheet FROM sh1) s ON s.record_id = e.record_id AND s.pos = e.pos WHERE (etype = 'H' AND length >= 8) OR (etype = 'E' AND length >= 5)),
+five AS (SELECT e1.record_id, concat_ws(',', e1.pos, e2.pos, e3.pos, e4.pos, e5.pos) AS positions, [e1.sheet, e2.sheet, e3.sheet, e4.sheet, e5.sheet] AS s, {', '.join(f'a{a}{b}.a AS c{a}{b}' for a, b in pairs)} FROM fit e1 {joins} {bits}),
+r0 AS (SELECT *, {near}, 1 AS reach FROM five WHERE len(list_distinct(list_filter(s, lambda x: x <> 0))) = 2){steps},
+sig AS (SELECT record_id, positions, {part} AS partition, concat({', '.join(f'c{a}{b}' for a, b in pairs)}) AS contacts FROM r4 WHERE reach = 31)"""
+
+
+@query("two_sheet_signatures", GEOM + _five_sql() + " SELECT partition, contacts, count(DISTINCT record_id) AS records, count(*) AS subsets FROM sig GROUP BY ALL")
+def two_sheet_signature_query(spark, sf_dir):
+    """Vocabulary of connected five-element subsets over two sheets."""
+    return two_sheet_signatures(X.geometric(spark, sf_dir)).groupBy("partition", "contacts").agg(F.countDistinct("record_id").alias("records"), F.count("*").alias("subsets"))
+
+
+@query("dark_to_vocabulary", GEOM + _five_sql() + """, t AS (SELECT DISTINCT partition, contacts, record_id FROM sig WHERE record_id % 2 = 1), v AS (SELECT DISTINCT partition, contacts FROM sig WHERE record_id % 2 = 0)
+SELECT record_id, count(*) AS dark FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.partition = t.partition AND v.contacts = t.contacts) GROUP BY record_id""")
+def dark_to_vocabulary(spark, sf_dir):
+    """Signatures of one half of the records that the other half's vocabulary lacks, by record."""
+    own = two_sheet_signatures(X.geometric(spark, sf_dir)).select("partition", "contacts", "record_id").distinct()
+    vocabulary = own.where("record_id % 2 = 0").select("partition", "contacts").distinct()
+    return own.where("record_id % 2 = 1").join(vocabulary, ["partition", "contacts"], "left_anti").groupBy("record_id").agg(F.count("*").alias("dark"))
+
+
+@query("fitting_histogram", GEOM + ", f AS (SELECT record_id, count(*) FILTER (WHERE (etype = 'H' AND length >= 8) OR (etype = 'E' AND length >= 5)) AS fit FROM el1 GROUP BY 1) SELECT CAST(fit AS INTEGER) AS fit, count(*) AS records FROM f GROUP BY 1")
+def fitting_histogram(spark, sf_dir):
+    """Records by how many elements are long enough."""
+    fit = F.expr("size(filter(elements, e -> (e.etype = 'H' AND e.length >= 8) OR (e.etype = 'E' AND e.length >= 5)))").alias("fit")
+    return X.geometric(spark, sf_dir).groupBy(fit).agg(F.count("*").alias("records"))
