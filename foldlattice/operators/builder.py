@@ -7,9 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from foldlattice.functions import geometry as G
+from foldlattice.sources import ssd
+
 #: Least sizes of kept elements (fixed values).
 LEAST_HELIX, LEAST_STRAND, LEAST_LINKER = 5, 2, 3
 
@@ -96,3 +100,72 @@ def strand_bonds(held: DataFrame, bonds: DataFrame, least: int = 2) -> DataFrame
     order = F.struct("a", "b")
     found = both.groupBy("record_id", "i", "j").agg(F.count("*").alias("bonds"), F.min_by("b", order).alias("first"), F.max_by("b", order).alias("last")).where(F.col("bonds") >= least)
     return found.select("record_id", "i", "j", "bonds", F.when(F.col("first") > F.col("last"), "t").otherwise("c").alias("code"))
+
+
+def ordered_elements(elements: DataFrame) -> DataFrame:
+    """Adds ``pos``: chains by first appearance, helices and linkers before strands, and within a chain by begin.
+
+    Rows carry record_id, etype, chain, begin_idx and ``at``, their place in the input; equals keep it.
+    """
+    group = F.when(F.col("etype") == "E", 1).otherwise(0)
+    ranks = elements.groupBy("record_id", "chain").agg(F.min(F.struct(group.alias("g"), F.col("at"))).alias("first"))
+    order = W.partitionBy("record_id").orderBy("first", "begin_idx", group, "at")
+    return elements.join(ranks, ["record_id", "chain"]).withColumn("pos", F.row_number().over(order)).drop("first")
+
+
+def without_marked(bonds: DataFrame, elements: DataFrame) -> DataFrame:
+    """Bonds (record_id, a, b) no end of which lies in a strand that is marked ``excluded``."""
+    marked = elements.where("excluded").select("record_id", "begin_idx", "end_idx")
+    for end in ("a", "b"):
+        x, m = bonds.alias("x"), marked.alias("m")
+        bonds = x.join(m, (F.col("x.record_id") == F.col("m.record_id")) & F.col(f"x.{end}").between(F.col("m.begin_idx"), F.col("m.end_idx")), "left_anti")
+    return bonds
+
+
+def least_distance(a: str, b: str) -> str:
+    """Least distance between two elements' residues (arrays of points), at most 1000."""
+    gap = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "xyz")
+    return f"least(1000e0, sqrt(array_min(transform({a}, p -> array_min(transform({b}, q -> {gap}))))))"
+
+
+def build_records(lines: DataFrame) -> DataFrame:
+    """``record_id, n, elements, sheets, rows`` of structure cards (file, at, line): the whole way from text to codes.
+
+    Elements get residues by their labels, are ordered and the short ones dropped; axes are fitted; strands
+    with two bonds or more are t or c; other pairs in contact by axes and residues are u, v or N by their
+    angle, but '-' within one sheet.  A file without elements gives no record.
+    """
+    residues = ssd.residues(lines).withColumnRenamed("file", "record_id").withColumn("label", F.trim("label"))
+    ends = residues.select("record_id", "chain", "label", "idx")
+    cards = ssd.elements(lines).withColumnRenamed("file", "record_id")
+    for side in ("begin", "end"):
+        cards = cards.withColumn("label", F.trim(f"{side}_label")).join(ends.withColumnRenamed("idx", f"{side}_idx"), ["record_id", "chain", "label"]).drop("label")
+    marked = cards.where("etype = 'E'")
+    cards = ordered_elements(keep_elements(cards))
+    held = residues_of(cards, residues)
+    pairs = ssd.bonds(lines).withColumnRenamed("file", "record_id")
+    for side in "ab":
+        own = ends.select("record_id", F.col("chain").alias(f"{side}_chain"), F.col("label").alias("own_label"), F.col("idx").alias(side))
+        pairs = pairs.withColumn("own_label", F.trim(f"{side}_label")).join(own, ["record_id", f"{side}_chain", "own_label"]).drop("own_label")
+    bonded = strand_bonds(held, without_marked(pairs.select("record_id", "a", "b"), marked)).select("record_id", "i", "j", F.col("code").alias("bond"))
+    axes = helix_axes(held.where("etype = 'H'")).unionByName(strand_axes(held.where("etype <> 'H'")))
+    points = _points(held).select("record_id", "pos", "ca")
+    whole = cards.select("record_id", "pos", "etype", "chain", F.trim("begin_label").alias("begin_label"), F.trim("end_label").alias("end_label"), "length", "sheet").join(axes, ["record_id", "pos"], "left").join(points, ["record_id", "pos"], "left")
+    fields = ("pos", "etype", "chain", "begin_label", "end_label", "length", "sheet", *[f"{e}{c}" for e in "fl" for c in "xyz"], "ca")
+    gathered = whole.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("own"))  # a structure's own elements
+    numbered = gathered.select("record_id", F.transform("own", lambda x, i: x.withField("pos", i + 1)).alias("own"))
+    one = numbered.select("record_id", "own", F.explode("own").alias("a")).select("record_id", "a", F.explode(F.expr("slice(own, a.pos + 1, size(own))")).alias("b"))
+    both, same = "(a.etype = 'E' AND b.etype = 'E')", "coalesce(a.sheet = b.sheet, false)"
+    near = one.withColumn("overlap", F.expr(G.overlap("a", "b"))).withColumn("gap", F.expr(least_distance("a.ca", "b.ca"))).withColumn("turn", F.expr(G.angle("a", "b")))
+    joined = near.select("record_id", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.expr(f"CASE WHEN overlap > {G.MIN_OVERLAP}e0 AND gap <= {G.MAX_DISTANCE}e0 AND NOT ({both} AND {same}) THEN CASE WHEN turn > {G.ANTIPARALLEL_ABOVE}e0 THEN 'v' WHEN turn < {G.PARALLEL_BELOW}e0 THEN 'u' ELSE 'N' END ELSE '-' END").alias("free"))
+    codes = joined.join(bonded, ["record_id", "i", "j"], "left").select("record_id", "i", "j", F.coalesce("bond", "free").alias("code"))
+    rows = codes.groupBy("record_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "code"))), lambda x: x["code"]), "").alias("row"))
+    rows = rows.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: F.concat(F.lit("*"), x["row"])).alias("upper"))
+    out = numbered.join(rows, "record_id", "left").withColumn("n", F.size("own"))
+    names = "array_distinct(filter(transform(own, e -> e.sheet), s -> s IS NOT NULL AND s <> ''))"
+    return out.select(
+        "record_id", "n",
+        F.transform("own", lambda e: F.struct(*[e[f].alias(f) for f in fields if f not in ("pos", "sheet", "ca")])).alias("elements"),
+        F.expr(f"transform({names}, s -> transform(filter(own, e -> e.sheet = s), e -> e.pos))").alias("sheets"),
+        F.expr("concat(coalesce(upper, cast(array() as array<string>)), array('*'))").alias("rows"),
+    )

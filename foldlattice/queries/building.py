@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
+from foldlattice.functions import geometry as G
 from foldlattice.operators import builder as B
 from foldlattice.operators.search import parity_of_sheets
+from foldlattice.operators.spread import cell_spread
+from foldlattice.sources import ssd
 from foldlattice.queries.motifs import _parity_sql
 
 QUERIES, SQL = {}, {}
@@ -96,3 +99,53 @@ def sheet_components(spark, sf_dir):
     """For each strand but the first of its sheet, the first strand that contacts lead to."""
     pairs = parity_of_sheets(X.geometric(spark, sf_dir)).select("record_id", F.explode("parity").alias("p")).select("record_id", F.split(F.split("p", "=")[0], "-").alias("ij"))
     return pairs.select("record_id", F.col("ij")[0].cast("int").alias("i"), F.col("ij")[1].cast("int").alias("pos")).groupBy("record_id", "pos").agg(F.min("i").alias("sheet"))
+
+
+def _cards(spark, sf_dir):
+    """Card text of every vector: three elements of its 21 residues, the later strands of every third one marked, and their bonds."""
+    base = X.read(spark, sf_dir, "embeddings").selectExpr("vec_id", "transform(sequence(0, 20), i -> named_struct('i', i + 1, " + ", ".join(f"'{c}', cast(embedding[3 * i + {k}] as double) * 40e0" for k, c in enumerate("xyz")) + ")) AS p")
+    ids = "sequence(1, 21)"
+    atoms = "transform(p, q -> format_string('ATOM  %5d  CA  GLY A%4d    %8.3f%8.3f%8.3f', q.i, q.i, q.x, q.y, q.z))"
+    ends = "(7 * e + 7 + CASE WHEN e < 2 THEN vec_id % 2 ELSE 0 END)"
+    strand = f"concat(rpad(concat('SHEET      ', lpad(concat('S', e % 2), 3, ' '), repeat(' ', 7), 'A', lpad(1 + 7 * e, 4, ' ')), 33, ' '), lpad({ends}, 4, ' '), repeat(' ', 33), CASE WHEN e = 2 AND vec_id % 3 = 1 THEN 'm' ELSE ' ' END, lpad({ends} - 7 * e, 5, ' '))"
+    linker = f"concat(rpad(concat('LINKER', repeat(' ', 13), 'A ', lpad(1 + 7 * e, 4, ' ')), 31, ' '), 'A ', lpad({ends}, 4, ' '), repeat(' ', 34), lpad({ends} - 7 * e, 5, ' '))"
+    cards = f"transform(sequence(0, 2), e -> CASE WHEN (vec_id + e) % 3 = 0 THEN {linker} ELSE {strand} END)"
+    bonds = f"flatten(transform({ids}, a -> transform(filter({ids}, b -> (vec_id + a * b) % 11 = 0 AND b - a > 3), b -> concat('PAIRS  ', lpad('1', 6, ' '), repeat(' ', 6), 'A ', lpad(a, 4, ' '), repeat(' ', 6), 'A ', lpad(b, 4, ' ')))))"
+    return base.select(F.col("vec_id").cast("string").alias("file"), F.posexplode(F.expr(f"concat({cards}, {bonds}, {atoms})")).alias("at", "line"))
+
+
+def _built_sql() -> str:
+    res = RESIDUES.replace("* 40 AS x", "* 40 AS x0").replace("* 40 AS y", "* 40 AS y0").replace("* 40 AS z", "* 40 AS z0").replace("WITH res AS (SELECT", "WITH raw AS (SELECT", 1)
+    res = res.replace("range(21) r(i)),", "range(21) r(i)), res AS (SELECT record_id, chain, idx, round(x0, 3) AS x, round(y0, 3) AS y, round(z0, 3) AS z FROM raw),", 1).replace("THEN 'H' ELSE 'E' END AS etype", "THEN 'L' ELSE 'E' END AS etype")
+    axes = _strand_sql().replace(" WHERE etype = 'E'", "").replace("round(", "(").replace(", 5) AS", ") AS")
+    axes, tail = axes.rsplit(" SELECT record_id, pos,", 1)
+    el = f", el AS (SELECT record_id, pos,{tail}), ax AS (SELECT el.*, els.etype, CASE WHEN els.etype = 'E' THEN (els.pos - 1) % 2 END AS sheet FROM el JOIN els USING (record_id, pos))"
+    gap = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "xyz")
+    return res + axes + el + f""", gp AS (SELECT p.record_id, p.pos AS i, q.pos AS j, least(1000.0, sqrt(min({gap}))) AS gap FROM held p JOIN held q ON p.record_id = q.record_id AND p.pos < q.pos GROUP BY 1, 2, 3),
+mk AS (SELECT record_id, begin_idx, end_idx FROM els WHERE etype = 'E' AND pos = 3 AND record_id % 3 = 1),
+hb AS (SELECT a.record_id, a.idx AS a, b.idx AS b FROM res a JOIN res b ON a.record_id = b.record_id AND (a.record_id + a.idx * b.idx) % 11 = 0 AND abs(a.idx - b.idx) > 3 WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.record_id = a.record_id AND (a.idx BETWEEN begin_idx AND end_idx OR b.idx BETWEEN begin_idx AND end_idx))),
+hp AS (SELECT s.record_id, s.pos AS i, t.pos AS j, hb.a, hb.b FROM held s JOIN hb ON hb.record_id = s.record_id AND hb.a = s.idx JOIN held t ON t.record_id = hb.record_id AND t.idx = hb.b WHERE s.etype = 'E' AND t.etype = 'E' AND s.pos < t.pos),
+bd AS (SELECT record_id, i, j, CASE WHEN arg_min(b, a * 100 + b) > arg_max(b, a * 100 + b) THEN 't' ELSE 'c' END AS bond FROM hp GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+pr AS (SELECT a.record_id, a.pos AS i, b.pos AS j, {G.overlap('a', 'b')} AS overlap, {G.angle('a', 'b')} AS turn, a.etype = 'E' AND b.etype = 'E' AND a.sheet = b.sheet AS same FROM ax a JOIN ax b ON a.record_id = b.record_id AND a.pos < b.pos)
+SELECT CAST(pr.record_id AS VARCHAR) AS record_id, pr.i, pr.j, coalesce(bond, CASE WHEN overlap > 2.5 AND gap <= 11 AND NOT coalesce(same, false) THEN CASE WHEN turn > 95 THEN 'v' WHEN turn < 85 THEN 'u' ELSE 'N' END ELSE '-' END) AS code
+FROM pr JOIN gp ON gp.record_id = pr.record_id AND gp.i = pr.i AND gp.j = pr.j LEFT JOIN bd ON bd.record_id = pr.record_id AND bd.i = pr.i AND bd.j = pr.j"""
+
+
+@query("built_records", _built_sql())
+def built_records(spark, sf_dir):
+    """Codes of records built from card text: labels, order, axes, residue distances, bonds and sheets."""
+    return X.contacts_of(B.build_records(_cards(spark, sf_dir)))
+
+
+@query("mean_confidence", "SELECT CAST(vec_id AS VARCHAR) AS file, round(avg(CAST(round(50 + i + vec_id % 7 / 10.0, 2) AS DOUBLE)), 4) AS confidence FROM embeddings, range(21) r(i) GROUP BY vec_id")
+def mean_confidence(spark, sf_dir):
+    """Mean of the last data column over a structure's alpha carbons."""
+    lines = X.read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("file"), F.posexplode(F.expr("transform(sequence(0, 20), i -> format_string('ATOM  %5d  CA  GLY A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f', i, i, 0e0, 0e0, 0e0, 1e0, 50 + i + vec_id % 7 / 10e0))")).alias("at", "line"))
+    return ssd.mean_confidence(lines).select("file", F.round("confidence", 4).alias("confidence"))
+
+
+@query("cell_spread")
+def cell_spread_query(spark, sf_dir):
+    """Median distance after superposition among the first motifs of each label; a motif is ten points."""
+    points = X.read(spark, sf_dir, "embeddings").selectExpr("label AS cell", "vec_id AS motif", "transform(slice(embedding, 1, 30), x -> cast(x as double) * 40e0) AS points")
+    return cell_spread(points)

@@ -139,9 +139,9 @@ def one_to_one_pairs(spark, sf_dir):
 SELECT id, CAST(depth AS INTEGER) AS depth FROM d""")
 def recursive_descent(spark, sf_dir):
     """All parts below part 1, where part p hangs below floor(p / 3)."""
-    read(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("part_tree")
-    return spark.sql("""WITH RECURSIVE d(id, depth) AS (SELECT p_partkey, 0 FROM part_tree WHERE p_partkey = 1 UNION ALL
-        SELECT p.p_partkey, d.depth + 1 FROM d JOIN part_tree p ON floor(p.p_partkey / 3) = d.id WHERE p.p_partkey > 1) SELECT id, depth FROM d""")
+    parts = read(spark, sf_dir, "part").select("p_partkey")
+    return spark.sql("""WITH RECURSIVE d(id, depth) AS (SELECT p_partkey, 0 FROM {parts} WHERE p_partkey = 1 UNION ALL
+        SELECT p.p_partkey, d.depth + 1 FROM d JOIN {parts} p ON floor(p.p_partkey / 3) = d.id WHERE p.p_partkey > 1) SELECT id, depth FROM d""", parts=parts)
 
 
 @query("missing_chunks_anti", "SELECT p_partkey AS chunk FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)")

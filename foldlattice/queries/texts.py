@@ -42,14 +42,25 @@ def metamatrix_roundtrip(spark, sf_dir):
     return back.select("record_id", F.posexplode(F.arrays_zip("elements", "rows")).alias("p", "x")).select("record_id", (F.col("p") + 1).alias("pos"), "x.elements.etype", "x.elements.chain", "x.elements.length", F.expr("substring(x.rows, 2)").alias("codes"))
 
 
-@query("metamatrix_validate", "SELECT * FROM (SELECT 'records' AS problem, count(*) - count(*) FILTER (WHERE vec_id % 50 = 7) - count(*) FILTER (WHERE vec_id % 50 = 8) AS n FROM embeddings UNION ALL SELECT 'header_no_matrix', count(*) FROM embeddings WHERE vec_id % 50 = 7 UNION ALL SELECT 'orphan_block', 0 UNION ALL SELECT 'field_overflow', count(*) FROM embeddings WHERE vec_id % 50 = 8 UNION ALL SELECT 'stray', count(*) FROM embeddings WHERE vec_id % 50 = 9)")
+@query("metamatrix_validate", "SELECT * FROM (SELECT 'records' AS problem, count(*) - count(*) FILTER (WHERE vec_id % 50 = 7) - count(*) FILTER (WHERE vec_id % 50 = 8) AS n FROM embeddings UNION ALL SELECT 'header_no_matrix', count(*) FROM embeddings WHERE vec_id % 50 = 7 UNION ALL SELECT 'orphan_block', 0 UNION ALL SELECT 'extra_matrix', 0 UNION ALL SELECT 'field_overflow', count(*) FROM embeddings WHERE vec_id % 50 = 8 UNION ALL SELECT 'stray', count(*) FROM embeddings WHERE vec_id % 50 = 9)")
 def metamatrix_validate(spark, sf_dir):
-    """Damaged text: records without a matrix, with an overlong header, with a stray line."""
+    """What is wrong with damaged text."""
+    return metamatrix.validate(_damaged(spark, sf_dir))
+
+
+@query("metamatrix_clean", "SELECT CAST(vec_id AS VARCHAR) AS record_id, CAST(10 AS INTEGER) AS n FROM embeddings WHERE vec_id % 50 NOT IN (7, 8)")
+def metamatrix_clean(spark, sf_dir):
+    """Records of damaged text that are left when it is cleaned."""
+    return metamatrix.parse(metamatrix.clean(_damaged(spark, sf_dir))).select("record_id", "n")
+
+
+def _damaged(spark, sf_dir):
+    """Records without a matrix, with an overlong header, with a stray line."""
     own = F.floor(F.col("at") / 100)
     lines = _lines(spark, sf_dir).where(~((F.pmod(own, F.lit(50)) == 7) & F.col("line").startswith("*")))
     lines = lines.withColumn("line", F.when((F.pmod(own, F.lit(50)) == 8) & F.col("line").contains(".ssd"), F.concat("line", F.lit("9"))).otherwise(F.col("line")))
     stray = lines.where((F.pmod(own, F.lit(50)) == 9) & F.col("line").startswith("*")).select("file", F.col("at") + 1, F.lit("?? stray").alias("line"))
-    return metamatrix.validate(lines.unionByName(stray.toDF("file", "at", "line")))
+    return lines.unionByName(stray.toDF("file", "at", "line"))
 
 
 @query("matrix_explode", TOPO + "SELECT e.record_id, e.pos AS row, '*' || coalesce(string_agg(c.code, '' ORDER BY c.j), '') AS codes FROM el2 e LEFT JOIN ct2 c ON c.record_id = e.record_id AND c.i = e.pos GROUP BY ALL")

@@ -1,7 +1,7 @@
 """Fixed-width record text: header with elements, sheet lines, one packed matrix line.
 
-``write`` and ``read`` are inverse up to the three decimals of coordinates.  Line order counts, so
-lines carry their place within their file.
+``write`` and ``parse`` of ``read_lines`` are inverse up to the three decimals of coordinates.  Line order
+counts, so lines carry their place within their file.
 """
 
 from __future__ import annotations
@@ -26,9 +26,18 @@ def render(records: DataFrame, id_column: str = "record_id") -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Kind of each line of ``file, at, line`` and the running number of its header within the file."""
+    """Kind of each line of ``file, at, line[, block]`` and the running number of its header within the file.
+
+    ``block`` is the file's split that a line was read in: headers are counted by split, the splits' few
+    counts are summed up, and lines are numbered within their split.
+    """
     kind = F.when(F.trim("line") == "", "blank").when(F.col("line").startswith("sheet "), "sheet").when(F.substring("line", 1, 32).contains(".ssd"), "header").when(F.col("line").startswith("*"), "matrix").otherwise("other")
-    return lines.withColumn("kind", kind).withColumn("record", F.sum((F.col("kind") == "header").cast("int")).over(W.partitionBy("file").orderBy("at")))
+    own = lines if "block" in lines.columns else lines.withColumn("block", F.lit(0).cast("long"))
+    own = own.withColumn("kind", kind)
+    heads = own.groupBy("file", "block").agg(F.count_if(F.col("kind") == "header").alias("heads"))
+    before = heads.select("file", "block", F.coalesce(F.sum("heads").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum((F.col("kind") == "header").cast("int")).over(W.partitionBy("file", "block").orderBy("at"))
+    return own.withColumn("within", within).join(before, ["file", "block"]).withColumn("record", F.col("within") + F.col("before")).drop("within", "before")
 
 
 def _element(at: str) -> str:
@@ -46,8 +55,8 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     grouped = numbered(lines).where("record > 0").groupBy("file", "record").agg(
         F.max(F.when(F.col("kind") == "header", F.col("line"))).alias("header"),
-        F.min_by(F.when(F.col("kind") == "matrix", F.col("line")), F.when(F.col("kind") == "matrix", F.col("at"))).alias("matrix"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "sheet", F.struct("at", "line")))).alias("sheet_lines"),  # a record's own few lines
+        F.min_by(F.when(F.col("kind") == "matrix", F.col("line")), F.when(F.col("kind") == "matrix", F.struct("block", "at"))).alias("matrix"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "sheet", F.struct("block", "at", "line")))).alias("sheet_lines"),  # a record's own few lines
     )
     n = F.expr(f"try_cast(trim(substring(header, {COUNT_AT}, 4)) as int)")
     whole = grouped.withColumn("n", n).where(f"n > 0 AND matrix IS NOT NULL AND length(header) = {ELEMENTS_AT - 1} + {ELEMENT_WIDTH} * n")
@@ -61,29 +70,42 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
-def validate(lines: DataFrame) -> DataFrame:
-    """``problem, n``: records and what is wrong with the rest."""
-    own = numbered(lines)
+def _checked(own: DataFrame) -> DataFrame:
+    """One row a header (or the lines before the first): what it has and lacks."""
     per = own.groupBy("file", "record").agg(
         F.max(F.when(F.col("kind") == "header", F.col("line"))).alias("header"), F.count_if(F.col("kind") == "header").alias("headers"), F.count_if(F.col("kind") == "matrix").alias("matrices"), F.count_if(F.col("kind").isin("sheet", "matrix")).alias("blocks"), F.count_if(F.col("kind") == "other").alias("other")
     )
     n = F.coalesce(F.expr(f"try_cast(trim(substring(header, {COUNT_AT}, 4)) as int)"), F.lit(-1))
-    overflow = (F.col("headers") > 0) & (F.length("header") != ELEMENTS_AT - 1 + ELEMENT_WIDTH * n)
+    return per.withColumn("overflow", (F.col("headers") > 0) & (F.length("header") != ELEMENTS_AT - 1 + ELEMENT_WIDTH * n)).withColumn("sound", (F.col("headers") > 0) & (F.col("matrices") > 0) & ~F.col("overflow"))
+
+
+def validate(lines: DataFrame) -> DataFrame:
+    """``problem, n``: records and what is wrong with the rest."""
     checks: dict[str, Column] = {
-        "records": F.count_if((F.col("headers") > 0) & (F.col("matrices") > 0) & ~overflow),
+        "records": F.count_if("sound"),
         "header_no_matrix": F.count_if((F.col("headers") > 0) & (F.col("matrices") == 0)),
         "orphan_block": F.count_if((F.col("headers") == 0) & (F.col("blocks") > 0)),
-        "field_overflow": F.count_if(overflow),
+        "extra_matrix": F.coalesce(F.sum(F.when(F.col("headers") > 0, F.greatest(F.col("matrices") - 1, F.lit(0)))), F.lit(0)),
+        "field_overflow": F.count_if("overflow"),
         "stray": F.coalesce(F.sum("other"), F.lit(0)),
     }
-    wide = per.agg(*[v.cast("long").alias(k) for k, v in checks.items()])
+    wide = _checked(numbered(lines)).agg(*[v.cast("long").alias(k) for k, v in checks.items()])
     return wide.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*checks))).alias("problem", "n"))
 
 
+def clean(lines: DataFrame) -> DataFrame:
+    """``file, at, line`` of well-formed records only: their header, sheet lines and first matrix."""
+    own = numbered(lines)
+    sound = _checked(own).where("sound").select("file", "record")
+    kept = own.where(F.col("kind").isin("header", "sheet", "matrix")).join(sound, ["file", "record"], "left_semi")
+    first = F.row_number().over(W.partitionBy("file", "record", "kind").orderBy("block", "at"))
+    return kept.withColumn("nth", first).where("kind <> 'matrix' OR nth = 1").select("file", "at", "line")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, at, line``: each file's lines in order; a file is one record of the text source, cut in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("at", "line"))
+    """``file, block, at, line``: lines in order within the split of the file that they were read in, however large the file."""
+    own = spark.read.text(path)
+    return own.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
 def write(records: DataFrame, path: str, chunks: int) -> None:

@@ -45,8 +45,19 @@ def elements(lines: DataFrame) -> DataFrame:
 
 
 def bonds(lines: DataFrame) -> DataFrame:
-    """``file, at, a_chain, a_label, b_chain, b_label``: each pair in both directions; wide serial numbers shift its columns by one."""
-    own = lines.where(F.col("line").startswith("PAIRS")).withColumn("shift", F.when(F.length(F.trim(_cut(8, 6))) >= 4, 1).otherwise(0))
+    """``file, at, a_chain, a_label, b_chain, b_label``: each pair in both directions.
+
+    A serial number of four places shifts its columns by one; a longer one is an error.
+    """
+    size = F.length(F.replace(_cut(8, 6), F.lit(" "), F.lit("")))
+    wide = F.raise_error(F.concat(F.lit("PAIRS card with a serial number of over four places: "), "line")).cast("int")
+    own = lines.where(F.col("line").startswith("PAIRS")).withColumn("shift", F.when(size > 4, wide).when(size == 4, 1).otherwise(0))
     parts = [F.expr(f"substring(line, {at} + shift, {size})").alias(name) for name, at, size in (("a_chain", 20, 1), ("a_label", 22, 5), ("b_chain", 32, 1), ("b_label", 34, 5))]
     one = own.select("file", "at", *parts)
     return one.unionByName(one.select("file", "at", F.col("b_chain").alias("a_chain"), F.col("b_label").alias("a_label"), F.col("a_chain").alias("b_chain"), F.col("a_label").alias("b_label"))).dropDuplicates(["file", "a_chain", "a_label", "b_chain", "b_label"])
+
+
+def mean_confidence(lines: DataFrame) -> DataFrame:
+    """``file, confidence``: mean over alpha carbons of the number in an atom's last data column."""
+    atoms = lines.where(F.col("line").startswith("ATOM") & (F.trim(_cut(13, 4)) == "CA"))
+    return atoms.groupBy("file").agg(F.avg(F.expr("try_cast(trim(substring(line, 61, 6)) as double)")).alias("confidence"))
