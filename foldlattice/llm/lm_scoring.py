@@ -29,8 +29,9 @@ MU = 300.0
 #: Characters of text that a scoring batch, and a shard of counts, is planned for.
 BATCH_CHARS = 16_000_000
 SHARD_CHARS = 8_000_000
-#: Characters after which counting hands over what it has.
+#: Characters after which counting hands over what it has, and bytes of rows that are packed together.
 COUNT_CHARS = 16_000_000
+PACKED_BYTES = 16_000_000
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,18 +296,27 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 def _packed_rows(batched: DataFrame) -> DataFrame:
     """``batch, rows``: documents as compressed Arrow streams, which travel in less than plain rows."""
 
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        own, content = whole["batch"].to_numpy(), whole.select(["doc_id", "text", "training"])
+        found, streams = np.unique(own), []
+        for batch in found:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(content.filter(pa.array(own == batch)).combine_chunks())
+            streams.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(streams, pa.binary())], ["batch", "rows"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held, size = [], 0
         for rows in batches:
-            own, content = rows.column(0).to_numpy(), pa.Table.from_batches([rows.select(["doc_id", "text", "training"])])
-            found = np.unique(own)
-            packed = []
-            for batch in found:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, content.schema, options=options) as out:
-                    out.write_table(content.filter(pa.array(own == batch)).combine_chunks())
-                packed.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(packed, pa.binary())], ["batch", "rows"])
+            held.append(rows)
+            size += rows.nbytes
+            if size > PACKED_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return batched.select("batch", "doc_id", "text", "training").transform(in_arrow, work, "batch long, rows binary")
 
