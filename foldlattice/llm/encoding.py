@@ -204,6 +204,7 @@ class PieceEncoder:
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: dict[str, int], cut_at_spaces: bool, top_id: int):
         self.encode_many, self.special, self.cut_at_spaces, self.top_id = encode_many, special, cut_at_spaces, top_id
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.any_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _pieces(self, text: str) -> list[str]:
@@ -236,8 +237,11 @@ class PieceEncoder:
         plans = self._plans(texts)
         missing = set().union(*(x for plan in plans for x in plan if isinstance(x, list)))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list(missing.difference(self.known))
+            self.known, self.older = {}, self.known
+        missing.difference_update(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in again)
+        missing = list(missing.difference(again))
         once = {}
         if missing:
             got = self.encode_many([p[1:] if p[:1] == "\0" else " " + p for p in missing])
@@ -249,31 +253,41 @@ class PieceEncoder:
 
 
 class _LibraryPieces(dict):
-    """Packed ids of pieces by the library's model; a missing piece is encoded and remembered."""
+    """Packed ids of pieces by the library's model; a missing piece is encoded and remembered.
+
+    A full memory becomes the older one, which is asked before a piece is encoded again.  A word with a
+    mark behind it is the word's ids and the mark's.
+    """
 
     def __init__(self, library, letter: dict[int, str]):
         super().__init__()
-        self.model, self.letter = library.model, letter
+        self.model, self.letter, self.older = library.model, [letter[b] for b in range(256)], {}
         self.space = letter[0x20]
-        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in ".,;:!?"}
+        self.marks = {m: self._packed(m) for m in ".,;:!?"}
+
+    def _packed(self, token: str) -> bytes:
+        """Ids of one pre-token, given as its bytes' letters."""
+        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+
+    def _lettered(self, text: str) -> str:
+        return "".join(map(self.letter.__getitem__, text.encode("utf-8", "surrogatepass")))
 
-    def _general(self, piece: str) -> list[int]:
-        return [t.id for token in pretokens(piece) for t in self.model.tokenize(token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter))]
+    def _encoded(self, piece: str) -> bytes:
+        mark = self.marks.get(piece[-1:])
+        word = piece if mark is None else piece[:-1]
+        if not word.isalpha():  # letters alone make one pre-token with the space before them
+            return b"".join(self._packed(self._lettered(token)) for token in pretokens(piece[1:] if piece[:1] == "\0" else " " + piece))
+        if mark is not None:
+            return self[word] + mark
+        return self._packed(self.space + (word if word.isascii() else self._lettered(word)))
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[:1] == "\0":
-            ids = self._general(piece[1:])
-        elif not piece.isascii():
-            ids = self._general(" " + piece)
-        elif piece.isalpha():
-            ids = [t.id for t in self.model.tokenize(self.space + piece)]
-        elif piece[:-1].isalpha() and piece[-1] in self.marks:
-            ids = [t.id for t in self.model.tokenize(self.space + piece[:-1])] + self.marks[piece[-1]]
-        else:
-            ids = self._general(" " + piece)
-        packed = array("I", ids).tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self._encoded(piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -320,7 +334,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = forced_cut_encoder(vocabulary)
         for batch in batches:
-            for ids, texts in texts_in(batch):
+            for ids, texts in texts_in(batch, 4_000_000):
                 packed = encoder.packed_many(texts)
                 decoded = [bpe.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
