@@ -74,7 +74,8 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
     """
     needed = {t: motif.types.count(t) for t in "HEL"}
     now = composition(records).where(F.col("n") >= motif.k).where(" AND ".join(f"n_{t} >= {c}" for t, c in needed.items())).drop("n_H", "n_E", "n_L")
-    held = now.columns
+    kinds = {r.kind for r in motif.requirements}
+    now = now.select("record_id", "n", "elements", "rows", *["sheets"] * bool(kinds & {"sheetS", "sheetD"}), *["parity"] * bool(kinds & {"parallel", "antiparallel"}))
     for level in range(1, motif.k + 1):
         own = "element_at(elements, p)"
         when = [type_matches(f"{own}.etype", f"'{motif.types[level - 1]}'")]
@@ -94,7 +95,6 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
     picked = [f"p{i}" for i in range(1, motif.k + 1)]
     # all matches of a record stem from one row, so this window needs one exchange of short rows
     order = W.partitionBy("record_id").orderBy(*[F.desc(p) for p in picked])
-    assert set(held) >= {"record_id", "n", "elements", "rows"}
     return now.select("record_id", *picked).select(F.lit(motif.motif_id).alias("query_id"), "record_id", F.row_number().over(order).alias("motif_idx"), F.concat_ws(",", *picked).alias("positions"))
 
 
@@ -119,14 +119,31 @@ def _conditions(motif: Motif) -> tuple[list[tuple], list[tuple]]:
 def _condition_sql(kind: str, places: tuple[int, ...]) -> str:
     if kind == "chain":
         return " AND ".join(f"c{i} = c{places[0]}" for i in places[1:])
-    if kind == "sheet":  # sheets as bits where a record has few of them
-        bits = " & ".join(f"element_at(within, p{i})" for i in places)
-        any_sheet = f"exists(sheets, s -> {' AND '.join(f'array_contains(s, p{i})' for i in places)})"
-        return f"CASE WHEN size(sheets) = 0 THEN true WHEN size(sheets) < 63 THEN ({bits}) <> 0 ELSE {any_sheet} END"
+    if kind == "sheet":  # an element's sheets are bits of its w
+        return f"({' & '.join(f'w{i}' for i in places)}) <> 0"
     i, j = places
     return f"array_contains(parity, concat(p{i}, '-', p{j}, '={0 if kind == 'parallel' else 1}'))"
 
 
+def _flags_sql(flags: list[tuple], k: int) -> str:
+    """A number with a bit for each condition that holds.
+
+    All sheet conditions hold where a record has no sheets; where it has more than a number has bits, they
+    are looked up in the sheets themselves.
+    """
+    parts = {True: [], False: []}
+    for at, f in enumerate(flags):
+        parts[f[0] == "sheet"].append(f"CASE WHEN {_condition_sql(*f)} THEN {1 << at}L ELSE 0L END")
+    out = list(parts[False])
+    if parts[True]:
+        own = [(1 << at, f[1]) for at, f in enumerate(flags) if f[0] == "sheet"]
+        listed = ", ".join(f"named_struct('bit', {bit}L, 'places', array({', '.join(map(str, places))}))" for bit, places in own)
+        picked = ", ".join(f"p{i}" for i in range(1, k + 1))
+        looked = f"aggregate(filter(array({listed}), f -> exists(sheets, s -> forall(f.places, i -> array_contains(s, element_at(array({picked}), i))))), 0L, (a, f) -> a | f.bit)"
+        out.append(f"CASE WHEN size(sheets) = 0 THEN {sum(bit for bit, _ in own)}L WHEN size(sheets) < 63 THEN ({' | '.join(parts[True])}) ELSE {looked} END")
+    return " | ".join(out)
+
+
 def _motif_rows(motifs: list[Motif], flags: list[tuple]) -> list[tuple]:
     """One row for each motif and typing that it stands for: accepted codes, needed and banned flags, length limits, handedness."""
     out = []
@@ -180,13 +197,15 @@ def _sweep_size(records: DataFrame, motifs: list[Motif], k: int, heavy: int | No
         prefixes = {r[1][:level] for r in rows}
         if len(prefixes) < len(limits) ** level:
             now = now.where(F.concat(*[f"t{i}" for i in range(1, level + 1)]).isin(sorted(prefixes)))
+        if "sheet" in kinds:
+            now = now.withColumn(f"w{level}", F.expr(f"element_at(within, p{level})"))
         if all(m.one_chain for m in motifs) and level > 1:
             now = now.where(f"c{level} = c1")
     code = {(i, j): f"shiftleft(1L, instr('{RECORD_CODES}', {code_at('rows', f'p{i}', f'p{j}')}) - 1 + {6 * (at % PAIRS)})" for (i, j), at in slot.items()}
     chunks = [" | ".join(c for p, c in code.items() if slot[p] // PAIRS == b) for b in range(-(-len(code) // PAIRS))]
-    held = [" | ".join(f"CASE WHEN {_condition_sql(*f)} THEN {1 << k}L ELSE 0L END" for k, f in enumerate(flags[b : b + FLAGS])) for b in range(0, len(flags), FLAGS)]
+    held = [_flags_sql(flags[b : b + FLAGS], k) for b in range(0, len(flags), FLAGS)]
     now = now.withColumns({f"m{b}": F.expr(x) for b, x in enumerate(chunks)} | {f"h{b}": F.expr(x) for b, x in enumerate(held)} | {"types": F.concat(*[f"t{i}" for i in range(1, k + 1)])})
-    now = now.drop("fit", "rows", "etypes", "chains", "sheets", "within", "parity", *[f"{x}{i}" for x in "qtc" for i in range(1, k + 1)])
+    now = now.drop("fit", "rows", "etypes", "chains", "sheets", "within", "parity", *[f"{x}{i}" for x in "qtcw" for i in range(1, k + 1)])
     on = [f"s.m{b} & element_at(o.accepted, {b + 1}) = s.m{b}" for b in range(len(chunks))]
     for b in range(len(held)):
         on += [f"s.h{b} & element_at(o.need, {b + 1}) = element_at(o.need, {b + 1})", f"s.h{b} & element_at(o.ban, {b + 1}) = 0"]

@@ -94,12 +94,12 @@ def validate(lines: DataFrame) -> DataFrame:
 
 
 def clean(lines: DataFrame) -> DataFrame:
-    """``file, at, line`` of well-formed records only: their header, sheet lines and first matrix."""
+    """The lines, with the columns given, of well-formed records only: header, sheet lines and first matrix."""
     own = numbered(lines)
     sound = _checked(own).where("sound").select("file", "record")
     kept = own.where(F.col("kind").isin("header", "sheet", "matrix")).join(sound, ["file", "record"], "left_semi")
     first = F.row_number().over(W.partitionBy("file", "record", "kind").orderBy("block", "at"))
-    return kept.withColumn("nth", first).where("kind <> 'matrix' OR nth = 1").select("file", "at", "line")
+    return kept.withColumn("nth", first).where("kind <> 'matrix' OR nth = 1").select(*lines.columns)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

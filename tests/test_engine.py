@@ -19,7 +19,7 @@ from foldlattice.queries.motifs import MOTIFS
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"skeleton_counts", "typed_query_counts"}
+SLOW = {"skeleton_counts", "rcc_counts"}
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +77,6 @@ def test_motif_text():
 
 def test_enumeration_counts(spark):
     assert [L.skeletons(spark, n).count() for n in (1, 2, 3, 4)] == [1, 1, 5, 42]
-    assert L.typed_motifs(spark, 3).count() == 40
     mirror = tuple((q + r, -r) for q, r in ((0, 0), (1, 0), (0, 1)))
     assert L.canonical(mirror) != L.canonical(((0, 0), (1, 0), (0, 1)))
     assert L.canonical(tuple(L.turned((q + 3, r - 2), 2) for q, r in ((0, 0), (1, 0), (0, 1)))) == L.canonical(((0, 0), (1, 0), (0, 1)))
@@ -116,7 +115,7 @@ def test_exact_tests(spark):
     assert S.binomial_two_sided(2, 10, 0.5) == pytest.approx(0.109375)
     rows = Q.queries()["fisher_exact"](spark, SF).collect()
     assert rows and all(0 <= r["p"] <= r["q"] <= 1 for r in rows)
-    assert all(r["p_binom"] == pytest.approx(S.binomial_two_sided(r["k"], r["n"], 0.5)) for r in Q.queries()["binom_test"](spark, SF).collect())
+    assert all(r["p_binom"] == pytest.approx(S.binomial_two_sided(r["k"], r["n"], 0.5), abs=1e-6) for r in Q.queries()["binom_test"](spark, SF).collect())
 
 
 def test_entry(spark):
