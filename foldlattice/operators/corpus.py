@@ -182,3 +182,10 @@ def one_larger(seed: Points, types: str, name: str) -> list[Motif]:
                 seen.add((canonical(c), own))
                 out.append(m)
     return out
+
+
+def crowded(motif: Motif) -> bool:
+    """Whether a motif asks one strand of a sheet for three or more bonded neighbours, which strands hardly have."""
+    bonded = [i for pair, c in motif.codes.items() if c in "ct" for i in pair]
+    held = {i for r in motif.requirements if r.kind == "sheetS" for i in r.elements}
+    return any(bonded.count(i) > 2 for i in held)

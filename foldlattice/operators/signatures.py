@@ -17,8 +17,8 @@ def connected_signatures(records: DataFrame) -> DataFrame:
     return three.where(" + ".join(f"({b})" for b in bits) + " >= 2").select("record_id", "i", "j", "m", F.expr(f"concat({', '.join(bits)})").alias("sig"))
 
 
-def two_sheet_signatures(records: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
-    """``record_id, positions, partition, contacts`` of connected five-element subsets over exactly two sheets.
+def two_sheet_signatures(records: DataFrame, least: dict[str, int] | None = None, any_sheets: bool = False) -> DataFrame:
+    """``record_id, positions, partition, contacts`` of connected five-element subsets over exactly two sheets, or over any.
 
     Elements count from their type's ``least`` length on (helices 8, strands 5).  ``partition`` names each
     element's sheet by first appearance, elements of no sheet together; ``contacts`` are the ten contact
@@ -31,7 +31,7 @@ def two_sheet_signatures(records: DataFrame, least: dict[str, int] | None = None
     for k in range(1, 6):
         first = "1" if k == 1 else f"q{k - 1} + 1"
         now = now.select("*", F.explode(F.expr(f"sequence({first}, size(fit) - {5 - k})")).alias(f"q{k}")).withColumn(f"p{k}", F.expr(f"element_at(fit, q{k})"))
-    now = now.withColumn("s", F.expr(f"array({', '.join(f'element_at(own, p{k})' for k in range(1, 6))})")).where("size(array_remove(array_distinct(s), 0)) = 2")
+    now = now.withColumn("s", F.expr(f"array({', '.join(f'element_at(own, p{k})' for k in range(1, 6))})")).where("true" if any_sheets else "size(array_remove(array_distinct(s), 0)) = 2")
     pairs = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
     now = now.withColumns({f"c{a}{b}": F.expr(f"CASE WHEN {code_at('rows', f'p{a}', f'p{b}')} <> '-' THEN 1 ELSE 0 END") for a, b in pairs})
     near = {k: " + ".join(f"{1 << (o - 1)} * c{min(k, o)}{max(k, o)}" for o in range(1, 6) if o != k) for k in range(1, 6)}

@@ -110,6 +110,13 @@ def targeted_six(spark, sf_dir):
     return spark.createDataFrame([(m.motif_id, "".join(m.types), write_motif(m)) for m in made], "query_id string, types string, text string")
 
 
+@query("crowded_motifs")
+def crowded_motifs(spark, sf_dir):
+    """Motifs of the five-element corpus that ask a strand of a sheet for three or more bonded neighbours."""
+    made = C.motifs(C.corpus(spark, 5))
+    return spark.createDataFrame([(m.motif_id, "".join(m.types)) for m in made if C.crowded(m)], "query_id string, types string")
+
+
 def _constrained():
     """Three- to five-element motifs over geometric records, between them with every kind of constraint."""
     texts = {

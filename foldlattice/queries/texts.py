@@ -139,3 +139,14 @@ def fitting_histogram(spark, sf_dir):
     """Records by how many elements are long enough."""
     fit = F.expr("size(filter(elements, e -> (e.etype = 'H' AND e.length >= 8) OR (e.etype = 'E' AND e.length >= 5)))").alias("fit")
     return X.geometric(spark, sf_dir).groupBy(fit).agg(F.count("*").alias("records"))
+
+
+@query("eligibility_classes", GEOM + _five_sql().replace("WHERE len(list_distinct(list_filter(s, lambda x: x <> 0))) = 2", "") + """, n AS (SELECT record_id, count(*) AS n, count(*) FILTER (WHERE (etype = 'H' AND length >= 8) OR (etype = 'E' AND length >= 5)) AS fit FROM el1 GROUP BY 1)
+SELECT CASE WHEN n < 5 THEN 'A' WHEN fit < 5 THEN 'B' WHEN NOT EXISTS (SELECT 1 FROM sig WHERE sig.record_id = n.record_id) THEN 'C' ELSE 'D' END AS class, count(*) AS records FROM n GROUP BY 1""")
+def eligibility_classes(spark, sf_dir):
+    """Records with too few elements (A), too few long ones (B), no five of these connected (C), and the rest (D)."""
+    records = X.geometric(spark, sf_dir)
+    fit = F.expr("size(filter(elements, e -> (e.etype = 'H' AND e.length >= 8) OR (e.etype = 'E' AND e.length >= 5)))").alias("fit")
+    joined = two_sheet_signatures(records, any_sheets=True).select("record_id").distinct().withColumn("five", F.lit(True))
+    label = F.when(F.col("n") < 5, "A").when(F.col("fit") < 5, "B").when(F.col("five").isNull(), "C").otherwise("D").alias("class")
+    return records.select("record_id", "n", fit).join(joined, "record_id", "left").groupBy(label).agg(F.count("*").alias("records"))

@@ -54,6 +54,11 @@ def test_one_larger_contains_the_seed():
         assert any(set(at) <= set(r.elements) for r in m.requirements if r.kind == "sheetS")
 
 
+def test_crowded():
+    star = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+    assert C.crowded(C.typed_motif("m", star, "EEEEE")) and not C.crowded(C.typed_motif("m", star, "HEEEE"))
+
+
 def test_sweep_equals_search(spark):
     records = parity_of_sheets(X.geometric(spark, SF)).cache()
     motifs = [m for m in C.motifs(C.corpus(spark, 3))][::5]
