@@ -12,7 +12,11 @@ from foldlattice.plans.motif import Motif
 
 
 def shared_folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
+    """The folder that all executors see; a local session may leave it unset and gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
 
 
 def sweep_stream(records: DataFrame, motif: Motif, out: str, checkpoint: str):
