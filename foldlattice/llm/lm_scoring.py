@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,10 @@ from foldlattice.llm.textblocks import U64, Words, mix, slices
 
 END, START = U64(1), U64(2)
 MU = 300.0
-#: Characters of text that a scoring batch, and a shard of counts, is planned for.
+#: Characters of text after which a scoring batch ends, and for which a shard of counts is planned.
 BATCH_CHARS = 16_000_000
 SHARD_CHARS = 8_000_000
-#: Characters after which counting hands over what it has, and bytes of rows that are packed together.
-COUNT_CHARS = 16_000_000
+#: Bytes of rows that are packed together.
 PACKED_BYTES = 16_000_000
 
 
@@ -177,7 +177,16 @@ def unpack_counts(packed: bytes, n: int) -> np.ndarray:
     return _widened(packed, n).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
-def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> DataFrame:
+def _batch_numbers(texts: list[str | None], seen: int) -> tuple[list[int], int]:
+    """The batch of each text of a task that has seen so many characters before; batches follow one another in the input's order."""
+    out = []
+    for text in texts:
+        out.append((TaskContext.get().partitionId() << 24) + seen // BATCH_CHARS)
+        seen += len(text or "") + 8
+    return out, seen
+
+
+def _count_rows(own: DataFrame, shards: int, orders: tuple[int, ...]) -> DataFrame:
     """``shard, batch, keys, counts``: distinct n-grams of a batch, by ranges of their keys, and their counts in its training rows."""
 
     def flush(batch: int, texts: list[str | None], training: list[bool]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +204,21 @@ def _count_rows(batched: DataFrame, shards: int, orders: tuple[int, ...]) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), batch)), *[pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1)]], ["shard", "batch", "keys", "counts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        size = 0
+        now, texts, marks, seen = 0, [], [], 0
         for rows in batches:
-            for batch, training, text in zip(*(rows.column(k).to_pylist() for k in range(3))):
-                texts, marks = held.setdefault(batch, ([], []))
+            training, own_texts = (rows.column(k).to_pylist() for k in (0, 1))
+            numbers, seen = _batch_numbers(own_texts, seen)
+            for batch, mark, text in zip(numbers, training, own_texts):
+                if batch != now and texts:
+                    yield from flush(now, texts, marks)
+                    texts, marks = [], []
+                now = batch
                 texts.append(text)
-                marks.append(training)
-                size += len(text or "")
-                if size > COUNT_CHARS:
-                    for b, (t, m) in held.items():
-                        yield from flush(b, t, m)
-                    held, size = {}, 0
-        for b, (t, m) in held.items():
-            yield from flush(b, t, m)
+                marks.append(mark)
+        if texts:
+            yield from flush(now, texts, marks)
 
-    return batched.select("batch", "training", "text").transform(in_arrow, work, "shard long, batch long, keys binary, counts binary")
+    return own.select("training", "text").transform(in_arrow, work, "shard long, batch long, keys binary, counts binary")
 
 
 def _unpacked(rows: pa.Table, counts: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -261,22 +269,18 @@ def corpus_totals(counts: DataFrame, shards: int) -> tuple[int, int]:
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """``doc_id, training, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    ``training`` tells the rows that are learned from.  A null or empty text is its end alone; an
+    ``training`` tells the rows that are learned from.  Batches follow the input's partitions and order, so all
+    reads of one input must be planned alike, as those of a file scan are.  A null or empty text is its end alone; an
     empty table gives no rows; repeated rows count each time.  Scores are log10 probabilities.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training.cast("boolean").alias("training"))
     # a row an input partition
-    sizes = own.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("chars")).collect()
-    parts = {r["part"]: r["chars"] for r in sizes}
-    split = max(1, -(-max(parts.values(), default=0) // BATCH_CHARS))
-    shards = max(1, -(-sum(parts.values()) // SHARD_CHARS))
-    # a row's batch follows from its input partition and id, so all reads of one input must be planned alike, as
-    # those of a file scan are; a batch holds BATCH_CHARS on average at most in the largest partition
-    batched = own.withColumn("batch", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id"), F.lit(split)))
-    n_train, n_distinct = corpus_totals(_count_rows(batched, shards, (1,)), shards)
+    sizes = [r["chars"] for r in own.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("chars")).collect()]
+    shards = max(1, -(-sum(sizes) // SHARD_CHARS))
+    n_train, n_distinct = corpus_totals(_count_rows(own, shards, (1,)), shards)
     kind = own.schema["doc_id"].dataType.simpleString()
-    answers = _answers(_count_rows(batched, shards, (1, 2)), shards).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
-    asked = _packed_rows(batched).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"))
+    answers = _answers(_count_rows(own, shards, (1, 2)), shards).select("batch", F.lit(None).cast("binary").alias("rows"), "keys", "totals")
+    asked = _packed_rows(own).select("batch", "rows", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("totals"))
 
     def work(rows: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b, e in zip(bounds, bounds[1:]):
@@ -290,35 +294,37 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             scores = _score_batch(mine["text"].to_pylist(), marks, *_unpacked(told, "totals"), n_train, n_distinct, mu)
             yield pa.RecordBatch.from_arrays([mine["doc_id"].combine_chunks(), pa.array(marks), *[pa.array(x) for x in scores]], ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", max(1, len(parts) * split))
+    return by_groups(asked.unionByName(answers), ["batch"], work, f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", max(1, sum(n // BATCH_CHARS + 1 for n in sizes)))
 
 
-def _packed_rows(batched: DataFrame) -> DataFrame:
+def _packed_rows(own: DataFrame) -> DataFrame:
     """``batch, rows``: documents as compressed Arrow streams, which travel in less than plain rows."""
 
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held)
-        own, content = whole["batch"].to_numpy(), whole.select(["doc_id", "text", "training"])
-        found, streams = np.unique(own), []
-        for batch in found:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(content.filter(pa.array(own == batch)).combine_chunks())
-            streams.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(streams, pa.binary())], ["batch", "rows"])
+    def packed(batch: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        whole = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(whole)
+        return pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "rows"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        now, held, size, seen = 0, [], 0, 0
         for rows in batches:
-            held.append(rows)
-            size += rows.nbytes
-            if size > PACKED_BYTES:
-                yield packed(held)
-                held, size = [], 0
+            numbers, seen = _batch_numbers(rows.column(1).to_pylist(), seen)
+            edges = [0, *[k for k in range(1, len(numbers)) if numbers[k] != numbers[k - 1]], len(numbers)]
+            for b, e in zip(edges, edges[1:]):
+                if b == e:
+                    continue
+                if held and (numbers[b] != now or size > PACKED_BYTES):
+                    yield packed(now, held)
+                    held, size = [], 0
+                now = numbers[b]
+                held.append(rows.slice(b, e - b))
+                size += held[-1].nbytes
         if held:
-            yield packed(held)
+            yield packed(now, held)
 
-    return batched.select("batch", "doc_id", "text", "training").transform(in_arrow, work, "batch long, rows binary")
+    return own.select("doc_id", "text", "training").transform(in_arrow, work, "batch long, rows binary")
 
 
 def _score_batch(texts: list[str | None], training: np.ndarray, keys: list[np.ndarray], totals: list[np.ndarray], n_train: int, n_distinct: int, mu: float) -> list[np.ndarray]:
