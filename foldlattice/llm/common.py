@@ -58,18 +58,22 @@ def components(edges: DataFrame) -> DataFrame:
     ever gathered, and the number of rounds grows with the logarithm of the longest chain.
     Nodes without an edge don't appear; loops and repeats are harmless.
     """
+
+    def mark(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    seen = mark(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        after = stored(small.where("u <> v").distinct(), "edges")
-        marks = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first() for x in (now, after)]
-        now = after
-        if marks[0] == marks[1]:
+        now, before = stored(small.where("u <> v").distinct(), "edges"), seen
+        seen = mark(now)
+        if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -9,6 +9,7 @@ counts in two steps so that a length held by a third of all pieces is no single
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,14 +37,13 @@ class SumIndex:
 
     def __init__(self, free: list[int]):
         self.free = free
-        lengths = np.flatnonzero(np.array(free))
-        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
-        held = (a >= b) & (a + b < len(free))
-        a, b = a[held], b[held]
-        order = np.lexsort((-a, a + b))  # by sum, the longest first
-        self.first = a[order].tolist()
-        self.begin = np.searchsorted((a + b)[order], np.arange(len(free) + 1)).tolist()
-        self.next = list(range(len(self.first) + 1))
+        lengths = np.flatnonzero(np.array(free)).astype(np.int32)
+        a = np.concatenate([np.zeros(0, dtype=np.int32), *[np.full(np.count_nonzero(lengths <= min(n, len(free) - 1 - n)), n, dtype=np.int32) for n in lengths]])
+        sums = a + np.concatenate([np.zeros(0, dtype=np.int32), *[lengths[lengths <= min(n, len(free) - 1 - n)] for n in lengths]])
+        order = np.lexsort((-a, sums))  # by sum, the longest first
+        self.first = array("i", a[order].tobytes())
+        self.begin = np.searchsorted(sums[order], np.arange(len(free) + 1)).tolist()
+        self.next = array("i", np.arange(len(a) + 1, dtype=np.int32).tobytes())
         self.lengths = lengths[::-1].tolist()
         self.third = [0] * len(free)
 

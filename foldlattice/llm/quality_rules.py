@@ -111,7 +111,7 @@ def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
     return out.select("grp", *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -> DataFrame:
+def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.05) -> DataFrame:
     """``grp``, centre and Cholesky factor of each group's minimum-covariance-determinant estimate.
 
     Starts from medians and median deviations and takes concentration steps until no centre or factor
