@@ -33,12 +33,12 @@ _NAMED = "concat(CASE p_size % 3 WHEN 0 THEN 'dpam_' ELSE '' END, 'A', p_partkey
 
 @query("name_parts", f"""WITH n AS (SELECT p_partkey, p_partkey % 198 AS sk, p_size % 32 AS ty, {_NAMED.format(text='VARCHAR')} AS record, p_size || '.' || p_partkey % 7 || '.' || p_partkey % 5 AS t_group, lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '/07/' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS day, p_size FROM part)
 SELECT p_partkey, 's5-' || lpad(CAST(sk AS VARCHAR), 4, '0') || '-' || lpad(CAST(ty AS VARCHAR), 4, '0') AS cell, CAST(sk AS INTEGER) AS sk, CAST(ty AS INTEGER) AS ty, p_partkey % 7 AS second, split_part(t_group, '.', 1) || '.' || split_part(t_group, '.', 2) AS h_group,
-'A' || p_partkey AS accession, CAST(CASE WHEN p_size % 4 < 2 THEN p_size END AS INTEGER) AS domain, CAST(CASE WHEN p_partkey % 100 > 30 THEN 1900 ELSE 2000 END + p_partkey % 100 AS INTEGER) AS year FROM n""")
+'A' || p_partkey AS accession, CAST(CASE WHEN p_size % 4 < 2 THEN p_size ELSE 0 END AS INTEGER) AS domain, CAST(CASE WHEN p_partkey % 100 > 30 THEN 1900 ELSE 2000 END + p_partkey % 100 AS INTEGER) AS year FROM n""")
 def name_parts(spark, sf_dir):
     """Cells, groups, accessions, domain numbers and years written as names and read back."""
     day = "concat(lpad(cast(p_size % 12 + 1 as string), 2, '0'), '/07/', lpad(cast(p_partkey % 100 as string), 2, '0'))"
     own = read(spark, sf_dir, "part").selectExpr("p_partkey", f"{N.cell_name('p_partkey % 198', 'p_size % 32')} AS cell", "concat_ws('.', p_size, p_partkey % 7, p_partkey % 5) AS t_group", f"{_NAMED.format(text='string')} AS record", f"{day} AS day")
-    return own.selectExpr("p_partkey", "cell", f"{N.cell_part('cell', 1)} AS sk", f"{N.cell_part('cell', 2)} AS ty", "cast(split(t_group, '[.]')[1] as bigint) AS second", f"{N.h_group('t_group')} AS h_group", f"{N.accession('record')} AS accession", f"{N.domain_number('record')} AS domain", f"{N.year_of('day')} AS year")
+    return own.selectExpr("p_partkey", "cell", f"{N.cell_part('cell', 1)} AS sk", f"{N.cell_part('cell', 2)} AS ty", "cast(split(t_group, '[.]')[1] as bigint) AS second", f"{N.h_group('t_group')} AS h_group", f"{N.accession('record')} AS accession", f"coalesce({N.domain_number('record')}, 0) AS domain", f"{N.year_of('day')} AS year")
 
 
 @query("range_parse", "SELECT p_partkey, n + 1 AS part, CASE WHEN n = 0 THEN 'A' ELSE '' END AS chain, p_partkey + 100 * n AS lo, p_partkey + 100 * n + p_size AS hi FROM part, range(2) r(n)")
