@@ -34,8 +34,8 @@ _CUT = re.compile(r"(?<=\S) ")
 _GLUED = re.compile(r"\s ")
 #: The byte-level pre-tokenizer's published pattern (fixed value).
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Remembered pieces a worker, and the longest piece that is remembered.
-REMEMBERED = 200_000
+#: Pieces in each of a worker's two memories (some 200 bytes a piece), and the longest piece that is remembered.
+REMEMBERED = 800_000
 LONGEST = 80
 #: Fragments over so many bytes are merged with a heap, the others all at once.
 LONG_FRAGMENT = 256
@@ -259,8 +259,9 @@ class _LibraryPieces(dict):
     mark behind it is the word's ids and the mark's.
     """
 
-    def __init__(self, library, letter: dict[int, str]):
+    def __init__(self, library, letter: dict[int, str], remembered: int):
         super().__init__()
+        self.remembered = remembered
         self.model, self.letter, self.older = library.model, [letter[b] for b in range(256)], {}
         self.space = letter[0x20]
         self.marks = {m: self._packed(m) for m in ".,;:!?"}
@@ -286,7 +287,7 @@ class _LibraryPieces(dict):
         if packed is None:
             packed = self._encoded(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -296,12 +297,12 @@ class _LibraryPieces(dict):
 class LibraryEncoder(PieceEncoder):
     """The same pieces, encoded one at a time by the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         bpe = ForcedCutBpe(path)
         super().__init__(None, bpe.special, bpe.space_is_forced, bpe.size - 1)
-        self.known = _LibraryPieces(Tokenizer.from_file(path), {b: c for c, b in byte_letters().items()})
+        self.known = _LibraryPieces(Tokenizer.from_file(path), {b: c for c, b in byte_letters().items()}, remembered)
 
     def packed_many(self, texts: list[str | None]) -> list[bytes]:
         look = self.known.__getitem__
@@ -316,9 +317,9 @@ def forced_cut_encoder(path: str) -> tuple[ForcedCutBpe, PieceEncoder]:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, remembered: int = REMEMBERED) -> LibraryEncoder:
     """The tokenizers library's encoder of a worker, kept between tasks."""
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, remembered)
 
 
 def texts_in(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[list, list[str | None]]]:

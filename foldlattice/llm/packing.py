@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldlattice.llm.common import in_arrow, stored
-from foldlattice.llm.encoding import library_encoder, texts_in
+from foldlattice.llm.encoding import REMEMBERED, library_encoder, texts_in
 
 CAPACITY = 2048
 #: Pieces that one ranking group holds on average at most.
@@ -141,13 +141,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
     return min(made, key=lambda m: sum(times for times, _ in m))
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: a document longer than ``capacity`` is cut, its first piece the shorter."""
 
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = library_encoder(vocabulary, remembered)
         for batch in batches:
             for doc_ids, texts in texts_in(batch):
                 rows = []
@@ -163,15 +163,16 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return own.transform(in_arrow, work, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``: every piece and its place.
 
+    ``remembered`` bounds a worker's memory of encoded text pieces and changes no result.
     A null text is empty and so is its end id alone; an empty table gives no rows.  Repeated
     rows are packed each on their own, and so are rows whose id is null.
     """
     spark = docs.sparkSession
     # a key of its own for each piece, fixed by writing it: ids may repeat or be null
-    rows = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col).withColumn("piece_key", F.monotonically_increasing_id()), "pieces")
+    rows = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, remembered).withColumn("piece_key", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` rows at most
     slots, sequence, used = [], 0, defaultdict(int)
     for times, lengths in plan(counts, capacity):
