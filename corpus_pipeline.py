@@ -20,6 +20,8 @@ from foldlattice.llm.quality_rules import quality_rules
 from foldlattice.llm.registry import VOCABULARY
 
 
+#: Text pieces that a packing worker remembers; other stages' workers need their memory too.
+REMEMBERED = 150_000
 #: Percent of shared word shingles from which documents are near duplicates.
 SIMILARITY = 80
 
@@ -43,7 +45,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents and their places in training sequences."""
-    return pack(docs, VOCABULARY, end_id=0).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(docs, VOCABULARY, end_id=0, remembered=REMEMBERED).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_duplicates", deduplicate), ("packing", pack_sequences)]
