@@ -33,16 +33,16 @@ def bh_adjust(spark, sf_dir):
     return S.bh_adjust(_p_values(spark, sf_dir)).select("sk", "ty", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query("poisson_binomial_cdf", """WITH RECURSIVE c AS (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, c_nationkey AS nat, (c_custkey % 7 + 1) / 10.0 AS p FROM customer), t AS (SELECT * FROM c WHERE k <= 6),
-d AS (SELECT nat, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS x, CAST(1 AS DOUBLE) AS pr FROM (SELECT DISTINCT nat FROM t) UNION ALL
-  SELECT nat, k, x, sum(pr) FROM (SELECT d.nat, t.k, d.x + b.hit AS x, d.pr * CASE WHEN b.hit = 1 THEN t.p ELSE 1 - t.p END AS pr FROM d JOIN t ON t.nat = d.nat AND t.k = d.k + 1, (SELECT unnest([0, 1]) AS hit) b) GROUP BY nat, k, x)
-SELECT CAST(nat AS INTEGER) AS nat, round(sum(pr), 6) AS at_most_2 FROM d WHERE k = 6 AND x <= 2 GROUP BY nat""")
+@query("poisson_binomial_cdf", """WITH RECURSIVE t AS (SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS m, (l_partkey % 7 + 1) / 10.0 AS p FROM lineitem),
+d AS (SELECT record, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS x, CAST(1 AS DOUBLE) AS pr FROM (SELECT DISTINCT record FROM t) UNION ALL
+  SELECT record, k, x, sum(pr) FROM (SELECT d.record, t.k, d.x + b.hit AS x, d.pr * CASE WHEN b.hit = 1 THEN t.p ELSE 1 - t.p END AS pr FROM d JOIN t ON t.record = d.record AND t.k = d.k + 1, (SELECT unnest([0, 1]) AS hit) b) GROUP BY record, k, x)
+SELECT d.record, round(sum(pr), 6) AS at_most_2 FROM d JOIN (SELECT record, max(m) AS m FROM t GROUP BY 1) w ON w.record = d.record AND w.m = d.k WHERE x <= 2 GROUP BY d.record""")
 def poisson_binomial_cdf(spark, sf_dir):
+    """Chance of at most two hits among an order's lines, each with its own share."""
     from foldlattice.fixtures import read
 
-    own = read(spark, sf_dir, "customer").withColumn("k", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))).where("k <= 6")
-    shares = own.groupBy(F.col("c_nationkey").alias("nat")).agg(F.collect_list((F.col("c_custkey") % 7 + 1) / 10.0).alias("ps")).where("size(ps) = 6")  # six at most
-    return shares.select(F.col("nat").cast("int").alias("nat"), F.round(S.poisson_binomial_cdf(F.col("ps"), F.lit(2)), 6).alias("at_most_2"))
+    shares = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record")).agg(F.collect_list((F.col("l_partkey") % 7 + 1) / 10.0).alias("ps"))  # an order's few lines
+    return shares.select("record", F.round(S.poisson_binomial_cdf(F.col("ps"), F.lit(2)), 6).alias("at_most_2"))
 
 
 @query("thinned_expectation", HITS + _P + " SELECT sk, round(exp(sum(ln(1 - p * 0.5))), 6) AS none, round(sum(p * 0.5), 6) AS expected FROM p GROUP BY sk")
