@@ -78,6 +78,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and backquotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, held: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the figures of ``totals``, one row a value of ``key`` (nulls together) that counts its rows in ``held``.
+
+    Values that hold more than a ``share``-th of all rows are fewer than ``share``, so their figures are
+    broadcast; the rest is joined by key, and no value of it brings a task more than that part.
+    """
+    totals = stored(totals.withColumnRenamed(key, "__key"), "totals")
+    everything = totals.agg(F.sum(held)).first()[0] or 0
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    hot, rare = F.broadcast(totals.where(F.col(held) * share > everything)), totals.where(F.col(held) * share <= everything)
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(rare, same)).drop("__key", held)
+
+
 def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
     """Deal rows out by integer ``keys`` and hand ``work`` runs of whole groups.
 
