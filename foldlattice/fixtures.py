@@ -20,10 +20,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores dealt out, as each one's work is large; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def topological(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records, one shuffle of the needed columns."""
     line = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
-    grouped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order's lines are few
+    return _of_lines(read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(line)).alias("lines")))  # an order's lines are few
+
+
+def long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records: the lines of all of a customer's orders by date, tens of elements each."""
+    line = F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
+    return _of_lines(lines.groupBy(F.col("o_custkey").alias("record_id")).agg(F.array_sort(F.collect_list(line)).alias("lines")))
+
+
+def _of_lines(grouped: DataFrame) -> DataFrame:
     etype = "translate(x.l_returnflag, 'ARN', 'HEL')"
     elements = f"transform(lines, (x, i) -> named_struct('etype', {etype}, 'chain', x.l_linestatus, 'length', cast(x.l_quantity as int), 'key', x.l_partkey))"
     code = f"substring('{KEY_CODES}', cast((a.key + b.key) % 8 as int) + 1, 1)"
@@ -33,11 +49,11 @@ def topological(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as records of ten axes; no shuffle."""
+    """Vectors as records of ten axes; no shuffle but where the table has fewer splits than cores."""
     points = "transform(sequence(0, 9), i -> named_struct(" + ", ".join(f"'{e}{k}', cast(embedding[6 * i + {3 * s + d}] as double) * 40e0" for s, e in enumerate("fl") for d, k in enumerate("xyz")) + "))"
     size = G.length("x")
     element = f"named_struct('etype', CASE WHEN {size} > 11e0 THEN 'H' ELSE 'E' END, 'chain', CASE WHEN record_id % 3 = 0 AND i >= 5 THEN 'B' ELSE 'A' END, 'length', cast(floor({size}) as int), 'fx', x.fx, 'fy', x.fy, 'fz', x.fz, 'lx', x.lx, 'ly', x.ly, 'lz', x.lz)"
-    base = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("fold"), "embedding")
+    base = spread(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).select(F.col("vec_id").alias("record_id"), F.col("label").alias("fold"), "embedding")
     base = base.select("record_id", "fold", F.expr(points).alias("points")).select("record_id", "fold", F.expr(f"transform(points, (x, i) -> {element})").alias("elements"))
     strands = "filter(sequence(1, 10), i -> element_at(elements, i).etype = 'E' AND i {} 5)"
     sheets = f"filter(array({strands.format('<=')}, {strands.format('>')}), s -> size(s) > 0)"
@@ -79,6 +95,17 @@ ct2 AS (
       WHEN (a.key + b.key) % 8 = 5 AND a.etype = 'E' AND b.etype = 'E' THEN 'c' WHEN (a.key + b.key) % 8 = 6 AND a.etype = 'E' AND b.etype = 'E' THEN 't' ELSE '-' END AS code
   FROM el2 a JOIN el2 b ON a.record_id = b.record_id AND a.pos < b.pos)"""
 
+LONG_SQL = """
+el3 AS (
+  SELECT o_custkey AS record_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS pos,
+    CASE l_returnflag WHEN 'A' THEN 'H' WHEN 'R' THEN 'E' ELSE 'L' END AS etype, l_linestatus AS chain, CAST(l_quantity AS INTEGER) AS length, l_partkey AS key
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ct3 AS (
+  SELECT a.record_id, a.pos AS i, b.pos AS j,
+    CASE WHEN (a.key + b.key) % 8 = 2 THEN 'u' WHEN (a.key + b.key) % 8 = 3 THEN 'v' WHEN (a.key + b.key) % 8 = 4 THEN 'N'
+      WHEN (a.key + b.key) % 8 = 5 AND a.etype = 'E' AND b.etype = 'E' THEN 'c' WHEN (a.key + b.key) % 8 = 6 AND a.etype = 'E' AND b.etype = 'E' THEN 't' ELSE '-' END AS code
+  FROM el3 a JOIN el3 b ON a.record_id = b.record_id AND a.pos < b.pos)"""
+
 
 def _geometric_sql() -> str:
     coords = ", ".join(f"CAST(embedding[6 * i + {3 * s + d + 1}] AS DOUBLE) * 40 AS {e}{k}" for s, e in enumerate("fl") for d, k in enumerate("xyz"))

@@ -94,7 +94,7 @@ def interaction_code(overlap_: str, distance_: str, angle_: str, both_strands: s
     """Code of a pair from its measures; a bonded pair is t (antiparallel) or c (parallel) by its angle."""
     bond = f"CASE WHEN {angle_} < 90e0 THEN 'c' ELSE 't' END"
     turn = f"CASE WHEN {angle_} > {ANTIPARALLEL_ABOVE}e0 THEN 'v' WHEN {angle_} < {PARALLEL_BELOW}e0 THEN 'u' ELSE 'N' END"
-    return f"CASE WHEN {bonded} THEN {bond} WHEN {overlap_} > {MIN_OVERLAP}e0 AND {distance_} <= {MAX_DISTANCE}e0 THEN CASE WHEN {both_strands} AND {same_sheet} THEN '-' ELSE {turn} END ELSE '-' END"
+    return f"CASE WHEN {bonded} THEN {bond} WHEN {distance_} <= {MAX_DISTANCE}e0 AND {overlap_} > {MIN_OVERLAP}e0 THEN CASE WHEN {both_strands} AND {same_sheet} THEN '-' ELSE {turn} END ELSE '-' END"
 
 
 def chirality(a: str, b: str, c: str) -> str:

@@ -154,6 +154,16 @@ def motifs(found: DataFrame) -> list[Motif]:
     return [parse_motif(r["query_id"], r["text"]) for r in found.select("query_id", "text").orderBy("query_id").collect()]
 
 
+_MADE: dict[int, list[Motif]] = {}
+
+
+def corpus_motifs(spark: SparkSession, n: int) -> list[Motif]:
+    """The motifs of ``corpus``, which depend on n alone and so are made once a process."""
+    if n not in _MADE:
+        _MADE[n] = motifs(corpus(spark, n))
+    return _MADE[n]
+
+
 def motif_named(found: DataFrame, query_id: str) -> Motif:
     """One motif of a corpus by its id."""
     row = found.where(found["query_id"] == query_id).select("text").first()

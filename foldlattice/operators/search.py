@@ -8,7 +8,6 @@ its codes with elements picked before, and constraints apply as soon as their el
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foldlattice.functions import geometry as G
-from foldlattice.functions.codes import RECORD_CODES, code_matches, type_matches
+from foldlattice.functions.codes import code_matches, type_matches
 from foldlattice.plans.motif import Motif
 
 
@@ -31,18 +30,41 @@ def composition(records: DataFrame) -> DataFrame:
     return records.withColumns({f"n_{t}": F.expr(f"size(filter(elements, e -> e.etype = '{t}'))") for t in "HEL"})
 
 
-def with_chirality(rows: DataFrame, a: str, b: str, c: str, name: str) -> DataFrame:
-    """``functions.geometry.chirality`` as a column, in steps small enough for generated code."""
-    axes = {f"_{v}{k}": F.expr(d) for v, e in zip("abc", (a, b, c)) for k, d in zip(G.AXES, G.direction(e))}
-    middles = {f"_m{v}{k}": F.expr(f"({e}.f{k} + {e}.l{k}) / 2e0 - ({a}.f{k} + {a}.l{k}) / 2e0") for v, e in (("b", b), ("c", c)) for k in G.AXES}
-    base, second, third, m2, m3 = ([f"_{v}{k}" for k in G.AXES] for v in ("a", "b", "c", "mb", "mc"))
-    signs = {f"_s{v}": F.expr(f"CASE WHEN {G.dot(base, own)} < 0e0 THEN -1e0 ELSE 1e0 END") for v, own in (("b", second), ("c", third))}
-    normal = {f"_n{k}": F.expr(f"{x} + _sb * {y} + _sc * {z}") for k, x, y, z in zip(G.AXES, base, second, third)}
-    turn = {f"_x{k}": F.expr(d) for k, d in zip(G.AXES, G.cross(m2, m3))}
-    sense = G.angle_of([f"_n{k}" for k in G.AXES], [f"_x{k}" for k in G.AXES])
-    out = rows.withColumns(axes | middles).withColumns(signs).withColumns(normal | turn).withColumn("_sense", F.expr(sense))
-    out = out.withColumn(name, F.expr("CASE WHEN _sense < 90e0 THEN 'R' WHEN _sense > 90.001e0 THEN 'L' ELSE '' END"))
-    return out.drop(*axes, *middles, *signs, *normal, *turn, "_sense")
+def form_of(hand: tuple) -> tuple[int, ...]:
+    """How the places of a handedness line stand to their ascending order, from 0."""
+    order = sorted(hand[:3])
+    return tuple(order.index(x) for x in hand[:3])
+
+
+def senses_sql(form: tuple[int, ...]) -> str:
+    """For each pair i < j of elements the senses of (i, j, m), m from j + 1 on, in the order of ``form``; blank senses are '-'.
+
+    ``functions.geometry.chirality`` over directions and middles that are found once an element.
+    """
+    axis = ", ".join(f"'d{k}', {d}, 'm{k}', (e.f{k} + e.l{k}) / 2e0" for k, d in zip(G.AXES, G.direction("e")))
+    a, b, c = ("xyz"[k] for k in form)
+
+    def way(e: str) -> list[str]:
+        return [f"{e}.d{k}" for k in G.AXES]
+
+    first = {f"s{e}": f"CASE WHEN {G.dot(way(a), way(e))} < 0e0 THEN -1e0 ELSE 1e0 END" for e in (b, c)} | {f"{e}{k}": f"({e}.m{k} - {a}.m{k})" for e in (b, c) for k in G.AXES}
+
+    def vectors(v: dict[str, str]) -> str:
+        mean = {f"n{k}": f"({p} + {v[f's{b}']} * {q} + {v[f's{c}']} * {r})" for k, p, q, r in zip(G.AXES, way(a), way(b), way(c))}
+        turn = {f"t{k}": x for k, x in zip(G.AXES, G.cross([v[f"{b}{k}"] for k in G.AXES], [v[f"{c}{k}"] for k in G.AXES]))}
+        return G.let(mean | turn, lambda w: G.let({"sense": G.angle_of([w[f"n{k}"] for k in G.AXES], [w[f"t{k}"] for k in G.AXES])}, letter, True, "u"), True, "w")
+
+    def letter(w: dict[str, str]) -> str:
+        return f"CASE WHEN {w['sense']} < 90e0 THEN 'R' WHEN {w['sense']} > 90.001e0 THEN 'L' ELSE '-' END"
+
+    row = f"array_join(transform(slice(axes, i + j + 3, size(axes)), z -> {G.let(first, vectors, True, 'v')}), '')"
+    pairs = f"transform(axes, (x, i) -> transform(slice(axes, i + 2, size(axes)), (y, j) -> {row}))"
+    return f"element_at(transform(array(transform(elements, e -> named_struct({axis}))), axes -> {pairs}), 1)"
+
+
+def sense_at(form: str, i: str, j: str, m: str) -> str:
+    """The sense of elements i < j < m (from 1) in what ``senses_sql`` gave, null where one isn't there."""
+    return f"substring(get(get({form}, {i} - 1), {j} - {i} - 1), {m} - {j}, 1)"
 
 
 def _ready(motif: Motif, level: int) -> list[str]:
@@ -76,6 +98,8 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
     now = composition(records).where(F.col("n") >= motif.k).where(" AND ".join(f"n_{t} >= {c}" for t, c in needed.items())).drop("n_H", "n_E", "n_L")
     kinds = {r.kind for r in motif.requirements}
     now = now.select("record_id", "n", "elements", "rows", *["sheets"] * bool(kinds & {"sheetS", "sheetD"}), *["parity"] * bool(kinds & {"parallel", "antiparallel"}))
+    forms = {f: f"senses_{''.join(map(str, f))}" for f in sorted({form_of(h) for h in motif.handedness})}
+    now = now.withColumns({name: F.expr(senses_sql(f)) for f, name in forms.items()})
     for level in range(1, motif.k + 1):
         own = "element_at(elements, p)"
         when = [type_matches(f"{own}.etype", f"'{motif.types[level - 1]}'")]
@@ -89,156 +113,15 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
         now = now.withColumn(f"e{level}", F.expr(f"element_at(elements, p{level})"))
         for condition in _ready(motif, level):
             now = now.where(condition)
-        for i, j, m, side in motif.handedness:
-            if max(i, j, m) == level:
-                now = with_chirality(now, f"e{i}", f"e{j}", f"e{m}", "_side").where(f"_side = '{side}'").drop("_side")
+        for h in motif.handedness:
+            if max(h[:3]) == level:
+                now = now.where(f"{sense_at(forms[form_of(h)], *(f'p{i}' for i in sorted(h[:3])))} = '{h[3]}'")
     picked = [f"p{i}" for i in range(1, motif.k + 1)]
     # all matches of a record stem from one row, so this window needs one exchange of short rows
     order = W.partitionBy("record_id").orderBy(*[F.desc(p) for p in picked])
     return now.select("record_id", *picked).select(F.lit(motif.motif_id).alias("query_id"), "record_id", F.row_number().over(order).alias("motif_idx"), F.concat_ws(",", *picked).alias("positions"))
 
 
-#: Bits of the codes that a record can hold; a motif's code is the set of bits that it accepts (fixed values).
-CODE_BITS = {c: 1 << k for k, c in enumerate(RECORD_CODES)}
-ACCEPTED = {"X": "".join(RECORD_CODES), "x": "ctuvN", "T": "vt", "C": "uc"}
-#: Pairs whose codes share one 64-bit number, and conditions that do.
-PAIRS, FLAGS = 10, 62
-
-
-def _conditions(motif: Motif) -> tuple[list[tuple], list[tuple]]:
-    """What must hold and what must not, each as (kind, places) of ``_condition_sql``."""
-    need, ban = [("chain", tuple(range(1, motif.k + 1)))] if motif.one_chain else [], []
-    for r in motif.requirements:
-        if r.kind in ("sheetS", "sheetD", "chainS", "chainD"):
-            (need if r.kind.endswith("S") else ban).append((r.kind[:-1], r.elements))
-        elif r.kind in ("parallel", "antiparallel"):
-            need.append((r.kind, tuple(r.elements)))
-    return need, ban
-
-
-def _condition_sql(kind: str, places: tuple[int, ...]) -> str:
-    if kind == "chain":
-        return " AND ".join(f"c{i} = c{places[0]}" for i in places[1:])
-    if kind == "sheet":  # an element's sheets are bits of its w
-        return f"({' & '.join(f'w{i}' for i in places)}) <> 0"
-    i, j = places
-    return f"array_contains(parity, concat(p{i}, '-', p{j}, '={0 if kind == 'parallel' else 1}'))"
-
-
-def _flags_sql(flags: list[tuple], k: int) -> str:
-    """A number with a bit for each condition that holds.
-
-    All sheet conditions hold where a record has no sheets; where it has more than a number has bits, they
-    are looked up in the sheets themselves.
-    """
-    parts = {True: [], False: []}
-    for at, f in enumerate(flags):
-        parts[f[0] == "sheet"].append(f"CASE WHEN {_condition_sql(*f)} THEN {1 << at}L ELSE 0L END")
-    out = list(parts[False])
-    if parts[True]:
-        own = [(1 << at, f[1]) for at, f in enumerate(flags) if f[0] == "sheet"]
-        listed = ", ".join(f"named_struct('bit', {bit}L, 'places', array({', '.join(map(str, places))}))" for bit, places in own)
-        picked = ", ".join(f"p{i}" for i in range(1, k + 1))
-        looked = f"aggregate(filter(array({listed}), f -> exists(sheets, s -> forall(f.places, i -> array_contains(s, element_at(array({picked}), i))))), 0L, (a, f) -> a | f.bit)"
-        out.append(f"CASE WHEN size(sheets) = 0 THEN {sum(bit for bit, _ in own)}L WHEN size(sheets) < 63 THEN ({' | '.join(parts[True])}) ELSE {looked} END")
-    return " | ".join(out)
-
-
-def _motif_rows(motifs: list[Motif], flags: list[tuple]) -> list[tuple]:
-    """One row for each motif and typing that it stands for: accepted codes, needed and banned flags, length limits, handedness."""
-    out = []
-    for m in motifs:
-        pairs = list(combinations(range(1, m.k + 1), 2))
-        accepted = [sum(CODE_BITS[c] for c in ACCEPTED.get(m.codes[p], m.codes[p])) for p in pairs]
-        masks = [sum(a << 6 * k for k, a in enumerate(accepted[b : b + PAIRS])) for b in range(0, len(pairs), PAIRS)]
-        need, ban = ([sum(1 << k for k, f in enumerate(flags[b : b + FLAGS]) if f in own) for b in range(0, len(flags), FLAGS)] for own in _conditions(m))
-        low = [max((lo for lo, _ in m.lengths(i)), default=0) for i in range(1, m.k + 1)]
-        high = [min((hi for _, hi in m.lengths(i)), default=1 << 30) for i in range(1, m.k + 1)]
-        hands = [{"a": a, "b": b, "c": c, "side": side} for a, b, c, side in m.handedness]
-        out += [(m.motif_id, "".join(types), masks, need, ban, low, high, hands) for types in product(*("HEL" if t == "X" else t for t in m.types))]
-    return out
-
-
-def _sweep_size(records: DataFrame, motifs: list[Motif], k: int, heavy: int | None) -> DataFrame:
-    flags = sorted({f for m in motifs for own in _conditions(m) for f in own})
-    rows = _motif_rows(motifs, flags)
-    table = records.sparkSession.createDataFrame(rows, "query_id string, types string, accepted array<long>, need array<long>, ban array<long>, low array<int>, high array<int>, hands array<struct<a:int,b:int,c:int,side:string>>")
-    # elements that some motif has a place for, by type and the widest limits
-    limits: dict[str, tuple[int, int]] = {}
-    for *_, types, _, _, _, low, high, _ in ((None, *r[1:]) for r in rows):
-        for t, lo, hi in zip(types, low, high):
-            held = limits.get(t, (lo, hi))
-            limits[t] = min(lo, held[0]), max(hi, held[1])
-    uniform = all((lo, hi) == limits[t] for r in rows for t, lo, hi in zip(r[1], r[5], r[6]))
-    fits = " OR ".join(f"(e.etype = '{t}' AND e.length BETWEEN {lo} AND {hi})" for t, (lo, hi) in sorted(limits.items()))
-    own = records.withColumn("fit", F.expr(f"filter(sequence(1, n), p -> exists(array(element_at(elements, p)), e -> {fits}))")).where(f"n >= {k} AND size(fit) >= {k}")
-    kinds = {kind for kind, _ in flags}
-    columns = ["record_id", "fit", "rows", F.expr("transform(elements, e -> e.etype)").alias("etypes"), F.expr("transform(elements, e -> e.chain)").alias("chains")]
-    columns += [F.expr("transform(elements, e -> e.length)").alias("lengths")] * (not uniform) + ["parity"] * bool(kinds & {"parallel", "antiparallel"})
-    if "sheet" in kinds:
-        columns += ["sheets", F.expr("transform(sequence(1, n), p -> aggregate(sequence(1, least(size(sheets), 62)), 0L, (a, s) -> a | CASE WHEN size(sheets) > 0 AND array_contains(element_at(sheets, s), p) THEN shiftleft(1L, s - 1) ELSE 0L END))").alias("within")]
-    handed = any(m.handedness for m in motifs)
-    if handed:
-        points = ", ".join(f"'{e}{c}', e.{e}{c}" for e in "fl" for c in G.AXES)
-        columns.append(F.expr(f"transform(elements, e -> named_struct({points}))").alias("axes"))
-    own = own.select(*columns)
-
-    def first_places(some: DataFrame) -> DataFrame:
-        return some.select("*", F.explode(F.expr(f"sequence(1, size(fit) - {k - 1})")).alias("q1"))
-
-    now = first_places(own)
-    if heavy is not None:  # the few large records, whose cost grows as C(n, k), are dealt out by their first place too
-        now = first_places(own.where(F.size("fit") <= heavy)).unionByName(first_places(own.where(F.size("fit") > heavy)).repartition("record_id", "q1"))
-    slot = {p: at for at, p in enumerate(combinations(range(1, k + 1), 2))}
-    for level in range(1, k + 1):
-        if level > 1:
-            now = now.select("*", F.explode(F.expr(f"sequence(q{level - 1} + 1, size(fit) - {k - level})")).alias(f"q{level}"))
-        now = now.withColumn(f"p{level}", F.expr(f"element_at(fit, q{level})")).withColumns({f"t{level}": F.expr(f"element_at(etypes, p{level})"), f"c{level}": F.expr(f"element_at(chains, p{level})")})
-        prefixes = {r[1][:level] for r in rows}
-        if len(prefixes) < len(limits) ** level:
-            now = now.where(F.concat(*[f"t{i}" for i in range(1, level + 1)]).isin(sorted(prefixes)))
-        if "sheet" in kinds:
-            now = now.withColumn(f"w{level}", F.expr(f"element_at(within, p{level})"))
-        if all(m.one_chain for m in motifs) and level > 1:
-            now = now.where(f"c{level} = c1")
-    code = {(i, j): f"shiftleft(1L, instr('{RECORD_CODES}', {code_at('rows', f'p{i}', f'p{j}')}) - 1 + {6 * (at % PAIRS)})" for (i, j), at in slot.items()}
-    chunks = [" | ".join(c for p, c in code.items() if slot[p] // PAIRS == b) for b in range(-(-len(code) // PAIRS))]
-    held = [_flags_sql(flags[b : b + FLAGS], k) for b in range(0, len(flags), FLAGS)]
-    now = now.withColumns({f"m{b}": F.expr(x) for b, x in enumerate(chunks)} | {f"h{b}": F.expr(x) for b, x in enumerate(held)} | {"types": F.concat(*[f"t{i}" for i in range(1, k + 1)])})
-    now = now.drop("fit", "rows", "etypes", "chains", "sheets", "within", "parity", *[f"{x}{i}" for x in "qtcw" for i in range(1, k + 1)])
-    on = [f"s.m{b} & element_at(o.accepted, {b + 1}) = s.m{b}" for b in range(len(chunks))]
-    for b in range(len(held)):
-        on += [f"s.h{b} & element_at(o.need, {b + 1}) = element_at(o.need, {b + 1})", f"s.h{b} & element_at(o.ban, {b + 1}) = 0"]
-    if not uniform:
-        on += [f"element_at(s.lengths, s.p{i}) BETWEEN element_at(o.low, {i}) AND element_at(o.high, {i})" for i in range(1, k + 1)]
-    # the table has as many rows as motifs were given, times the typings that a free type stands for
-    met = now.alias("s").join(F.broadcast(table).alias("o"), F.expr("s.types = o.types"))
-    picked = [f"p{i}" for i in range(1, k + 1)]
-    if handed:  # last in the one condition that all pairs of equal types are put to
-        three = ", ".join(f"'{x}', element_at(axes, element_at(array({', '.join(picked)}), h.{x}))" for x in "abc")
-        on.append(f"forall(transform(hands, h -> named_struct({three}, 'side', h.side)), x -> {G.chirality('x.a', 'x.b', 'x.c')} = x.side)")
-    met = met.where(" AND ".join(f"({c})" for c in on))
-    return met.select("o.query_id", "s.record_id", F.concat_ws(",", *picked).alias("positions"))
-
-
-def sweep(records: DataFrame, motifs: list[Motif], heavy: int | None = None) -> DataFrame:
-    """``query_id, record_id, positions`` of many motifs, with all their constraints, in one pass a size.
-
-    Each k-subset of a record's fitting elements is made once, whatever the number of motifs: its codes
-    and conditions become bits, and it meets the motifs of its types in an equi-join whose rest is bit
-    tests; handedness is looked at last.  ``records`` as for ``search``, with ``sheets`` or ``parity``
-    (``parity_of_sheets``) where a motif asks for them and points in elements for handedness.  Records
-    with more than ``heavy`` fitting elements are dealt out by their first place as well.
-    """
-    out = None
-    for k in sorted({m.k for m in motifs}):
-        found = _sweep_size(records, [m for m in motifs if m.k == k], k, heavy)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no motifs")
-    return out
-
-
 def parities(rows: list[str]) -> dict[tuple[int, int], int]:
     """For each pair i < j joined by c and t contacts: t's along a shortest path, modulo two (fewer first among equals)."""
     near: dict[int, list[tuple[int, int]]] = {}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import islice, permutations
+
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
 from foldlattice.functions import geometry as G
 from foldlattice.operators import corpus as C
-from foldlattice.operators.lattice import chiral_triples, declared_skeletons, handedness_classes, points_of, skeletons, with_grid
-from foldlattice.operators.search import search, sweep
+from foldlattice.operators.lattice import GRID_POINTS, chiral_triples, compact, declared_skeletons, handedness_classes, points_of, skeletons, with_grid
+from foldlattice.operators.search import search
+from foldlattice.operators.sweep import sweep
 from foldlattice.plans.extension import contacts_only, extended
 from foldlattice.plans.motif import motif_sql, parse_motif, write_motif
 from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
@@ -113,7 +116,7 @@ def targeted_six(spark, sf_dir):
 @query("crowded_motifs")
 def crowded_motifs(spark, sf_dir):
     """Motifs of the five-element corpus that ask a strand of a sheet for three or more bonded neighbours."""
-    made = C.motifs(C.corpus(spark, 5))
+    made = C.corpus_motifs(spark, 5)
     return spark.createDataFrame([(m.motif_id, "".join(m.types)) for m in made if C.crowded(m)], "query_id string, types string")
 
 
@@ -142,16 +145,49 @@ def sweep_constraints(spark, sf_dir):
 @query("corpus_sweep_k3")
 def corpus_sweep_k3(spark, sf_dir):
     """Hits of the whole three-element corpus, with its sheet, length and handedness lines."""
-    return sweep(X.geometric(spark, sf_dir), C.motifs(C.corpus(spark, 3)))
+    return sweep(X.geometric(spark, sf_dir), C.corpus_motifs(spark, 3))
 
 
 @query("corpus_sweep")
 def corpus_sweep(spark, sf_dir):
     """Records and hits of each motif of the five-element corpus (6,336 motifs) that has any."""
-    found = sweep(X.geometric(spark, sf_dir), C.motifs(C.corpus(spark, 5)))
+    found = sweep(X.geometric(spark, sf_dir), C.corpus_motifs(spark, 5))
     return found.groupBy("query_id").agg(F.countDistinct("record_id").alias("records"), F.count("*").alias("hits"))
 
 
+def _long_motifs():
+    """Motifs for records of tens of elements; the third is a part of the fourth."""
+    texts = {
+        "l5_ladder": "1 2 3 4 5\nE E E E H\n* t X X X\n* c X X\n* t X\n* v\n*\nchainAll",
+        "l5_helices": "1 2 3 4 5\nH H H H H\n* u X X X\n* v X X\n* u X\n* v\n*",
+        "l3_pair": "1 2 3\nE E H\n* t X\n* u\n*\nlength 3 H 30 50\nchainAll",
+        "l4_pair": "1 2 3 4\nE E H E\n* t X c\n* u X\n* X\n*\nlength 3 H 30 50\nchainAll",
+        "l6": "1 2 3 4 5 6\nE H E H E L\n* X t X X X\n* N X X X\n* X c X\n* N X\n* v\n*\nchainD 1 6",
+    }
+    return [parse_motif(name, text) for name, text in texts.items()]
+
+
+@query("long_record_sweep", f"WITH {X.LONG_SQL} " + " UNION ALL ".join(f"SELECT query_id, record_id, positions FROM ({motif_sql(m, 'el3', 'ct3')})" for m in _long_motifs()))
+def long_record_sweep(spark, sf_dir):
+    """Motifs of three to six elements over customers' lines, records cut and dealt out by their work."""
+    return sweep(X.long_records(spark, sf_dir), _long_motifs(), tasks=spark.sparkContext.defaultParallelism)
+
+
+def _corpus_sample():
+    """Typed motifs over the first compact orders of each grid's five points, with all lines that the corpus writes."""
+    out = []
+    for grid, points in GRID_POINTS.items():
+        orders = islice((p for p in permutations(points) if compact(p)), 2)
+        out += [C.typed_motif(f"{grid}-{types}", p, types) for p, types in zip(orders, ("EEHEE", "HHHEH"))]
+    return out
+
+
+@query("corpus_sweep_sample", GEOM + _union_sql(_corpus_sample()))
+def corpus_sweep_sample(spark, sf_dir):
+    """Hits in all records of motifs as the five-element corpus has them, taken from every grid."""
+    return sweep(X.geometric(spark, sf_dir), _corpus_sample())
+
+
 _EXTENDED = extended(MOTIFS["t2"])
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foldlattice import fixtures as X
 from foldlattice.functions import codes as C
 from foldlattice.functions import geometry as G
-from foldlattice.operators.search import parity_of_sheets, search, sweep
+from foldlattice.operators.search import parity_of_sheets, search
+from foldlattice.operators.sweep import sweep
 from foldlattice.plans.motif import motif_sql, parse_motif
 
 QUERIES, SQL = {}, {}

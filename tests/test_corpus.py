@@ -1,5 +1,6 @@
 """Corpora, sweeps with constraints, worked geometry, readers and archives."""
 
+import itertools
 import math
 
 import numpy as np
@@ -11,9 +12,10 @@ from foldlattice.functions import geometry as G
 from foldlattice.operators import corpus as C
 from foldlattice.operators import lattice as L
 from foldlattice.operators.overlap import majority_domains
-from foldlattice.operators.search import parity_of_sheets, search, sweep
+from foldlattice.operators.search import parity_of_sheets, search
 from foldlattice.operators.spread import cell_spread, principal_axis, superposed_distances
 from foldlattice.operators.statistics import binomial_greater, normal_cdf
+from foldlattice.operators.sweep import deal, sweep
 from foldlattice.plans.motif import MotifError, parse_motif, write_motif
 from foldlattice.sources import archive, metamatrix
 from foldlattice.sources.motif_files import listed_motif, listed_motifs, read_motifs
@@ -64,7 +66,7 @@ def test_sweep_equals_search(spark):
     motifs = [m for m in C.motifs(C.corpus(spark, 3))][::5]
     motifs += [parse_motif("p", "1 2 3\nE X E\n* X X\n* x\n*\nparallel 1 3\nchainAll"), parse_motif("a", "1 2\nE E\n* X\n*\nantiparallel 1 2")]
     got = {tuple(r) for r in sweep(records, motifs).collect()}
-    assert got == {tuple(r) for r in sweep(records, motifs, heavy=7).collect()}
+    assert got == {tuple(r) for r in sweep(records, motifs, tasks=40).collect()}
     want = set()
     for m in motifs:
         want |= {(r["query_id"], r["record_id"], r["positions"]) for r in search(records, m).collect()}
@@ -73,6 +75,115 @@ def test_sweep_equals_search(spark):
         sweep(records, [])
 
 
+def _plain_hits(record, motif):
+    """Positions of a motif in one collected record, by trying all subsets."""
+    accepted = {"X": "ctuvN-", "x": "ctuvN", "T": "vt", "C": "uc"}
+    sheets = [set(s) for s in record["sheets"]]
+    out = []
+    for places in itertools.combinations(range(1, record["n"] + 1), motif.k):
+        own = [record["elements"][p - 1] for p in places]
+        if any(t not in ("X", e["etype"]) for t, e in zip(motif.types, own)) or motif.one_chain and len({e["chain"] for e in own}) > 1:
+            continue
+        if any(record["rows"][places[i - 1] - 1][places[j - 1] - places[i - 1]] not in accepted.get(c, c) for (i, j), c in motif.codes.items()):
+            continue
+        ok = True
+        for r in motif.requirements:
+            if r.kind == "length":
+                ok &= r.low <= own[r.elements[0] - 1]["length"] <= r.high
+            elif r.kind in ("sheetS", "sheetD"):
+                ok &= (not sheets or any({places[i - 1] for i in r.elements} <= s for s in sheets)) == (r.kind == "sheetS")
+        if ok and all(record["sense"][places[a - 1], places[b - 1], places[c - 1]] == side for a, b, c, side in motif.handedness):
+            out.append(",".join(map(str, places)))
+    return out
+
+
+def test_whole_corpus_by_trying(spark):
+    """All 6,336 five-element motifs over a few records, against plain enumeration by types."""
+    records = X.geometric(spark, SF).where("record_id < 8").cache()
+    motifs = C.corpus_motifs(spark, 5)
+    got = {tuple(r) for r in sweep(records, motifs).collect()}
+    e = [f"element_at(elements, {x})" for x in "ijm"]
+    triples = records.selectExpr("record_id", "elements", "explode(sequence(1, 8)) AS i").selectExpr("*", "explode(sequence(i + 1, 9)) AS j").selectExpr("*", "explode(sequence(j + 1, 10)) AS m").selectExpr("record_id", "i", "j", "m", f"{G.chirality(*e)} AS side")
+    senses = {}
+    for r in triples.collect():
+        senses.setdefault(r["record_id"], {})[r["i"], r["j"], r["m"]] = r["side"]
+    want = set()
+    for r in records.collect():
+        held = r.asDict() | {"sense": senses[r["record_id"]]}
+        kinds = {"".join(t) for t in itertools.combinations([e["etype"] for e in r["elements"]], 5)}
+        want |= {(m.motif_id, r["record_id"], p) for m in motifs if "".join(m.types) in kinds for p in _plain_hits(held, m)}
+    assert got == want and len(want) > 50
+
+
+def test_motif_within_a_motif(spark):
+    """A motif that another begins with ends inside the trie and is reported once; sizes share the scan."""
+    records = X.topological(spark, SF)
+    texts = {"a": "1 2\nE X\n* x\n*\nchainAll", "b": "1 2 3\nE X E\n* x X\n* C\n*\nchainAll", "c": "1 2 3 4\nE X E X\n* x X X\n* C x\n* X\n*\nchainAll", "again": "1 2\nE X\n* x\n*\nchainAll", "d": "1 2 3 4\nH X X X\n* X X X\n* X T\n* X\n*"}
+    motifs = [parse_motif(name, text) for name, text in texts.items()]
+    rows = [tuple(r) for r in sweep(records, motifs).collect()]
+    assert sorted(rows) == sorted((r["query_id"], r["record_id"], r["positions"]) for m in motifs for r in search(records, m).collect())
+    assert sorted(rows) == sorted(tuple(r) for r in sweep(records, motifs, tasks=500).collect())
+
+
+def test_trie_dies_early(spark):
+    """Subsets of the last level that meet no motif are not made: far fewer than C(n, 5) a record."""
+    n = 40
+    rows = ["*" + "".join("t" if (i + j) % 9 == 0 else "-" for j in range(i + 1, n + 1)) for i in range(1, n + 1)]
+    element = "array<struct<etype:string,chain:string,length:int>>"
+    records = spark.createDataFrame([(1, n, [("E", "A", 9)] * n, rows, [])], f"record_id int, n int, elements {element}, rows array<string>, sheets array<array<int>>")
+    m = parse_motif("five", "1 2 3 4 5\nE E E E E\n* t X X X\n* t X X\n* t X\n* t\n*")
+    out = sweep(records, [m])
+    assert out.count() == len(_plain_five(rows, n)) > 0
+    made = [metrics for metrics in _generated_rows(out)]
+    assert max(made) < 658_008 / 20  # C(40, 5)
+
+
+def _plain_five(rows, n):
+    near = {i: [j for j in range(i + 1, n + 1) if rows[i - 1][j - i] == "t"] for i in range(1, n + 1)}
+    paths = [(i,) for i in near]
+    for _ in range(4):
+        paths = [(*p, j) for p in paths for j in near[p[-1]]]
+    return paths
+
+
+def _generated_rows(df):
+    """Rows that each explode of a plan made."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    out, queue = [], [plan]
+    while queue:
+        p = queue.pop()
+        while p.nodeName() == "AdaptiveSparkPlan" or p.nodeName().endswith("QueryStage"):
+            p = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan()
+        if p.nodeName() == "Generate":
+            out.append(p.metrics().apply("numOutputRows").value())
+        children = p.children()
+        queue += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_dealt_units(spark):
+    """Units cover every subset once, none costs much more than its share, and tasks get even sums."""
+    sizes = [5, 6, 7, 60, 40, 30, 12, 9] + [8] * 200
+    held = spark.createDataFrame([(i, list(range(1, m + 1))) for i, m in enumerate(sizes)], "record_id int, fit array<int>")
+    k, tasks = 4, 4
+    rows = deal(held, k, tasks).withColumn("task", F.spark_partition_id()).collect()
+    whole = sum(math.comb(m, k) for m in sizes)
+    cost, tasks_cost = {}, {}
+    for r in rows:
+        m = len(r["fit"])
+        for q in range(r["q_from"], r["q_to"] + 1):
+            seconds = [s for s in range(q + 1, m + 1) if r["parts"] == 1 or s % r["parts"] == r["part"]]
+            for s in seconds:
+                key = r["record_id"], q, s
+                assert key not in cost
+                cost[key] = math.comb(m - s, k - 2)
+                tasks_cost[r["task"]] = tasks_cost.get(r["task"], 0) + cost[key]
+    assert sum(cost.values()) == whole
+    heavy = [c for t, c in tasks_cost.items()]
+    assert max(heavy) < 1.6 * whole / tasks
+
+
 def test_six_element_sweep(spark):
     records = X.topological(spark, SF)
     m = parse_motif("six", "1 2 3 4 5 6\nX X X X X X\n* x X X X X\n* X X X X\n* X x X\n* X X\n* T\n*\nchainD 1 6")
