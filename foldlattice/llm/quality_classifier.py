@@ -4,7 +4,7 @@ One model a language is trained on trusted rows, ``rows`` of them at most in exp
 the hash of their ids.  Its counts, continuation counts, discounts and back-off weights are sharded group-bys
 and joins on the words' keys.  The finished table is bounded by the sample and is what scoring tasks
 look up; a document passes if its perplexity is no higher than its language's ``share`` quantile
-over trusted rows that were not trained on, times ``slack``.  Each text is scored once.
+over trusted rows that were not trained on, and nothing else.  Each text is scored once.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import in_arrow, stored
+from foldlattice.llm.common import in_arrow, named, stored
 from foldlattice.llm.lm_scoring import bigram_keys, histories, tokens_of
 from foldlattice.llm.textblocks import U64, mix, slices
 
-#: Trusted rows a language that are trained on; the perplexities of all others set the limit.
+#: Trusted rows a language that are trained on; the quantile of the perplexities of all others is the limit.
 ROWS = 600
-SHARE, SLACK = 0.995, 1.5
+SHARE = 0.999
 #: Steps of the logarithm of perplexity in which its quantiles are counted.
 BIN = 0.01
 ANY = "*"
@@ -164,12 +164,12 @@ def perplexities(docs: DataFrame, tables: tuple, keep: list[str], model_col: str
     return own.transform(in_arrow, work, f"{schema}model_lang string, n_tokens long, perplexity double")
 
 
-def _limits(scored: DataFrame, share: float, slack: float) -> dict[str, float]:
+def _limits(scored: DataFrame, share: float) -> dict[str, float]:
     """Each model's limit from all rows of ``scored`` (model_lang, perplexity): a row a language reaches the driver."""
     bins = scored.groupBy("model_lang", F.ceil(F.log("perplexity") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     own_lang = W.partitionBy("model_lang")
     upto = bins.withColumn("upto", F.sum("n").over(own_lang.orderBy("bin"))).withColumn("all", F.sum("n").over(own_lang))
-    limits = upto.where(F.col("upto") >= share * F.col("all")).groupBy("model_lang").agg((F.exp(F.min("bin") * BIN) * slack).alias("limit"))
+    limits = upto.where(F.col("upto") >= share * F.col("all")).groupBy("model_lang").agg(F.exp(F.min("bin") * BIN).alias("limit"))
     return {r["model_lang"]: r["limit"] for r in limits.collect()}
 
 
@@ -177,7 +177,7 @@ def _among(column: Column, names: list[str]) -> Column:
     return column.isin(names) if names else F.lit(False)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, share: float = SHARE, slack: float = SLACK, prefix: str = "") -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, share: float = SHARE, prefix: str = "") -> DataFrame:
     """The rows and columns of ``docs`` with ``perplexity, perplexity_limit, kept`` behind them, their names after ``prefix``.
 
     Columns of ``docs`` that have one of these three names give way; others may have any name.
@@ -212,10 +212,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     judge = F.when(_among(F.col("lang"), judged), F.col("lang")).otherwise(F.lit(ANY))
     scored = stored(perplexities(own.withColumn("judge", judge), tables, ["doc_id", "h", "lang"], "judge"), "scored")
     trusted = scored.where((F.col("n_tokens") > 1) & held).join(good, "doc_id", "left_semi")
-    limits = _limits(trusted.where(F.col("model_lang") != ANY), share, slack) if tables[0] else {}
+    limits = _limits(trusted.where(F.col("model_lang") != ANY), share) if tables[0] else {}
     if tables[0] and scored.where(F.col("model_lang") == ANY).limit(1).count():
         again = perplexities(wordy.where(held & _among(F.col("lang"), judged)).withColumn("judge", F.lit(ANY)), tables, ["doc_id"], "judge").join(good, "doc_id", "left_semi")
-        limits |= _limits(trusted.where(F.col("model_lang") == ANY).select("model_lang", "perplexity").unionByName(again.select("model_lang", "perplexity")), share, slack)
+        limits |= _limits(trusted.where(F.col("model_lang") == ANY).select("model_lang", "perplexity").unionByName(again.select("model_lang", "perplexity")), share)
     limit: Column = F.lit(None).cast("double")
     for lang, most in limits.items():
         limit = F.when(F.col("model_lang") == lang, F.lit(most)).otherwise(limit)
@@ -225,6 +225,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     kept = [c for c in docs.columns if c not in added]
     # inside, all columns go by their places: a caller's names can't clash
     inner = [f"_{i}" for i in range(len(kept))]
-    facing = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(id_col).alias("id_"), key.alias("h_"))
+    facing = docs.select(*[named(c).alias(i) for c, i in zip(kept, inner)], F.col(id_col).alias("id_"), key.alias("h_"))
     met = facing.join(verdicts, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("h_") == F.col("h")))
     return met.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], F.col("v.perplexity").alias(added[0]), F.col("v.limit").alias(added[1]), F.col("v.kept").alias(added[2]))

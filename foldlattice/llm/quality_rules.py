@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import stored
+from foldlattice.llm.common import named, stored
 
 BLANKS = "\t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
@@ -111,7 +111,7 @@ def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
     return out.select("grp", *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.05) -> DataFrame:
+def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -> DataFrame:
     """``grp``, centre and Cholesky factor of each group's minimum-covariance-determinant estimate.
 
     Starts from medians and median deviations and takes concentration steps until no centre or factor
@@ -138,7 +138,7 @@ def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.05) -
     return fit
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 12, tail: float = 1e-6, least: int = 40) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 25, tail: float = 1e-6, least: int = 40) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2`` of every row.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated three-word windows.
@@ -146,7 +146,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty and fails; null language or source is a group of its own; an empty
     table gives no rows; repeated ids are judged row by row.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    own = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"), named(source_col).alias("source"))
     n = F.greatest(F.col("n_words"), F.lit(1))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = statistics(own).select(
@@ -157,7 +157,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_lines"),
         F.sqrt(F.col("n_repeat_words") / n).alias("repeats"),
     )
-    stats = stored(stats.withColumn("pair", F.xxhash64(F.coalesce("lang", F.lit("")), F.lit("\0"), F.coalesce("source", F.lit("")))), "statistics")
+    stats = stored(stats.withColumn("pair", F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())), "statistics")
     sizes = stored(stats.where("not base_failed").groupBy("pair").agg(F.count("*").alias("fitted")).where(F.col("fitted") >= least), "sizes")
     rows = stats.join(sizes, "pair", "left").withColumn("grp", F.when(F.col("fitted").isNotNull(), F.col("pair")).otherwise(F.lit(0).cast("long"))).select("grp", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES)
     rows = stored(rows, "grouped")

@@ -304,7 +304,7 @@ def test_limits_of_languages_without_their_own(spark, rows):
 def test_limit_of_all_that_was_not_trained(spark, rows):
     docs = spark.createDataFrame([(i, t, "en") for i, t, *_ in rows if i < 120], "doc_id long, text string, lang string")
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    got = quality_classifier(docs, labels, rows=10, share=0.5, slack=1.0)
+    got = quality_classifier(docs, labels, rows=10, share=0.5)
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     got = got.withColumn("train", (h < 2 * 10 / 120) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0)).collect()
     held = sorted(math.ceil(math.log(r["perplexity"]) / BIN) for r in got if not r["train"])
@@ -412,6 +412,30 @@ def test_digests(spark):
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_top_k_takes_every_row_of_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [0.25, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0, k=2).orderBy("rank").collect()] == [(0, 1, 1, 1048576), (0, 2, 1, 524288)]
+
+
+def test_rules_group_by_null_and_empty_apart(spark):
+    """Null and empty languages are groups of their own: each alone reaches the least size or doesn't."""
+    rng = random.Random(1)
+    text = lambda k: " ".join("w" * k + str(rng.randrange(10**9)) for _ in range(60))
+    rows = [(i, text(2), None, "s") for i in range(60)] + [(100 + i, text(20), "", "s") for i in range(60)]
+    got = QR.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), tail=1e-6).collect()
+    assert all(r["kept"] for r in got) and max(r["d2"] for r in got) < 20
+
+
+def test_rules_step_until_still(spark):
+    """One more step moves no figure by a hundredth of its floor."""
+    rng = np.random.default_rng(3)
+    rows = [(1, *map(float, r)) for r in rng.gamma(2.0, 0.1, (4000, 4))] + [(1, 3.0, 3.0, 3.0, 3.0)] * 400
+    df = spark.createDataFrame(rows, "grp long, " + ", ".join(f"{f} double" for f in QR.FEATURES))
+    once, more = (QR.robust_fit(df, 0.75, steps, still).first() for steps, still in ((25, 0.01), (26, 0.0)))
+    for i in range(4):
+        assert abs(once[f"c{i}"] - more[f"c{i}"]) <= 0.02 * QR.FLOORS[i]
+
+
 def test_rows_without_or_with_equal_ids(spark, docs, ids_of):
     twice = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
     held = F.coalesce(F.col("doc_id"), F.lit(0)) > 1
@@ -426,4 +450,6 @@ def test_rows_without_or_with_equal_ids(spark, docs, ids_of):
     write_shards(twice, VOCABULARY, path)
     assert read_documents(spark.read.parquet(path)).count() == 6
     vectors = spark.createDataFrame([(0, [0.5, 0.1]), (0, [0.5, 0.1]), (1, [0.2, 0.9]), (None, [1.0, 1.0]), (2, None)], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in top_k(vectors, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 204 * 512 + 921 * 102)]
+    # both rows of id 0 ask, and each is a candidate of the other
+    found = [(0, 1, 0, 512 * 512 + 102 * 102), (0, 2, 1, 204 * 512 + 921 * 102)]
+    assert sorted(tuple(r) for r in top_k(vectors, F.col("vec_id") % 100 == 0).collect()) == sorted(found * 2)

@@ -23,6 +23,19 @@ def test_stages(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_columns_of_any_name(spark):
+    """Names that the stages use inside, dots and blanks come through each stage with their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    names = ["copy", "__copy", "_copy", "a.b", "judged_kept", "__judged_kept", "perplexity", "kept", "d2", "node", "root", "h", "set_key", "with blank", "v.kept", "`q`"]
+    docs = docs.select("*", *[F.lit(77 + k).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema, name
+        kept = out.collect()
+        assert kept and all(r[n] == 77 + k for r in kept for k, n in enumerate(names)), name
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= 80
+
+
 def test_repeated_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("kept", F.lit("x"))
     twice = docs.unionByName(docs).unionByName(docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
