@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldlattice.llm.common import stored, table
+from foldlattice.llm.common import named, stored, table
 from foldlattice.llm.dedup import near_duplicates
 from foldlattice.llm.packing import pack
 from foldlattice.llm.quality_classifier import quality_classifier
@@ -26,21 +26,34 @@ REMEMBERED = 150_000
 SIMILARITY = 80
 
 
+def _columns(docs: DataFrame) -> list:
+    """All columns of ``docs``, whatever their names."""
+    return [named(c) for c in docs.columns]
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name`` behind so many underscores that no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality_classifier(docs, table(spark, sf_dir, "labels"), prefix="__judged_").where("__judged_kept").select(*docs.columns)
+    prefix = _unused(docs, "judged_")
+    return quality_classifier(docs, table(spark, sf_dir, "labels"), prefix=prefix).where(named(f"{prefix}kept")).select(*_columns(docs))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return docs.join(quality_rules(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(quality_rules(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*_columns(docs))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component; linked are texts of a similarity of ``SIMILARITY`` percent or more."""
     kept = docs.join(near_duplicates(docs, percent=SIMILARITY).where("kept").select("doc_id"), "doc_id", "left_semi")
-    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").select(*docs.columns)
+    same, copy = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"), _unused(docs, "copy")
+    return kept.withColumn(copy, F.row_number().over(same)).where(named(copy) == 1).select(*_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
