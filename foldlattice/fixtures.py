@@ -79,7 +79,8 @@ def elements_of(records: DataFrame) -> DataFrame:
 
 def contacts_of(records: DataFrame) -> DataFrame:
     """One row a pair i < j with its code."""
-    rows = records.select("record_id", F.posexplode("rows").alias("i", "row")).where(F.length("row") > 1)
+    # outer: else a filter on the size of ``rows`` goes below and makes them a second time
+    rows = records.select("record_id", F.posexplode_outer("rows").alias("i", "row")).where(F.length("row") > 1)
     return rows.select("record_id", (F.col("i") + 1).alias("i"), F.posexplode(F.split(F.expr("substring(row, 2)"), "")).alias("d", "code")).where("code <> ''").select("record_id", "i", (F.col("i") + F.col("d") + 1).alias("j"), "code")
 
 

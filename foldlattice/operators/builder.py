@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from foldlattice.functions import geometry as G
 from foldlattice.sources import ssd
@@ -122,10 +122,54 @@ def without_marked(bonds: DataFrame, elements: DataFrame) -> DataFrame:
     return bonds
 
 
-def least_distance(a: str, b: str) -> str:
-    """Least distance between two elements' residues (arrays of points), at most 1000."""
+def within_reach(a: str, b: str, most: float) -> str:
+    """Whether any residues of two elements (arrays of points) lie within ``most`` of each other; stops at the first pair."""
     gap = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "xyz")
-    return f"least(1000e0, sqrt(array_min(transform({a}, p -> array_min(transform({b}, q -> {gap}))))))"
+    return f"exists({a}, p -> exists({b}, q -> sqrt({gap}) <= {most}e0))"
+
+
+def _axis_of(ca: str) -> str:
+    """``strand_axes`` as one expression over an element's residues, for use inside a record's row."""
+
+    def mid(a: str, b: str, c: str) -> str:
+        return f"((get({ca}, {a} - 1).{c} + get({ca}, {b} - 1).{c}) / 2e0)"
+
+    def line(v: dict[str, str]) -> str:
+        n, k = v["n"], v["k"]
+        near = {f"a{c}": f"CASE WHEN {n} = 2 THEN get({ca}, 0).{c} ELSE {mid(k, f'{k} + 1', c)} END" for c in "xyz"}
+        far = {f"b{c}": f"CASE WHEN {n} = 2 THEN get({ca}, 1).{c} ELSE {mid(f'{n} - {k}', f'{n} - {k} + 1', c)} END" for c in "xyz"}
+        return G.let(near | far, lambda w: feet(w, n), True, "w")
+
+    def feet(w: dict[str, str], n: str) -> str:
+        size = "(" + " + ".join(f"({w[f'b{c}']} - {w[f'a{c}']}) * ({w[f'b{c}']} - {w[f'a{c}']})" for c in "xyz") + ")"
+        along = {e: "((" + " + ".join(f"(get({ca}, {at} - 1).{c} - {w[f'a{c}']}) * ({w[f'b{c}']} - {w[f'a{c}']})" for c in "xyz") + f") / nullif({size}, 0e0))" for e, at in (("f", "1"), ("l", n))}
+        return G.let(along, lambda z: "named_struct(" + ", ".join(f"'{e}{c}', {w[f'a{c}']} + {z[e]} * ({w[f'b{c}']} - {w[f'a{c}']})" for e in "fl" for c in "xyz") + ")", True, "z")
+
+    bound = G.let({"n": f"size({ca})", "k": f"cast(CASE WHEN size({ca}) > 3 THEN floor(size({ca}) / 3) ELSE 1 END as int)"}, line, True, "v")
+    return f"CASE WHEN size({ca}) >= 2 THEN {bound} END"
+
+
+def _with_helices(own: DataFrame) -> DataFrame:
+    """Adds ``axes``: axis ends of each helix in ``helices`` (lists of points) of a record; other columns pass as they are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fitted = [[None if a is None else a.tolist() for a in (helix_axis(np.array(points, dtype=float).reshape(-1, 3)) for points in helices)] for helices in batch.column("helices").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted, pa.list_(pa.list_(pa.float64())))], [*batch.schema.names, "axes"])
+
+    return own.mapInArrow(work, StructType([*own.schema.fields, StructField("axes", ArrayType(ArrayType(DoubleType())))])).drop("helices")
+
+
+def structures(lines: DataFrame) -> DataFrame:
+    """``record_id, residues, cards, pairs``: every line read once, and one row a structure, by one shuffle.
+
+    A structure's own lines meet in a row.  Residues are distinct by chain and label, in order up to the
+    first ENDMDL; cards and pairs are as ``sources.ssd`` reads them.
+    """
+    atom, card, pair, end = ssd.atom_of(), ssd.card_of(), ssd.pair_of(), F.col("line").startswith("ENDMDL")
+    own = lines.select(F.col("file").alias("record_id"), "at", atom.alias("atom"), card.alias("card"), pair.alias("pair"), F.when(end, F.col("at")).alias("ended"))
+    own = own.where("atom IS NOT NULL OR card IS NOT NULL OR pair IS NOT NULL OR ended IS NOT NULL")
+    return own.groupBy("record_id").agg(F.min("ended").alias("ended"), *[F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct("at", F.col(x).alias("of"))))).alias(f"{x}s") for x in ("atom", "card", "pair")])
 
 
 def build_records(lines: DataFrame) -> DataFrame:
@@ -134,38 +178,53 @@ def build_records(lines: DataFrame) -> DataFrame:
     Elements get residues by their labels, are ordered and the short ones dropped; axes are fitted; strands
     with two bonds or more are t or c; other pairs in contact by axes and residues are u, v or N by their
     angle, but '-' within one sheet.  A file without elements gives no record.
+
+    One scan and one shuffle: a structure's lines become arrays of one row, and all that follows stays in it.
     """
-    residues = ssd.residues(lines).withColumnRenamed("file", "record_id").withColumn("label", F.trim("label"))
-    ends = residues.select("record_id", "chain", "label", "idx")
-    cards = ssd.elements(lines).withColumnRenamed("file", "record_id")
-    for side in ("begin", "end"):
-        cards = cards.withColumn("label", F.trim(f"{side}_label")).join(ends.withColumnRenamed("idx", f"{side}_idx"), ["record_id", "chain", "label"]).drop("label")
-    marked = cards.where("etype = 'E'")
-    cards = ordered_elements(keep_elements(cards))
-    held = residues_of(cards, residues)
-    pairs = ssd.bonds(lines).withColumnRenamed("file", "record_id")
-    for side in "ab":
-        own = ends.select("record_id", F.col("chain").alias(f"{side}_chain"), F.col("label").alias("own_label"), F.col("idx").alias(side))
-        pairs = pairs.withColumn("own_label", F.trim(f"{side}_label")).join(own, ["record_id", f"{side}_chain", "own_label"]).drop("own_label")
-    bonded = strand_bonds(held, without_marked(pairs.select("record_id", "a", "b"), marked)).select("record_id", "i", "j", F.col("code").alias("bond"))
-    axes = helix_axes(held.where("etype = 'H'")).unionByName(strand_axes(held.where("etype <> 'H'")))
-    points = _points(held).select("record_id", "pos", "ca")
-    whole = cards.select("record_id", "pos", "etype", "chain", F.trim("begin_label").alias("begin_label"), F.trim("end_label").alias("end_label"), "length", "sheet").join(axes, ["record_id", "pos"], "left").join(points, ["record_id", "pos"], "left")
-    fields = ("pos", "etype", "chain", "begin_label", "end_label", "length", "sheet", *[f"{e}{c}" for e in "fl" for c in "xyz"], "ca")
-    gathered = whole.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("own"))  # a structure's own elements
-    numbered = gathered.select("record_id", F.transform("own", lambda x, i: x.withField("pos", i + 1)).alias("own"))
-    one = numbered.select("record_id", "own", F.explode("own").alias("a")).select("record_id", "a", F.explode(F.expr("slice(own, a.pos + 1, size(own))")).alias("b"))
-    both, same = "(a.etype = 'E' AND b.etype = 'E')", "coalesce(a.sheet = b.sheet, false)"
-    near = one.withColumn("overlap", F.expr(G.overlap("a", "b"))).withColumn("gap", F.expr(least_distance("a.ca", "b.ca"))).withColumn("turn", F.expr(G.angle("a", "b")))
-    joined = near.select("record_id", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.expr(f"CASE WHEN overlap > {G.MIN_OVERLAP}e0 AND gap <= {G.MAX_DISTANCE}e0 AND NOT ({both} AND {same}) THEN CASE WHEN turn > {G.ANTIPARALLEL_ABOVE}e0 THEN 'v' WHEN turn < {G.PARALLEL_BELOW}e0 THEN 'u' ELSE 'N' END ELSE '-' END").alias("free"))
-    codes = joined.join(bonded, ["record_id", "i", "j"], "left").select("record_id", "i", "j", F.coalesce("bond", "free").alias("code"))
-    rows = codes.groupBy("record_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "code"))), lambda x: x["code"]), "").alias("row"))
-    rows = rows.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: F.concat(F.lit("*"), x["row"])).alias("upper"))
-    out = numbered.join(rows, "record_id", "left").withColumn("n", F.size("own"))
+    one = structures(lines).selectExpr("record_id", "transform(filter(atoms, x -> ended IS NULL OR x.at < ended), x -> x.of) AS atoms", "cards", "pairs")
+    # residues by first appearance, numbered from 2
+    one = one.selectExpr("record_id", "cards", "pairs", "atoms", "transform(atoms, x -> concat(x.chain, ' ', trim(x.label))) AS keys")
+    first = "CASE WHEN size(array_distinct(keys)) = size(keys) THEN atoms ELSE filter(atoms, (x, i) -> array_position(keys, concat(x.chain, ' ', trim(x.label))) = i + 1) END"
+    one = one.selectExpr("record_id", "cards", "pairs", f"transform({first}, (x, i) -> named_struct('idx', i + 2, 'chain', x.chain, 'x', x.x, 'y', x.y, 'z', x.z)) AS residues", "array_distinct(keys) AS keys")
+
+    def idx(k: str, chain: str, label: str) -> str:
+        return f"nullif(cast(array_position({k}, concat({chain}, ' ', trim({label}))) as int), 0) + 1"
+
+    found = G.let({"keys": "keys"}, lambda v: f"filter(transform(cards, c -> named_struct('at', c.at, 'etype', c.of.etype, 'chain', c.of.chain, 'begin_label', trim(c.of.begin_label), 'end_label', trim(c.of.end_label), 'length', c.of.length, 'sheet', c.of.sheet, 'excluded', c.of.excluded, 'begin_idx', {idx(v['keys'], 'c.of.chain', 'c.of.begin_label')}, 'end_idx', {idx(v['keys'], 'c.of.chain', 'c.of.end_label')})), c -> c.begin_idx IS NOT NULL AND c.end_idx IS NOT NULL)", True, "t")
+    ends = G.let({"keys": "keys"}, lambda v: f"transform(pairs, p -> named_struct('a', {idx(v['keys'], 'p.of.a_chain', 'p.of.a_label')}, 'b', {idx(v['keys'], 'p.of.b_chain', 'p.of.b_label')}))", True, "t")
+    one = one.selectExpr("record_id", "residues", f"{found} AS cards", f"{ends} AS ends")
+    kept = f"filter(cards, c -> (c.etype = 'H' AND c.length >= {LEAST_HELIX}) OR (c.etype = 'E' AND c.length >= {LEAST_STRAND}) OR (c.etype = 'L' AND c.length >= {LEAST_LINKER}))"
+    # bonds in both directions, none with an end in a marked strand
+    both = G.let({"marked": "filter(cards, c -> c.etype = 'E' AND c.excluded)"}, lambda v: f"filter(array_distinct(flatten(transform(ends, p -> array(p, named_struct('a', p.b, 'b', p.a))))), p -> p.a IS NOT NULL AND p.b IS NOT NULL AND NOT exists({v['marked']}, m -> p.a BETWEEN m.begin_idx AND m.end_idx OR p.b BETWEEN m.begin_idx AND m.end_idx))", True, "t")
+    one = one.selectExpr("record_id", "residues", f"{kept} AS cards", f"{both} AS bonds")
+    # chains by first appearance, helices and linkers before strands, then by begin
+    rank = "CASE WHEN {}.etype = 'E' THEN 1 ELSE 0 END"
+    placed = G.let({"cards": "cards"}, lambda v: f"transform(array_sort(transform({v['cards']}, c -> named_struct('first', array_min(transform(filter({v['cards']}, d -> d.chain = c.chain), d -> named_struct('g', {rank.format('d')}, 'at', d.at))), 'begin_idx', c.begin_idx, 'g', {rank.format('c')}, 'at', c.at, 'card', c))), x -> x.card)", True, "t")
+    one = one.selectExpr("record_id", "residues", "bonds", f"{placed} AS cards").where("size(cards) > 0")
+    held = G.let({"residues": "residues"}, lambda v: f"transform(cards, (c, i) -> named_struct('pos', i + 1, 'card', c, 'ca', filter({v['residues']}, r -> r.chain = c.chain AND r.idx BETWEEN c.begin_idx AND c.end_idx)))", True, "t")
+    one = one.selectExpr("record_id", "bonds", f"{held} AS own")
+    one = _with_helices(one.withColumn("helices", F.expr("transform(filter(own, e -> e.card.etype = 'H'), e -> transform(e.ca, r -> array(r.x, r.y, r.z)))")))
+    point = ", ".join(f"'{e}{c}', get(h, {3 * k + d})" for k, e in enumerate("fl") for d, c in enumerate("xyz"))
+    fields = ("etype", "chain", "begin_label", "end_label", "length")
+    # the n-th helix of a record has the n-th fitted axis
+    nth = "size(filter(slice(t.own, 1, e.pos), o -> o.card.etype = 'H')) - 1"
+    helix = f"element_at(transform(array(get(t.axes, {nth})), h -> named_struct({point})), 1)"
+    axis = f"CASE WHEN e.card.etype = 'H' THEN {helix} ELSE {_axis_of('e.ca')} END"
+    with_axes = G.let({"own": "own", "axes": "axes"}, lambda v: f"transform({v['own']}, e -> named_struct('pos', e.pos, 'card', e.card, 'ca', e.ca, 'axis', {axis}))", True, "t")
+    flat = ", ".join([f"'{f}', e.card.{f}" for f in fields] + [f"'{e}{c}', e.axis.{e}{c}" for e in "fl" for c in "xyz"])
+    one = one.selectExpr("record_id", "bonds", f"transform({with_axes}, e -> named_struct('pos', e.pos, 'sheet', e.card.sheet, 'begin_idx', e.card.begin_idx, 'end_idx', e.card.end_idx, 'ca', e.ca, 'at', named_struct({flat}))) AS own")
+    holds = "exists({0}.ca, r -> r.idx = {1})"
+    strands = "filter(own, e -> e.at.etype = 'E')"
+    links = G.let({"strands": strands}, lambda v: f"array_sort(flatten(transform(bonds, p -> flatten(transform(filter({v['strands']}, s -> {holds.format('s', 'p.a')}), s -> transform(filter({v['strands']}, u -> u.pos > s.pos AND {holds.format('u', 'p.b')}), u -> named_struct('i', s.pos, 'j', u.pos, 'a', p.a, 'b', p.b)))))))", True, "t")
+    one = one.selectExpr("record_id", "own", f"{links} AS links")
+    strand_pair, same = "(a.at.etype = 'E' AND b.at.etype = 'E')", "coalesce(a.sheet = b.sheet, false)"
+
+    def code(v: dict[str, str]) -> str:
+        met = f"filter({v['links']}, l -> l.i = a.pos AND l.j = b.pos)"
+        turn = G.let({"d": G.angle("a.at", "b.at")}, lambda w: f"CASE WHEN {w['d']} > {G.ANTIPARALLEL_ABOVE}e0 THEN 'v' WHEN {w['d']} < {G.PARALLEL_BELOW}e0 THEN 'u' ELSE 'N' END", True, "g")
+        free = f"CASE WHEN NOT ({strand_pair} AND {same}) AND {within_reach('a.ca', 'b.ca', G.MAX_DISTANCE)} AND {G.overlap('a.at', 'b.at', bind=True)} > {G.MIN_OVERLAP}e0 THEN {turn} ELSE '-' END"
+        return G.let({"met": met}, lambda w: f"CASE WHEN size({w['met']}) >= 2 THEN CASE WHEN get({w['met']}, 0).b > get({w['met']}, size({w['met']}) - 1).b THEN 't' ELSE 'c' END ELSE {free} END", True, "f")
+
+    rows = G.let({"own": "own", "links": "links"}, lambda v: f"transform({v['own']}, (a, i) -> concat('*', array_join(transform(slice({v['own']}, i + 2, size({v['own']})), b -> {code(v)}), '')))", True, "t")
     names = "array_distinct(filter(transform(own, e -> e.sheet), s -> s IS NOT NULL AND s <> ''))"
-    return out.select(
-        "record_id", "n",
-        F.transform("own", lambda e: F.struct(*[e[f].alias(f) for f in fields if f not in ("pos", "sheet", "ca")])).alias("elements"),
-        F.expr(f"transform({names}, s -> transform(filter(own, e -> e.sheet = s), e -> e.pos))").alias("sheets"),
-        F.expr("concat(coalesce(upper, cast(array() as array<string>)), array('*'))").alias("rows"),
-    )
+    return one.selectExpr("record_id", "size(own) AS n", "transform(own, e -> e.at) AS elements", f"transform({names}, s -> transform(filter(own, e -> e.sheet = s), e -> e.pos)) AS sheets", f"{rows} AS rows")

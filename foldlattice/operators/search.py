@@ -7,13 +7,9 @@ its codes with elements picked before, and constraints apply as soon as their el
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foldlattice.functions import geometry as G
 from foldlattice.functions.codes import code_matches, type_matches
@@ -109,7 +105,8 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
         when += [code_matches(code_at("rows", f"p{i}", "p"), f"'{motif.codes[i, level]}'") for i in range(1, level) if motif.codes[i, level] != "X"]
         first = f"p{level - 1} + 1" if level > 1 else "1"
         last = f"n - {motif.k - level}"
-        now = now.where(f"{first} <= {last}").select(*now.columns, F.explode(F.expr(f"filter(sequence({first}, {last}), p -> {' AND '.join(when)})")).alias(f"p{level}"))
+        # outer: else Spark adds a filter on the same list's size and makes it twice
+        now = now.where(f"{first} <= {last}").select(*now.columns, F.explode_outer(F.expr(f"filter(sequence({first}, {last}), p -> {' AND '.join(when)})")).alias(f"p{level}")).where(f"p{level} IS NOT NULL")
         now = now.withColumn(f"e{level}", F.expr(f"element_at(elements, p{level})"))
         for condition in _ready(motif, level):
             now = now.where(condition)
@@ -122,35 +119,20 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
     return now.select("record_id", *picked).select(F.lit(motif.motif_id).alias("query_id"), "record_id", F.row_number().over(order).alias("motif_idx"), F.concat_ws(",", *picked).alias("positions"))
 
 
-def parities(rows: list[str]) -> dict[tuple[int, int], int]:
-    """For each pair i < j joined by c and t contacts: t's along a shortest path, modulo two (fewer first among equals)."""
-    near: dict[int, list[tuple[int, int]]] = {}
-    for i, row in enumerate(rows, 1):
-        for d, code in enumerate(row):
-            if code in ("c", "t"):
-                near.setdefault(i, []).append((i + d, int(code == "t")))
-                near.setdefault(i + d, []).append((i, int(code == "t")))
-    out = {}
-    for begin in near:
-        seen, front = {begin: 0}, {begin: 0}
-        while front:
-            step: dict[int, int] = {}
-            for x, t in front.items():
-                for y, own in near[x]:
-                    if y not in seen:
-                        step[y] = min(step.get(y, 2), (t + own) % 2)
-            seen |= step
-            front = step
-        out |= {(begin, y): t for y, t in seen.items() if y > begin}
-    return out
-
-
 def parity_of_sheets(records: DataFrame) -> DataFrame:
-    """Adds ``parity``, an array of 'i-j=t' for all pairs joined within a record; a search has no built-in form."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[f"{i}-{j}={t}" for (i, j), t in sorted(parities(rows).items())] for rows in batch.column("rows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "parity"])
+    """Adds ``parity``, an array of 'i-j=t' for all pairs i < j joined within a record by c and t contacts.
 
-    return records.mapInArrow(work, StructType([*records.schema.fields, StructField("parity", ArrayType(StringType()))]))
+    t is the number of t contacts along a shortest path modulo two, the even one among equals.  From each
+    element a front of (element, parity) moves one contact at a time over what it has not met, until it
+    is empty; all of it stays in the record's row.
+    """
+    edge = "transform(filter(sequence(1, size(t.rows)), y -> y <> x AND instr('ct', {0}) > 0), y -> named_struct('y', y, 't', CASE WHEN {0} = 't' THEN 1 ELSE 0 END))".format(code_at("t.rows", "least(x, y)", "greatest(x, y)"))
+    near = f"element_at(transform(array(named_struct('rows', rows)), t -> transform(sequence(1, size(t.rows)), x -> {edge})), 1)"
+    reached = "flatten(transform(s.front, f -> transform(filter(element_at(u.near, f.y), e -> NOT array_contains(s.seen, e.y)), e -> named_struct('y', e.y, 't', (f.t + e.t) % 2))))"
+    # sorted, the first of an element's entries is the even one
+    fresh = G.let({"all": f"array_sort(array_distinct({reached}))"}, lambda v: f"filter({v['all']}, (c, i) -> i = 0 OR get({v['all']}, i - 1).y <> c.y)", True, "d")
+    step = G.let({"front": fresh}, lambda v: f"CASE WHEN size({v['front']}) = 0 THEN named_struct('front', {v['front']}, 'seen', s.seen, 'out', s.out) ELSE named_struct('front', {v['front']}, 'seen', concat(s.seen, transform({v['front']}, f -> f.y)), 'out', concat(s.out, {v['front']})) END", True, "z")
+    begun = "named_struct('front', array(named_struct('y', x, 't', 0)), 'seen', array(x), 'out', cast(array() as array<struct<y:int,t:int>>))"
+    walk = f"aggregate(sequence(1, greatest(size(u.near) - 1, 1)), {begun}, (s, k) -> CASE WHEN size(s.front) = 0 THEN s ELSE {step} END, s -> filter(s.out, f -> f.y > x))"
+    found = f"flatten(transform(sequence(1, size(u.near)), x -> CASE WHEN size(element_at(u.near, x)) = 0 THEN cast(array() as array<string>) ELSE transform(array_sort({walk}), f -> concat(x, '-', f.y, '=', f.t)) END))"
+    return records.withColumn("parity", F.expr(f"CASE WHEN size(rows) > 0 THEN element_at(transform(array(named_struct('near', {near})), u -> {found}), 1) ELSE cast(array() as array<string>) END"))

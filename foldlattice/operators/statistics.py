@@ -34,6 +34,43 @@ def poisson_binomial_cdf(shares: Column, at_most: Column) -> Column:
     return F.aggregate(F.slice(grown, F.lit(1), F.least(at_most + 1, F.size(grown))), F.lit(0.0), lambda a, x: a + x)
 
 
+def _convolved(a: Column, b: Column, most: int) -> Column:
+    """Product of two distributions of counts, up to the count ``most``."""
+    places = F.sequence(F.lit(0), F.least(F.lit(most), F.size(a) + F.size(b) - 2))
+
+    def at(s: Column) -> Column:
+        both = F.sequence(F.greatest(F.lit(0), s - F.size(b) + 1), F.least(s, F.size(a) - 1))
+        return F.aggregate(both, F.lit(0.0), lambda acc, i: acc + F.get(a, i) * F.get(b, s - i))
+
+    return F.transform(places, at)
+
+
+def poisson_binomial(rows: DataFrame, by: list[str], share: str, most: int, piece: int = 256, fan: int = 16) -> DataFrame:
+    """``by, chances``: P(X = 0) to P(X = most) of the hits among each group's independent trials.
+
+    Rows that lie together make pieces of at most ``piece`` trials, whose truncated distributions are found
+    where they lie; then distributions are multiplied ``fan`` or so at a time until a group has one.  So
+    a group may span any number of tasks, and what moves is ``most`` + 1 numbers a piece.  Null shares are no
+    trials; a group of only those has no row.
+    """
+    own = rows.where(F.col(share).isNotNull()).select(*by, F.col(share).cast("double").alias("p"), F.expr(f"monotonically_increasing_id() div {piece}").alias("part"))
+    listed = own.groupBy(*by, "part").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # ``piece`` trials at most
+    one = F.aggregate("ps", F.array(F.lit(1.0)), lambda d, p: F.slice(F.zip_with(F.concat(d, F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), d), lambda stay, step: stay * (1 - p) + step * p), 1, most + 1))
+    now = listed.select(*by, "part", one.alias("chances"))
+    pieces = now.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while pieces > 1:
+        slots = -(-pieces // fan)
+        met = now.groupBy(*by, F.pmod(F.xxhash64("part"), F.lit(slots)).alias("part")).agg(F.array_sort(F.collect_list("chances")).alias("all"))
+        now = met.select(*by, "part", F.aggregate("all", F.array(F.lit(1.0)), lambda a, b: _convolved(a, b, most)).alias("chances"))
+        pieces = slots if slots > 1 else 1
+    return now.select(*by, "chances")
+
+
+def at_most(chances: Column) -> Column:
+    """Sum of a list of chances."""
+    return F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
+
+
 def no_hit_probability(p: str) -> Column:
     """Product of 1 - p over a group."""
     return F.exp(F.sum(F.log(F.lit(1.0) - F.col(p))))

@@ -242,7 +242,8 @@ def sweep(records: DataFrame, motifs: list[Motif], tasks: int | None = None) ->
         stays = "array(0)" if L > 1 else "cast(array() as array<int>)"
         # left = 0 and no way on: a whole motif; ends: whole, and a part of larger ones
         options = f"CASE WHEN left = 0 AND NOT ends THEN {stays} WHEN ends THEN concat({stays}, {going.replace('size(fit) - left + 1', 'size(fit)')}) ELSE {going} END"
-        now = now.select("*", F.explode(F.expr(options)).alias(f"q{L}"))
+        # outer: else Spark adds a filter on the same list's size and makes it twice
+        now = now.select("*", F.explode_outer(F.expr(options)).alias(f"q{L}")).where(f"q{L} IS NOT NULL")
         now = now.withColumn(f"p{L}", F.expr(f"CASE WHEN q{L} = 0 THEN 0 ELSE get(fit, q{L} - 1) END"))
         now = now.withColumns({"t": F.expr(f"CASE WHEN q{L} = 0 THEN '.' ELSE get(etypes, p{L} - 1) END"), "size_": F.expr(f"coalesce(get(lengths, p{L} - 1), 0)"), f"c{L}": F.expr(f"get(chains, p{L} - 1)")})
         if "sheet" in kinds:

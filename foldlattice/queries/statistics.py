@@ -33,7 +33,7 @@ def bh_adjust(spark, sf_dir):
     return S.bh_adjust(_p_values(spark, sf_dir)).select("sk", "ty", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query("poisson_binomial_cdf", """WITH RECURSIVE t AS (SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS m, (l_partkey % 7 + 1) / 10.0 AS p FROM lineitem),
+@query("poisson_binomial_cdf", """WITH RECURSIVE t AS (SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS m, (l_partkey % 97 + 1) / 101.0 AS p FROM lineitem),
 d AS (SELECT record, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS x, CAST(1 AS DOUBLE) AS pr FROM (SELECT DISTINCT record FROM t) UNION ALL
   SELECT record, k, x, sum(pr) FROM (SELECT d.record, t.k, d.x + b.hit AS x, d.pr * CASE WHEN b.hit = 1 THEN t.p ELSE 1 - t.p END AS pr FROM d JOIN t ON t.record = d.record AND t.k = d.k + 1, (SELECT unnest([0, 1]) AS hit) b) GROUP BY record, k, x)
 SELECT d.record, round(sum(pr), 6) AS at_most_2 FROM d JOIN (SELECT record, max(m) AS m FROM t GROUP BY 1) w ON w.record = d.record AND w.m = d.k WHERE x <= 2 GROUP BY d.record""")
@@ -41,8 +41,20 @@ def poisson_binomial_cdf(spark, sf_dir):
     """Chance of at most two hits among an order's lines, each with its own share."""
     from foldlattice.fixtures import read
 
-    shares = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record")).agg(F.collect_list((F.col("l_partkey") % 7 + 1) / 10.0).alias("ps"))  # an order's few lines
-    return shares.select("record", F.round(S.poisson_binomial_cdf(F.col("ps"), F.lit(2)), 6).alias("at_most_2"))
+    shares = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), ((F.col("l_partkey") % 97 + 1) / 101.0).alias("p"))
+    return S.poisson_binomial(shares, ["record"], "p", 2).select("record", F.round(S.at_most(F.col("chances")), 6).alias("at_most_2"))
+
+
+@query("supplier_poisson_binomial", """WITH RECURSIVE t AS (SELECT l_suppkey AS supplier, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k, (l_partkey % 97 + 1) / 9973.0 AS p FROM lineitem),
+d AS (SELECT supplier, CAST(0 AS BIGINT) AS k, [CAST(1 AS DOUBLE), 0, 0, 0] AS c FROM (SELECT DISTINCT supplier FROM t) UNION ALL
+  SELECT d.supplier, t.k, [c[1] * (1 - p), c[2] * (1 - p) + c[1] * p, c[3] * (1 - p) + c[2] * p, c[4] * (1 - p) + c[3] * p] FROM d JOIN t ON t.supplier = d.supplier AND t.k = d.k + 1)
+SELECT d.supplier, round(c[1] + c[2] + c[3] + c[4], 6) AS at_most_3 FROM d JOIN (SELECT supplier, max(k) AS k FROM t GROUP BY 1) w USING (supplier, k)""")
+def supplier_poisson_binomial(spark, sf_dir):
+    """Chance of at most three hits among all lines of a supplier: groups that grow with the table."""
+    from foldlattice.fixtures import read
+
+    shares = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), ((F.col("l_partkey") % 97 + 1) / 9973.0).alias("p"))
+    return S.poisson_binomial(shares, ["supplier"], "p", 3).select("supplier", F.round(S.at_most(F.col("chances")), 6).alias("at_most_3"))
 
 
 @query("thinned_expectation", HITS + _P + " SELECT sk, round(exp(sum(ln(1 - p * 0.5))), 6) AS none, round(sum(p * 0.5), 6) AS expected FROM p GROUP BY sk")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
-from foldlattice.operators.signatures import connected_signatures, two_sheet_signatures
+from foldlattice.operators.signatures import connected_signatures, connected_subsets, two_sheet_signatures
 from foldlattice.operators.search import search
 from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
 from foldlattice.plans.motif import motif_sql
@@ -134,6 +134,21 @@ def dark_to_vocabulary(spark, sf_dir):
     return own.where("record_id % 2 = 1").join(vocabulary, ["partition", "contacts"], "left_anti").groupBy("record_id").agg(F.count("*").alias("dark"))
 
 
+def _bonded_sql(k: int) -> str:
+    """Growing sets of strands from any of their bonds, repeats dropped."""
+    grown = "".join(f", s{n} AS (SELECT DISTINCT s.record_id, list_sort(list_append(s.places, e.b)) AS places FROM s{n - 1} s JOIN edge e ON e.record_id = s.record_id AND list_contains(s.places, e.a) AND NOT list_contains(s.places, e.b))" for n in range(3, k + 1))
+    return f"""WITH {X.LONG_SQL}, edge AS (SELECT record_id, i AS a, j AS b FROM ct3 WHERE code = 't' UNION ALL SELECT record_id, j, i FROM ct3 WHERE code = 't'),
+s2 AS (SELECT DISTINCT record_id, list_sort([a, b]) AS places FROM edge){grown}
+SELECT record_id, count(*) AS subsets, CAST(min(places[1]) AS INTEGER) AS first, CAST(max(places[{k}]) AS INTEGER) AS last FROM s{k} GROUP BY record_id"""
+
+
+@query("long_record_subsets", _bonded_sql(5))
+def long_record_subsets(spark, sf_dir):
+    """Connected sets of five strands by t contacts in customers' lines, where all subsets of five are millions a record."""
+    found = connected_subsets(X.long_records(spark, sf_dir), 5, "element_at(elements, p).etype = 'E'", "t")
+    return found.groupBy("record_id").agg(F.count("*").alias("subsets"), F.min(F.col("places")[0]).alias("first"), F.max(F.col("places")[4]).alias("last"))
+
+
 @query("fitting_histogram", GEOM + ", f AS (SELECT record_id, count(*) FILTER (WHERE (etype = 'H' AND length >= 8) OR (etype = 'E' AND length >= 5)) AS fit FROM el1 GROUP BY 1) SELECT CAST(fit AS INTEGER) AS fit, count(*) AS records FROM f GROUP BY 1")
 def fitting_histogram(spark, sf_dir):
     """Records by how many elements are long enough."""

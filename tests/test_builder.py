@@ -56,6 +56,119 @@ def test_helix_axis():
     assert B.helix_axis(points[:3]) is None
 
 
+def _plain_record(text):
+    """The record of one file's lines, step by step."""
+    atoms, cards, pairs = {}, [], []
+    for at, line in enumerate(text):
+        if line.startswith("ENDMDL"):
+            break
+        if line[:4] == "ATOM" and line[12:16].strip() == "CA":
+            atoms.setdefault((line[21], line[22:27].strip()), np.array([float(line[30 + 8 * k : 38 + 8 * k]) for k in range(3)]))
+    index = {k: n + 2 for n, k in enumerate(atoms)}
+    for at, line in enumerate(text):
+        spots = {"HELIX": (19, 21, "H"), "SHEET": (21, 22, "E"), "LINKE": (19, 21, "L")}.get(line[:5])
+        if spots:
+            chain, begin, kind = spots
+            if kind == "L" and line[19] != line[31]:
+                continue
+            ends = [index.get((line[chain], line[k : k + 5].strip())) for k in (begin, 33)]
+            if None not in ends:
+                cards.append({"at": at, "kind": kind, "chain": line[chain], "ends": ends, "length": int(line[71:76]), "sheet": line[11:14].strip() if kind == "E" else None, "marked": kind == "E" and line[70] == "m"})
+        if line.startswith("PAIRS"):
+            a, b = index.get((line[19], line[21:26].strip())), index.get((line[31], line[33:38].strip()))
+            if a and b:
+                pairs += [(a, b), (b, a)]
+    marked = [c["ends"] for c in cards if c["marked"]]
+    pairs = sorted({p for p in pairs if not any(lo <= x <= hi for lo, hi in marked for x in p)})
+    kept = [c for c in cards if c["length"] >= {"H": 5, "E": 2, "L": 3}[c["kind"]]]
+    strand = lambda c: int(c["kind"] == "E")
+    first = {ch: min((strand(c), c["at"]) for c in kept if c["chain"] == ch) for ch in {c["chain"] for c in kept}}
+    kept.sort(key=lambda c: (first[c["chain"]], c["ends"][0], strand(c), c["at"]))
+    for c in kept:
+        c["held"] = {i: atoms[k] for k, i in index.items() if k[0] == c["chain"] and c["ends"][0] <= i <= c["ends"][1]}
+        p = np.array(list(c["held"].values()))
+        if c["kind"] == "H":
+            c["axis"] = B.helix_axis(p)
+        elif len(p) < 2:
+            c["axis"] = None
+        else:
+            k = len(p) // 3 if len(p) > 3 else 1
+            a, b = (p[0], p[1]) if len(p) == 2 else ((p[k - 1] + p[k]) / 2, (p[-k - 1] + p[-k]) / 2)
+            c["axis"] = np.concatenate([a + (x - a) @ (b - a) / ((b - a) @ (b - a)) * (b - a) for x in (p[0], p[-1])])
+    rows = []
+    for i, a in enumerate(kept):
+        row = "*"
+        for b in kept[i + 1 :]:
+            own = [p for p in pairs if p[0] in a["held"] and p[1] in b["held"]]
+            if strand(a) and strand(b) and len(own) >= 2:
+                row += "t" if own[0][1] > own[-1][1] else "c"
+            elif strand(a) and strand(b) and a["sheet"] == b["sheet"] or a["axis"] is None or b["axis"] is None:
+                row += "-"
+            else:
+                row += _plain_code(a, b)
+        rows.append(row)
+    return [c["kind"] for c in kept], rows, [c["axis"] for c in kept]
+
+
+def _plain_code(a, b):
+    f, l, g, m = a["axis"][:3], a["axis"][3:], b["axis"][:3], b["axis"][3:]
+    shared = []
+    for s, t in (((f + g) / 2, (l + m) / 2), ((f + m) / 2, (l + g) / 2)):
+        line = (t - s) / np.linalg.norm(t - s)
+        at = [sorted(float((x - s) @ line) for x in pair) for pair in ((f, l), (g, m))]
+        shared.append(max(0.0, min(at[0][1], at[1][1]) - max(at[0][0], at[1][0])))
+    gap = min(np.linalg.norm(p - q) for p in a["held"].values() for q in b["held"].values())
+    turn = np.degrees(np.arccos((l - f) @ (m - g) / np.linalg.norm(l - f) / np.linalg.norm(m - g)))
+    return "-" if max(shared) <= 2.5 or gap > 11 else "v" if turn > 95 else "u" if turn < 85 else "N"
+
+
+def test_whole_records(spark):
+    """Structures of two chains and up to 520 residues, built in their rows and step by step."""
+    rng = np.random.default_rng(12)
+    files = {}
+    for f, size in (("small", 60), ("large", 520), ("none", 8)):
+        text, walk, labels = [], np.zeros(3), []
+        for i in range(size):
+            chain = "AB"[i >= size * 2 // 3]
+            walk = walk + rng.normal(0, 1.6, 3)
+            walk = np.clip(walk, -22, 22)
+            labels.append((chain, str(i)))
+            text.append(atom("ATOM  ", "CA", chain, i, *walk))
+            if i % 9 == 4:
+                text += [atom("ATOM  ", "CB", chain, i, *walk), atom("ATOM  ", "CA", chain, i, 9, 9, 9)]
+        i = 0
+        while i < size - 14 and f != "none":
+            n = int(rng.integers(1, 13))
+            chain = labels[i][0]
+            if labels[i + n - 1][0] == chain:
+                kind = ("HELIX", "SHEET", "SHEET", "LINKER")[int(rng.integers(4))]
+                ends = (f"{i:>4} ", f"{i + n - 1:>4} ", f"{n:>5}")
+                if kind == "SHEET":
+                    text.append(card(kind, a=(12, f" S{int(rng.integers(3))}"), b=(22, chain), c=(23, ends[0]), d=(34, ends[1]), e=(71, "m" if rng.random() < 0.1 else " "), f=(72, ends[2])))
+                else:
+                    text.append(card(kind, a=(20, chain), b=(22, ends[0]), c=(32, chain), d=(34, ends[1]), e=(72, ends[2])))
+            i += n + int(rng.integers(3))
+        for _ in range(size * 4):
+            x, y = (int(v) for v in rng.integers(0, size, 2))
+            text.append(card("PAIRS", a=(8, "  1"), b=(20, labels[x][0]), c=(22, f"{x:>4} "), d=(32, labels[y][0]), e=(34, f"{y:>4} ")))
+        text += ["ENDMDL", atom("ATOM  ", "CA", "A", 999, 0, 0, 0)]
+        files[f] = text
+    df = spark.createDataFrame([(f, i, t) for f, text in files.items() for i, t in enumerate(text)], "file string, at int, line string")
+    assert B.build_records(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    built = B.build_records(df.repartition(5))
+    got = {r["record_id"]: r for r in built.collect()}
+    assert set(got) == {"small", "large"}
+    letters = set()
+    for f, r in got.items():
+        kinds, rows, axes = _plain_record(files[f])
+        assert [e["etype"] for e in r["elements"]] == kinds and r["n"] == len(kinds) and r["rows"] == rows
+        letters |= set("".join(rows))
+        for e, a in zip(r["elements"], axes):
+            own = [e[f"{x}{c}"] for x in "fl" for c in "xyz"]
+            assert own == [None] * 6 if a is None else own == pytest.approx(list(a), abs=1e-6)
+    assert letters == set("*-tcuvN")
+
+
 def test_strand_bonds(spark):
     held = spark.createDataFrame([(1, p, "E", i, 0.0, 0.0, 0.0) for p, r in ((1, range(1, 6)), (2, range(11, 16))) for i in r], "record_id int, pos int, etype string, idx int, x double, y double, z double")
     up = spark.createDataFrame([(1, 1, 11), (1, 3, 13), (1, 11, 1), (1, 13, 3)], "record_id int, a int, b int")

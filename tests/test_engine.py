@@ -13,7 +13,8 @@ from foldlattice import queries as Q
 from foldlattice.functions import geometry as G
 from foldlattice.operators import lattice as L
 from foldlattice.operators import statistics as S
-from foldlattice.operators.search import parities
+from foldlattice.operators.search import parity_of_sheets
+from foldlattice.operators.signatures import connected_subsets
 from foldlattice.plans.motif import MotifError, parse_motif, write_motif
 from foldlattice.queries.motifs import MOTIFS
 
@@ -35,7 +36,7 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     cols = sorted(a.columns)
 
     def plain(df):
-        rows = [tuple(None if pd.isna(v) else round(float(v), 4) if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False)]
+        rows = [tuple(None if pd.isna(v) else round(float(v), 7) if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False)]
         return sorted(rows, key=str)
 
     assert plain(a) == plain(b)
@@ -106,8 +107,61 @@ def test_geometry_is_rigid(spark):
     assert plain == turned and plain[:3] == mirrored[:3] and {plain[3], mirrored[3]} == {"R", "L"}
 
 
-def test_parities():
+def parities(rows):
+    """For each pair i < j joined by c and t contacts: t's along a shortest path, modulo two, the even one among equals."""
+    near = {}
+    for i, row in enumerate(rows, 1):
+        for d, code in enumerate(row):
+            if code in ("c", "t"):
+                near.setdefault(i, []).append((i + d, int(code == "t")))
+                near.setdefault(i + d, []).append((i, int(code == "t")))
+    out = {}
+    for begin in near:
+        seen, front = {begin: 0}, {begin: 0}
+        while front:
+            step = {}
+            for x, t in front.items():
+                for y, own in near[x]:
+                    if y not in seen:
+                        step[y] = min(step.get(y, 2), (t + own) % 2)
+            seen |= step
+            front = step
+        out |= {(begin, y): t for y, t in seen.items() if y > begin}
+    return out
+
+
+def test_parities(spark):
     assert parities(["*tc-", "*--", "*t", "*"]) == {(1, 2): 1, (1, 3): 0, (1, 4): 1, (2, 3): 1, (2, 4): 0, (3, 4): 1}
+    rng = random.Random(3)
+    held = [["*" + "".join(rng.choice("ct------uN") for _ in range(n - i)) for i in range(1, n + 1)] for n in [0, 1, 2, 4, 9, 15] * 6 + [70]]
+    df = spark.createDataFrame([(k, rows) for k, rows in enumerate(held)], "record_id int, rows array<string>")
+    got = {r["record_id"]: r["parity"] for r in parity_of_sheets(df).collect()}
+    assert got == {k: [f"{i}-{j}={t}" for (i, j), t in sorted(parities(rows).items())] for k, rows in enumerate(held)}
+    assert "ArrowPython" not in parity_of_sheets(df)._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in parity_of_sheets(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_connected_subsets(spark):
+    """Every connected subset once, on sparse and dense records, and few rows on a record of 150 elements in a ring."""
+    rng = random.Random(4)
+    held = [["*" + "".join(rng.choice("t" + "-" * thin) for _ in range(n - i)) for i in range(1, n + 1)] for n, thin in ((5, 1), (8, 2), (9, 4), (11, 3), (6, 0), (4, 0))]
+    ring = ["*" + "".join("u" if j == i + 1 or (i, j) == (1, 150) else "-" for j in range(i + 1, 151)) for i in range(1, 151)]
+    df = spark.createDataFrame([(k, len(rows), rows) for k, rows in enumerate([*held, ring])], "record_id int, n int, rows array<string>")
+    for k in (2, 4, 5):
+        got = sorted((r["record_id"], tuple(r["places"])) for r in connected_subsets(df, k, "p <> 3").collect())
+        want = []
+        for at, rows in enumerate(held):
+            for places in itertools.combinations([p for p in range(1, len(rows) + 1) if p != 3], k):
+                reach, todo = {places[0]}, [places[0]]
+                while todo:
+                    x = todo.pop()
+                    new = {y for y in places if y not in reach and rows[min(x, y) - 1][abs(x - y)] != "-"}
+                    reach |= new
+                    todo += new
+                if len(reach) == k:
+                    want.append((at, places))
+        assert [g for g in got if g[0] < len(held)] == sorted(want) and len(got) == len(set(got))
+        assert sum(g[0] == len(held) for g in got) == 149 - k + 1  # C(149, 5) subsets are over 500 million
+
 
 
 def test_exact_tests(spark):
@@ -132,3 +186,23 @@ def test_extensions():
     assert len(made) == len({write_motif(m) for m in made}) and all(m.k == 3 and parse_motif(m.motif_id, write_motif(m)) == m for m in made)
     loose = contacts_only(MOTIFS["g3_right"])
     assert not loose.handedness and set(loose.codes.values()) <= {"x", "X", "-", "N"}
+
+
+def _plain_chances(ps, most):
+    d = [1.0]
+    for p in ps:
+        d = [a * (1 - p) + b * p for a, b in zip([*d, 0.0], [0.0, *d])][: most + 1]
+    return d
+
+
+def test_long_poisson_binomial(spark):
+    """A group of 10,000 trials beside small ones, in pieces over several tasks; nulls are no trials."""
+    rng = random.Random(8)
+    rows = [("long", rng.random() / 2000) for _ in range(10_000)] + [("one", 0.25)] + [("few", p) for p in (0.0, 1.0, 0.5, None)] + [("none", None)]
+    df = spark.createDataFrame(rows, "cell string, p double").repartition(7)
+    for piece, fan in ((256, 16), (64, 2), (100_000, 16)):
+        got = {r["cell"]: list(r["chances"]) for r in S.poisson_binomial(df, ["cell"], "p", 5, piece, fan).collect()}
+        assert set(got) == {"long", "one", "few"}
+        for cell, chances in got.items():
+            assert chances == pytest.approx(_plain_chances([p for c, p in rows if c == cell and p is not None], 5), abs=1e-9)
+    assert S.poisson_binomial(df.limit(0), ["cell"], "p", 5).count() == 0
