@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlattice.queries import attributes, building, enumeration, hits, motifs, statistics, texts
+from foldlattice.queries import attributes, building, enumeration, files, hits, motifs, statistics, texts
 
-GROUPS = (motifs, building, enumeration, hits, attributes, statistics, texts)
+GROUPS = (motifs, building, enumeration, hits, attributes, statistics, texts, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
