@@ -7,8 +7,10 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldlattice.operators.lattice import GRID_POINTS, Points, around, canonical, compact, grid_of, handedness, joined, labelings, points_of, skeletons, typings, with_grid
+from foldlattice.operators.search import code_at
 from foldlattice.plans.extension import contacts_only
 from foldlattice.plans.motif import Motif, Requirement, parse_motif, write_motif
 
@@ -89,14 +91,11 @@ def typing_fits(points: Points, types: str) -> bool:
 
 
 def _placed(points: Points, grid: str) -> tuple[int, ...]:
-    """The way of laying a skeleton on its grid that leaves most of the asked triples a sense, the least among equals."""
-    senses = dict(zip(combinations(range(1, 6), 3), handedness(points)))
-
-    def sensed(label: tuple[int, ...]) -> int:
-        own = {ref: i for i, ref in enumerate(label, 1)}
-        return sum(senses[tuple(sorted(own[x] for x in t))] != 0 for t in HANDED[grid])
-
-    return min(labelings(points, grid), key=lambda label: (-sensed(label), label))
+    """How a skeleton lies on its grid: of the orders of places the first that leaves the most asked triples with a sense."""
+    flat = {t for t, sense in zip(combinations(range(5), 3), handedness(points)) if not sense}
+    orders = labelings(points, grid)
+    blank = [sum({order.index(x) for x in asked} in map(set, flat) for asked in HANDED[grid]) for order in orders]
+    return orders[blank.index(min(blank))]
 
 
 def minimal_motifs(motif_id: str, points: Points, types: str) -> Iterator[Motif]:
@@ -194,6 +193,39 @@ def one_larger(seed: Points, types: str, name: str) -> list[Motif]:
     return out
 
 
+def bonds_asked(motif: Motif) -> list[int]:
+    """How many bonded neighbours a motif asks each of its strands for, most first."""
+    bonded = [i for pair, c in motif.codes.items() if c in "ct" for i in pair]
+    return sorted((bonded.count(i) for i in set(bonded)), reverse=True)
+
+
+def bonds_held(records: DataFrame) -> DataFrame:
+    """``record_id, held``: bonded neighbours of each strand that has any, most first."""
+    both = code_at("t.rows", "least(x, y)", "greatest(x, y)")
+    degree = f"transform(sequence(1, size(t.rows)), x -> size(filter(sequence(1, size(t.rows)), y -> y <> x AND instr('ct', {both}) > 0)))"
+    held = f"element_at(transform(array(named_struct('rows', rows)), t -> filter({degree}, d -> d > 0)), 1)"
+    return records.select("record_id", F.expr(f"CASE WHEN size(rows) > 0 THEN reverse(array_sort({held})) ELSE cast(array() as array<int>) END").alias("held"))
+
+
+def room_for(records: DataFrame, motifs: list[Motif]) -> DataFrame:
+    """``query_id, crowded, records``: records with enough bonded strands for each motif, place by place of both lists.
+
+    Necessary for a hit.  Motifs and records meet by their distinct lists, of which there are few, and
+    never each with each.
+    """
+    spark = records.sparkSession
+    table = spark.createDataFrame([(m.motif_id, crowded(m), bonds_asked(m)) for m in motifs], "query_id string, crowded boolean, asked array<int>")
+    kinds = bonds_held(records).groupBy("held").agg(F.count("*").alias("records"))
+    # a list of asked bonds is met by those whose i-th largest is no less than its own, for every i
+    asked = table.select("asked").distinct()
+    places = asked.select("asked", F.posexplode_outer("asked").alias("place", "least"))
+    met = places.join(kinds.select("held", "records", F.posexplode("held").alias("place", "has")), "place").where("has >= least").groupBy("asked", "held").agg(F.first("records").alias("records"), F.count("*").alias("places"))
+    able = met.where(F.col("places") == F.size("asked")).groupBy("asked").agg(F.sum("records").alias("records"))
+    everything = kinds.agg(F.sum("records").alias("everything"))
+    out = table.join(able, "asked", "left").join(F.broadcast(everything))
+    return out.select("query_id", "crowded", F.when(F.size("asked") == 0, F.coalesce("everything", F.lit(0))).otherwise(F.coalesce("records", F.lit(0))).cast("long").alias("records"))
+
+
 def crowded(motif: Motif) -> bool:
     """Whether a motif asks one strand of a sheet for three or more bonded neighbours, which strands hardly have."""
     bonded = [i for pair, c in motif.codes.items() if c in "ct" for i in pair]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -170,24 +170,17 @@ GRID_POINTS = {
 }
 
 
-def images(points: Points) -> Iterator[Points]:
-    """A skeleton under the six rotations, plain and mirrored."""
-    for k in range(6):
-        own = tuple(turned(p, k) for p in points)
-        yield own
-        yield tuple((q + r, -r) for q, r in own)
+def _gaps(points: Points) -> list[int]:
+    """Squared distance of each ordered pair of points."""
+    return [(a - c) ** 2 + (a - c) * (b - d) + (b - d) ** 2 for (a, b), (c, d) in permutations(points, 2)]
 
 
 def labelings(points: Points, grid: str) -> list[tuple[int, ...]]:
-    """For each way of laying a skeleton on a grid: the reference place (from 1) of each of its points."""
-    places = {p: k for k, p in enumerate(GRID_POINTS[grid], 1)}
-    found = set()
-    for own in images(points):
-        for q, r in places:
-            moved = [(a - own[0][0] + q, b - own[0][1] + r) for a, b in own]
-            if all(p in places for p in moved):
-                found.add(tuple(places[p] for p in moved))
-    return sorted(found)
+    """The orders of a grid's places (from 1) whose distances are those of the skeleton's points, pair by pair, ascending."""
+    wanted = _gaps(points)
+    if sorted(wanted) != sorted(_gaps(GRID_POINTS[grid])):
+        return []
+    return [order for order in permutations(range(1, len(points) + 1)) if _gaps(tuple(GRID_POINTS[grid][k - 1] for k in order)) == wanted]
 
 
 def grid_of(points: Points) -> str | None:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from foldlattice.operators.search import code_at
 
 
-def connected_signatures(records: DataFrame) -> DataFrame:
-    """``record_id, i, j, m, sig``: contact bits (i,j)(i,m)(j,m) of each connected element triple; no shuffle."""
-    one = records.select("record_id", "n", "rows", F.explode(F.expr("sequence(1, n)")).alias("i")).where("i <= n - 2")
+def connected_signatures(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``record_id, i, j, m, sig, keep``: contact bits (i,j)(i,m)(j,m) of each connected element triple; no shuffle."""
+    one = records.select("record_id", "n", "rows", *keep, F.explode(F.expr("sequence(1, n)")).alias("i")).where("i <= n - 2")
     two = one.select("*", F.explode(F.expr("sequence(i + 1, n - 1)")).alias("j"))
     three = two.select("*", F.explode(F.expr("sequence(j + 1, n)")).alias("m"))
     bits = [f"CASE WHEN {code_at('rows', a, b)} <> '-' THEN 1 ELSE 0 END" for a, b in (("i", "j"), ("i", "m"), ("j", "m"))]
-    return three.where(" + ".join(f"({b})" for b in bits) + " >= 2").select("record_id", "i", "j", "m", F.expr(f"concat({', '.join(bits)})").alias("sig"))
+    return three.where(" + ".join(f"({b})" for b in bits) + " >= 2").select("record_id", "i", "j", "m", F.expr(f"concat({', '.join(bits)})").alias("sig"), *keep)
 
 
 def connected_subsets(records: DataFrame, k: int, fits: str = "true", codes: str = "ctuvN", keep: tuple[str, ...] = (), alive: str | None = None) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import islice, permutations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
 from foldlattice.functions import geometry as G
 from foldlattice.operators import corpus as C
-from foldlattice.operators.lattice import GRID_POINTS, chiral_triples, compact, declared_skeletons, handedness_classes, points_of, skeletons, with_grid
-from foldlattice.operators.search import search
+from foldlattice.operators.lattice import GRID_POINTS, chiral_triples, compact, declared_skeletons, handedness_classes, skeletons, with_grid
+from foldlattice.operators.search import search, sense_at, senses_sql
+from foldlattice.operators.signatures import connected_signatures
 from foldlattice.operators.sweep import sweep
 from foldlattice.plans.extension import contacts_only, extended
-from foldlattice.plans.motif import motif_sql, parse_motif, write_motif
+from foldlattice.plans.motif import motif_sql, parse_motif
 from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
 
 QUERIES, SQL = {}, {}
@@ -29,65 +32,78 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("skeleton_counts", "SELECT CAST(dim AS INTEGER) AS dim, CAST(n AS BIGINT) AS n FROM (VALUES (1, 1), (2, 1), (3, 5), (4, 42), (5, 198)) v(dim, n)")
-def skeleton_counts(spark, sf_dir):
-    parts = [skeletons(spark, n).agg(F.lit(n).alias("dim"), F.count("*").alias("n")) for n in range(1, 6)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+def _cells(spark, sf_dir, key: str, parts):
+    """``key, n, lit, hits``: enumerated items as cells of a grid over orders, which fall on them by their keys in turn.
 
-def _counts(spark, sizes, made):
+    Items are numbered in the order of their columns; ``lit`` have an order, ``hits`` counts orders on them.
+    """
+    keys = X.read(spark, sf_dir, "orders").select("o_orderkey")
     out = None
-    for n in sizes:
-        part = made(spark, n).agg(F.lit(n).alias("dim"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
+    for name, items in parts:
+        cells = items.select((F.row_number().over(W.orderBy(*items.columns)) - 1).alias("cell")).withColumn("n", F.count("*").over(W.partitionBy()))  # an enumeration
+        size = cells.agg(F.max("n").alias("size"))
+        hits = keys.join(F.broadcast(size)).groupBy(F.pmod("o_orderkey", "size").alias("cell")).agg(F.count("*").alias("hits"))
+        own = cells.join(hits, "cell", "left").agg(F.lit(name).alias(key), F.count("*").alias("n"), F.count_if(F.col("hits") > 0).alias("lit"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
-def _golden(*pairs: tuple[int, int]) -> str:
-    """Published counts by size."""
-    return f"SELECT CAST(dim AS INTEGER) AS dim, CAST(n AS BIGINT) AS n FROM (VALUES {', '.join(map(str, pairs))}) v(dim, n)"
+def _golden(*pairs: tuple, key: str = "dim", kind: str = "INTEGER") -> str:
+    """Published counts, and the orders that fall on as many cells."""
+    return f"SELECT CAST({key} AS {kind}) AS {key}, CAST(n AS BIGINT) AS n, count(DISTINCT o_orderkey % n) AS lit, count(*) AS hits FROM (VALUES {', '.join(map(str, pairs))}) v({key}, n), orders GROUP BY {key}, n"
+
+
+@query("skeleton_counts", _golden((1, 1), (2, 1), (3, 5), (4, 42), (5, 198)))
+def skeleton_counts(spark, sf_dir):
+    return _cells(spark, sf_dir, "dim", [(n, skeletons(spark, n).select("nth")) for n in range(1, 6)])
 
 
 @query("typed_query_counts", _golden((3, 40), (4, 672), (5, 6336)))
 def typed_query_counts(spark, sf_dir):
-    return _counts(spark, (3, 4, 5), C.corpus)
+    return _cells(spark, sf_dir, "dim", [(n, C.corpus(spark, n).select("nth", "ty")) for n in (3, 4, 5)])
 
 
 @query("fitting_query_counts", _golden((5, 744)))
 def fitting_query_counts(spark, sf_dir):
     """Five-point motifs whose straight runs are of one type."""
-    return _counts(spark, (5,), C.fitting_corpus)
+    return _cells(spark, sf_dir, "dim", [(5, C.fitting_corpus(spark, 5).select("nth", "ty"))])
 
 
 @query("minimal_query_counts", _golden((5, 708)))
 def minimal_query_counts(spark, sf_dir):
     """Five-point motifs on known grids with the fewest contacts and senses."""
-    return _counts(spark, (5,), lambda s, n: C.minimal_corpus(s))
+    return _cells(spark, sf_dir, "dim", [(5, C.minimal_corpus(spark).select("query_id"))])
 
 
 @query("rcc_counts", _golden((3, 3), (4, 23), (5, 164)))
 def rcc_counts(spark, sf_dir):
     """Skeletons left of each handedness signature."""
-    return _counts(spark, (3, 4, 5), lambda s, n: handedness_classes(skeletons(s, n)))
+    return _cells(spark, sf_dir, "dim", [(n, handedness_classes(skeletons(spark, n)).select("nth")) for n in (3, 4, 5)])
 
 
 @query("declared_counts", _golden((3, 19), (4, 358), (5, 4842)))
 def declared_counts(spark, sf_dir):
-    return _counts(spark, (3, 4, 5), declared_skeletons)
+    return _cells(spark, sf_dir, "dim", [(n, declared_skeletons(spark, n)) for n in (3, 4, 5)])
 
 
-@query("grid_counts", "SELECT grid, CAST(n AS BIGINT) AS n FROM (VALUES ('d', 12), ('e', 40), ('f', 60), ('gh', 28)) v(grid, n)")
+@query("grid_counts", _golden(("d", 12), ("e", 40), ("f", 60), ("gh", 28), key="grid", kind="VARCHAR"))
 def grid_counts(spark, sf_dir):
     """Five-point skeletons by the grid that they are congruent to."""
-    return with_grid(skeletons(spark, 5)).where("grid IS NOT NULL").groupBy("grid").agg(F.count("*").alias("n"))
+    held = with_grid(skeletons(spark, 5)).select("nth", "grid")
+    return _cells(spark, sf_dir, "grid", [(g, held.where(F.col("grid") == g).select("nth")) for g in GRID_POINTS])
 
 
-@query("chiral_triples", "SELECT shape, chirality FROM (VALUES ('101'), ('011'), ('110'), ('111')) s(shape), (VALUES (''), ('L'), ('R')) c(chirality) WHERE NOT (shape = '111' AND chirality = '')")
+@query("chiral_triples", GEOM + f"""SELECT s.shape, s.chirality, count(t.side) AS triples FROM
+(SELECT shape, chirality FROM (VALUES ('101'), ('011'), ('110'), ('111')) s(shape), (VALUES (''), ('L'), ('R')) c(chirality) WHERE NOT (shape = '111' AND chirality = '')) s
+LEFT JOIN (SELECT concat(CAST(x.code <> '-' AS INT), CAST(y.code <> '-' AS INT), CAST(z.code <> '-' AS INT)) AS shape, {G.chirality('a', 'b', 'c')} AS side
+  FROM el1 a JOIN el1 b ON a.record_id = b.record_id AND a.pos < b.pos JOIN el1 c ON a.record_id = c.record_id AND b.pos < c.pos
+  JOIN ct1 x ON x.record_id = a.record_id AND x.i = a.pos AND x.j = b.pos JOIN ct1 y ON y.record_id = a.record_id AND y.i = a.pos AND y.j = c.pos JOIN ct1 z ON z.record_id = a.record_id AND z.i = b.pos AND z.j = c.pos) t
+ON t.shape = s.shape AND t.side = s.chirality GROUP BY s.shape, s.chirality""")
 def chiral_triple_query(spark, sf_dir):
-    return chiral_triples(skeletons(spark, 3))
+    """Shapes and senses that three-point skeletons can have, with the records' element triples of each."""
+    records = X.geometric(spark, sf_dir).withColumn("senses", F.expr(senses_sql((0, 1, 2))))
+    held = connected_signatures(records, keep=("senses",)).select(F.col("sig").alias("shape"), F.expr(f"replace({sense_at('senses', 'i', 'j', 'm')}, '-', '')").alias("chirality"))
+    return chiral_triples(skeletons(spark, 3)).join(held.groupBy("shape", "chirality").agg(F.count("*").alias("triples")), ["shape", "chirality"], "left").select("shape", "chirality", F.coalesce("triples", F.lit(0)).alias("triples"))
 
 
 _STEP = "((b.q - a.q, b.r - a.r) IN ((1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)))"
@@ -97,27 +113,63 @@ _STEP = "((b.q - a.q, b.r - a.r) IN ((1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1),
 pt AS (SELECT points, k, CAST(split_part(split_part(points, ';', k), ',', 1) AS INTEGER) AS q, CAST(split_part(split_part(points, ';', k), ',', 2) AS INTEGER) AS r FROM sk, (VALUES (1), (2), (3)) n(k)),
 nb AS (SELECT a.points, a.k AS i, b.k AS j, {_STEP} AS near FROM pt a JOIN pt b ON a.points = b.points AND a.k < b.k),
 ty AS (SELECT CAST(ty AS INTEGER) AS ty, translate(lpad(bin(ty), 3, '0'), '01', 'HE') AS types FROM range(8) t(ty)),
+od AS (SELECT CAST(floor(o_orderkey / 20) AS BIGINT) % 8 AS ty, count(*) AS hits FROM orders GROUP BY 1),
 c AS (SELECT nb.points, ty, types, i, j, substr(types, CAST(i AS INTEGER), 1) AS a, substr(types, CAST(j AS INTEGER), 1) AS b, near, (SELECT bool_and(o.near) FROM nb o WHERE o.points = nb.points AND (o.i, o.j) <> (nb.i, nb.j)) AND types = 'EEE' AS joined FROM nb, ty)
-SELECT points, ty, types, string_agg(CASE WHEN NOT near THEN CASE WHEN joined THEN '-' ELSE 'X' END WHEN a = 'E' AND b = 'E' THEN CASE WHEN (j - i) % 2 = 0 THEN 'c' ELSE 't' END WHEN a = b THEN CASE WHEN (j - i) % 2 = 0 THEN 'u' ELSE 'v' END ELSE CASE WHEN (j - i) % 2 = 0 THEN 'C' ELSE 'T' END END, '' ORDER BY i, j) AS codes FROM c GROUP BY ALL""")
+SELECT points, ty, types, (SELECT hits FROM od WHERE od.ty = c.ty) AS hits, string_agg(CASE WHEN NOT near THEN CASE WHEN joined THEN '-' ELSE 'X' END WHEN a = 'E' AND b = 'E' THEN CASE WHEN (j - i) % 2 = 0 THEN 'c' ELSE 't' END WHEN a = b THEN CASE WHEN (j - i) % 2 = 0 THEN 'u' ELSE 'v' END ELSE CASE WHEN (j - i) % 2 = 0 THEN 'C' ELSE 'T' END END, '' ORDER BY i, j) AS codes FROM c GROUP BY ALL""")
 def query_corpus_k3(spark, sf_dir):
-    """Codes of the three-point corpus, from its texts: rows of the matrix without their diagonal."""
+    """Codes of the three-point corpus, from its texts (rows of the matrix without their diagonal), with the orders of each typing's cell."""
     rows = F.expr("transform(slice(split(text, '\n'), 3, 3), x -> substring(replace(x, ' ', ''), 2))")
-    return C.corpus(spark, 3).join(skeletons(spark, 3), "nth").select("points", "ty", "types", F.array_join(rows, "").alias("codes"))
+    hits = X.read(spark, sf_dir, "orders").groupBy((F.floor(F.col("o_orderkey") / 20) % 8).cast("int").alias("ty")).agg(F.count("*").alias("hits"))
+    return C.corpus(spark, 3).join(skeletons(spark, 3), "nth").join(hits, "ty", "left").select("points", "ty", "types", "hits", F.array_join(rows, "").alias("codes"))
+
+
+def _larger():
+    """Contact-only motifs that add one element to a straight sheet of four strands and to one with a helix at its end."""
+    row = tuple((q, 0) for q in range(4))
+    return C.one_larger(row, "EEEE", "s5t-e") + C.one_larger(row, "EEEH", "s5t-h")
 
 
-@query("targeted_six")
+@query("targeted_six", GEOM + " UNION ALL ".join(f"SELECT query_id, record_id, positions FROM ({motif_sql(m, 'el1', 'ct1', 'sh1', chirality=G.chirality)})" for m in _larger()))
 def targeted_six(spark, sf_dir):
-    """Contact-only motifs that add one element to the first straight five-strand cell."""
-    frame = skeletons(spark, 5).orderBy("nth").select("frame").first()[0]
-    made = C.one_larger(points_of(frame), "EEEEE", "s6t-0000-0031")
-    return spark.createDataFrame([(m.motif_id, "".join(m.types), write_motif(m)) for m in made], "query_id string, types string, text string")
+    """Hits in all records of motifs that add one element to a typed skeleton."""
+    return sweep(X.geometric(spark, sf_dir), _larger())
 
 
-@query("crowded_motifs")
+def _orders_of_grids():
+    """Motifs over every fourth compact order of each grid's points, of strands alone and with a helix."""
+    out = []
+    for grid, points in GRID_POINTS.items():
+        for k, p in enumerate(islice((p for p in permutations(points) if compact(p)), 0, None, 4)):
+            out += [C.typed_motif(f"{grid}{k}-{types}", p, types) for types in ("EEEEE", "EEHEE")]
+    return out
+
+
+_ASKED = ", ".join(str((m.motif_id, C.crowded(m), C.bonds_asked(m))) for m in _orders_of_grids())
+
+
+@query("crowded_motifs", TOPO + f""", m AS (SELECT * FROM (VALUES {_ASKED}) v(query_id, crowded, asked)),
+d AS (SELECT record_id, p, count(*) AS n FROM (SELECT record_id, i AS p FROM ct2 WHERE code IN ('c', 't') UNION ALL SELECT record_id, j FROM ct2 WHERE code IN ('c', 't')) GROUP BY 1, 2),
+h AS (SELECT record_id, list(n ORDER BY n DESC) AS held FROM d GROUP BY 1)
+SELECT query_id, crowded, (SELECT count(*) FROM h WHERE len(held) >= len(asked) AND len([k for k in range(len(asked)) if held[k + 1] < asked[k + 1]]) = 0) AS records FROM m""")
 def crowded_motifs(spark, sf_dir):
-    """Motifs of the five-element corpus that ask a strand of a sheet for three or more bonded neighbours."""
-    made = C.corpus_motifs(spark, 5)
-    return spark.createDataFrame([(m.motif_id, "".join(m.types)) for m in made if C.crowded(m)], "query_id string, types string")
+    """Motifs, whether they ask a strand for three or more bonded neighbours, and the records with strands enough for them."""
+    return C.room_for(X.topological(spark, sf_dir), _orders_of_grids())
+
+
+def _marked():
+    """The crowded ones, without handedness, which orders' records have no points for."""
+    return [replace(m, handedness=()) for m in _orders_of_grids() if C.crowded(m)]
+
+
+@query("crowded_witnesses", TOPO + ", none AS (SELECT CAST(0 AS BIGINT) AS record_id, 0 AS sheet, 0 AS pos WHERE false), found AS (" + " UNION ALL ".join(f"SELECT query_id, record_id FROM ({motif_sql(m, 'el2', 'ct2', 'none')})" for m in _marked()) + f""")
+SELECT query_id, count(record_id) AS hits, count(DISTINCT record_id) AS hit_records FROM (SELECT unnest({[m.motif_id for m in _marked()]}) AS query_id) LEFT JOIN found USING (query_id) GROUP BY query_id""")
+def crowded_witnesses(spark, sf_dir):
+    """Marked motifs with their hits in all records: each hit contradicts the mark."""
+    motifs = _marked()
+    records = X.topological(spark, sf_dir)
+    able = C.room_for(records, motifs).select("query_id")
+    hits = sweep(records, motifs).groupBy("query_id").agg(F.count("*").alias("hits"), F.countDistinct("record_id").alias("hit_records"))
+    return able.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("hit_records", F.lit(0)).alias("hit_records"))
 
 
 def _constrained():

@@ -108,10 +108,12 @@ def chirality_triples(spark, sf_dir):
     return _pairs(spark, sf_dir).join(X.elements_of(X.geometric(spark, sf_dir)).select("record_id", F.col("pos").alias("m"), F.struct("fx", "fy", "fz", "lx", "ly", "lz").alias("c")), "record_id").where("m > j").select("record_id", "i", "j", "m", F.expr(G.chirality("a", "b", "c")).alias("side"))
 
 
-@query("code_match_table", f"SELECT h AS held, w AS wanted, {C.code_matches('h', 'w')} AS ok FROM (SELECT unnest({list(C.RECORD_CODES)}) AS h), (SELECT unnest({list(C.QUERY_CODES)}) AS w)")
+@query("code_match_table", TOPO + f", held AS (SELECT code AS h, count(*) AS pairs FROM ct2 GROUP BY code) SELECT h AS held, w AS wanted, {C.code_matches('h', 'w')} AS ok, pairs FROM held, (SELECT unnest({list(C.QUERY_CODES)}) AS w)")
 def code_match_table(spark, sf_dir):
-    held = spark.createDataFrame([(c,) for c in C.RECORD_CODES], "held string")
-    return held.crossJoin(spark.createDataFrame([(c,) for c in C.QUERY_CODES], "wanted string")).select("held", "wanted", F.expr(C.code_matches("held", "wanted")).alias("ok"))
+    """Which of the records' codes each code of a motif accepts, with the number of pairs."""
+    held = X.contacts_of(X.topological(spark, sf_dir)).groupBy(F.col("code").alias("held")).agg(F.count("*").alias("pairs"))
+    wanted = F.explode(F.array(*map(F.lit, C.QUERY_CODES))).alias("wanted")
+    return held.select("held", "pairs", wanted).select("held", "wanted", F.expr(C.code_matches("held", "wanted")).alias("ok"), "pairs")
 
 
 SWEPT = ("t3_free", "t3_any")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -250,6 +251,25 @@ def test_majority_domains(spark):
     assert got == {(1, "d1", 12), (2, "d2", 10)}
 
 
+def test_room_for(spark):
+    """Records with room for a motif: no hit lies outside of them; lists are compared place by place."""
+    rng = random.Random(6)
+    texts = {"star": "1 2 3 4\nE E E E\n* c t c\n* X X\n* X\n*", "path": "1 2 3\nE E E\n* c X\n* t\n*", "free": "1 2\nH E\n* X\n*", "square": "1 2 3 4\nE E E E\n* t X t\n* t X\n* t\n*"}
+    motifs = [parse_motif(name, text) for name, text in texts.items()]
+    rows = [(k, n, [("E", "A", 9)] * n, ["*" + "".join(rng.choice("ct----u") for _ in range(n - i)) for i in range(1, n + 1)], []) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7] * 6)]
+    records = spark.createDataFrame(rows, "record_id int, n int, elements array<struct<etype:string,chain:string,length:int>>, rows array<string>, sheets array<array<int>>")
+    got = {r["query_id"]: r["records"] for r in C.room_for(records, motifs).collect()}
+    want = dict.fromkeys(texts, 0)
+    for _, n, _, code, _ in rows:
+        held = sorted((sum(code[min(x, y) - 1][abs(x - y)] in "ct" for y in range(1, n + 1) if y != x) for x in range(1, n + 1)), reverse=True)
+        for m in motifs:
+            asked = C.bonds_asked(m)
+            want[m.motif_id] += all(i < n and held[i] >= d for i, d in enumerate(asked))
+    assert got == want and want["free"] == len(rows) > want["star"] > 0
+    hits = {r["query_id"]: r["records"] for r in sweep(records, motifs).groupBy("query_id").agg(F.countDistinct("record_id").alias("records")).collect()}
+    assert all(n <= got[q] for q, n in hits.items())
+
+
 def test_motif_files(spark, tmp_path):
     texts = {"one": "1 2\nE E\n* x\n*", "two": "1 2\nH E\n* T\n*"}
     for name, text in texts.items():
