@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,21 @@ def without_marked(bonds: DataFrame, elements: DataFrame) -> DataFrame:
     return bonds
 
 
+def near_elements(held: DataFrame, most: float = G.MAX_DISTANCE) -> DataFrame:
+    """``record_id, i, j, gap``: pairs of elements with residues within ``most`` of each other, and their least distance.
+
+    Space is cut into cells of that width, and a residue meets those of its own cell and the 26 around it, so
+    work and shuffle grow with the residues and not with their pairs, however large a structure is.
+    ``held`` (record_id, pos, x, y, z) as ``residues_of`` gives it; residues without a place meet nothing.
+    """
+    own = held.select("record_id", "pos", "x", "y", "z", *[F.floor(F.col(c) / most).cast("int").alias(f"c{c}") for c in "xyz"]).where("cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL")
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", step)]) for step in product((-1, 0, 1), repeat=3)])
+    around = own.select("*", F.explode(steps).alias("s")).select("record_id", F.col("pos").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"])
+    met = own.withColumnRenamed("pos", "i").join(around, ["record_id", "cx", "cy", "cz"]).where("i < j")
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "yz"), (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2"))))
+    return met.groupBy("record_id", "i", "j").agg(F.min(gap).alias("gap")).where(F.col("gap") <= most)
+
+
 def within_reach(a: str, b: str, most: float) -> str:
     """Whether any residues of two elements (arrays of points) lie within ``most`` of each other; stops at the first pair."""
     gap = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "xyz")

@@ -154,6 +154,27 @@ def binomial_greater(k: int, n: int, p: float) -> float:
     return min(1.0, sum(math.exp(_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1)))
 
 
+def exact_samples(rows: DataFrame, h: Column, most: int, tie: Column, sizes: list[int], within: list[str], buckets: int = 4096) -> DataFrame:
+    """The columns of ``rows`` and ``size``: for each ``within`` exactly the ``size`` rows of least hash, all where there are fewer.
+
+    ``h`` lies from 0 below ``most``; equal hashes are told apart by ``tie``.  Samples of one ``within`` are
+    nested.  Counts by ranges of the hash, a partial aggregate, tell in which range a sample ends; only rows
+    of that range, about one in ``buckets``, are ranked.
+    """
+    own = rows.withColumns({"_h": h, "_tie": tie}).withColumn("_b", F.floor(F.col("_h") * buckets / most))
+    counts = own.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(*within).orderBy("_b")))
+    sized = upto.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    ends = sized.where(F.col("_upto") >= F.col("size")).groupBy(*within, "size").agg(F.min(F.struct("_b", (F.col("size") - F.col("_upto") + F.col("_n")).alias("left"))).alias("e"))
+    wanted = counts.select(*within).distinct().select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    # a row a sample; past the last range where there are too few rows
+    cuts = wanted.join(ends, [*within, "size"], "left").select(*within, "size", F.coalesce("e._b", F.lit(buckets)).alias("_end"), F.coalesce("e.left", F.lit(0)).alias("_left"))
+    held = own.join(cuts, within).where("_b <= _end")
+    rank = F.row_number().over(W.partitionBy(*within, "size").orderBy("_h", "_tie"))
+    edge = held.where("_b = _end").withColumn("_rank", rank).where("_rank <= _left").drop("_rank")
+    return held.where("_b < _end").unionByName(edge).drop("_h", "_tie", "_b", "_end", "_left")
+
+
 def hash_share(key: Column, salt: int = 0) -> Column:
     """A fixed pseudo-random number in [0, 1) of an integer key, the same in any engine."""
     return F.pmod((key + salt) * 2654435761, F.lit(1_000_003)) / 1_000_003.0

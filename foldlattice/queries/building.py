@@ -89,6 +89,12 @@ def hbond_orientation(spark, sf_dir):
     return B.strand_bonds(_held(spark, sf_dir), pairs)
 
 
+@query("element_gaps", RESIDUES + " SELECT record_id, i, j, round(gap, 5) AS gap FROM (SELECT p.record_id, p.pos AS i, q.pos AS j, sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) AS gap FROM held p JOIN held q ON p.record_id = q.record_id AND p.pos < q.pos GROUP BY ALL) WHERE gap <= 11")
+def element_gaps(spark, sf_dir):
+    """Least residue distances of elements in reach of each other, by cells of space."""
+    return B.near_elements(_held(spark, sf_dir)).select("record_id", "i", "j", F.round("gap", 5).alias("gap"))
+
+
 @query("element_filter", f"WITH {X.TOPOLOGICAL_SQL} SELECT record_id, pos, etype, length FROM el2 WHERE (etype = 'H' AND length >= 5) OR (etype = 'E' AND length >= 2) OR (etype = 'L' AND length >= 3)")
 def element_filter(spark, sf_dir):
     return B.keep_elements(X.elements_of(X.topological(spark, sf_dir)).select("record_id", "pos", "etype", "length"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foldlattice.operators import sketches as K
 from foldlattice.operators import statistics as S
 from foldlattice.queries.hits import HITS, hits
+from foldlattice.streaming.sweep import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -119,6 +123,57 @@ def jaccard_null_hash(spark, sf_dir):
     return c.agg(both.alias("both"), either.alias("either"), F.round(both / either, 6).alias("jaccard"))
 
 
+_REPEATS = 20
+
+
+@query("size_matched_jaccard", HITS + f""", b AS (SELECT DISTINCT sk, ty, fold FROM hits WHERE source = 'P'), k AS (SELECT count(*) AS k FROM hits WHERE source = 'P'),
+r AS (SELECT rep, sk, ty, fold, row_number() OVER (PARTITION BY rep ORDER BY (record + rep * 7919) * 2654435761 % 1000003, record) AS place FROM hits, range(1, {_REPEATS + 1}) t(rep) WHERE source = 'F'),
+s AS (SELECT DISTINCT rep, sk, ty, fold FROM r, k WHERE place <= k.k),
+j AS (SELECT rep, count(b.sk) AS shared, count(*) + (SELECT count(*) FROM b) - count(b.sk) AS either FROM s LEFT JOIN b USING (sk, ty, fold) GROUP BY rep)
+SELECT (SELECT k FROM k) AS size, count(*) AS repeats, round(avg(shared / either), 6) AS mean, round(stddev_samp(shared / either), 6) AS deviation FROM j""")
+def size_matched_jaccard(spark, sf_dir):
+    """Overlap of lit cells between a small source and samples of a large one of exactly its size."""
+    own = hits(spark, sf_dir)
+    small = own.where("source = 'P'")
+    size = small.count()
+    large = own.where("source = 'F'").select("record", "sk", "ty", "fold", F.explode(F.sequence(F.lit(1), F.lit(_REPEATS))).alias("rep"))
+    sample = S.exact_samples(large, (F.col("record") + F.col("rep") * 7919) * 2654435761 % 1000003, 1000003, F.col("record"), [size], ["rep"])
+    lit = small.select("sk", "ty", "fold").distinct().withColumn("b", F.lit(1))
+    met = sample.select("rep", "sk", "ty", "fold").distinct().join(lit, ["sk", "ty", "fold"], "left").groupBy("rep").agg(F.count("b").alias("both"), F.count("*").alias("n"))
+    share = F.col("both") / (F.col("n") + F.col("small") - F.col("both"))
+    per = met.join(F.broadcast(lit.agg(F.count("*").alias("small")))).select("rep", share.alias("j"))
+    return per.agg(F.lit(size).cast("long").alias("size"), F.count("*").alias("repeats"), F.round(F.avg("j"), 6).alias("mean"), F.round(F.stddev_samp("j"), 6).alias("deviation"))
+
+
+_SIZES = (1000, 3000, 9000)
+
+
+@query("nested_sample_curve", HITS + f""", r AS (SELECT rep, sk, ty, fold, row_number() OVER (PARTITION BY rep ORDER BY (record + rep * 7919) * 2654435761 % 1000003, record) AS place FROM hits, range(1, 6) t(rep)),
+n AS (SELECT size, rep, count(DISTINCT (sk, ty, fold)) AS n FROM r, (SELECT unnest([{', '.join(map(str, _SIZES))}]) AS size) WHERE place <= size GROUP BY size, rep)
+SELECT CAST(size AS INTEGER) AS size, round(avg(n), 4) AS mean_lit, round(stddev_samp(n), 4) AS deviation FROM n GROUP BY size""")
+def nested_sample_curve(spark, sf_dir):
+    """Lit (cell, fold) pairs of nested samples of exact sizes, their mean and deviation over repeats."""
+    own = hits(spark, sf_dir).select("record", "sk", "ty", "fold", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rep"))
+    sample = S.exact_samples(own, (F.col("record") + F.col("rep") * 7919) * 2654435761 % 1000003, 1000003, F.col("record"), list(_SIZES), ["rep"])
+    per = sample.groupBy("size", "rep").agg(F.countDistinct("sk", "ty", "fold").alias("n"))
+    return per.groupBy("size").agg(F.round(F.avg("n"), 4).alias("mean_lit"), F.round(F.stddev_samp("n"), 4).alias("deviation"))
+
+
+@query("sketched_cells", HITS + """, c AS (SELECT sk, domain, bool_or(source = 'F') AS a, bool_or(source = 'O') AS b FROM hits GROUP BY sk, domain)
+SELECT sk, count(*) AS n_domains, count(*) FILTER (WHERE a AND b) AS n_both, true AS domains_ok, true AS both_ok FROM c GROUP BY sk""")
+def sketched_cells(spark, sf_dir):
+    """Domains of each cell, and those that two sources share, estimated from stored sketches of parts and held against exact counts."""
+    own = hits(spark, sf_dir)
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    K.store_sketches(own.withColumn("part", F.pmod("record", F.lit(4))), ["sk", "source"], "part", "domain", path)
+    whole = K.merged(spark, path, ["sk"]).select("sk", F.theta_sketch_estimate("sketch").alias("domains"))
+    two = K.shared(spark, path, ["sk"], "source", "F", "O").select("sk", "both", "either")
+    seen = own.groupBy("sk", "domain").agg(F.bool_or(F.col("source") == "F").alias("a"), F.bool_or(F.col("source") == "O").alias("b"))
+    exact = seen.groupBy("sk").agg(F.count("*").alias("n_domains"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") | F.col("b")).alias("n_either"))
+    near = lambda estimate, n, of: F.abs(F.col(estimate) - F.col(n)) <= K.BOUND * F.col(of)
+    return exact.join(whole, "sk").join(two, "sk").select("sk", "n_domains", "n_both", near("domains", "n_domains", "n_domains").alias("domains_ok"), near("both", "n_both", "n_either").alias("both_ok"))
+
+
 _CHOOSE = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
 _FISHER = HITS + f""", w AS (SELECT count(*) FILTER (WHERE source = 'P') AS wp, count(*) FILTER (WHERE source <> 'P') AS wo FROM hits), c AS (SELECT sk, ty, count(*) FILTER (WHERE source = 'P') AS a, count(*) FILTER (WHERE source <> 'P') AS b FROM hits GROUP BY 1, 2),
 t AS (SELECT c.*, wp, wp + wo AS n, unnest(range(greatest(0, a + b - wo), least(a + b, wp) + 1)) AS k FROM c, w),

@@ -169,6 +169,22 @@ def test_whole_records(spark):
     assert letters == set("*-tcuvN")
 
 
+def test_near_elements(spark):
+    """500 residues over both signs of each axis, some at one place, some without one."""
+    rng = np.random.default_rng(7)
+    rows = [(r, int(p), *map(float, xyz)) for r in (1, 2) for p, xyz in zip(rng.integers(1, 40, 500), rng.normal(0, 45, (500, 3)))]
+    rows += [(1, 50, 0.0, 0.0, 0.0), (1, 51, 0.0, 0.0, 0.0), (1, 52, 11.0, 0.0, 0.0), (1, 53, None, 1.0, 1.0)]
+    got = {(r["record_id"], r["i"], r["j"]): r["gap"] for r in B.near_elements(spark.createDataFrame(rows, "record_id int, pos int, x double, y double, z double")).collect()}
+    want = {}
+    for r in (1, 2):
+        own = [(p, np.array(xyz)) for k, p, *xyz in rows if k == r and None not in xyz]
+        for p, a in own:
+            for q, b in own:
+                if p < q and (d := float(np.linalg.norm(a - b))) <= 11:
+                    want[r, p, q] = min(d, want.get((r, p, q), 99.0))
+    assert got == pytest.approx(want) and got[1, 50, 52] == 11.0 and len(got) > 100
+
+
 def test_strand_bonds(spark):
     held = spark.createDataFrame([(1, p, "E", i, 0.0, 0.0, 0.0) for p, r in ((1, range(1, 6)), (2, range(11, 16))) for i in r], "record_id int, pos int, etype string, idx int, x double, y double, z double")
     up = spark.createDataFrame([(1, 1, 11), (1, 3, 13), (1, 11, 1), (1, 13, 3)], "record_id int, a int, b int")

@@ -7,11 +7,13 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
 from foldlattice import queries as Q
 from foldlattice.functions import geometry as G
 from foldlattice.operators import lattice as L
+from foldlattice.operators import sketches as K
 from foldlattice.operators import statistics as S
 from foldlattice.operators.search import parity_of_sheets
 from foldlattice.operators.signatures import connected_subsets
@@ -206,3 +208,35 @@ def test_long_poisson_binomial(spark):
         for cell, chances in got.items():
             assert chances == pytest.approx(_plain_chances([p for c, p in rows if c == cell and p is not None], 5), abs=1e-9)
     assert S.poisson_binomial(df.limit(0), ["cell"], "p", 5).count() == 0
+
+
+def test_exact_samples(spark):
+    """Samples have their exact sizes whatever the ties, are nested, and hold the least hashes."""
+    rng = random.Random(5)
+    rows = [(rep, k, rng.choice([7, 7, rng.randrange(1000)])) for rep in (1, 2) for k in range(400)] + [(3, k, k) for k in range(5)]
+    df = spark.createDataFrame(rows, "rep int, id int, h long").repartition(4)
+    for buckets in (4096, 3, 1):
+        got = S.exact_samples(df, F.col("h"), 1000, F.col("id"), [1, 10, 57, 300, 5000], ["rep"], buckets).collect()
+        for rep in (1, 2, 3):
+            own = sorted((h, k) for r, k, h in rows if r == rep)
+            for size in (1, 10, 57, 300, 5000):
+                assert sorted((r["h"], r["id"]) for r in got if (r["rep"], r["size"]) == (rep, size)) == own[:size]
+    assert S.exact_samples(df.limit(0), F.col("h"), 1000, F.col("id"), [3], ["rep"]).count() == 0
+
+
+def test_sketches_of_parts(spark, tmp_path):
+    """Estimates of 60,000 items lie within the bound; a part that is written again replaces itself alone."""
+    path = str(tmp_path / "sketches")
+    items = spark.range(60_000).select((F.col("id") % 2).alias("cell"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("side"), (F.col("id") % 4).alias("part"), F.pmod(F.col("id"), F.lit(20_000)).alias("item"))
+    K.store_sketches(items, ["cell", "side"], "part", "item", path)
+    exact = items.groupBy("cell").agg(F.countDistinct("item").alias("n")).collect()
+    got = {r["cell"]: r["n"] for r in K.merged(spark, path, ["cell"]).select("cell", F.theta_sketch_estimate("sketch").alias("n")).collect()}
+    assert all(abs(got[r["cell"]] - r["n"]) <= K.BOUND * r["n"] and r["n"] > 2**K.LOG for r in exact)
+    for r in K.shared(spark, path, ["cell"], "side", "a", "b").collect():
+        sides = {s: {x["item"] for x in items.where((F.col("cell") == r["cell"]) & (F.col("side") == s)).select("item").distinct().collect()} for s in "ab"}
+        either = len(sides["a"] | sides["b"])
+        assert abs(r["both"] - len(sides["a"] & sides["b"])) <= K.BOUND * either and abs(r["either"] - either) <= K.BOUND * either
+    K.store_sketches(items.where("part = 1 AND item < 10"), ["cell", "side"], "part", "item", path)
+    left = {r["part"]: r["n"] for r in spark.read.parquet(path).groupBy("part").agg(F.theta_sketch_estimate(F.theta_union_agg("sketch", K.LOG)).alias("n")).collect()}
+    assert left[1] < 10 and all(left[p] > 4000 for p in (0, 2, 3))
+    assert K.shared(spark, path, ["cell"], "side", "a", "none").select("both").distinct().collect()[0][0] == 0
