@@ -167,15 +167,15 @@ def depth_corrected(spark, sf_dir):
     return m.join(seen, "sk").select("sk", "seen", F.round("mu", 5).alias("mu"), F.round("sd", 5).alias("sd"), F.round(p, 4).alias("p"))
 
 
-@query("quadrants_incomplete", HITS + """, a AS (SELECT sk, count(*) FILTER (WHERE source = 'P' AND value > 200000) AS n FROM hits WHERE sk % 3 <> 0 GROUP BY 1), b AS (SELECT sk, count(*) FILTER (WHERE source = 'F' AND value > 100000) AS n FROM hits WHERE sk % 4 <> 0 GROUP BY 1)
-SELECT coalesce(a.sk, b.sk) AS sk, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'incomplete' WHEN a.n = 0 AND b.n = 0 THEN 'truly_absent' WHEN a.n = 0 THEN 'only_b' WHEN b.n = 0 THEN 'loss' ELSE 'common' END AS quadrant FROM a FULL JOIN b ON a.sk = b.sk""")
+@query("quadrants_incomplete", HITS + """, a AS (SELECT sk, ty, count(*) FILTER (WHERE value > 200000) AS n FROM hits WHERE source = 'P' GROUP BY 1, 2), b AS (SELECT sk, ty, count(*) FILTER (WHERE value > 400000) AS n FROM hits WHERE source = 'F' GROUP BY 1, 2)
+SELECT coalesce(a.sk, b.sk) AS sk, coalesce(a.ty, b.ty) AS ty, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'incomplete' WHEN a.n = 0 AND b.n = 0 THEN 'truly_absent' WHEN a.n = 0 THEN 'only_b' WHEN b.n = 0 THEN 'loss' ELSE 'common' END AS quadrant FROM a FULL JOIN b ON a.sk = b.sk AND a.ty = b.ty""")
 def quadrants_incomplete(spark, sf_dir):
-    """Quadrants of two scans where a scan may lack a query."""
+    """Quadrants of two sources' strong hits where a source may lack a cell."""
     own = hits(spark, sf_dir)
-    a = own.where("sk % 3 <> 0").groupBy("sk").agg(F.count_if((F.col("source") == "P") & (F.col("value") > 200000)).alias("a"))
-    b = own.where("sk % 4 <> 0").groupBy("sk").agg(F.count_if((F.col("source") == "F") & (F.col("value") > 100000)).alias("b"))
+    a = own.where("source = 'P'").groupBy("sk", "ty").agg(F.count_if(F.col("value") > 200000).alias("a"))
+    b = own.where("source = 'F'").groupBy("sk", "ty").agg(F.count_if(F.col("value") > 400000).alias("b"))
     label = "CASE WHEN a IS NULL OR b IS NULL THEN 'incomplete' WHEN a = 0 AND b = 0 THEN 'truly_absent' WHEN a = 0 THEN 'only_b' WHEN b = 0 THEN 'loss' ELSE 'common' END"
-    return a.join(b, "sk", "full").select("sk", F.expr(label).alias("quadrant"))
+    return a.join(b, ["sk", "ty"], "full").select("sk", "ty", F.expr(label).alias("quadrant"))
 
 
 @query("sharing_per_cell", HITS + ", c AS (SELECT source, sk, ty, count(DISTINCT fold) AS n FROM hits GROUP BY 1, 2, 3) SELECT source, count(*) AS lit, round(avg(n), 6) AS mean_folds, round(median(n), 6) AS median_folds FROM c GROUP BY source")

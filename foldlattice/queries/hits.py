@@ -54,9 +54,9 @@ def cell_rollup(spark, sf_dir):
     return rolled.select(*[F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("hgroup", "sk")], "n_hits", "n_folds")
 
 
-@query("cell_promiscuity", HITS + "SELECT sk, ty, count(DISTINCT fold) AS n_folds, count(DISTINCT fold) = 1 AS unitypical FROM hits WHERE value > 250000 GROUP BY sk, ty")
+@query("cell_promiscuity", HITS + "SELECT sk, ty, year, count(DISTINCT fold) AS n_folds, count(DISTINCT fold) = 1 AS unitypical FROM hits GROUP BY sk, ty, year")
 def cell_promiscuity(spark, sf_dir):
-    return hits(spark, sf_dir).where("value > 250000").groupBy("sk", "ty").agg(F.countDistinct("fold").alias("n_folds")).withColumn("unitypical", F.col("n_folds") == 1)
+    return hits(spark, sf_dir).groupBy("sk", "ty", "year").agg(F.countDistinct("fold").alias("n_folds")).withColumn("unitypical", F.col("n_folds") == 1)
 
 
 _BUCKET = "CASE WHEN {n} = 1 THEN '1' WHEN {n} = 2 THEN '2' WHEN {n} <= 5 THEN '3-5' WHEN {n} <= 10 THEN '6-10' WHEN {n} <= 20 THEN '11-20' WHEN {n} <= 50 THEN '21-50' ELSE '51+' END"
@@ -99,12 +99,28 @@ def occupancy_curve(spark, sf_dir):
     return axis.join(first, "year", "left").select("year", F.coalesce("n", F.lit(0).cast("long")).alias("new_folds")).withColumn("total", F.sum("new_folds").over(W.orderBy("year")))
 
 
-@query("vintage_fill_rate", HITS + """, f AS (SELECT sk, ty, min(year) AS y FROM hits WHERE value > 200000 GROUP BY sk, ty)
-SELECT CAST(v AS INTEGER) AS vintage, count(*) FILTER (WHERE y <= v) AS lit, round(count(*) FILTER (WHERE y <= v) / 160.0, 6) AS fill FROM f, (SELECT unnest([1992, 1994, 1996, 1998]) AS v) GROUP BY v""")
+@query("vintage_fill_rate", HITS + """, f AS (SELECT sk, ty, fold, min(year) AS y FROM hits GROUP BY sk, ty, fold)
+SELECT CAST(v AS INTEGER) AS vintage, count(*) FILTER (WHERE y <= v) AS lit, round(count(*) FILTER (WHERE y <= v) / 4000.0, 6) AS fill FROM f, (SELECT unnest([1992, 1994, 1996, 1998]) AS v) GROUP BY v""")
 def vintage_fill_rate(spark, sf_dir):
-    first = hits(spark, sf_dir).where("value > 200000").groupBy("sk", "ty").agg(F.min("year").alias("y"))
+    first = hits(spark, sf_dir).groupBy("sk", "ty", "fold").agg(F.min("year").alias("y"))
     lit = first.select("y", F.explode(F.array(*[F.lit(v) for v in (1992, 1994, 1996, 1998)])).alias("vintage")).groupBy("vintage").agg(F.count_if(F.col("y") <= F.col("vintage")).alias("lit"))
-    return lit.withColumn("fill", F.round(F.col("lit") / 160.0, 6))
+    return lit.withColumn("fill", F.round(F.col("lit") / 4000.0, 6))
+
+
+@query("cell_year_totals", HITS + """, y AS (SELECT unnest(generate_series((SELECT min(year) FROM hits), (SELECT max(year) FROM hits))) AS year), c AS (SELECT DISTINCT sk FROM hits),
+n AS (SELECT sk, year, count(*) AS n FROM hits GROUP BY 1, 2), f AS (SELECT sk, year, count(*) AS n FROM (SELECT sk, domain, min(year) AS year FROM hits GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT c.sk, CAST(y.year AS INTEGER) AS year, coalesce(n.n, 0) AS hits, CAST(sum(coalesce(n.n, 0)) OVER w AS BIGINT) AS total, CAST(sum(coalesce(f.n, 0)) OVER w AS BIGINT) AS domains
+FROM c CROSS JOIN y LEFT JOIN n ON n.sk = c.sk AND n.year = y.year LEFT JOIN f ON f.sk = c.sk AND f.year = y.year WINDOW w AS (PARTITION BY c.sk ORDER BY y.year)""")
+def cell_year_totals(spark, sf_dir):
+    """Each cell's hits a year over all years, also those without, with running totals of hits and of domains seen so far."""
+    own = hits(spark, sf_dir).select("sk", "year", "domain")
+    axis = own.agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    first = own.groupBy("sk", "domain").agg(F.min("year").alias("year")).groupBy("sk", "year").agg(F.count("*").alias("new"))
+    years = own.groupBy("sk", "year").agg(F.count("*").alias("hits"))
+    dense = own.select("sk").distinct().join(F.broadcast(axis)).select("sk", F.explode(F.sequence("first", "last")).alias("year"))
+    upto = W.partitionBy("sk").orderBy("year").rowsBetween(W.unboundedPreceding, 0)  # years of a cell
+    told = dense.join(years, ["sk", "year"], "left").join(first, ["sk", "year"], "left").fillna(0, ["hits", "new"])
+    return told.select("sk", "year", "hits", F.sum("hits").over(upto).alias("total"), F.sum("new").over(upto).alias("domains"))
 
 
 @query("overlap_argmax", """WITH seg AS (SELECT l_orderkey AS hit, CAST(l_linenumber * 10 AS BIGINT) AS lo, CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS hi FROM lineitem),
@@ -153,10 +169,10 @@ def missing_chunks_anti(spark, sf_dir):
 _QUADRANT = "CASE WHEN coalesce({a}, 0) = 0 AND coalesce({b}, 0) = 0 THEN 'truly_absent' WHEN coalesce({a}, 0) = 0 THEN 'only_b' WHEN coalesce({b}, 0) = 0 THEN 'loss' ELSE 'common' END"
 
 
-@query("quadrants", HITS + f""", g AS (SELECT s AS sk, t AS ty FROM range(20) a(s), range(8) b(t)), a AS (SELECT sk, ty, count(*) AS n FROM hits WHERE source = 'P' AND value > 200000 GROUP BY 1, 2), b AS (SELECT sk, ty, count(*) AS n FROM hits WHERE source = 'F' AND value > 250000 GROUP BY 1, 2)
+@query("quadrants", HITS + f""", g AS (SELECT s AS sk, t AS ty FROM range(20) a(s), range(8) b(t)), a AS (SELECT sk, ty, count(*) AS n FROM hits WHERE source = 'P' GROUP BY 1, 2), b AS (SELECT sk, ty, count(*) AS n FROM hits WHERE source = 'F' GROUP BY 1, 2)
 SELECT CAST(g.sk AS INTEGER) AS sk, g.ty, {_QUADRANT.format(a="a.n", b="b.n")} AS quadrant FROM g LEFT JOIN a ON g.sk = a.sk AND g.ty = a.ty LEFT JOIN b ON g.sk = b.sk AND g.ty = b.ty""")
 def quadrants(spark, sf_dir):
-    own = hits(spark, sf_dir).groupBy("sk", "ty").agg(F.count_if((F.col("source") == "P") & (F.col("value") > 200000)).alias("a"), F.count_if((F.col("source") == "F") & (F.col("value") > 250000)).alias("b"))
+    own = hits(spark, sf_dir).groupBy("sk", "ty").agg(F.count_if(F.col("source") == "P").alias("a"), F.count_if(F.col("source") == "F").alias("b"))
     grid = spark.range(160).select((F.col("id") % 20).cast("int").alias("sk"), F.floor(F.col("id") / 20).cast("long").alias("ty"))
     return grid.join(own, ["sk", "ty"], "left").select("sk", "ty", F.expr(_QUADRANT.format(a="a", b="b")).alias("quadrant"))
 
@@ -167,10 +183,10 @@ def under_templated(spark, sf_dir):
     return hits(spark, sf_dir).groupBy("sk", "ty").agg(F.count_if(p).alias("a"), F.count_if(~p).alias("b")).where("a <= 30 AND b >= 50")
 
 
-@query("saturation_sharing_jaccard", HITS + """, c AS (SELECT sk, fold, bool_or(source = 'P') AS a, bool_or(source = 'F') AS b FROM hits WHERE value > 300000 GROUP BY sk, fold)
+@query("saturation_sharing_jaccard", HITS + """, c AS (SELECT sk, domain, bool_or(source = 'P') AS a, bool_or(source = 'F') AS b FROM hits GROUP BY sk, domain)
 SELECT sk, count(*) FILTER (WHERE a) AS in_a, count(*) FILTER (WHERE b) AS in_b, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a OR b), 0), 6) AS jaccard FROM c GROUP BY sk""")
 def saturation_sharing_jaccard(spark, sf_dir):
-    c = hits(spark, sf_dir).where("value > 300000").groupBy("sk", "fold").agg(F.bool_or(F.col("source") == "P").alias("a"), F.bool_or(F.col("source") == "F").alias("b"))
+    c = hits(spark, sf_dir).groupBy("sk", "domain").agg(F.bool_or(F.col("source") == "P").alias("a"), F.bool_or(F.col("source") == "F").alias("b"))
     return c.groupBy("sk").agg(F.count_if("a").alias("in_a"), F.count_if("b").alias("in_b"), F.round(F.try_divide(F.count_if(F.col("a") & F.col("b")), F.count_if(F.col("a") | F.col("b"))), 6).alias("jaccard"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldlattice import fixtures as X
 from foldlattice.operators.signatures import connected_signatures, connected_subsets, two_sheet_signatures
+from foldlattice.operators.projection import by_chain
 from foldlattice.operators.search import search
 from foldlattice.queries.motifs import GEOM, MOTIFS, TOPO
 from foldlattice.plans.motif import motif_sql
@@ -74,6 +75,16 @@ def per_chain_reindex(spark, sf_dir):
     return own.select("record_id", (F.col("p") + 1).alias("pos"), F.col("e.chain").alias("chain"), F.expr("size(filter(slice(elements, 1, p + 1), x -> x.chain = e.chain))").alias("chain_pos"))
 
 
+@query("chain_projection", GEOM + """, e AS (SELECT record_id, chain, pos, row_number() OVER (PARTITION BY record_id, chain ORDER BY pos) AS k FROM el1),
+c AS (SELECT a.record_id, a.chain, string_agg(ct1.code, '' ORDER BY a.k, b.k) AS codes FROM e a JOIN e b ON a.record_id = b.record_id AND a.chain = b.chain AND a.pos < b.pos JOIN ct1 ON ct1.record_id = a.record_id AND ct1.i = a.pos AND ct1.j = b.pos GROUP BY ALL),
+s AS (SELECT record_id, chain, sheet, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS own FROM e JOIN sh1 USING (record_id, pos) GROUP BY ALL), t AS (SELECT record_id, chain, string_agg(own, '|' ORDER BY sheet) AS sheets FROM s GROUP BY ALL)
+SELECT record_id, chain, CAST(count(*) AS INTEGER) AS n, coalesce(any_value(codes), '') AS codes, coalesce(any_value(sheets), '') AS sheets FROM e LEFT JOIN c USING (record_id, chain) LEFT JOIN t USING (record_id, chain) GROUP BY record_id, chain""")
+def chain_projection(spark, sf_dir):
+    """Each chain's own matrix and sheets, renumbered."""
+    own = by_chain(X.geometric(spark, sf_dir))
+    return own.select("record_id", "chain", "n", F.expr("replace(array_join(rows, ''), '*', '')").alias("codes"), F.expr("array_join(transform(sheets, s -> array_join(s, ',')), '|')").alias("sheets"))
+
+
 def _segments(spark, sf_dir):
     records = X.topological(spark, sf_dir)
     found = search(records, MOTIFS["t3"]).join(records.select("record_id", "elements"), "record_id")

@@ -13,6 +13,7 @@ from foldlattice.functions import geometry as G
 from foldlattice.operators import corpus as C
 from foldlattice.operators import lattice as L
 from foldlattice.operators.overlap import majority_domains
+from foldlattice.operators.projection import by_chain
 from foldlattice.operators.search import parity_of_sheets, search
 from foldlattice.operators.spread import cell_spread, principal_axis, superposed_distances
 from foldlattice.operators.statistics import binomial_greater, normal_cdf
@@ -251,6 +252,13 @@ def test_majority_domains(spark):
     assert got == {(1, "d1", 12), (2, "d2", 10)}
 
 
+def test_by_chain(spark):
+    element = "array<struct<etype:string,chain:string,length:int>>"
+    rows = [(1, 4, [("E", c, 9) for c in "BABA"], ["*ctu", "*vN", "*-", "*"], [[1, 2], [2, 4], [3]]), (2, 0, [], [], []), (3, 1, [("H", "A", 9)], ["*"], [])]
+    got = {(r["record_id"], r["chain"]): (r["n"], r["rows"], r["sheets"], r["places"]) for r in by_chain(spark.createDataFrame(rows, f"record_id int, n int, elements {element}, rows array<string>, sheets array<array<int>>")).collect()}
+    assert got == {(1, "B"): (2, ["*t", "*"], [[1], [2]], [1, 3]), (1, "A"): (2, ["*N", "*"], [[1], [1, 2]], [2, 4]), (3, "A"): (1, ["*"], [], [1])}
+
+
 def test_room_for(spark):
     """Records with room for a motif: no hit lies outside of them; lists are compared place by place."""
     rng = random.Random(6)
