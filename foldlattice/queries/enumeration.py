@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from itertools import islice, permutations
+from itertools import islice, permutations, product
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foldlattice import fixtures as X
 from foldlattice.functions import geometry as G
 from foldlattice.operators import corpus as C
-from foldlattice.operators.lattice import GRID_POINTS, chiral_triples, compact, declared_skeletons, handedness_classes, skeletons, with_grid
+from foldlattice.operators.lattice import GRID_POINTS, canonical, chiral_triples, compact, declared_skeletons, handedness_classes, joined, skeletons, with_grid
 from foldlattice.operators.search import search, sense_at, senses_sql
 from foldlattice.operators.signatures import connected_signatures
 from foldlattice.operators.sweep import sweep
@@ -194,7 +194,17 @@ def sweep_constraints(spark, sf_dir):
     return sweep(X.geometric(spark, sf_dir), _constrained())
 
 
-@query("corpus_sweep_k3")
+def _corpus_of_three():
+    """The three-element corpus without a session: all placements of one point at two, as ``skeletons`` numbers them."""
+    frames: dict = {}
+    for c in joined(((0, 0), (1, 0)), ((0, 0),)):
+        if compact(c):
+            frames.setdefault(canonical(c), c)
+    typed = ["".join(t) for t in product("HE", repeat=3)]
+    return [C.typed_motif(f"s3-{nth:04d}-{ty:04d}", frame, types) for nth, frame in enumerate(frames.values()) for ty, types in enumerate(typed)]
+
+
+@query("corpus_sweep_k3", GEOM + _union_sql(_corpus_of_three()))
 def corpus_sweep_k3(spark, sf_dir):
     """Hits of the whole three-element corpus, with its sheet, length and handedness lines."""
     return sweep(X.geometric(spark, sf_dir), C.corpus_motifs(spark, 3))
