@@ -79,7 +79,8 @@ def _ready(motif: Motif, level: int) -> list[str]:
             out.append(same if r.kind == "sheetS" else f"NOT {same}")
         elif r.kind in ("parallel", "antiparallel"):
             i, j = r.elements
-            out.append(f"array_contains(parity, concat(p{i}, '-', p{j}, '={0 if r.kind == 'parallel' else 1}'))")
+            # null-safe: else a null check of ``parity`` goes below whatever makes it and makes it twice
+            out.append(f"coalesce(array_contains(parity, concat(p{i}, '-', p{j}, '={0 if r.kind == 'parallel' else 1}')), false)")
     return out
 
 
@@ -112,7 +113,7 @@ def search(records: DataFrame, motif: Motif) -> DataFrame:
             now = now.where(condition)
         for h in motif.handedness:
             if max(h[:3]) == level:
-                now = now.where(f"{sense_at(forms[form_of(h)], *(f'p{i}' for i in sorted(h[:3])))} = '{h[3]}'")
+                now = now.where(f"{sense_at(forms[form_of(h)], *(f'p{i}' for i in sorted(h[:3])))} <=> '{h[3]}'")
     picked = [f"p{i}" for i in range(1, motif.k + 1)]
     # all matches of a record stem from one row, so this window needs one exchange of short rows
     order = W.partitionBy("record_id").orderBy(*[F.desc(p) for p in picked])
