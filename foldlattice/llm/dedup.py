@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable by links, ``class_id`` the smallest id with an
     equal set.  A text without words (or null) has no shingles and stays alone; a text of fewer
     than ``size`` words is one shingle.  Rows without an id are left out; rows that share an id and a
-    text are judged alike.  An empty table gives no rows.
+    text are judged alike.  An empty table gives no rows.  Sets are of whole texts, however long, and hold 64-bit
+    hashes of shingles, by which links are confirmed; a task holds the sets of one block of a family.
     """
     match = match_threshold(coordinates, percent, miss)
     docs = docs.where(F.col(id_col).isNotNull())

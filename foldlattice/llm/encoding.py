@@ -330,7 +330,11 @@ def texts_in(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[lis
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded``: forced-boundary encoding of each whole text and its decoding; null is empty, and ids are passed on as they are."""
+    """``doc_id, ids, decoded``: forced-boundary encoding of each whole text and its decoding; null is empty, and ids are passed on as they are.
+
+    A text of any length is encoded in one piece of work, so a task holds its ids; repeated rows are encoded each
+    on their own, null ids stay null, and an empty table gives no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = forced_cut_encoder(vocabulary)

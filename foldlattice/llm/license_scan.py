@@ -118,6 +118,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``score`` is the best template match (1 for a key phrase alone is never given: 0.5), 0 without
     a find; ``spans`` are the templates' (label, first, last, score).  A null text is empty; ids are passed on as they are.
+    Texts are scanned whole, however long; repeated rows are scanned each on their own; an empty table gives no rows.
     """
     frequencies, n_docs = document_frequencies(docs, text_col)
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))

@@ -271,7 +271,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 
     ``training`` tells the rows that are learned from.  Batches follow the input's partitions and order, so all
     reads of one input must be planned alike, as those of a file scan are.  A null or empty text is its end alone; an
-    empty table gives no rows; repeated rows count each time.  Scores are log10 probabilities.
+    empty table gives no rows; repeated rows count each time.  Scores are log10 probabilities of whole texts; a very
+    long text is a batch of its own.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training.cast("boolean").alias("training"))
     # a row an input partition

@@ -168,7 +168,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
     ``remembered`` bounds a worker's memory of encoded text pieces and changes no result.
     A null text is empty and so is its end id alone; an empty table gives no rows.  Repeated
-    rows are packed each on their own, and so are rows whose id is null.
+    rows are packed each on their own, and so are rows whose id is null.  A text of any length is encoded whole and
+    cut into pieces of ``capacity``; which of equally long pieces goes where is free.
     """
     spark = docs.sparkSession
     # a key of its own for each piece, fixed by writing it: ids may repeat or be null

@@ -186,7 +186,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     language, and one without trusted rows on both sides, have the model over all languages and its
     limit, which all trusted rows that were not trained on set.  If no trusted row is left on one
     side, all are used on both.  Without trusted rows that hold a word, all texts with a word are
-    kept; a text without words (or null) is rejected.  Repeated ids are judged row by row.
+    kept; a text without words (or null) is rejected.  Repeated ids are judged row by row.  Texts are scored
+    whole, however long; a text exactly at the limit is kept; an empty table gives no rows.
 
     Every text is scored once, and its number is kept by its id and the hash of its text and language;
     texts are scored again, by the model over all languages, only where a document is judged by that one.

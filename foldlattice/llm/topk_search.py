@@ -58,7 +58,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     Components are ``floor(scale * x)``.  Vectors that are null, empty, or hold null or non-finite
     components take no part; only vectors of equal length are compared; fewer candidates than k
-    give all of them; an empty table gives no rows.  Rows without an id take no part.  Rows that share an
+    give all of them; equal scores go to the smaller id; an empty table gives no rows.  Rows without an id take no part.  Rows that share an
     id are candidates each, also of one another, and each that asks gets ranks of its own under that id.
     """
     x = F.col("x")

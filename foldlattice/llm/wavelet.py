@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, i
     """Encode whole texts, ``end_id`` behind each, and write shards in ascending id order under ``path``.
 
     Documents are dealt out by ranges of their ids, so that shard k's ids all precede shard k + 1's.
-    A shard is closed at ``tokens`` or more.  A null text is empty; an empty table writes no shard.  Rows
+    A shard is closed at ``tokens`` or more, so a very long text makes one larger shard.  A null text is empty; an empty table writes no shard.  Rows
     without an id are left out; rows that share one are each written, next to each other.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

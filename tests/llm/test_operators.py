@@ -453,3 +453,89 @@ def test_rows_without_or_with_equal_ids(spark, docs, ids_of):
     # both rows of id 0 ask, and each is a candidate of the other
     found = [(0, 1, 0, 512 * 512 + 102 * 102), (0, 2, 1, 204 * 512 + 921 * 102)]
     assert sorted(tuple(r) for r in top_k(vectors, F.col("vec_id") % 100 == 0).collect()) == sorted(found * 2)
+
+
+# very long texts and ties
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of 300,000 words and 2 MB, a near copy of it, one of a single word of 1 MB, and short ones beside them."""
+    rng = random.Random(21)
+    own = [f"{rng.choice(['ba', 'ko', 'tu', 'xel'])}{rng.randrange(10**5)}" for _ in range(300_000)]
+    near = list(own)
+    near[1000] = near[200_000] = "other"
+    texts = [" ".join(own) + " Released under the MIT License.", " ".join(near), "z" * 1_000_000, "short text here " * 20, None]
+    return texts, spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def test_long_texts_near_duplicates(long_docs):
+    texts, df = long_docs
+    got = {r["doc_id"]: r for r in near_duplicates(df).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        assert got[i]["n_shingles"] == (len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0)
+    assert [got[i]["component_id"] for i in range(5)] == [0, 0, 2, 3, 4]
+
+
+def test_long_texts_encoded(spark, long_docs, library):
+    texts, df = long_docs
+    ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4") for t in texts]
+    path = new_shard_folder(df)
+    write_shards(df, VOCABULARY, path, end_id=0, tokens=100_000)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in read_documents(spark.read.parquet(path), with_ids=False).collect()}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+    trips = {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in round_trip(df, VOCABULARY).collect()}
+    assert trips == {i: (x[:-1].tobytes(), texts[i] or "") for i, x in enumerate(ids)}
+    pieces = {}
+    for r in pack(df, VOCABULARY).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for i, x in enumerate(ids):
+        own = sorted(pieces[i])
+        assert sum(n for _, n, _ in own) == len(x) and all(n == 2048 for _, n, _ in own[1:])
+        assert all(zlib.crc32(x[b : b + n].tobytes()) == crc for b, n, crc in own)
+
+
+def test_long_texts_scored(spark, long_docs):
+    texts, df = long_docs
+    got = {r["doc_id"]: r for r in score_documents(df, F.col("doc_id") != 1).collect()}
+    assert all(got[i]["n_tokens"] == len(words(t)) + 1 and got[i]["score"] < 0 for i, t in enumerate(texts))
+    assert got[1]["score"] > got[1]["base_score"]  # nearly all of it was learned
+    found = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    assert (found[0]["n_words"], found[0]["n_base"], found[0]["first_word"], found[0]["base_labels"]) == (300_005, 1, 300_003, "mit")
+    assert all(found[i]["n_base"] == 0 for i in range(1, 5))
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_classifier(df, labels).collect()}
+    assert kept[0] and kept[3] and not kept[4]
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 0.1, (6, 4000))
+    df = spark.createDataFrame([(100 * i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(x * 1024).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, F.col("vec_id") % 100 == 0, k=2).collect()}
+    for q in range(6):
+        want = sorted((-int(whole[q] @ whole[i]), 100 * i) for i in range(6) if i != q)[:2]
+        assert [got[100 * q, k + 1] for k in range(2)] == [(i, -s) for s, i in want]
+
+
+def test_ties(spark):
+    """Equal lengths fill sequences without loss; a text at the limit is kept; equal rarities find the same links twice."""
+    same = spark.createDataFrame([(i, "one two three four five six seven") for i in range(500)], "doc_id long, text string")
+    packed = pack(same, VOCABULARY, capacity=20).collect()
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    per = collections.Counter(s for s, *_ in places)
+    n = packed[0]["length"]
+    assert len(packed) == 500 and len(per) == -(-500 // (20 // n)) and all(o % n == 0 for _, o, _ in places)
+    text = "aa bb cc dd ee ff gg"
+    alike = spark.createDataFrame([(i, text, "en") for i in range(12)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    judged = quality_classifier(alike, labels).collect()
+    assert all(r["kept"] for r in judged) and len({r["perplexity"] for r in judged}) == 1
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]  # every shingle occurs in all texts that hold it equally often
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (3, 40, 80, 110)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string")
+    first, second = ([(r["doc_id"], r["component_id"]) for r in near_duplicates(d).orderBy("doc_id").collect()] for d in (df.repartition(1), df.repartition(4)))
+    assert first == second == [(0, 0), (1, 0), (2, 0), (3, 0)]
