@@ -72,8 +72,8 @@ def at_most(chances: Column) -> Column:
 
 
 def no_hit_probability(p: str) -> Column:
-    """Product of 1 - p over a group."""
-    return F.exp(F.sum(F.log(F.lit(1.0) - F.col(p))))
+    """Product of 1 - p over a group; 0 where a p is 1, whose logarithm would be null."""
+    return F.when(F.max(p) >= 1, F.lit(0.0)).otherwise(F.exp(F.sum(F.log(F.lit(1.0) - F.col(p)))))
 
 
 def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:

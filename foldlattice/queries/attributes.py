@@ -158,11 +158,12 @@ def _erf_sql(x: str) -> str:
 def depth_corrected(spark, sf_dir):
     """Two-sided chance of the folds seen by one source if the other's were thinned to its depth: normal approximation with continuity correction."""
     own = hits(spark, sf_dir)
-    q = own.agg((F.countDistinct(F.when(F.col("source") == "P", F.col("domain"))) / F.countDistinct("domain")).alias("q"))
+    q = own.agg(F.try_divide(F.countDistinct(F.when(F.col("source") == "P", F.col("domain"))), F.countDistinct("domain")).alias("q"))
     left = own.groupBy("sk", "fold").agg(F.count("*").alias("k")).crossJoin(q).withColumn("s", 1 - F.pow(1 - F.col("q") * 0.05, F.col("k")))
-    m = left.groupBy("sk").agg(F.sum("s").alias("mu"), F.sqrt(F.sum(F.col("s") * (1 - F.col("s")))).alias("sd"), F.exp(F.sum(F.log(1 - F.col("s")))).alias("none"))
+    m = left.groupBy("sk").agg(F.sum("s").alias("mu"), F.sqrt(F.sum(F.col("s") * (1 - F.col("s")))).alias("sd"), F.exp(F.sum(F.col("k") * F.log(1 - F.col("q") * 0.05))).alias("none"))  # 1 - s itself may be 0
     seen = own.groupBy("sk").agg(F.countDistinct(F.when(F.col("source") == "P", F.col("fold"))).alias("seen"))
-    upper, lower = (normal_cdf((F.col("seen") + half - F.col("mu")) / F.col("sd")) for half in (0.5, -0.5))
+    # without spread, what is seen lies wholly on one side
+    upper, lower = (normal_cdf(F.coalesce(F.try_divide(x, F.col("sd")), F.signum(x) * 1e9)) for x in (F.col("seen") + half - F.col("mu") for half in (0.5, -0.5)))
     p = F.when(F.col("seen") == 0, 2 * F.least("none", F.lit(0.5))).otherwise(2 * F.least(upper, 1 - lower, F.lit(0.5)))
     return m.join(seen, "sk").select("sk", "seen", F.round("mu", 5).alias("mu"), F.round("sd", 5).alias("sd"), F.round(p, 4).alias("p"))
 

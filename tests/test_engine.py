@@ -240,3 +240,25 @@ def test_sketches_of_parts(spark, tmp_path):
     left = {r["part"]: r["n"] for r in spark.read.parquet(path).groupBy("part").agg(F.theta_sketch_estimate(F.theta_union_agg("sketch", K.LOG)).alias("n")).collect()}
     assert left[1] < 10 and all(left[p] > 4000 for p in (0, 2, 3))
     assert K.shared(spark, path, ["cell"], "side", "a", "none").select("both").distinct().collect()[0][0] == 0
+
+
+def test_depth_of_full_cells(spark, tmp_path):
+    """Folds with so many hits that none can be missed: no spread, and no logarithm of what is left."""
+    orders = [(20 * i + sk, i % 40, "P" if sk == 0 and i % 2 else "F", float(i)) for sk in (0, 1) for i in range(40_000)] + [(20 * i + 2, i, "P", 1.0) for i in range(40)]
+    tables = {
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").withColumn("o_orderdate", F.lit("1995-01-01").cast("timestamp")),
+        "customer": spark.range(40).selectExpr("id AS c_custkey", "cast(id % 5 as int) AS c_nationkey", "'a' AS c_mktsegment"),
+        "nation": spark.range(5).selectExpr("cast(id as int) AS n_nationkey", "cast(0 as int) AS n_regionkey"),
+    }
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = Q.queries()["depth_corrected"](spark, str(tmp_path)).toPandas()
+    want = con.execute(Q.oracle_sql()["depth_corrected"]).df()
+    same(got, want)
+    assert got.set_index("sk")["p"].loc[[0, 1]].tolist() == [1.0, 0.0] and got.set_index("sk")["sd"].loc[0] == 0
+    spark.range(0).selectExpr("id AS o_orderkey", "id AS o_custkey", "'P' AS o_orderstatus", "1d AS o_totalprice", "current_timestamp() AS o_orderdate").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert Q.queries()["depth_corrected"](spark, str(tmp_path)).count() == 0
+    sure = spark.createDataFrame([(1, 1.0), (1, 0.5), (2, 0.5)], "g int, p double").groupBy("g").agg(S.no_hit_probability("p").alias("none"))
+    assert {r["g"]: r["none"] for r in sure.collect()} == {1: 0.0, 2: 0.5}
