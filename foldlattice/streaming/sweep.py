@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foldlattice.operators.search import search
 from foldlattice.plans.motif import Motif
@@ -19,6 +20,15 @@ def shared_folder(spark) -> str:
     return (folder or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
 
 
+def write_dealt(rows: DataFrame, path: str, batches: int) -> int:
+    """Write rows as Parquet without a shuffle, each task's dealt out to ``batches`` folders.
+
+    Returns how many of the files make one of about ``batches`` equal parts; none where there are no rows.
+    """
+    rows.withColumn("dealt", (F.monotonically_increasing_id() % batches).cast("int")).write.partitionBy("dealt").parquet(path)
+    return -(-len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()) // batches)
+
+
 def sweep_stream(records: DataFrame, motif: Motif, out: str, checkpoint: str):
     """A streaming query that appends each micro-batch's hits to Parquet.
 
@@ -33,10 +43,12 @@ def sweep_stream(records: DataFrame, motif: Motif, out: str, checkpoint: str):
 
 
 def sweep_chunks(records: DataFrame, motif: Motif, chunks: int) -> DataFrame:
-    """Write records in chunks, read them as a stream a file at a time, and return all hits."""
+    """Write records as files, read them as a stream in about ``chunks`` batches, and return all hits."""
     spark = records.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    records.repartition(chunks, "record_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    a_batch = write_dealt(records, f"{folder}/in", chunks)
+    if not a_batch:
+        return search(records, motif)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", a_batch).parquet(f"{folder}/in").select(records.columns)
     sweep_stream(stream, motif, f"{folder}/out", f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("epoch")

@@ -131,3 +131,19 @@ def test_completed_in_any_order(spark):
     got = completed_by_files(spark.createDataFrame(rows, "query_id int, chunk int, rc int, rows long"), 11, 4).collect()
     done = {q: {c for x, c, rc, _ in rows if x == q and rc == 0} for q in range(20)}
     assert sorted(tuple(r) for r in got) == [(q, 11, sum(10 * c + q for c in range(11))) for q in range(20) if len(done[q]) == 11]
+
+
+def test_completed_in_buckets(spark, tmp_path):
+    """One call and one state take all of a bucket's queries; ids of any kind, null ones together, and rows that are null."""
+    rows = [(q, c, 0, None if c == 1 else 7) for q in (None, 1 << 60, (1 << 60) + 1, *range(3_000)) for c in range(9)] + [(5_000, c, 0, 1) for c in range(8)]
+    random.Random(3).shuffle(rows)
+    frame = spark.createDataFrame(rows, "query_id long, chunk int, rc int, rows long")
+    got = completed_by_files(frame, 9, 5).collect()
+    assert {tuple(r) for r in got} == {(q, 9, 56) for q in (None, 1 << 60, (1 << 60) + 1, *range(3_000))} and len(got) == 3_003
+    named = completed_by_files(frame.where("query_id < 40 OR query_id >= 5000").withColumn("query_id", F.concat(F.lit("q"), F.col("query_id"))), 9, 5).collect()
+    assert sorted(r["query_id"] for r in named) == sorted([f"q{i}" for i in range(40)] + [f"q{1 << 60}", f"q{(1 << 60) + 1}"])
+    assert completed_by_files(frame.where("false"), 9, 5).count() == 0
+    frame.write.parquet(f"{tmp_path}/in")
+    told = completed_queries(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), 9).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    told.awaitTermination()
+    assert 500 < max(p["stateOperators"][0]["numRowsTotal"] for p in told.recentProgress if p["stateOperators"]) <= 1_025
