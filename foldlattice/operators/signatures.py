@@ -26,12 +26,13 @@ def connected_subsets(records: DataFrame, k: int, fits: str = "true", codes: str
     so every subset arises in one way and none that isn't connected arises.  ``alive`` is a condition on the
     array ``taken`` that a subset and all that it grew from must meet.  No shuffle, no limit on a record's size.
     """
-    own = records.select("record_id", "rows", *keep, F.expr(f"filter(sequence(1, n), p -> {fits})").alias("fit")).where(f"size(fit) >= {k}")
+    own = records.select("record_id", "rows", *keep, F.expr(f"filter(sequence(1, n), p -> {fits})").alias("fit"))
     both = code_at("t.rows", "least(i, j)", "greatest(i, j)")
     near = f"element_at(transform(array(named_struct('rows', rows, 'fit', fit)), t -> transform(sequence(1, array_max(fit)), i -> CASE WHEN array_contains(t.fit, i) THEN filter(t.fit, j -> j <> i AND instr('{codes}', {both}) > 0) ELSE cast(array() as array<int>) END)), 1)"
     own = own.withColumn("near", F.expr(near))
     # ``open``: may be taken next; ``closed``: taken or next to what is taken
-    now = own.select("*", F.explode_outer("fit").alias("v")).where("v IS NOT NULL").drop("fit")
+    # no filter on the size of ``fit``: it would go below what makes the elements, and each place make them again
+    now = own.select("*", F.explode_outer(F.expr(f"CASE WHEN size(fit) >= {k} THEN fit END")).alias("v")).where("v IS NOT NULL").drop("fit")
     now = now.withColumn("taken", F.array("v")).withColumn("closed", F.expr("concat(array(v), element_at(near, v))")).withColumn("open", F.expr("filter(element_at(near, v), j -> j > v)"))
     for level in range(2, k + 1):
         if alive and level > 2:
@@ -41,7 +42,7 @@ def connected_subsets(records: DataFrame, k: int, fits: str = "true", codes: str
         now = now.withColumns({"taken": F.expr("concat(taken, array(w))"), **grown}).drop("at", "w")
     if alive:
         now = now.where(alive)
-    return now.select("record_id", "rows", *keep, F.array_sort("taken").alias("places"))
+    return now.select("record_id", "rows", *keep, F.sort_array("taken").alias("places"))
 
 
 def two_sheet_signatures(records: DataFrame, least: dict[str, int] | None = None, any_sheets: bool = False) -> DataFrame:

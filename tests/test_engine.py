@@ -262,3 +262,16 @@ def test_depth_of_full_cells(spark, tmp_path):
     assert Q.queries()["depth_corrected"](spark, str(tmp_path)).count() == 0
     sure = spark.createDataFrame([(1, 1.0), (1, 0.5), (2, 0.5)], "g int, p double").groupBy("g").agg(S.no_hit_probability("p").alias("none"))
     assert {r["g"]: r["none"] for r in sure.collect()} == {1: 0.0, 2: 0.5}
+
+
+def test_codes_of_keys(spark):
+    """Codes of all pairs of keys and types; an element without a key has blank codes and takes its place."""
+    letters = [(k, t) for k in (*range(9), None) for t in "HE"]
+    lines = spark.createDataFrame([(1, [("d", i, k, 1, 1.0, 1.0, {"H": "A", "E": "R"}[t], "O") for i, (k, t) in enumerate(letters)])], "record_id long, lines array<struct<l_shipdate:string,l_linenumber:int,l_partkey:long,l_suppkey:long,l_quantity:double,l_extendedprice:double,l_returnflag:string,l_linestatus:string>>")
+    rows = X._of_lines(lines).first()["rows"]
+
+    def code(a, b):
+        c = "-" if None in (a[0], b[0]) else X.KEY_CODES[(a[0] + b[0]) % 8]
+        return "-" if c in "ct" and (a[1], b[1]) != ("E", "E") else c
+
+    assert rows == ["*" + "".join(code(a, b) for b in letters[i + 1 :]) for i, a in enumerate(letters)]
