@@ -207,7 +207,8 @@ def sweep(records: DataFrame, motifs: list[Motif], tasks: int | None = None) ->
         low, high = limits.get(s.etype, (s.low, s.high))
         limits[s.etype] = min(s.low, low), max(s.high, high)
     fits = " OR ".join(f"(e.etype = '{t}' AND e.length BETWEEN {lo} AND {hi})" for t, (lo, hi) in sorted(limits.items()))
-    own = records.withColumn("fit", F.expr(f"filter(sequence(1, n), p -> exists(array(element_at(elements, p)), e -> {fits}))"))
+    # over ``elements`` and not over places: the filter below goes under what makes them, which a place would make again each
+    own = records.withColumn("fit", F.expr(f"filter(transform(elements, (e, i) -> CASE WHEN {fits} THEN i + 1 END), p -> p IS NOT NULL)"))
     own = own.where(f"n > 0 AND size(fit) >= {levels[0][0].left}")
     columns = ["record_id", "fit", "rows", *[F.expr(f"transform(elements, e -> e.{c})").alias(a) for c, a in (("etype", "etypes"), ("chain", "chains"), ("length", "lengths"))]]
     columns += ["parity"] * bool(kinds & {"parallel", "antiparallel"})
