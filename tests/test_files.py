@@ -9,6 +9,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull
 from foldlattice.sources import archive, metamatrix
 from foldlattice.sources.record_source import RecordReader, read_records
 from foldlattice.streaming.completeness import completed_by_files, completed_queries
+from foldlattice.streaming.sweep import write_dealt
 
 SCHEMA = "record_id string, n int, elements array<struct<etype:string,chain:string,begin_label:string,end_label:string,length:int,fx:double,fy:double,fz:double,lx:double,ly:double,lz:double>>, sheets array<array<int>>, rows array<string>"
 
@@ -147,3 +148,12 @@ def test_completed_in_buckets(spark, tmp_path):
     told = completed_queries(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), 9).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
     told.awaitTermination()
     assert 500 < max(p["stateOperators"][0]["numRowsTotal"] for p in told.recentProgress if p["stateOperators"]) <= 1_025
+
+
+def test_dealt_files(spark, tmp_path):
+    """A task's rows go to all folders, so no file and no reading task holds a fixed part of the whole."""
+    rows = spark.range(0, 4_000, numPartitions=8)
+    a_batch = write_dealt(rows, f"{tmp_path}/a", 4)
+    held = spark.read.schema("id long").parquet(f"{tmp_path}/a")
+    assert a_batch == 8 and len(held.inputFiles()) == 32 and held.distinct().count() == 4_000
+    assert write_dealt(rows.where("false"), f"{tmp_path}/b", 4) == 0
