@@ -37,6 +37,8 @@ PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Pieces in each of a worker's two memories (some 200 bytes a piece), and the longest piece that is remembered.
 REMEMBERED = 800_000
 LONGEST = 80
+#: Marks that are one pre-token behind a word, however many (ASCII, no apostrophe).
+MARKS = "!#$%&*,.:;<>?|"
 #: Fragments over so many bytes are merged with a heap, the others all at once.
 LONG_FRAGMENT = 256
 
@@ -255,32 +257,35 @@ class PieceEncoder:
 class _LibraryPieces(dict):
     """Packed ids of pieces by the library's model; a missing piece is encoded and remembered.
 
-    A full memory becomes the older one, which is asked before a piece is encoded again.  A word with a
-    mark behind it is the word's ids and the mark's.
+    A full memory becomes the older one, which is asked before a piece is encoded again.  A word with
+    marks behind it is the word's ids and the marks', a line's first piece the line end's and the rest's.
     """
 
-    def __init__(self, library, letter: dict[int, str], remembered: int):
+    def __init__(self, library, letter: dict[int, str], remembered: int, size: int):
         super().__init__()
         self.remembered = remembered
         self.model, self.letter, self.older = library.model, [letter[b] for b in range(256)], {}
-        self.space = letter[0x20]
-        self.marks = {m: self._packed(m) for m in ".,;:!?"}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
+        self.space, self.line_end = letter[0x20], self._packed(letter[0x0A])
 
     def _packed(self, token: str) -> bytes:
         """Ids of one pre-token, given as its bytes' letters."""
-        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+        own = self.id_bytes
+        return b"".join([own[t.id] for t in self.model.tokenize(token)])
 
     def _lettered(self, text: str) -> str:
         return "".join(map(self.letter.__getitem__, text.encode("utf-8", "surrogatepass")))
 
     def _encoded(self, piece: str) -> bytes:
-        mark = self.marks.get(piece[-1:])
-        word = piece if mark is None else piece[:-1]
-        if not word.isalpha():  # letters alone make one pre-token with the space before them
-            return b"".join(self._packed(self._lettered(token)) for token in pretokens(piece[1:] if piece[:1] == "\0" else " " + piece))
-        if mark is not None:
-            return self[word] + mark
-        return self._packed(self.space + (word if word.isascii() else self._lettered(word)))
+        before, bare = b"", piece[1:] if piece[:1] == "\0" else " " + piece
+        if bare[:1] == "\n" and bare[1:2].isalpha():  # this line end stands alone
+            before, bare = self.line_end, bare[1:]
+        word = bare.rstrip(MARKS)
+        if not word[word[:1] == " " :].isalpha():  # letters alone make one pre-token with the space before them, and marks behind them one more
+            return before + b"".join(self._packed(self._lettered(token)) for token in pretokens(bare))
+        if len(word) < len(bare):
+            return self[piece[: len(word) - len(bare)]] + self._packed(bare[len(word) :])
+        return before + self._packed(word.replace(" ", self.space) if word.isascii() else self._lettered(word))
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -302,7 +307,18 @@ class LibraryEncoder(PieceEncoder):
 
         bpe = ForcedCutBpe(path)
         super().__init__(None, bpe.special, bpe.space_is_forced, bpe.size - 1)
-        self.known = _LibraryPieces(Tokenizer.from_file(path), {b: c for c, b in byte_letters().items()}, remembered)
+        self.known = _LibraryPieces(Tokenizer.from_file(path), {b: c for c, b in byte_letters().items()}, remembered, bpe.size)
+
+    def _pieces(self, text: str) -> list[str]:
+        """Also cut in front of line ends where none has a space or another beside it, so that words at them repeat as others do."""
+        if "\n" in text and self.cut_at_spaces and "\0" not in text:
+            lines = text.split("\n")
+            if not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+                text = " \0\n".join(lines)
+                pieces = _CUT.split(text) if _GLUED.search(text) else text.split(" ")
+                pieces[0] = "\0" + pieces[0]
+                return pieces
+        return super()._pieces(text)
 
     def packed_many(self, texts: list[str | None]) -> list[bytes]:
         look = self.known.__getitem__

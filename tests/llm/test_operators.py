@@ -17,14 +17,14 @@ from tokenizers import Tokenizer
 from foldlattice.llm import quality_rules as QR
 from foldlattice.llm.common import components, training_hash
 from foldlattice.llm.dedup import match_threshold, near_duplicates
-from foldlattice.llm.encoding import ForcedCutBpe, forced_cut_encoder, library_encoder, round_trip
+from foldlattice.llm.encoding import ForcedCutBpe, LibraryEncoder, forced_cut_encoder, library_encoder, round_trip
 from foldlattice.llm.language_id import fit, predict, viterbi
 from foldlattice.llm.license_scan import PHRASES, SHARE, TEMPLATE_WORDS, TEMPLATES, Index, scan_licenses, words_of
 from foldlattice.llm.lm_scoring import pack_keys, score_documents, unpack_counts, unpack_keys
 from foldlattice.llm.packing import pack, plan
 from foldlattice.llm.quality_classifier import BIN, kneser_ney, quality_classifier
 from foldlattice.llm.topk_search import top_k
-from foldlattice.llm.wavelet import WaveletMatrix, new_shard_folder, read_documents, write_shards
+from foldlattice.llm.wavelet import DECODED, WaveletMatrix, new_shard_folder, read_documents, write_shards
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,6 +193,26 @@ def test_encoders_on_odd_texts(library):
             assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_at_line_ends_are_remembered(library):
+    """Words beside line ends and marks aren't remembered with each of their neighbours."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(30)]
+    texts = ["\n".join(f"{rng.choice(words)}{rng.choice(['', '.', '***'])} x {rng.choice(words)}{rng.choice(['', '.', '$$$'])}" for _ in range(40)) for _ in range(50)]
+    odd = ["".join(rng.choice(["ab", "É", "\n", "\n", " ", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2028", ".", "***", "'s", "7", "\0"]) for _ in range(rng.randint(1, 15))) for _ in range(3000)]
+    encoder = LibraryEncoder(VOCABULARY)
+    for text, packed in zip(texts, encoder.packed_many(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) < 30 * 2 * 5
+    for text, packed in zip(odd, encoder.packed_many(odd)):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_decode_in_runs():
+    for n in (DECODED - 1, DECODED, DECODED + 1, 2 * DECODED + 77):
+        ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint16)
+        assert (WaveletMatrix.build(ids, 16).decode() == ids).all()
+
+
 def test_forced_pairs():
     bpe = ForcedCutBpe(VOCABULARY)
     inside = {(a, b) for t in bpe.token_bytes[:-1] for a, b in zip(t, t[1:])}
