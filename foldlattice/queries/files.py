@@ -61,7 +61,8 @@ def resumed_archive(spark, sf_dir):
             pass
         else:
             raise AssertionError("an archive with missing parts was taken for whole")
-        again = sweep(records.where(chunk.isin([r[0] for r in left.select("chunk").distinct().collect()])), motifs).withColumn("chunk", chunk)
+        open_motifs, open_chunks = ({r[0] for r in left.select(c).distinct().collect()} for c in ("query_id", "chunk"))
+        again = sweep(records.where(chunk.isin(sorted(open_chunks))), [m for m in motifs if m.motif_id in open_motifs]).withColumn("chunk", chunk)
         archive.write_attempt(again.join(left, ["query_id", "chunk"], "left_semi"), left.withColumn("rc", F.lit(0)), path, SHARDS)
     return archive.finished(spark, path, wanted).select("query_id", "record_id", "positions")
 

@@ -56,13 +56,13 @@ def write_attempt(hits: DataFrame, outcomes: DataFrame, path: str, shards: int)
 
     The unit is a shard of queries in a chunk: an attempt brings whole units and replaces those alone.  Hits
     carry the attempt's mark and the ledger is written after them with the rows read back, so what a
-    broken attempt leaves is never taken for its successor's.
+    broken attempt leaves is never taken for its successor's.  A unit with many hits is written by several tasks.
     """
     spark, run = hits.sparkSession, uuid.uuid4().hex
 
     def put(rows: DataFrame, name: str) -> None:
         dealt = rows.withColumns({"shard": _shard(shards), "run": F.lit(run)})
-        dealt.repartition("shard", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "chunk").parquet(f"{path}/{name}")
+        dealt.hint("rebalance", "shard", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "chunk").parquet(f"{path}/{name}")
 
     put(hits, "hits")
     held = _stored(spark, path, "hits", hits).where(F.col("run") == run).groupBy("query_id", "chunk").agg(F.count("*").alias("rows"))

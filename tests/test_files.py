@@ -103,6 +103,19 @@ def test_resumed_archive(spark, tmp_path):
         archive.finished(spark, f"{tmp_path}/b", wanted)
 
 
+def test_large_unit_is_written_by_several_tasks(spark, tmp_path):
+    """One unit's hits pass the size of a part many times over: they are written by several tasks, each row once."""
+    hits = spark.range(60_000).select(F.lit("q0").alias("query_id"), F.lit(0).alias("chunk"), F.sha2(F.col("id").cast("string"), 256).alias("record_id"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        archive.write_attempt(hits.repartition(8), _codes(spark, [("q0", 0, 0)]), str(tmp_path), 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "hits").rglob("*.parquet"))) > 2
+    assert archive.finished(spark, str(tmp_path), archive.wanted_parts(hits, 1)).select("record_id").distinct().count() == 60_000
+
+
 def test_completed_once(spark, tmp_path):
     """Reports in five batches: failed, late, repeated and foreign chunks; each query is told in the batch of its last chunk."""
     batches = [
