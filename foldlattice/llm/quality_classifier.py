@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,17 +74,18 @@ def kneser_ney(trusted: DataFrame) -> DataFrame:
     """``lang, kind, v, w, p`` of ``trusted`` (lang, text).
 
     kind 2: interpolated p(w | v); kind 1: lower-order p(w); kind 0: the weight of v's lower order
-    (v of a word), or of an unknown word (v null).
+    (v of a word), or of an unknown word (v null).  What several parts of it need is written once, so
+    that no plan holds it again and again; the driver's memory grows with the exchanges that it plans.
     """
     bigrams = stored(_word_bigrams(trusted), "bigrams")
-    follow = bigrams.groupBy("lang", "w").agg(F.count("*").alias("before"))
-    low_d = _discounts(follow, "before")
-    sizes = follow.join(F.broadcast(low_d), "lang").groupBy("lang").agg(F.sum("before").alias("all"), F.count("*").alias("words"), F.sum(_discount("before")).alias("mass"))  # a row a language
+    follow = stored(bigrams.groupBy("lang", "w").agg(F.count("*").alias("before")), "follow")
+    low_d = stored(_discounts(follow, "before"), "discounts")
+    sizes = stored(follow.join(F.broadcast(low_d), "lang").groupBy("lang").agg(F.sum("before").alias("all"), F.count("*").alias("words"), F.sum(_discount("before")).alias("mass")), "sizes")  # a row a language
     lower = follow.join(F.broadcast(low_d), "lang").join(F.broadcast(sizes), "lang")
     unknown = F.col("mass") / F.col("all") / (F.col("words") + 1)
     lower = lower.select("lang", "w", ((F.col("before") - _discount("before")) / F.col("all") + unknown).alias("p_low"))
-    with_d = bigrams.join(F.broadcast(_discounts(bigrams, "n")), "lang")
-    weights = with_d.groupBy("lang", "v").agg(F.sum("n").alias("held"), (F.sum(_discount("n")) / F.sum("n")).alias("weight"))
+    with_d = bigrams.join(F.broadcast(stored(_discounts(bigrams, "n"), "discounts")), "lang")
+    weights = stored(with_d.groupBy("lang", "v").agg(F.sum("n").alias("held"), (F.sum(_discount("n")) / F.sum("n")).alias("weight")), "weights")
     high = with_d.join(weights, ["lang", "v"]).join(lower, ["lang", "w"]).select("lang", F.lit(2).alias("kind"), "v", "w", ((F.col("n") - _discount("n")) / F.col("held") + F.col("weight") * F.col("p_low")).alias("p"))
     none = F.lit(None).cast("long")
     return (
@@ -96,7 +98,8 @@ def kneser_ney(trusted: DataFrame) -> DataFrame:
 def _tables(model: DataFrame) -> tuple[dict[str, float], list[np.ndarray], list[np.ndarray]]:
     """Unknown-word probabilities, and sorted keys and log-probabilities of kinds 0, 1, 2.
 
-    Bounded by the training sample's tokens, whatever the corpus; keys are made in the tasks.
+    Bounded by the training sample's tokens, whatever the corpus; keys are made in the tasks.  The
+    driver holds a copy of a column at a time beside the rows that it got and what it returns.
     """
     whole = F.col("v").isNull() & F.col("w").isNull()
     unknown = {r["lang"]: r["p"] for r in model.where(whole).select("lang", "p").collect()}  # a row a language
@@ -112,15 +115,19 @@ def _tables(model: DataFrame) -> tuple[dict[str, float], list[np.ndarray], list[
             yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), pa.array(key.view(np.int64)), pa.array(np.log(rows["p"].to_numpy()).astype(np.float32))], ["kind", "key", "log_p"])
 
     rows = model.where(~whole).select("lang", "kind", "v", "w", "p").transform(in_arrow, work, "kind byte, key long, log_p float").toArrow()
-    kinds = rows["kind"].to_numpy()
+    kinds, key, log_p = (rows[c].to_numpy() for c in ("kind", "key", "log_p"))
+    del rows
+    pa.default_memory_pool().release_unused()
     keys, logs = [], []
     for kind in (0, 1, 2):
-        held = np.flatnonzero(kinds == kind)
-        own = rows["key"].to_numpy()[held].view(np.uint64)
-        order = np.argsort(own)
-        keys.append(own[order])
-        logs.append(rows["log_p"].to_numpy()[held][order])
-        del held, own, order
+        own = kinds == kind
+        part, values = key[own].view(np.uint64), log_p[own]
+        if kind == 2:
+            del kinds, key, log_p, own
+        order = np.argsort(part)
+        keys.append(part[order])
+        logs.append(values[order])
+        del part, values, order
     return unknown, keys, logs
 
 
@@ -131,12 +138,11 @@ def _look(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, missing: np.nd
     return np.where(keys[at] == wanted, logs[at], missing)
 
 
-def perplexities(docs: DataFrame, tables: tuple, keep: list[str], model_col: str, text_col: str = "text") -> DataFrame:
+def perplexities(docs: DataFrame, shared: Broadcast, keep: list[str], model_col: str, text_col: str = "text") -> DataFrame:
     """``keep`` and ``model_lang, n_tokens, perplexity`` of each whole text (null: its end alone) under the model named.
 
-    A name without a model stands for the one over all languages.
+    ``shared`` holds the result of ``_tables``.  A name without a model stands for the one over all languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tables)  # bounded: see _tables
     own = docs.select(*keep, F.col(model_col).alias("model_"), F.col(text_col).alias("text_"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[: len(keep)])
 
@@ -195,28 +201,35 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     key = F.xxhash64(F.coalesce(text_col, F.lit("")), F.coalesce(lang_col, F.lit(ANY)))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(ANY)).alias("lang"), key.alias("h"))
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id")).distinct()
-    sizes = {r["lang"]: r["n"] for r in own.select("doc_id", "lang").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    wordy = F.rlike("text", F.lit(WORDY))
+    good = stored(good, "trusted_ids")
+    known = stored(own.select("doc_id", "lang", wordy.alias("wordy")).join(good, "doc_id", "left_semi"), "known")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     part: Column = F.lit(0.0)
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * rows / n))).otherwise(part)
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sampled = F.coalesce(u < part, F.lit(False))
     train = sampled & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0)
-    wordy = own.where(F.rlike("text", F.lit(WORDY)))
-    sides = wordy.select("doc_id", "lang", train.alias("train")).join(good, "doc_id", "left_semi").groupBy("lang").agg(F.count_if("train").alias("trained"), F.count_if(~F.col("train")).alias("held")).collect()  # a row a language
+    wordy = own.where(wordy)
+    sides = known.where("wordy").select("lang", train.alias("train")).groupBy("lang").agg(F.count_if("train").alias("trained"), F.count_if(~F.col("train")).alias("held")).collect()  # a row a language
     both = all(sum(r[side] for r in sides) for side in ("trained", "held"))
     if not both:  # no more than a few trusted rows
         train = sampled
     judged = [r["lang"] for r in sides if r["lang"] != ANY and (not both or r["trained"] and r["held"])]
     held = ~train if both else train
     tables = _tables(stored(kneser_ney(stored(wordy.where(train).join(good, "doc_id", "left_semi").select("lang", "text"), "trusted")), "model"))
+    modelled = bool(tables[0])
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # bounded: see _tables
+    del tables
     judge = F.when(_among(F.col("lang"), judged), F.col("lang")).otherwise(F.lit(ANY))
-    scored = stored(perplexities(own.withColumn("judge", judge), tables, ["doc_id", "h", "lang"], "judge"), "scored")
+    scored = stored(perplexities(own.withColumn("judge", judge), shared, ["doc_id", "h", "lang"], "judge"), "scored")
     trusted = scored.where((F.col("n_tokens") > 1) & held).join(good, "doc_id", "left_semi")
-    limits = _limits(trusted.where(F.col("model_lang") != ANY), share) if tables[0] else {}
-    if tables[0] and scored.where(F.col("model_lang") == ANY).limit(1).count():
-        again = perplexities(wordy.where(held & _among(F.col("lang"), judged)).withColumn("judge", F.lit(ANY)), tables, ["doc_id"], "judge").join(good, "doc_id", "left_semi")
+    limits = _limits(trusted.where(F.col("model_lang") != ANY), share) if modelled else {}
+    if modelled and scored.where(F.col("model_lang") == ANY).limit(1).count():
+        again = perplexities(wordy.where(held & _among(F.col("lang"), judged)).withColumn("judge", F.lit(ANY)), shared, ["doc_id"], "judge").join(good, "doc_id", "left_semi")
         limits |= _limits(trusted.where(F.col("model_lang") == ANY).select("model_lang", "perplexity").unionByName(again.select("model_lang", "perplexity")), share)
+    shared.destroy()  # all that needs it is written or collected
     limit: Column = F.lit(None).cast("double")
     for lang, most in limits.items():
         limit = F.when(F.col("model_lang") == lang, F.lit(most)).otherwise(limit)

@@ -11,9 +11,10 @@ of fixed bins, so a source with a third of all rows is no single group.  Groups
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,27 +81,30 @@ def chi2_quantile(p: float, degrees: int) -> float:
 
 
 def _quantile(rows: DataFrame, values: dict[str, Column], share: float, step: float) -> DataFrame:
-    """For each ``grp`` the ``share`` quantile of each value, to the upper edge of its bin."""
+    """For each ``grp`` the ``share`` quantile of each value, to the upper edge of its bin.
+
+    Counts are dealt out by group once, for the running totals and for the quantiles.
+    """
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.ceil(v / step).cast("long").alias("bin")) for k, v in values.items()])).alias("x")).select("grp", "x.k", "x.bin")
-    counts = long.groupBy("grp", "k", "bin").agg(F.count("*").alias("n"))
+    counts = long.groupBy("grp", "k", "bin").agg(F.count("*").alias("n")).repartition("grp")
     own = W.partitionBy("grp", "k")
     below = counts.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
     return below.where(F.col("upto") >= F.col("all") * share).groupBy("grp").agg(*[(F.min(F.when(F.col("k") == k, F.col("bin"))) * step).alias(k) for k in values])
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance of each row to its group's fit: forward substitution."""
+def _distance(rows: DataFrame, fit: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Squared Mahalanobis distance of each row to its group's fit, by forward substitution, and the columns ``more`` of the fit."""
     out = rows.join(fit, "grp", "left")
     p = len(FEATURES)
     for i in range(p):
         z = F.col(FEATURES[i]) - F.col(f"c{i}") - sum((F.col(f"l{i}{j}") * F.col(f"y{j}") for j in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", z / F.col(f"l{i}{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(p)])
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, *more, d2.alias("d2"))
 
 
-def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
-    """Centre and lower factor of the inflated, floored covariance of each group."""
+def _cholesky(moments: DataFrame, factor: float, more: Sequence[str] = ()) -> DataFrame:
+    """Centre and lower factor of the inflated, floored covariance of each group, and the columns ``more`` of ``moments``."""
     p = len(FEATURES)
     out = moments.withColumns({f"c{i}": F.col(f"s{i}") / F.col("n") for i in range(p)})
     for i in range(p):
@@ -108,7 +112,7 @@ def _cholesky(moments: DataFrame, factor: float) -> DataFrame:
             cov = (F.col(f"s{j}{i}") / F.col("n") - F.col(f"c{i}") * F.col(f"c{j}")) * factor
             rest = cov - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return out.select("grp", *[f"c{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], *more)
 
 
 def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -> DataFrame:
@@ -116,7 +120,8 @@ def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -
 
     Starts from medians and median deviations and takes concentration steps until no centre or factor
     of any group moves by more than ``still`` of its floor, ``steps`` at most.  A group's figures are one
-    row, written before they are joined, so that Spark joins by their known size.
+    row, written before they are joined, so that Spark joins by their known size; how far they moved is
+    observed as they are written.
     """
     p = len(FEATURES)
     factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
@@ -125,15 +130,18 @@ def robust_fit(rows: DataFrame, share: float, steps: int, still: float = 0.01) -
     spread = _quantile(off, {f"m{i}": F.abs(F.col(f) - F.col(f"c{i}")) for i, f in enumerate(FEATURES)}, 0.5, BIN)
     figures = {f"c{i}": i for i in range(p)} | {f"l{i}{j}": i for i in range(p) for j in range(i + 1)}
     fit = stored(centre.join(spread, "grp").select("grp", *[f"c{i}" for i in range(p)], *[(F.sqrt(F.pow(F.col(f"m{i}") * 1.4826, F.lit(2)) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]), "fit")
+    log_d2 = F.log(F.col("d2") + 1e-9)
+    first = [F.first(k).alias(f"was_{k}") for k in figures]
+    sums = {f"s{i}": F.sum(f) for i, f in enumerate(FEATURES)} | {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)}
     for _ in range(steps):
-        far = _distance(rows, fit).withColumn("log_d2", F.log(F.col("d2") + 1e-9))
-        cut = stored(_quantile(far, {"cut": F.col("log_d2")}, share, BIN), "cut")
-        near = far.join(cut, "grp").where(F.col("log_d2") <= F.col("cut"))
-        sums = {f"s{i}": F.sum(f) for i, f in enumerate(FEATURES)} | {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)}
-        after = stored(_cholesky(near.groupBy("grp").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()]), factor), "fit")
-        moved = fit.alias("a").join(after.alias("b"), "grp").agg(F.max(F.greatest(*[F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) / FLOORS[i] for k, i in figures.items()]))).first()[0]
-        fit = after
-        if moved is None or moved <= still:
+        cut = _quantile(_distance(rows, fit).select("grp", log_d2.alias("log_d2")), {"cut": F.col("log_d2")}, share, BIN)
+        fit = stored(fit.join(cut, "grp"), "cut")
+        near = _distance(rows, fit, ["cut", *figures]).where(log_d2 <= F.col("cut"))
+        after = near.groupBy("grp").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()], *first)
+        seen = Observation()
+        moved = F.max(F.greatest(*[F.abs(F.col(k) - F.col(f"was_{k}")) / FLOORS[i] for k, i in figures.items()]))
+        fit = stored(_cholesky(after, factor, [f"was_{k}" for k in figures]).observe(seen, moved.alias("moved")).select("grp", *figures), "fit")
+        if (most := seen.get.get("moved")) is None or most <= still:
             break
     return fit
 
