@@ -19,6 +19,7 @@ from foldlattice.operators.spread import cell_spread, principal_axis, superposed
 from foldlattice.operators.statistics import binomial_greater, normal_cdf
 from foldlattice.operators.sweep import deal, sweep
 from foldlattice.plans.motif import MotifError, parse_motif, write_motif
+from foldlattice.queries import enumeration
 from foldlattice.sources import archive, metamatrix
 from foldlattice.sources.motif_files import listed_motif, listed_motifs, read_motifs
 
@@ -278,6 +279,24 @@ def test_room_for(spark):
     assert all(n <= got[q] for q, n in hits.items())
 
 
+def test_crowded_motifs_are_the_whole_corpus(spark):
+    """Every skeleton with every typing, all orders of the grids' points among them, against bonds counted by hand."""
+    got = {r["query_id"]: (r["crowded"], r["records"]) for r in enumeration.crowded_motifs(spark, SF).collect()}
+    motifs = C.corpus_motifs(spark, 5)
+    assert len(got) == len(motifs) == 6336 and enumeration._corpus_of(5) == motifs
+    found = {r["nth"]: L.canonical(L.points_of(r["frame"])) for r in L.skeletons(spark, 5).collect()}
+    seen = {found[int(q.split("-")[1])] for q in got}
+    assert all(L.canonical(p) in seen for points in L.GRID_POINTS.values() for p in itertools.permutations(points) if L.compact(p))
+    bonds: dict = {r["record_id"]: {} for r in X.topological(spark, SF).select("record_id").collect()}
+    for r in X.contacts_of(X.topological(spark, SF)).where("code IN ('c', 't')").collect():
+        for p in (r["i"], r["j"]):
+            bonds[r["record_id"]][p] = bonds[r["record_id"]].get(p, 0) + 1
+    held = [sorted(own.values(), reverse=True) for own in bonds.values()]
+    room = {asked: sum(len(own) >= len(asked) and all(x >= y for x, y in zip(own, asked)) for own in held) for asked in {tuple(C.bonds_asked(m)) for m in motifs}}
+    assert got == {m.motif_id: (C.crowded(m), room[tuple(C.bonds_asked(m))]) for m in motifs}
+    assert room[()] == len(held) > max(n for asked, n in room.items() if asked)
+
+
 def test_motif_files(spark, tmp_path):
     texts = {"one": "1 2\nE E\n* x\n*", "two": "1 2\nH E\n* T\n*"}
     for name, text in texts.items():
